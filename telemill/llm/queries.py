@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, quality_rules
+from telemill.llm import chat_format, packing, quality_rules, token_counts
 from telemill.llm.oracles import ORACLES  # noqa: F401
 from telemill.session import table
 
@@ -49,3 +49,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdicts for every document."""
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 ids."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
