@@ -38,7 +38,7 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
 from s
 """
 
-_BARE = "trim(translate(l, e'\\t\\n\\x0b\\x0c\\r', '     '))"
+_BARE = "trim(translate(l, e'\\t\\n\x0b\x0c\\r', '     '))"
 OP10 = rf"""
 with d as (select row_number() over () as uid, doc_id, coalesce(text, '') as body from documents),
 lines as (select uid, unnest(string_split(body, e'\n')) as l from d),
@@ -73,4 +73,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from base
 """
 
-ORACLES: dict[str, str] = {"op4_chat_format": OP4, "op10_quality_rules": OP10}
+OP8 = r"""
+with d as (select row_number() over () as uid, doc_id, coalesce(text, '') as body from documents),
+dw as (select uid, doc_id, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from d),
+iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+it as (select distinct item_id, least(10, len(ws)) as size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as g
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from iw where len(ws) > 0 and item_id is not null)),
+sizes as (select distinct size from it),
+dg as (select uid, size, i, array_to_string(ws[i:i + size - 1], ' ') as g
+  from (select uid, ws, size, unnest(range(1, len(ws) - size + 2)) as i from dw, sizes where len(ws) >= size)),
+hit as (select uid, i, dg.size, item_id from dg join it on dg.size = it.size and dg.g = it.g),
+cov as (select uid, count(distinct p) as n_hit from (select uid, unnest(range(i, i + size)) as p from hit) group by uid),
+its as (select uid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct uid, item_id from hit) group by uid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from dw left join cov using (uid) left join its using (uid)
+"""
+
+ORACLES: dict[str, str] = {"op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}
