@@ -89,4 +89,17 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from dw left join cov using (uid) left join its using (uid)
 """
 
-ORACLES: dict[str, str] = {"op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}
+OP6 = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as shared from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * shared >= 80 * (p.n + q.n - shared)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as v, doc_id as u from d union select r.v, e.y from r join e on e.x = r.u),
+m as (select v, min(u) as component_id from r group by v)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d left join n using (doc_id) join m on m.v = doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_near_dedup": OP6, "op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}

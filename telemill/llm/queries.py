@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, decontaminate, packing, quality_rules, token_counts
+from telemill.llm import chat_format, decontaminate, near_dedup, packing, quality_rules, token_counts
 from telemill.llm.oracles import ORACLES  # noqa: F401
 from telemill.session import table
 
@@ -72,3 +72,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.when(F.col("contaminated"), F.col("n_items")).otherwise(0).alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, over 4-word shingles."""
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=4)
