@@ -5,19 +5,15 @@ from __future__ import annotations
 from telemill.llm.quality_rules import LineRules
 
 _R = LineRules()
-_INK = r"translate({}, e' \t\n\x0b\x0c\r', '')"
+_INK = "length(translate({}, e' \\t\\n\\x0b\\x0c\\r', ''))"
 
 
 def _lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _ink(x: str) -> str:
-    return f"length({_INK.format(x)})"
-
-
-def _count(x: str, chars: str) -> str:
-    return f"(length({x}) - length(translate({x}, {_lit(chars)}, '')))"
+def _count(x: str, pattern: str) -> str:
+    return f"(length({x}) - length(regexp_replace({x}, {_lit(pattern)}, '', 'g')))"
 
 
 OP4 = r"""
@@ -38,24 +34,24 @@ select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_cha
 from s
 """
 
-_BARE = "trim(translate(l, e'\\t\\n\x0b\x0c\\r', '     '))"
+_N = "(length(b) - length(replace(b, ' ', '')) + 1)"
 OP10 = rf"""
 with d as (select row_number() over () as uid, doc_id, coalesce(text, '') as body from documents),
 lines as (select uid, unnest(string_split(body, e'\n')) as l from d),
-bare as (select uid, l, {_BARE} as b from lines),
+bare as (select uid, l, trim(l, e' \t\n\x0b\x0c\r') as b from lines),
 bad as (
   select uid, l, b <> '' and (
-    {_count("b", _R.separators)} >= greatest(2, ({_count("b", " ")} + 1) * {_R.max_separator_share})
-    or {_count("b", "#*$%&|<>")} > ({_count("b", " ")} + 1) * {_R.max_symbols_per_word}
-    or (length(b) - length(replace(b, '!!', ''))) / 2 > ({_count("b", " ")} + 1) * {_R.max_shouts_per_word}
-    or not (regexp_matches(b, {_lit(_R.terminal)}) or regexp_matches(b, {_lit(_R.sentence_end)}))
-    or ({_count("b", " ")} + 1 >= 3 and length(b) - length(regexp_replace(b, '\p{{Lu}}', '', 'g')) > (length(b) - length(regexp_replace(b, '\p{{L}}', '', 'g'))) * {_R.max_upper_share})
-    or regexp_matches(b, {_lit(_R.boilerplate)})
+    (not contains({_lit(_R.terminal)}, right(b, 1)) and not regexp_matches(b, {_lit(_R.sentence_end)}))
+    or (not regexp_matches(b, '\p{{Ll}}') and {_N} >= 3)
+    or ({_N} <= {_R.boilerplate_words} and regexp_matches(b, {_lit(_R.boilerplate)}))
+    or {_count("b", _R.separators)} >= greatest(2, {_N} * {_R.max_separator_share})
+    or {_count("b", _R.symbols)} > {_N} * {_R.max_symbols_per_word}
+    or (length(b) - length(replace(b, '!!', ''))) / 2 > {_N} * {_R.max_shouts_per_word}
   ) as is_bad from bare
 ),
 per_line as (
-  select uid, sum(case when is_bad then 0 else {_ink("l")} end) as good,
-    count(*) filter ({_ink("l")} > 0) - count(distinct l) filter ({_ink("l")} > 0) as n_dup_lines
+  select uid, sum(case when is_bad then 0 else length(l) end) as good, sum(length(l)) as total, count(*) filter (not is_bad) as n_good,
+    count(*) filter ({_INK.format("l")} > 0) - count(distinct l) filter ({_INK.format("l")} > 0) as n_dup_lines
   from bad group by uid
 ),
 w as (select uid, regexp_extract_all(body, '[^\x20\x09-\x0D]+') as ws from d),
@@ -63,13 +59,13 @@ win as (select uid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (
 rep as (select uid, i from (select uid, i, count(*) over (partition by uid, g) as c from win) where c > 1),
 cov as (select uid, count(distinct p) as n_repeat_words from (select uid, unnest([i, i + 1, i + 2]) as p from rep) group by uid),
 base as (
-  select d.uid, doc_id, len(ws)::bigint as n_words, {_ink("body")}::bigint as word_chars, {_count("body", "#*$%&|<>")}::bigint as n_symbols,
-    n_dup_lines::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, good
+  select d.uid, doc_id, len(ws)::bigint as n_words, {_INK.format("body")}::bigint as word_chars, {_count("body", _R.symbols)}::bigint as n_symbols,
+    n_dup_lines::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, good, total, n_good
   from d join w using (uid) join per_line using (uid) left join cov using (uid)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and (case when word_chars = 0 then 1.0 else 1 - good::double / word_chars end) <= {_R.max_lost_share} as kept
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and (case when total = 0 or n_good = 0 then 1.0 else 1 - good::double / total end) <= {_R.max_lost_share} as kept
 from base
 """
 
@@ -102,4 +98,16 @@ m as (select v, min(u) as component_id from r group by v)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from d left join n using (doc_id) join m on m.v = doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_near_dedup": OP6, "op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP5 = rf"""
+with p as (select page_id, coalesce(html, '') as body from pages),
+h as (select page_id, strlen(body) as payload_bytes, sha1(body) as hex from p),
+b as (select page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+  substr('{_DIGITS}', 1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint) >> (5 * (3 - i % 4))) & 31)::int, 1)), '') as payload_digest from h),
+f as (select payload_digest, min(page_id) as first from b group by 1)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from b join f using (payload_digest)
+"""
+
+ORACLES: dict[str, str] = {"op5_warc": OP5, "op6_near_dedup": OP6, "op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}

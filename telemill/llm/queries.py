@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, decontaminate, near_dedup, packing, quality_rules, token_counts
+from telemill.llm import chat_format, decontaminate, near_dedup, packing, quality_rules, sharding, token_counts, warc
 from telemill.llm.oracles import ORACLES  # noqa: F401
-from telemill.session import table
+from telemill.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -78,3 +78,22 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document, over 4-word shingles."""
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), k=4)
+
+
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back over the verified chain."""
+    path = scratch_path(spark, "archive")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    size = F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 8)
+    dims = {"size": size, "source": sharding.text_prefix(F.col("source")), "lang": sharding.text_prefix(F.col("lang"))}
+    placed = sharding.kd_shards(table(spark, sf_dir, "documents"), dims, n_shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
