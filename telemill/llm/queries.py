@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, decontaminate, near_dedup, packing, quality_rules, sharding, token_counts, warc
+from telemill.llm import chat_format, decontaminate, html_blocks, near_dedup, packing, quality_rules, sharding, token_counts, warc
 from telemill.llm.oracles import ORACLES  # noqa: F401
 from telemill.session import scratch_path, table
 
@@ -97,3 +97,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = {"size": size, "source": sharding.text_prefix(F.col("source")), "lang": sharding.text_prefix(F.col("lang"))}
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"), dims, n_shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_html_text")
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
