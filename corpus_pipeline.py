@@ -3,16 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from telemill.llm import decontaminate, language_id, near_dedup, packing, quality_rules
+from telemill.session import materialize, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, with failing lines removed from their texts."""
+    judged = quality_rules.judge(docs).where("kept")
+    return judged.withColumn("text", F.col("cleaned_text")).withColumn("n_chars", F.length("cleaned_text").cast("long")).select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language found; lang becomes that language."""
+    found = language_id.identify(docs, declared="lang", host="source").where("kept")
+    return found.withColumn("lang", F.col("language")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (the smallest id; one row of it)."""
+    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct()
+    first = docs.join(gone, "doc_id", "left_anti")
+    repeated = first.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their ids in windows of 1024."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_copies", near_copies), ("benchmark_free", benchmark_free), ("packed", packed)]
 #: Tokenisation and seeded signatures can't be written in SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each writing its rows as Parquet for the next."""
-    from telemill.session import materialize, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

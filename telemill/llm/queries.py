@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, decontaminate, html_blocks, near_dedup, packing, quality_rules, sharding, token_counts, warc
+from telemill.llm import chat_format, decontaminate, html_blocks, language_id, near_dedup, packing, quality_rules, sharding, token_counts, warc
 from telemill.llm.oracles import ORACLES  # noqa: F401
 from telemill.session import scratch_path, table
 
@@ -104,3 +104,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_blocks.extract_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by text, declared language and source."""
+    found = language_id.identify(table(spark, sf_dir, "documents"), declared="lang", host="source")
+    return found.select("doc_id", "language", F.round("confidence", 4).alias("confidence"), "text_language", "kept")
