@@ -23,13 +23,14 @@ SYMBOLS = "#*$%&|<>"
 class LineRules:
     """Thresholds of the line rules and of the verdict."""
 
-    terminal: str = r"[.!?:;…。！？\"'”’»)\]]$"
+    terminal: str = ".!?:;…。！？\"'”’»)]"
     sentence_end: str = r"[.!?。！？] "
-    separators: str = "|>»·•"
+    separators: str = "[|>»·•]"
+    symbols: str = "[#*$%&|<>]"
     max_separator_share: float = 0.2
     max_symbols_per_word: float = 0.3
     max_shouts_per_word: float = 0.3
-    max_upper_share: float = 0.6
+    boilerplate_words: int = 30
     boilerplate: str = (
         r"(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|"
         r"(enable|requires?) javascript|lorem ipsum|click here|read more|sign (in|up)|log ?in|subscribe (now|to)|"
@@ -48,66 +49,71 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \\x09-\\x0D]+"), "")
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count_of(text: Column, pattern: str) -> Column:
+    """How many characters of ``text`` match a one-character pattern; texts without any are only scanned."""
+    return F.when(text.rlike(pattern), F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).otherwise(0)
 
 
-def repeated_word_count(words: Column) -> Column:
+def repeated_word_count(words: Column, few: int = 32) -> Column:
     """Words inside 3-word windows that occur at least twice in the text, first occurrences included.
 
-    A hashed pass finds texts without any repeated window; the others sort their windows as strings, so the
-    count doesn't rest on hashes.
+    A hashed pass finds the windows that may repeat (texts with over ``few`` different ones keep all their windows);
+    these are sorted as strings, so the count doesn't rest on hashes.
     """
 
-    def starts(n: Column) -> Column:
-        return F.sequence(F.lit(0), n - 3)
+    def window(w: Column, i: Column) -> Column:
+        return F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i"))
 
-    def hashes(w: Column) -> Column:
-        return F.transform(starts(F.size(w)), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-
-    def exact(w: Column) -> Column:
-        windows = F.array_sort(
-            F.transform(starts(F.size(w)), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
+    def flagged(s: Column) -> Column:
+        hit = F.filter(
+            F.transform(
+                s,
+                lambda x, k: F.when(((k > 0) & (F.get(s, k - 1)["w"] == x["w"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["w"] == x["w"])), x["i"]),
+            ),
+            lambda i: i.isNotNull(),
         )
+        return let(F.sort_array(hit), covered)
+
+    def covered(p: Column) -> Column:
+        gaps = F.transform(p, lambda i, k: F.when(k < F.size(p) - 1, F.least(F.lit(3), F.get(p, k + 1) - i)).otherwise(3))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        def flagged(s: Column) -> Column:
-            hit = F.filter(
-                F.transform(
-                    s,
-                    lambda x, k: F.when(
-                        ((k > 0) & (F.get(s, k - 1)["w"] == x["w"])) | ((k < F.size(s) - 1) & (F.get(s, k + 1)["w"] == x["w"])), x["i"]
-                    ),
-                ),
-                lambda i: i.isNotNull(),
-            )
-            return let(F.sort_array(hit), covered)
+    def of_hashes(w: Column, h: Column) -> Column:
+        sorted_ = F.sort_array(h)
+        twice = let(sorted_, lambda s: F.array_distinct(F.filter(s, lambda x, k: (k > 0) & (x == F.get(s, k - 1)))))
+        places = F.sequence(F.lit(0), F.size(w) - 3)
 
-        def covered(p: Column) -> Column:
-            gaps = F.transform(p, lambda i, k: F.when(k < F.size(p) - 1, F.least(F.lit(3), F.get(p, k + 1) - i)).otherwise(3))
-            return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
+        def of_twice(t: Column) -> Column:
+            maybe = F.when(F.size(t) <= few, F.filter(places, lambda i: F.array_contains(t, F.get(h, i)))).otherwise(places)
+            return let(F.array_sort(F.transform(maybe, lambda i: window(w, i))), flagged)
 
-        return let(windows, flagged)
+        return let(twice, of_twice)
+
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     zero = F.lit(0).cast("long")
-    return let(
-        words,
-        lambda w: F.when(F.size(w) < 4, zero).otherwise(
-            F.when(let(hashes(w), lambda h: F.size(F.array_distinct(h)) == F.size(h)), zero).otherwise(exact(w))
-        ),
-    )
+
+    def of_words(w: Column) -> Column:
+        some = let(hashes(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(of_hashes(w, h)))
+        return F.when(F.size(w) < 4, zero).otherwise(some)
+
+    return let(words, of_words)
 
 
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long)."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    words = word_array(body)
-    both = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_word_count(w).alias("r")))
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]"))
+    counts = let(
+        word_array(body),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_word_count(w).alias("r")),
+    )
     return (
-        df.withColumn("_w", both)
+        df.withColumn("_w", counts)
         .withColumn("n_words", F.col("_w.n"))
-        .withColumn("word_chars", F.length(F.translate(body, SPACE, "")).cast("long"))
-        .withColumn("n_symbols", _count_of(body, SYMBOLS).cast("long"))
+        .withColumn("word_chars", F.col("_w.c"))
+        .withColumn("n_symbols", _count_of(body, "[#*$%&|<>]").cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
         .withColumn("n_repeat_words", F.col("_w.r"))
         .drop("_w")
@@ -117,47 +123,52 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def line_verdict(line: Column, rules: LineRules = LineRules()) -> Column:
     """The name of the first rule that a line fails, or null for a line to keep; blank lines are kept.
 
-    A line fails on punctuation if it neither ends with a terminal mark nor holds a finished sentence.
+    Words of a line are counted as its blanks plus one. Separators, symbols and shouts ("!!") are counted only in
+    lines that have any; a line fails on punctuation if it neither ends with a terminal mark nor holds a finished
+    sentence, on shouting also if it has three words and no small letter, on boilerplate only if it is short.
     """
-    bare = F.trim(F.translate(line, SPACE[1:], " " * (len(SPACE) - 1)))
-    n_words = (_count_of(bare, " ") + 1).cast("double")
-    upper = F.length(bare) - F.length(F.regexp_replace(bare, r"\p{Lu}", ""))
-    letters = F.length(bare) - F.length(F.regexp_replace(bare, r"\p{L}", ""))
-    return (
-        F.when(bare == "", None)
-        .when(_count_of(bare, rules.separators) >= F.greatest(F.lit(2), n_words * rules.max_separator_share), "navigation")
-        .when(_count_of(bare, SYMBOLS) > n_words * rules.max_symbols_per_word, "symbols")
-        .when((F.length(bare) - F.length(F.replace(bare, F.lit("!!"), F.lit("")))) / 2 > n_words * rules.max_shouts_per_word, "shouting")
-        .when(~bare.rlike(rules.terminal) & ~bare.rlike(rules.sentence_end), "punctuation")
-        .when((n_words >= 3) & (upper > letters * rules.max_upper_share), "shouting")
-        .when(bare.rlike(rules.boilerplate), "boilerplate")
-    )
+
+    def judge_bare(bare: Column) -> Column:
+        n_words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+        noisy = F.when(bare.rlike(f"{rules.separators}|{rules.symbols}|!!"), let(n_words, lambda n: of_noise(bare, n)))
+        small = ~bare.rlike(r"\p{Ll}")
+        return (
+            F.when(bare == "", None)
+            .when((F.instr(F.lit(rules.terminal), F.right(bare, F.lit(1))) == 0) & ~bare.rlike(rules.sentence_end), "punctuation")
+            .when(small & (n_words >= 3), "shouting")
+            .when((n_words <= rules.boilerplate_words) & bare.rlike(rules.boilerplate), "boilerplate")
+            .otherwise(noisy)
+        )
+
+    def of_noise(bare: Column, n: Column) -> Column:
+        return (
+            F.when(_count_of(bare, rules.separators) >= F.greatest(F.lit(2), n * rules.max_separator_share), "navigation")
+            .when(_count_of(bare, rules.symbols) > n * rules.max_symbols_per_word, "symbols")
+            .when((F.length(bare) - F.length(F.replace(bare, F.lit("!!"), F.lit("")))) / 2 > n * rules.max_shouts_per_word, "shouting")
+        )
+
+    return let(F.btrim(line, F.lit(SPACE)), judge_bare)
 
 
 def clean_lines(df: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """Add cleaned_text, n_lines, n_lines_removed, lost_share and lines_kept (the method's verdict).
 
-    lost_share is the share of non-white-space code points in removed lines (1 for a text without any);
+    lost_share is the share of the lines' code points that is in removed lines (1 for a text without any);
     lines_kept is lost_share <= rules.max_lost_share.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    ink = lambda x: F.length(F.translate(x, SPACE, "")).cast("long")
     lines = F.split(body, "\n")
-    good = F.filter(lines, lambda x: line_verdict(x, rules).isNull())
     split = let(
-        good,
-        lambda g: F.struct(
-            F.array_join(g, "\n").alias("text"), F.size(g).cast("long").alias("n"),
-            F.aggregate(g, F.lit(0).cast("long"), lambda a, x: a + ink(x)).alias("ink"),
-        ),
-    )
-    total = ink(body)
+        F.filter(lines, lambda x: line_verdict(x, rules).isNull()),
+        lambda g: let(F.array_join(g, "\n"), lambda t: F.struct(t.alias("text"), F.size(g).cast("long").alias("n"), (F.length(t) - F.size(g) + 1).alias("kept"))),
+    )
+    total = F.length(body) - F.size(lines) + 1
     return (
         df.withColumn("_g", split)
         .withColumn("cleaned_text", F.col("_g.text"))
         .withColumn("n_lines", F.size(lines).cast("long"))
         .withColumn("n_lines_removed", F.col("n_lines") - F.col("_g.n"))
-        .withColumn("lost_share", F.when(total == 0, F.lit(1.0)).otherwise(1 - F.col("_g.ink") / total))
+        .withColumn("lost_share", F.when((total <= 0) | (F.col("_g.n") == 0), F.lit(1.0)).otherwise(1 - F.col("_g.kept") / total))
         .withColumn("lines_kept", F.col("lost_share") <= rules.max_lost_share)
         .drop("_g")
     )
