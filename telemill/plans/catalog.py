@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from telemill.plans import aggregates, features, files, models, placement  # noqa: F401
+from telemill.plans import aggregates, features, files, learning, models, placement  # noqa: F401
