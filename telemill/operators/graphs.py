@@ -6,16 +6,15 @@ counts come to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.session import discard, materialize
 
 
-def edge_build(spark, n: int, seed: int) -> DataFrame:
-    """Edges i to i + 1, i + 2 and one hashed target, modulo n."""
-    nodes = spark.range(n).withColumnRenamed("id", "src")
-    ends = F.array((F.col("src") + 1) % n, (F.col("src") + 2) % n, F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(n)))
+def edge_build(nodes: DataFrame, n: int, seed: int) -> DataFrame:
+    """Edges of each node (column src, 0 to n - 1) to src + 1, src + 2 and one hashed target, modulo n."""
+    ends = F.array((F.col("src") + 1) % n, (F.col("src") + 2) % n, F.pmod(F.col("src") * F.lit(2 * seed + 1) + seed, F.lit(n)))
     return nodes.select("src", F.explode(ends).alias("dst"))
 
 

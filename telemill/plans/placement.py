@@ -68,10 +68,9 @@ def _(candidates):
 
 
 @plan("edge_build", """
-select src, unnest([(src + 1) % 5000, (src + 2) % 5000]) as dst from (select p_partkey % 5000 as src from {part} group by 1)""")
+select p_partkey as src, unnest([(p_partkey + 1) % n, (p_partkey + 2) % n, (p_partkey * 15 + 7) % n]) as dst from {part}, (select count(*) as n from {part})""")
 def _(part):
-    nodes = part.select((F.col("p_partkey") % 5000).alias("src")).distinct()
-    return nodes.select("src", F.explode(F.array((F.col("src") + 1) % 5000, (F.col("src") + 2) % 5000)).alias("dst"))
+    return graphs.edge_build(part.select(F.col("p_partkey").alias("src")), part.count(), 7)
 
 
 _NODES = "n as (select distinct src as node from {edges} union select dst from {edges}), c as (select count(*) as c from n), d as (select src, count(*) as o from {edges} group by 1)"
