@@ -41,6 +41,8 @@ _FURNITURE_WORDS = (
     "dialog disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination "
     "popup promo promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tooltip widget"
 )
+_WHOLE = frozenset("html body main article".split())
+_MODIFIERS = frozenset("has no not with without is js".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TAG = re.compile(
@@ -48,6 +50,7 @@ _TAG = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_BODY = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.IGNORECASE)
 _WORDS = frozenset(_FURNITURE_WORDS.split())
 _HIDES = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
@@ -62,15 +65,24 @@ class Block:
     heading: int
 
 
-def _marks(name: str, attributes: str) -> bool:
-    """Whether an element is page furniture by its role, class or id."""
+def _marks(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is page furniture by its role, class or id.
+
+    Whole-page elements never are; names that only modify (has-sidebar, no-ads) don't count, nor do headers in articles.
+    """
+    if name in _WHOLE:
+        return False
     for kind, *values in _NAMES.findall(attributes):
         value = next(filter(None, values), "").lower()
         if kind.lower() == "role":
             if value in _ROLES:
                 return True
-        elif _WORDS.intersection(re.split(r"[^a-z]+", value)):
-            return True
+            continue
+        for token in value.split():
+            parts = [x for x in re.split(r"[^a-z]+", token) if x]
+            found = _WORDS.intersection(parts) - ({"header"} if in_article else set())
+            if found and parts[0] not in _MODIFIERS:
+                return True
     return bool(_HIDES.search(attributes))
 
 
@@ -113,7 +125,7 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        marked = not closing and bool(m[4]) and name not in _VOID and _marks(name, m[4])
+        marked = not closing and bool(m[4]) and name not in _VOID and _marks(name, m[4], article > 0)
         if name not in _BLOCK and not marked and not (closing and any(s[0] == name for s in stack)):
             continue
         flush()
@@ -126,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
                     break
         else:
-            stack.append((name, int(furniture + (marked or name in _FURNITURE and not (name == "header" and article))), int(article + (name in _ARTICLE))))
+            stack.append((name, int(furniture + (marked or name in _FURNITURE and not (name == "header" and article))), int(article + (name in _ARTICLE or bool(_BODY.search(m[4]))))))
         furniture, article = stack[-1][1:] if stack else (0, 0)
         link = 0
     if at < len(page):

@@ -113,6 +113,13 @@ def test_page_text(spark):
     assert html_blocks.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_that_only_look_like_furniture(spark):
+    tree = html_blocks.fit_tree(html_blocks.labelled_table(spark))
+    page = """<body class="has-sidebar nav-open"><div class="layout no-ads"><div role=main><div class="post-header"><h1>The head of it</h1></div><p>One line.</p>
+    <div class="share-buttons">Share</div><aside>Aside words</aside></div><div id=sidebar-left><p>Side</p></div><div role="navigation">Go</div></div></body>"""
+    assert html_blocks.main_text(page, tree) == "The head of it\n\nOne line."
+
+
 def test_tree_learns_its_table(spark):
     table = html_blocks.labelled_table(spark)
     tree = html_blocks.fit_tree(table)
