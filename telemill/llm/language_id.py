@@ -5,7 +5,8 @@ x P(language | host).
 
 * Text likelihood: counts of hashed byte trigrams under one multinomial per language, fitted on a bounded sample of
   rows with a declared language (``sample_rows``, the only bounded part). A further class "und" has the uniform
-  distribution, so text that fits no language better than chance is not forced into one.
+  distribution, so text that fits no language better than chance is not forced into one; it starts from long odds
+  (``und_odds``), so a number or key inside a short text doesn't decide.
 * Host priors are computed by grouped aggregation over all rows: the languages that texts of a host show by
   themselves, smoothed towards those of its domain (the last two labels), and these towards those of all rows.
 * Declared languages and suffixes count with fixed trust, as rows may claim what they like.
@@ -124,7 +125,7 @@ def host_priors(shown: DataFrame, n: int, strength: float) -> DataFrame:
     )
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = None, address: str | None = None, host: str | None = None, model: tuple[list[str], np.ndarray] | None = None, sample_rows: int = 20_000, max_languages: int = 64, tau: float = 0.3, declared_trust: float = 0.9, suffix_trust: float = 0.7, prior_strength: float = 20.0, min_confidence: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str | None = None, address: str | None = None, host: str | None = None, model: tuple[list[str], np.ndarray] | None = None, sample_rows: int = 20_000, max_languages: int = 64, tau: float = 0.3, declared_trust: float = 0.9, suffix_trust: float = 0.7, prior_strength: float = 20.0, und_odds: float = 1e-3, min_confidence: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
     """The rows with language, confidence, text_language (by the text alone) and kept (a language is found with confidence)."""
     languages, logs = model or fit_languages(docs, text, declared, sample_rows, max_languages)
     names = [*languages, UND]
@@ -151,6 +152,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
         tongue = F.coalesce(*[F.when(suffix == s, F.lit(x)) for s, x in SUFFIXES.items()])
         claims.append(evidence(tongue, suffix_trust))
     logit = F.zip_with(F.transform("_ll", lambda x: x * tau), F.col("prior"), lambda a, b: a + b)
+    claims.append(F.array(*[F.lit(float(np.log(und_odds)) if x == UND else 0.0) for x in names]))
     for claim in claims:
         logit = F.zip_with(logit, claim, lambda a, b: a + b)
     fused = joined.withColumn("_z", logit).withColumn("_top", F.array_max("_z"))
