@@ -65,7 +65,7 @@ class Words:
         return mix(total + np.uint64(k))
 
 
-def blocks(texts: list[bytes], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive runs of texts of about ``most`` bytes, so that arrays stay in cache and memory stays bounded; with the first index."""
     first, size = 0, 0
     for i, t in enumerate(texts):
