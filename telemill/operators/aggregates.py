@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions.catalogue import NEVER_CACHED
+
 
 def disc(column: str, p: float) -> Column:
     """Nearest-rank percentile."""
@@ -212,10 +214,10 @@ def failover_audit(events: DataFrame, start: str, success: str, kill: str) -> Da
     return counts.crossJoin(F.broadcast(after)).withColumn("failover_ms", F.col("first_success_ms") - F.col("kill_ms"))
 
 
-def cache_hits(tasks: DataFrame, key: list[str], order: list[str], never: list[str]) -> DataFrame:
+def cache_hits(tasks: DataFrame, key: list[str], never: list[str] = NEVER_CACHED) -> DataFrame:
     """Hits and misses per type if the first completed task of each key were kept and later ones served from it.
 
-    The first per key is a minimum (map-side combined), so a key that many tasks share costs no sort of its rows.
+    Which row of a key comes first doesn't matter for the counts, so a key that many tasks share costs no sort.
     """
     usable = tasks.where((F.col("status") == "COMPLETED") & ~F.col("task_type").isin(*never))
     per = usable.groupBy(*key).agg(F.count("*").alias("n"))

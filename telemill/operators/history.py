@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions.catalogue import LEGAL_CHANGES
 from telemill.operators.numbering import asof, rolling, rolling_range, running
 
 DAY = 86_400_000
@@ -181,10 +182,7 @@ def scale_signals(usage: DataFrame, up: float, down: float, cool: int, step: int
     )
 
 
-LEGAL = [("DISPATCH", "RESULT"), ("DISPATCH", "WORKER_DEAD"), ("RESULT", "ELECTION"), ("WORKER_DEAD", "DISPATCH"), ("WORKER_JOINED", "DISPATCH"), ("ELECTION", "WORKER_JOINED")]
-
-
-def illegal_transitions(changes: DataFrame, legal: list[tuple[str, str]], key: str = "task_id", status: str = "type", order: tuple[str, ...] = ("physical_ms", "seq")) -> DataFrame:
+def illegal_transitions(changes: DataFrame, legal: list[tuple[str, str]] = LEGAL_CHANGES, key: str = "task_id", status: str = "type", order: tuple[str, ...] = ("physical_ms", "seq")) -> DataFrame:
     """Status changes of one task outside ``legal`` (a status to itself is illegal too)."""
     lagged = changes.withColumn("previous", F.lag(status).over(Window.partitionBy(key).orderBy(*order))).where("previous is not null")
     fine = F.struct("previous", status).isin(*[F.struct(F.lit(a), F.lit(b)) for a, b in legal])

@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 from telemill.functions.scalars import feature_columns, from_log_target, log_target
 from telemill.operators.evaluation import best_f1_threshold, ts_cv_folds
 
-TYPES = ["view", "click", "error", "signup", "purchase"]
-PROFILE_NAMES = ["CPU", "IO", "MIXED", "NETWORK", "MEMORY"]
-
-
 def with_features(rows: DataFrame) -> DataFrame:
     """The rows with the model inputs as columns f_*."""
-    return rows.withColumns({f"f_{k}": v for k, v in feature_columns(TYPES, PROFILE_NAMES).items()})
+    return rows.withColumns({f"f_{k}": v for k, v in feature_columns(rows.columns).items()})
 
 
 def inputs(rows: DataFrame) -> list[str]:
@@ -91,8 +87,8 @@ def importances(model, names: list[str], top: int = 15) -> list[tuple[str, float
 
 
 def score_candidates(candidates: DataFrame, time_model, overload_model) -> DataFrame:
-    """Per task and worker: predicted milliseconds, queue (not under 0) and overload probability."""
-    timed = predict_ms(time_model, with_features(candidates), "pred_exec_ms")
+    """Per task and worker (rows with model inputs): predicted milliseconds, queue (not under 0) and overload probability."""
+    timed = predict_ms(time_model, candidates, "pred_exec_ms")
     both = predict_probability(overload_model, timed, "overload_prob")
     return both.withColumn("pred_queue_len", F.greatest(F.lit(0.0), F.col("queue_len").cast("double")))
 

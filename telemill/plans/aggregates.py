@@ -275,7 +275,7 @@ def _(executions, outcomes):
 with k as (select task_type, input_size, count(*) as n from {executions} where status = 'COMPLETED' and task_type not in ('signup') group by 1, 2)
 select task_type, sum(n - 1)::bigint as hits, count(*) as misses from k group by 1""")
 def _(executions):
-    return op.cache_hits(executions, ["task_type", "input_size"], ["dispatched_ms"], ["signup"])
+    return op.cache_hits(executions, ["task_type", "input_size"], ["signup"])
 
 
 @plan("status_counts", "select status, count(*) as n from {tasks} group by 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemill.functions.catalogue import LEGAL_CHANGES
 from telemill.operators import history as op
 from telemill.plans.registry import plan
 
@@ -198,14 +199,17 @@ def _(samples):
     return op.scale_signals(usage, 2.0, 0.75, 3, step=1000)
 
 
-_LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in op.LEGAL)
+_STATUS = {"DISPATCH": "QUEUED", "RESULT": "RUNNING", "WORKER_DEAD": "FAILED", "WORKER_JOINED": "BLOCKED", "ELECTION": "COMPLETED"}
+_LEGAL = ", ".join(f"('{a}', '{b}')" for a, b in LEGAL_CHANGES)
 
 
 @plan("illegal_transitions", f"""
-with l as (select task_id, seq, type, lag(type) over (partition by task_id order by physical_ms, seq) as previous from {{log_events}})
-select task_id, seq, previous, type as status from l where previous is not null and (previous, type) not in ({_LEGAL})""")
+with s as (select *, case type {' '.join(f"when '{k}' then '{v}'" for k, v in _STATUS.items())} end as status from {{log_events}}),
+l as (select task_id, seq, status, lag(status) over (partition by task_id order by physical_ms, seq) as previous from s)
+select task_id, seq, previous, status from l where previous is not null and (previous, status) not in ({_LEGAL})""")
 def _(log_events):
-    return op.illegal_transitions(log_events, op.LEGAL)
+    changes = log_events.withColumn("status", F.col("type")).replace(_STATUS, subset=["status"])
+    return op.illegal_transitions(changes, status="status")
 
 
 @plan("log_gaps", """

@@ -99,9 +99,16 @@ def _(executions, samples, workers):
     )
 
 
+def _inputs(rows):
+    """Model inputs: event types stand for catalogue types, and columns take the names of the contract."""
+    kinds = {"view": "CPU_TASK", "click": "SORT_TASK", "error": "HASH_TASK", "signup": "SLEEP_TASK", "purchase": "GRAPH_TASK"}
+    known = {"pool_size": "worker_pool_size", "slowdown": "worker_slowdown", "prior_mean_ms": "prior_type_worker_mean_ms", "prior_count": "prior_type_worker_count"}
+    return ml.with_features(rows.replace(kinds, subset=["task_type"]).withColumnsRenamed(known))
+
+
 def _rows(executions, workers):
     """Executions with model inputs from leak-free history, split by time."""
-    rows = ml.with_features(history.enrich_worker(history.prior_stats(executions.where("status = 'COMPLETED'")), workers))
+    rows = _inputs(history.enrich_worker(history.prior_stats(executions.where("status = 'COMPLETED'")), workers))
     rows = rows.withColumn("label", (F.col("exec_ms") > 600).cast("int"))
     return ev.time_split(rows, "dispatched_ms", "exec_id", F.lit(False), F.lit(False)).cache()
 
@@ -152,8 +159,7 @@ def _(executions, workers, candidates):
     rows = _rows(executions, workers)
     timed, over = ml.fit_linear(rows, "exec_ms"), ml.fit_logistic(rows, "label")
     own = candidates.select("task_id", "exec_id", "task_type", "priority", "worker_id", "queue_len", "pool_size").join(executions.select("exec_id", "input_size", "attempt", "wait_ms"), "exec_id")
-    ready = own.withColumns({"slowdown": F.lit(1.0), "prior_mean_ms": F.lit(None).cast("double"), "prior_count": F.lit(0)})
-    return ml.score_candidates(ready, timed, over).select("task_id", "worker_id", F.round("pred_exec_ms", 3).alias("pred_exec_ms"), "pred_queue_len", F.round("overload_prob", 4).alias("overload_prob"))
+    return ml.score_candidates(_inputs(own), timed, over).select("task_id", "worker_id", F.round("pred_exec_ms", 3).alias("pred_exec_ms"), "pred_queue_len", F.round("overload_prob", 4).alias("overload_prob"))
 
 
 @plan("batch_inference")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from telemill.functions import scalars
+from telemill.functions import catalogue, scalars
 from telemill.operators import evaluation as ev
 from telemill.operators import experiments as ex
 from telemill.operators import graphs, history
@@ -25,34 +25,58 @@ def _(events):
     return events.withColumn("kv", scalars.kv_parse(_text())).select("event_id", "kv.valid", F.try_element_at("kv.pairs", F.lit("k")).alias("value"))
 
 
-@plan("input_size", """select event_id, case when event_type in ('view', 'click', 'purchase') then cast(regexp_extract(props, '([0-9]+)', 1) as bigint) else length(regexp_replace(regexp_replace(props, '["}]|[{]', '', 'g'), ': ', '=', 'g')) end as input_size from {events}""")
-def _(events):
-    kv = events.withColumn("t", _text()).withColumn("kv", scalars.kv_parse(F.col("t")))
-    return kv.select("event_id", scalars.input_size(F.col("event_type"), F.col("kv.pairs"), F.col("t")).alias("input_size"))
+def _sql_value(key: str) -> str:
+    return f"nullif(regexp_extract(input, '(^|, ){key}=([^,]*)', 2), '')"
 
 
-@plan("validate_input", """
-select exec_id, concat_ws('; ', case when input_size > 80 then 'size out of range' end, case when queue_len = 0 then 'queue missing' end, case when task_type = 'error' then 'type not allowed' end) as problems from {executions}""")
-def _(executions):
-    found = scalars.problems((F.col("input_size") > 80, "size out of range"), (F.col("queue_len") == 0, "queue missing"), (F.col("task_type") == "error", "type not allowed"))
-    return executions.select("exec_id", F.array_join(found, "; ").alias("problems"))
+def _sql_case(values: dict[str, str], column: str = "type") -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " end"
 
 
-@plan("validate_task", """
-select event_id, concat_ws('; ', case when user_id % 12 not between 1 and 10 then 'priority out of range' end, case when event_type not in ('view', 'click', 'purchase', 'signup') then 'unknown type' end,
-  case when count(*) over (partition by user_id, event_type, cast(floor(value) as bigint)) > 1 then 'duplicate id' end) as problems from {events}""")
-def _(events):
-    twins = F.count("*").over(Window.partitionBy("user_id", "event_type", F.floor("value")))
-    found = scalars.problems(
-        (~(F.col("user_id") % 12).between(1, 10), "priority out of range"), (~F.col("event_type").isin("view", "click", "purchase", "signup"), "unknown type"), (F.col("_n") > 1, "duplicate id")
-    )
-    return events.withColumn("_n", twins).select("event_id", F.array_join(found, "; ").alias("problems"))
+def _sql_rules() -> list[str]:
+    """One SQL case for each problem that a parameter can have, in the order of the catalogue."""
+    out = ["case when input = 'broken' then 'input: not key=value' end"]
+    for kind, key, form, required, low, high, choices in catalogue.PARAMETERS:
+        v, own = _sql_value(key), f"type = '{kind}' and input <> 'broken'"
+        if required:
+            out.append(f"case when {own} and {v} is null then '{key}: missing' end")
+        if form in ("number", "fraction"):
+            out.append(f"case when {own} and {v} is not null and try_cast({v} as double) is null then '{key}: not a number' end")
+            out.append(f"case when {own} and try_cast({v} as double) not between {float(low)} and {float(high)} then '{key}: out of range' end")
+        elif form == "choice":
+            out.append(f"case when {own} and {v} not in ({', '.join(repr(c) for c in choices)}) then '{key}: not a choice' end")
+        elif form == "url":
+            out.append(f"case when {own} and not ({v} like 'http://%' or {v} like 'https://%') then '{key}: no URL' end")
+    return out
 
 
-@plan("cache_key", """select event_id, sha256(event_type || '|' || regexp_replace(regexp_replace(props, '["}]|[{]', '', 'g'), ': ', '=', 'g')) as cache_key from {events}""")
-def _(events):
-    kv = events.withColumn("t", _text()).withColumn("kv", scalars.kv_parse(F.col("t")))
-    return kv.select("event_id", scalars.cache_key(F.col("event_type"), F.col("kv.pairs"), F.col("t")).alias("cache_key"))
+def _parsed(submissions):
+    return submissions.withColumn("kv", scalars.kv_parse(F.col("input")))
+
+
+@plan("input_size", "select sub_id, coalesce(try_cast(" + _sql_case({k: _sql_value(v) for k, v in catalogue.SIZE_KEYS.items()}) + " as bigint), length(input)) as input_size from {submissions}")
+def _(submissions):
+    return _parsed(submissions).select("sub_id", scalars.input_size(F.col("type"), F.col("kv.pairs"), F.col("input")).alias("input_size"))
+
+
+@plan("validate_input", "select sub_id, concat_ws('; ', " + ", ".join(_sql_rules()) + ") as problems from {submissions}")
+def _(submissions):
+    return _parsed(submissions).select("sub_id", F.array_join(scalars.input_problems(F.col("type"), F.col("kv")), "; ").alias("problems"))
+
+
+@plan("validate_task", "with n as (select *, count(*) over (partition by task_id) as copies from {submissions}) select sub_id, concat_ws('; ', case when trim(task_id) = '' then 'task_id: empty' end, case when copies > 1 then 'task_id: exists already' end, case when type = 'IMAGE_TASK' then 'type: not supported' end, "
+  + ", ".join(_sql_rules()) + ", case when priority not between 1 and 10 then 'priority: not 1 to 10' end) as problems from n")
+def _(submissions):
+    copies = submissions.groupBy("task_id").agg(F.count("*").alias("copies"))
+    rows = _parsed(submissions).join(copies, "task_id")
+    found = scalars.task_problems(*[F.col(c) for c in ("task_id", "type", "input", "priority", "copies", "kv")])
+    return rows.select("sub_id", F.array_join(found, "; ").alias("problems"))
+
+
+@plan("cache_key", """
+select sub_id, sha256(type || '|' || case when input = 'broken' then input else array_to_string(list_sort(string_split(input, ', ')), ',') end) as cache_key from {submissions}""")
+def _(submissions):
+    return _parsed(submissions).select("sub_id", scalars.cache_key(F.col("type"), F.col("kv.pairs"), F.col("input")).alias("cache_key"))
 
 
 _WORDS = "w as (select unnest(list_concat([event_type], regexp_extract_all(props, '[A-Za-z_][A-Za-z0-9_.-]*'))) as word from {events}), c as (select word, count(*) as n from w group by 1)"
@@ -86,15 +110,28 @@ def _(tasks):
     return tasks.select("task_id", scalars.sla_met(F.col("status"), F.col("completed_ms"), F.col("deadline_ms")).alias("sla_met"), scalars.over_ms(F.col("completed_ms"), F.col("deadline_ms")).alias("over_ms"))
 
 
+def _sql_features() -> str:
+    hot = [f"(type = '{t}')::int::double as type_{t}" for t in catalogue.TASK_TYPES]
+    hot += [f"(coalesce({_sql_case({k: repr(v) for k, v in catalogue.PROFILE_OF.items()})}, '') = '{p}')::int::double as profile_{p}" for p in catalogue.PROFILES]
+    sizes = [f"round(case when type = '{t}' then ln(1 + size) else 0 end, 9) as log_size_x_{t}" for t in catalogue.TASK_TYPES]
+    given = {"priority": "priority::double", "queue_len": "queue_len::double", "worker_pool_size": "coalesce(pool_size, 1)::double", "worker_slowdown": "coalesce(slowdown, 1.0)::double"}
+    numbers = [f"{given.get(n, f'{d}::double')} as {n}" for n, d in catalogue.NUMERIC_DEFAULTS.items()]
+    rest = [
+        "0.0::double as busy_ratio", "round(queue_len::double / greatest(coalesce(pool_size, 1), 1), 9) as queue_ratio", "0.0::double as log_avg_exec_recent", "(wait_ms > 9)::int::double as has_prior",
+        "round(case when wait_ms > 9 then ln(1 + exec_ms) else 0 end, 9) as log_prior_mean_ms", "round(ln(1 + wait_ms), 9) as log_prior_count",
+    ]
+    return ", ".join(["exec_id", *hot, "round(ln(1 + size), 9) as log_size", *sizes, *numbers, *rest])
+
+
 @plan("feature_columns", """
-with e as (select e.*, w.pool_size, coalesce(w.slowdown, 1.0)::double as slowdown from {executions} e left join {workers} w on w.worker_id = e.worker_id)
-select exec_id, (task_type = 'view')::int::double as type_view, (task_type = 'click')::int::double as profile_CPU, round(ln(1 + input_size), 9) as log_size,
-  round(case when task_type = 'click' then ln(1 + input_size) else 0 end, 9) as log_size_click, round(queue_len::double / greatest(coalesce(pool_size, 1), 1), 9) as queue_ratio, slowdown from e""")
-def _(executions, workers):
-    rows = history.enrich_worker(executions, workers).withColumn("prior_mean_ms", F.lit(None).cast("double")).withColumn("prior_count", F.lit(0))
-    made = scalars.feature_columns(["view", "click", "error", "signup", "purchase"], ["CPU", "IO", "MIXED", "NETWORK", "MEMORY"])
-    named = {k: F.round(v, 9) for k, v in made.items()}
-    return rows.select("exec_id", *[named[c].alias(c) for c in ("type_view", "profile_CPU", "log_size", "log_size_click", "queue_ratio", "slowdown")])
+with e as (select e.exec_id, s.type, e.input_size as size, e.priority, e.queue_len, e.wait_ms, e.exec_ms, w.pool_size, w.slowdown from {executions} e join {submissions} s on s.sub_id = e.exec_id left join {workers} w on w.worker_id = e.worker_id)
+select """ + _sql_features() + " from e")
+def _(executions, submissions, workers):
+    types = submissions.select(F.col("sub_id").alias("exec_id"), F.col("type").alias("task_type"))
+    rows = history.enrich_worker(executions.drop("task_type").join(types, "exec_id"), workers)
+    rows = rows.withColumnsRenamed({"pool_size": "worker_pool_size", "slowdown": "worker_slowdown", "exec_ms": "_exec"}).withColumn("prior_type_worker_count", F.col("wait_ms"))
+    rows = rows.withColumn("prior_type_worker_mean_ms", F.when(F.col("wait_ms") > 9, F.col("_exec")))
+    return rows.select("exec_id", *[F.round(v, 9).alias(k) for k, v in scalars.feature_columns(rows.columns).items()])
 
 
 @plan("log_target", "select exec_id, round(ln(1 + exec_ms), 9) as target, exec_ms::double as back from {executions}")
@@ -120,9 +157,9 @@ def _(candidates):
     return candidates.select("task_id", "worker_id", scalars.straggler_limit(F.col("pred_exec_ms"), F.when(F.col("avg_exec_ms") > 0, F.col("avg_exec_ms")), 2.0).alias("limit_ms"))
 
 
-@plan("profile_of_type", "select exec_id, case task_type when 'view' then 'IO' when 'click' then 'CPU' when 'error' then 'MIXED' when 'signup' then 'NETWORK' else 'MEMORY' end as profile from {executions}")
-def _(executions):
-    return executions.select("exec_id", scalars.profile_of_type(F.col("task_type")).alias("profile"))
+@plan("profile_of_type", "select sub_id, coalesce(" + _sql_case({k: repr(v) for k, v in catalogue.PROFILE_OF.items()}) + ", '') as profile from {submissions}")
+def _(submissions):
+    return submissions.select("sub_id", scalars.profile_of_type(F.col("type")).alias("profile"))
 
 
 @plan("exec_samples", "select exec_id, task_type, round_even(exec_ms / coalesce(slowdown, 1.0)::double, 1) as exec_ms from {executions} e left join {workers} w on w.worker_id = e.worker_id where status = 'COMPLETED'")

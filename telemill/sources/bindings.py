@@ -22,6 +22,14 @@ VIEWS: dict[str, str] = {
           {_K} % 7 as queue_len, {_K} as input_size, event_id % 3 + 1 as attempt, event_id % 10 + 1 as priority,
           concat('trace-', cast(user_id as string)) as trace_id, cast(event_id % 3 as string) as run_no
         from {{events}}""",
+    "submissions": f"""
+        select event_id as sub_id, case when event_id % 101 = 0 then ' ' else concat('sub-', cast(event_id - event_id % 2 * (event_id % 4) as string)) end as task_id,
+          case event_id % 15 when 0 then 'CPU_TASK' when 1 then 'MATRIX_TASK' when 2 then 'SLEEP_TASK' when 3 then 'MAPREDUCE_TASK' when 4 then 'SORT_TASK' when 5 then 'HASH_TASK' when 6 then 'COMPRESS_TASK' when 7 then 'MONTE_CARLO_TASK' when 8 then 'FILE_IO_TASK' when 9 then 'HTTP_TASK' when 10 then 'DB_QUERY_TASK' when 11 then 'GRAPH_TASK' when 12 then 'ML_INFER_TASK' when 13 then 'WORKFLOW_TASK' when 14 then 'IMAGE_TASK' end as type, user_id % 12 as priority,
+          case cast(floor(event_id / 15) as bigint) % 9 when 0 then concat('n=', cast({_K} * 3000000 as string)) when 1 then concat('size=', cast({_K} * 20 as string), ', threads=', cast({_K} as string), ', mode=mpi')
+            when 2 then concat('ms=', cast({_K} as string), ', failRate=', cast({_K} % 3 as string), '.5') when 3 then concat('url=http://h/', cast({_K} as string), ', timeout=', cast({_K} as string))
+            when 4 then 'rows=abc, rounds=7' when 5 then 'dataset=d, job=wordcount' when 6 then 'broken' when 7 then concat('size_mb=', cast({_K} * 30 as string), ', level=', cast({_K} % 12 as string), ', type=sorted, mode=both, seed=5')
+            else concat('batch=', cast({_K} as string), ', model=overload, nodes=', cast({_K} - 3 as string), ', algo=dfs, samples=12, dag=x') end as input
+        from {{events}}""",
     "samples": f"""
         select event_id as sample_id, concat('worker-', cast(user_id % 5 as string)) as worker_id, $ms(ts) as ts_ms,
           case when value > 100.0 then 100.0 else value end as cpu_pct, {_K} % 9 as queue_len, {_K} % 4 as active_threads,

@@ -191,6 +191,47 @@ def test_scalars(spark):
     assert refs == "1-"
 
 
+def test_inputs_are_checked_by_type(spark):
+    cases = [
+        ("CPU_TASK", "n=5,", []), ("CPU_TASK", "n=1", ["n: out of range"]), ("CPU_TASK", "m=1", ["n: missing"]), ("CPU_TASK", "n=x", ["n: not a number"]), ("CPU_TASK", "n", ["input: not key=value"]),
+        ("SLEEP_TASK", "ms=5, failRate=1.5", ["failRate: out of range"]), ("MATRIX_TASK", "size=3, mode=gpu, threads=99", ["threads: out of range", "mode: not a choice"]),
+        ("HTTP_TASK", "url=ftp://abc.de, timeout=3", ["url: no URL"]), ("MAPREDUCE_TASK", "dataset=d", ["job: missing"]), ("IMAGE_TASK", "a=1", []),
+    ]
+    df = frame(spark, [(t, x) for t, x, _ in cases], "t string, x string")
+    got = df.select(scalars.input_problems(F.col("t"), scalars.kv_parse(F.col("x")))).collect()
+    assert [r[0] for r in got] == [p for _, _, p in cases]
+    one = frame(spark, [(" ", "NONE", None, 11)], "i string, t string, x string, p int")
+    found = one.select(scalars.task_problems(F.col("i"), F.col("t"), F.col("x"), F.col("p"), F.lit(1), scalars.kv_parse(F.col("x")))).collect()[0][0]
+    assert found == ["task_id: empty", "type: not supported", "input: empty", "priority: not 1 to 10"]
+
+
+def test_equal_parameters_share_a_cache_key(spark):
+    df = frame(spark, [("n=5, seed=1",), ("seed=1,n=5",), ("seed=2,n=5",)], "x string")
+    a, b, c = (r[0] for r in df.select(scalars.cache_key(F.lit("CPU_TASK"), scalars.kv_parse(F.col("x"))["pairs"], F.col("x"))).collect())
+    assert a == b != c
+
+
+def test_model_inputs(spark):
+    df = frame(spark, [("SORT_TASK", 99.0, 6, 3, float("nan"), 8.0, 2), ("ODD", None, None, 0, None, None, None)], "task_type string, input_size double, queue_len int, worker_pool_size int, cpu_pct double, prior_type_worker_mean_ms double, prior_type_worker_count int")
+    made = scalars.feature_columns(df.columns)
+    assert len(made) == 51
+    one, two = df.select(*[v.alias(k) for k, v in made.items()]).collect()
+    assert (one.type_SORT_TASK, one.profile_MEMORY_BOUND, one.queue_ratio, one.cpu_pct, one.has_prior, one.priority) == (1, 1, 2, 0, 1, 5)
+    assert abs(one.log_size_x_SORT_TASK - math.log(100)) < 1e-12 and abs(one.log_prior_mean_ms - math.log(9)) < 1e-12
+    assert (two.has_prior, two.log_size, two.queue_ratio, sum(two[f"type_{t}"] for t in ("CPU_TASK", "SORT_TASK"))) == (0, 0, 0, 0)
+
+
+def test_checksums(spark, tmp_path):
+    from telemill.sources import files
+
+    for name in ("a.jsonl", "b.jsonl"):
+        (tmp_path / name).write_text(name)
+    import hashlib
+
+    manifest = frame(spark, [("a.jsonl", hashlib.sha256(b"a.jsonl").hexdigest()), ("b.jsonl", "0"), ("c.jsonl", "0")], "file string, expected string")
+    assert {r.file: r.ok for r in files.trace_checksum(spark, str(tmp_path), manifest).collect()} == {"a.jsonl": True, "b.jsonl": False, "c.jsonl": False}
+
+
 def test_shadow_and_promotion(spark):
     pair = "array<struct<worker_id:string,pred:double>>"
     log = frame(spark, [(0, "a", [("w1", 100.0), ("w2", 50.0)], [("w1", 90.0), ("w2", 70.0)]), (1, "b", [("w1", 10.0)], [("w1", 30.0)]), (2, "c", [("w1", 5.0)], None), (3, "b", [("w1", 99.0)], [("w1", 99.0)])], f"at long, task_id string, live {pair}, shadow {pair}")
