@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.llm.wordhash import ALNUM, Words, blocks
+from telemill.llm.wordhash import ALNUM, Words, blocks, slices
 from telemill.session import materialize
 
 _BITS = 22
@@ -45,7 +45,7 @@ def item_windows(items: DataFrame, key: str, text: str, n: int, k: int) -> DataF
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for item, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = Words([body.encode()], ALNUM)
@@ -88,7 +88,7 @@ def scan_places(docs: DataFrame, key: str, text: str, n: int, ks: list[int], wan
             at = np.searchsorted(known, hashes[maybe])
             return maybe[known[np.minimum(at, len(known) - 1)] == hashes[maybe]] if len(known) else maybe[:0]
 
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for base, block in blocks(texts):
                 w = Words(block, ALNUM)

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.llm.wordhash import slices
+
 FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "furniture", "article", "heading"]
 
 # Element names of HTML by their role here, and words of class and id names that mark page furniture.
@@ -222,7 +224,7 @@ def extract_text(pages: DataFrame, page: str = "html", out: str = "text", tree:
     schema = T.StructType([*(slim.schema[c] for c in rest), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(p.as_py(), tree) for p in batch.column("_page")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], schema.names)
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.llm.token_counts import default_paths, encoder
+from telemill.llm.wordhash import slices
 
 
 class SumOfSquares:
@@ -119,7 +120,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             kept.clear()
             return pa.RecordBatch.from_arrays(arrays, schema.names)
 
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.schema.field(0).type
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 parts = [*e.stream(body.as_py()), np.array([end_id], np.uint32)]
@@ -131,7 +132,7 @@ def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                     close(full)
                 if levels.n_open >= max_open:
                     close_rest()
-                if len(rows) >= 8192:
+                if len(rows) >= 1024:
                     yield out()
         close_rest()
         if rows:

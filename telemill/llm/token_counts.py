@@ -17,6 +17,7 @@ Defined cases: a null text counts as empty (no tokens); repeated rows are counte
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.llm.wordhash import slices
+
 #: Characters whose classes (letter, number, space, other) no Unicode version since 5 has changed.
 _BEYOND = re.compile("[^\x00-ſ‐-‧€]")
 _STABLE = re.compile(r"(?<=\S)[ \n]")
@@ -43,25 +46,35 @@ class Encoder:
     """Text to ids. ``ranks_path`` may be empty: then tokenizers encodes everything."""
 
     def __init__(self, json_path: str, ranks_path: str = "", chunk_chars: int = 1 << 15, overlap_chars: int = 1 << 8):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(json_path)
-        self.chunk, self.overlap = chunk_chars, overlap_chars
-        self.fast = None
-        special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
+        self.json_path, self.chunk, self.overlap = json_path, chunk_chars, overlap_chars
+        self.fast = self._full = None
+        with open(json_path, encoding="utf-8") as text:
+            known = json.load(text)
+        special = {x["content"]: x["id"] for x in known["added_tokens"]}
+        pieces = known["model"]["vocab"]
+        sizes = np.zeros(1 + max(max(pieces.values()), *special.values(), 0), np.int32)
+        for piece, i in pieces.items():
+            sizes[i] = len(piece)  # a byte of the text is one character of a byte-level piece
+        for text, i in special.items():
+            sizes[i] = len(text.encode())
+        self.sizes = sizes
+        del known, pieces
         if ranks_path:
             import public_tokenizers
+            import tiktoken
 
             with open(ranks_path, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        sizes = np.zeros(max(self.full.get_vocab(True).values()) + 1, np.int64)
-        for piece, i in self.full.get_vocab(False).items():
-            sizes[i] = len(piece)  # a byte of the text is one character of a byte-level piece
-        for text, i in special.items():
-            sizes[i] = len(text.encode())
-        self.sizes = sizes
+
+    @property
+    def full(self):
+        """The tokenizers library's own tokenizer, loaded when a text first needs it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.json_path)
+        return self._full
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one piece of text, without chunking."""
@@ -136,7 +149,7 @@ def count_tokens(df: DataFrame, text: str = "text", paths: tuple[str, str] | Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(*args)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [e.count(t.as_py()) for t in batch.column("_text")]
             columns = [batch.column(c) for c in (*rest, "n_bytes")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*rest, "n_bytes", "n_tokens"])

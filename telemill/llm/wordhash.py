@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _PLACES = 64
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, (_PLACES, 256), dtype=np.uint64)
@@ -65,7 +66,14 @@ class Words:
         return mix(total + np.uint64(k))
 
 
-def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that Python objects are made for those alone."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def blocks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive runs of texts of about ``most`` bytes, so that arrays stay in cache and memory stays bounded; with the first index."""
     first, size = 0, 0
     for i, t in enumerate(texts):
