@@ -23,19 +23,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("language")).select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """Rows whose doc_id isn't in ``gone``; its ids are written and counted, and broadcast only up to ``limit``."""
+    ids = materialize(gone.select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "doc_id", "left_anti")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (the smallest id; one row of it)."""
-    gone = near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct()
-    first = docs.join(gone, "doc_id", "left_anti")
-    repeated = first.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    left = without(docs, near_dedup.near_groups(docs).where("not kept"))
+    repeated = materialize(left.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left.select(*COLUMNS)
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(left, repeated).unionByName(once).select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    hit = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    return without(docs, hit).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
