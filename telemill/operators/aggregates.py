@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import NEVER_CACHED
+from telemill.session import if_small
 
 
 def disc(column: str, p: float) -> Column:
@@ -50,7 +51,7 @@ def kpis(tasks: DataFrame, window_ms: int) -> DataFrame:
     recent = done.crossJoin(F.broadcast(newest)).where(F.col("completed_ms") > F.col("newest") - window_ms)
     latency = (F.col("completed_ms") - F.col("submitted_ms")).cast("double")
     out = recent.withColumn("latency", latency).agg(
-        F.count("*").alias("completed"), F.round(F.avg("latency"), 6).alias("mean_latency_ms"), F.round(F.expr("percentile(latency, 0.95)"), 6).alias("p95_latency_ms"),
+        F.count("*").alias("completed"), F.round(F.avg("latency"), 1).alias("mean_latency_ms"), F.round(F.expr("percentile(latency, 0.95)"), 1).alias("p95_latency_ms"),
         F.count("deadline_ms").alias("with_deadline"), F.count_if(F.col("completed_ms") <= F.col("deadline_ms")).alias("sla_met"),
     )
     return out.withColumn("per_minute", F.round(F.col("completed") * 60000.0 / window_ms, 9)).withColumn(
@@ -101,7 +102,7 @@ def run_throughput(replay: DataFrame) -> DataFrame:
 def run_imbalance(replay: DataFrame, workers: DataFrame) -> DataFrame:
     """Population deviation of completed tasks per worker, idle workers counting 0."""
     runs = replay.select("run_id").distinct()
-    seats = runs.crossJoin(F.broadcast(workers.select(F.col("worker_id").alias("worker"))))
+    seats = runs.crossJoin(if_small(workers.select(F.col("worker_id").alias("worker"))))
     done = replay.where("status = 'COMPLETED'").groupBy("run_id", "worker").agg(F.count("*").alias("c"))
     return seats.join(done, ["run_id", "worker"], "left").groupBy("run_id").agg(F.round(F.stddev_pop(F.coalesce("c", F.lit(0)).cast("double")), 6).alias("imbalance"))
 
@@ -179,7 +180,7 @@ def speedup(timings: DataFrame) -> DataFrame:
     """Median time per size and processes, speed-up against one process and efficiency."""
     medians = timings.groupBy("size", "procs").agg(F.percentile("ms", 0.5).alias("ms"))
     one = medians.where("procs = 1").select("size", F.col("ms").alias("base"))
-    return medians.join(F.broadcast(one), "size", "left").select("size", "procs", F.round("ms", 6).alias("ms"), F.round(F.col("base") / F.col("ms"), 6).alias("speedup"), F.round(F.col("base") / F.col("ms") / F.col("procs"), 6).alias("efficiency"))
+    return medians.join(one, "size", "left").select("size", "procs", F.round("ms", 6).alias("ms"), F.round(F.col("base") / F.col("ms"), 6).alias("speedup"), F.round(F.col("base") / F.col("ms") / F.col("procs"), 6).alias("efficiency"))
 
 
 def median_run(runs: DataFrame, by: str, value: str, run: str) -> DataFrame:
@@ -227,7 +228,7 @@ def cache_hits(tasks: DataFrame, key: list[str], never: list[str] = NEVER_CACHED
 def load_heatmap(samples: DataFrame, workers: DataFrame, bucket_ms: int) -> DataFrame:
     """Busy threads over pool size per worker and time bucket, 0 where the pool is 0 or unknown."""
     means = samples.groupBy("worker_id", F.floor(F.col("ts_ms") / bucket_ms).alias("bucket")).agg(F.avg("active_threads").alias("busy"))
-    joined = means.join(F.broadcast(workers.select("worker_id", "pool_size")), "worker_id", "left")
+    joined = means.join(workers.select("worker_id", "pool_size"), "worker_id", "left")
     return joined.select("worker_id", "bucket", F.round(F.when(F.col("pool_size") > 0, F.col("busy") / F.col("pool_size")).otherwise(0.0), 6).alias("load"))
 
 
@@ -243,7 +244,7 @@ def slot_usage(samples: DataFrame, workers: DataFrame, bucket_ms: int) -> DataFr
     newest = samples.groupBy("worker_id", F.floor(F.col("ts_ms") / bucket_ms).alias("bucket")).agg(
         F.max_by(F.struct("active_threads", "queue_len"), F.struct("ts_ms", "sample_id")).alias("s")
     )
-    joined = newest.join(F.broadcast(workers.select("worker_id", "pool_size")), "worker_id").select("bucket", "pool_size", "s.*")
+    joined = newest.join(workers.select("worker_id", "pool_size"), "worker_id").select("bucket", "pool_size", "s.*")
     out = joined.groupBy("bucket").agg(
         F.sum("pool_size").alias("capacity"), F.sum(F.least("active_threads", "pool_size")).alias("busy"), F.sum(F.col("queue_len") + F.col("active_threads")).alias("demand")
     )

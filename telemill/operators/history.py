@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
 from telemill.operators.numbering import asof, rolling, rolling_range, running
+from telemill.session import if_small
 
 DAY = 86_400_000
 
@@ -40,7 +41,7 @@ def label_overload_future(executions: DataFrame, samples: DataFrame, workers: Da
 
     Counts at both ends come from running sums, so no interval is joined; an unknown pool never flags by queue.
     """
-    pools = samples.join(F.broadcast(workers.select("worker_id", "pool_size")), "worker_id", "left")
+    pools = samples.join(workers.select("worker_id", "pool_size"), "worker_id", "left")
     flag = (F.col("cpu_pct") > cpu) | F.coalesce(F.col("queue_len") >= factor * F.col("pool_size"), F.lit(False))
     fact = pools.select("worker_id", F.col("ts_ms").alias("_t"), F.lit(0).alias("_side"), F.lit(1).alias("_one"), flag.cast("int").alias("_flag"))
     ends = F.array(F.struct(F.col("dispatched_ms").alias("_t"), F.lit(1).alias("_side")), F.struct((F.col("dispatched_ms") + horizon_ms).alias("_t"), F.lit(2).alias("_side")))
@@ -64,21 +65,18 @@ def prior_stats(executions: DataFrame, step: int = DAY) -> DataFrame:
     return out.select(*executions.columns, F.round(F.col("_sum") / F.col("_n"), 6).alias("prior_mean_ms"), F.coalesce("_n", F.lit(0)).cast("long").alias("prior_count"), "prior_stats_ms")
 
 
-def tag_runs(executions: DataFrame, runs: DataFrame, limit: int = 10_000) -> DataFrame:
+def tag_runs(executions: DataFrame, runs: DataFrame) -> DataFrame:
     """Executions with the last run (by ``run_order``) whose prefix and suffix their task id has; untagged rows are dropped.
 
-    The runs of a campaign are a control table of at most ``limit`` rows, which is checked before it is broadcast.
+    The runs of a campaign are a control table, broadcast after a count; many runs are compared in a distributed product.
     """
-    if runs.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} runs; give runs of one campaign at a time")
-    small = F.broadcast(runs)
-    match = executions.join(small, F.startswith("task_id", "prefix") & F.endswith("task_id", "suffix"))
+    match = executions.join(if_small(runs), F.startswith("task_id", "prefix") & F.endswith("task_id", "suffix"))
     return match.groupBy(*executions.columns).agg(F.max_by("run", "run_order").alias("run"))
 
 
 def enrich_worker(executions: DataFrame, workers: DataFrame) -> DataFrame:
     """pool_size (null if unknown) and slowdown (1 if unknown)."""
-    return executions.join(F.broadcast(workers.select("worker_id", "pool_size", "slowdown")), "worker_id", "left").withColumn("slowdown", F.coalesce("slowdown", F.lit(1.0)))
+    return executions.join(workers.select("worker_id", "pool_size", "slowdown"), "worker_id", "left").withColumn("slowdown", F.coalesce("slowdown", F.lit(1.0)))
 
 
 def workers_latest(workers: DataFrame, samples: DataFrame) -> DataFrame:

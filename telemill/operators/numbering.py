@@ -19,7 +19,7 @@ def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = (), tie:
     """
     ends = df.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
     width = F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1) / buckets)
-    joined = df.join(F.broadcast(ends), list(by)) if by else df.crossJoin(F.broadcast(ends))
+    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
     placed = joined.withColumn("_b", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
     counts = placed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     before = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))

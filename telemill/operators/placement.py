@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.session import if_small
+
 SCORERS: dict[str, Callable[[], Column]] = {}
 
 
@@ -44,12 +46,12 @@ def place(candidates: DataFrame, strategy: str, key: str = "task_id") -> DataFra
 def open_candidates(tasks: DataFrame, workers: DataFrame, in_flight: DataFrame, factor: float) -> DataFrame:
     """Task and worker pairs with room (in flight < max(1, round(pool x factor))), healthy, and not the worker avoided if another is open.
 
-    Workers are a control table (a fleet), joined by broadcast.
+    Workers are a control table (a fleet), broadcast after a count.
     """
     room = workers.join(in_flight, "worker_id", "left").where("healthy").where(
         F.coalesce("n", F.lit(0)) < F.greatest(F.lit(1), F.round(F.col("pool_size") * factor))
     )
-    pairs = tasks.crossJoin(F.broadcast(room.select("worker_id", "pool_size")))
+    pairs = tasks.crossJoin(if_small(room.select("worker_id", "pool_size")))
     others = F.count_if(~F.coalesce(F.col("worker_id") == F.col("avoid"), F.lit(False))).over(Window.partitionBy("task_id"))
     return pairs.withColumn("_others", others).where(~F.coalesce(F.col("worker_id") == F.col("avoid"), F.lit(False)) | (F.col("_others") == 0)).drop("_others")
 

@@ -38,7 +38,7 @@ def _(tasks):
 
 @plan("kpis", """
 select *, round(completed * 60000.0 / 7776000000, 9) as per_minute, round(case when with_deadline > 0 then 100.0 * sla_met / with_deadline end, 6) as compliance_pct
-from (select count(*) as completed, round(avg(completed_ms - submitted_ms), 6) as mean_latency_ms, round(quantile_cont((completed_ms - submitted_ms)::double, 0.95), 6) as p95_latency_ms,
+from (select count(*) as completed, round(avg(completed_ms - submitted_ms), 1) as mean_latency_ms, round(quantile_cont((completed_ms - submitted_ms)::double, 0.95), 1) as p95_latency_ms,
   count(deadline_ms) as with_deadline, count(*) filter (completed_ms <= deadline_ms) as sla_met
   from {tasks} where status = 'COMPLETED' and completed_ms > (select max(completed_ms) from {tasks} where status = 'COMPLETED') - 7776000000)""")
 def _(tasks):
@@ -184,7 +184,7 @@ def _(executions):
 select case when status <> 'COMPLETED' then 'not completed' when w.worker_id is null then 'unknown worker' when w.pool_size = 0 then 'no pool' when queue_len = 0 then 'no queue sample' else 'kept' end as reason, count(*) as n
 from {executions} e left join {workers} w on w.worker_id = e.worker_id group by 1""")
 def _(executions, workers):
-    joined = executions.join(F.broadcast(workers.withColumn("known", F.lit(True))), "worker_id", "left")
+    joined = executions.join(workers.withColumn("known", F.lit(True)), "worker_id", "left")
     reason = (
         F.when(F.col("status") != "COMPLETED", "not completed").when(F.col("known").isNull(), "unknown worker").when(F.col("pool_size") == 0, "no pool")
         .when(F.col("queue_len") == 0, "no queue sample").otherwise("kept")

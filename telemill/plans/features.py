@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from telemill.functions.catalogue import LEGAL_CHANGES
 from telemill.operators import history as op
 from telemill.plans.registry import plan
+from telemill.session import if_small
 
 HOUR = 3_600_000
 _WINDOWS = """w as (select worker_id, s as start_ms, s + 3600000 as end_ms, round(count(*) / 3600.0, 9) as arrival_rate, round(avg(queue_len), 6) as queue_mean, max(queue_len) as queue_max
@@ -110,7 +111,7 @@ select p.scenario, p.strategy, p.rep from (select * from (select distinct scenar
 where not exists (select 1 from {run_metrics} r where r.scenario = p.scenario and r.strategy = p.strategy and r.rep = p.rep)""")
 def _(run_metrics):
     years = run_metrics.sparkSession.range(1994, 2003).withColumnRenamed("id", "rep")
-    planned = run_metrics.select("scenario").distinct().crossJoin(F.broadcast(run_metrics.select("strategy").distinct())).crossJoin(F.broadcast(years))
+    planned = run_metrics.select("scenario").distinct().crossJoin(if_small(run_metrics.select("strategy").distinct())).crossJoin(if_small(years))
     return planned.join(run_metrics, ["scenario", "strategy", "rep"], "left_anti").select("scenario", "strategy", "rep")
 
 

@@ -408,11 +408,11 @@ def _(log_events):
 
 
 @plan("ageing_order", """
-select task_id, least(10.0, priority + 0.000001 * greatest(0, 1000000000000 - submitted_ms) / 1000) as effective from {tasks} where status = 'RUNNING'""")
+select task_id, round(least(10.0, priority + 0.000001 * greatest(0, 1000000000000 - submitted_ms) / 1000)::double, 6) as effective from {tasks} where status = 'RUNNING'""")
 def _(tasks):
     waited = F.greatest(F.lit(0), F.lit(1_000_000_000_000) - F.col("submitted_ms")) / 1000
     effective = F.least(F.lit(10.0), F.col("priority") + 0.000001 * waited)
-    return tasks.where("status = 'RUNNING'").withColumn("effective", effective).orderBy(F.desc("effective"), "submitted_ms", "task_no").select("task_id", "effective")
+    return tasks.where("status = 'RUNNING'").withColumn("effective", effective).orderBy(F.desc("effective"), "submitted_ms", "task_no").select("task_id", F.round("effective", 6).alias("effective"))
 
 
 @plan("dead_letters", "select task_id, attempts from {tasks} where attempts > case when task_no % 3 = 0 then 3 else 2 end and status = 'FAILED'")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "telemill", **conf: str) -> SparkSession:
@@ -55,3 +56,8 @@ def discard(df: DataFrame) -> None:
     for text in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(text)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (counted no further than that), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
