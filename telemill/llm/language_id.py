@@ -136,7 +136,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
     priors = host_priors(shown, n, prior_strength)
     priors = materialize(priors, "host-priors")
     small = priors.count() <= broadcast_hosts
-    joined = scored.join(F.broadcast(priors) if small else priors, scored["_host"] == priors["host"], "left")
+    priors = priors.select(F.col("host").alias("_prior_host"), F.col("prior").alias("_prior"))
+    joined = scored.join(F.broadcast(priors) if small else priors, F.col("_host") == F.col("_prior_host"), "left")
 
     def evidence(value: Column, trust: float) -> Column:
         """Log weight of a claimed language; nothing where the claim is unknown."""
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
         suffix = F.substring_index(host_of(F.col(address)), ".", -1)
         tongue = F.coalesce(*[F.when(suffix == s, F.lit(x)) for s, x in SUFFIXES.items()])
         claims.append(evidence(tongue, suffix_trust))
-    logit = F.zip_with(F.transform("_ll", lambda x: x * tau), F.col("prior"), lambda a, b: a + b)
+    logit = F.zip_with(F.transform("_ll", lambda x: x * tau), F.col("_prior"), lambda a, b: a + b)
     claims.append(F.array(*[F.lit(float(np.log(und_odds)) if x == UND else 0.0) for x in names]))
     for claim in claims:
         logit = F.zip_with(logit, claim, lambda a, b: a + b)
@@ -164,5 +165,5 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
         .withColumn("confidence", F.when(has_text, 1 / weight).otherwise(0.0))
         .withColumn("text_language", F.when(has_text, F.element_at(name, _best(F.col("_ll")))).otherwise(UND))
         .withColumn("kept", (F.col("language") != UND) & (F.col("confidence") >= min_confidence))
-        .drop("_ll", "_host", "_z", "_top", "host" if "host" not in docs.columns else priors["host"], "prior")
+        .drop("_ll", "_host", "_z", "_top", "_prior_host", "_prior")
     )

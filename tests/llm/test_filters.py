@@ -145,6 +145,9 @@ def test_language_against_labels(spark):
     assert all(r.language == r.truth and r.kept for r in got.values() if r.truth)
     assert not any(got[i].kept for i in (900, 901, 902)) and got[900].language == "und"
     assert got[904].language == "de"
+    clashing = df.limit(5).withColumns({c: F.lit("own") for c in ("host", "prior", "language", "kept")})
+    row = language_id.identify(clashing, declared="lang", host="host").collect()[0]
+    assert (row.host, row.prior) == ("own", "own") and row.language in ("en", "de") and row.kept is True
     assert language_id.identify(df.limit(0), declared="lang").count() == 0
 
 
