@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="telemill-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
         spark.sparkContext.setCheckpointDir(_LOCAL[0])
     return _LOCAL[0]
 
