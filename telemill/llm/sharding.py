@@ -62,9 +62,9 @@ def _quantiles(rows: DataFrame, wanted: dict[int, tuple[int, float, float]], buc
         at = F.element_at("c", F.col("dim") + 1)
         inside = rows.join(F.broadcast(level), "node").withColumn("x", at).where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
         slot = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1)).cast("int")
-        sums = inside.groupBy("node", "low", "high", "below", "target", slot.alias("slot")).agg(F.sum("size").alias("w"))
+        sums = inside.groupBy("node", "low", "high", "below", "target", slot.alias("slot")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
         through = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("slot"))
-        hit = sums.withColumn("through", through).where("through >= target").groupBy("node").agg(F.min_by(F.struct("slot", "w", "through"), "slot").alias("h"))
+        hit = sums.withColumn("through", through).where("through >= target").groupBy("node").agg(F.min_by(F.struct("slot", "w", "n", "through"), "slot").alias("h"))
         found = {r["node"]: r["h"] for r in hit.collect()}
         for n, (low, high, _) in list(state.items()):
             if (h := found.get(n)) is None:
@@ -73,7 +73,7 @@ def _quantiles(rows: DataFrame, wanted: dict[int, tuple[int, float, float]], buc
                 continue
             width = (high - low) / buckets
             a, b, before = low + h["slot"] * width, low + (h["slot"] + 1) * width, h["through"] - h["w"]
-            if h["w"] <= tolerance * wanted[n][2] or step == passes - 1:
+            if h["n"] == 1 or h["w"] <= tolerance * wanted[n][2] or step == passes - 1:  # one row can't be split
                 split[n] = a if wanted[n][1] - before <= h["through"] - wanted[n][1] else b
                 del state[n]
             else:
