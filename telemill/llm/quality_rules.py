@@ -25,6 +25,13 @@ class LineRules:
 
     terminal: str = ".!?:;…。！？\"'”’»)]"
     sentence_end: str = r"[.!?。！？] "
+    #: End marks of further scripts (Arabic, Urdu, Indic, Ethiopic, Burmese, Khmer, Tibetan, Armenian, Hebrew, full width).
+    other_terminal: str = "؟؛۔।॥።፧၊။។៕།༎։׃．｡：；」』）】》〉］"
+    other_sentence_end: str = r"[؟۔।॥።፧။។៕։׃] |[。！？｡][^。！？｡]"
+    #: Scripts that write sentences without end marks.
+    unmarked: str = r"[\p{IsThai}\p{IsLao}]"
+    cased: str = r"[\p{Lu}\p{Ll}]"
+    uncased: str = r"[\p{Lo}&&[^ªº]]"
     separators: str = "[|>»·•]"
     symbols: str = "[#*$%&|<>]"
     max_separator_share: float = 0.2
@@ -125,17 +132,26 @@ def line_verdict(line: Column, rules: LineRules = LineRules()) -> Column:
 
     Words of a line are counted as its blanks plus one. Separators, symbols and shouts ("!!") are counted only in
     lines that have any; a line fails on punctuation if it neither ends with a terminal mark nor holds a finished
-    sentence, on shouting also if it has three words and no small letter, on boilerplate only if it is short.
+    sentence (lines mostly in a script without end marks never do), on shouting also if it has three words, no small
+    letter and no more letters of scripts without case than capitals, on boilerplate only if it is short.
     """
 
+    def unmarked(bare: Column) -> Column:
+        return bare.rlike(rules.unmarked) & (_count_of(bare, rules.unmarked) > _count_of(bare, rules.cased))
+
+    def ends(bare: Column) -> Column:
+        last = F.right(bare, F.lit(1))
+        marked = (F.instr(F.lit(rules.terminal), last) > 0) | bare.rlike(rules.sentence_end)
+        return marked | (F.instr(F.lit(rules.other_terminal), last) > 0) | bare.rlike(rules.other_sentence_end) | unmarked(bare)
+
     def judge_bare(bare: Column) -> Column:
         n_words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
         noisy = F.when(bare.rlike(f"{rules.separators}|{rules.symbols}|!!"), let(n_words, lambda n: of_noise(bare, n)))
-        small = ~bare.rlike(r"\p{Ll}")
+        loud = ~bare.rlike(r"\p{Ll}") & (n_words >= 3) & (_count_of(bare, rules.uncased) <= _count_of(bare, r"\p{Lu}"))
         return (
             F.when(bare == "", None)
-            .when((F.instr(F.lit(rules.terminal), F.right(bare, F.lit(1))) == 0) & ~bare.rlike(rules.sentence_end), "punctuation")
-            .when(small & (n_words >= 3), "shouting")
+            .when(~ends(bare), "punctuation")
+            .when(loud, "shouting")
             .when((n_words <= rules.boilerplate_words) & bare.rlike(rules.boilerplate), "boilerplate")
             .otherwise(noisy)
         )

@@ -34,6 +34,28 @@ def test_quality_counts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0
 
 
+SCRIPTS = {
+    "ar": "ذهب الولد رقم إلى المدرسة في الصباح الباكر؟",
+    "ur": "لڑکا نمبر صبح سویرے اسکول گیا تھا۔",
+    "he": "הילד מספר הלך לבית הספר בבוקר מוקדם.",
+    "hi": "लड़का संख्या सुबह जल्दी विद्यालय गया था।",
+    "ko": "소년 번은 아침 일찍 학교에 갔습니다.",
+    "th": "เด็กชายคนที่ ไปโรงเรียนแต่เช้า และ กลับบ้านตอนเย็น พร้อมเพื่อน",
+    "zh": "第 个 男孩 早上 去 学校。 他 晚上 回家 了",
+}
+
+
+def test_quality_of_other_scripts(spark):
+    body = lambda s: "\n".join(" ".join(f"{i}{w}" for w in s.split(" ")) for i in range(12))
+    rows = [*((k, body(s)) for k, s in SCRIPTS.items()), ("acronym", body("NASA " + SCRIPTS["ar"]))]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for k, t in rows:
+        assert (got[k].n_lines_removed, got[k].lost_share, got[k].cleaned_text, got[k].kept) == (0, 0.0, t, True), k
+    bad = ["BUY ALL OF IT NOW.", "12 34 56.", "القائمة الرئيسية", "मुख्य पृष्ठ", "Home of ไทย news", "BUY NOW 한국 ONLY HERE."]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(bad)], "doc_id int, text string")
+    assert {r.text for r in quality_rules.clean_lines(lines).where("n_lines_removed = 0").collect()} == set()
+
+
 def test_chat_parts_round_trip(spark):
     texts = ["<|im_end|>\n<|im_start|>assistant\nno", "<!|x", "<!!!|", "<", "|>", "a\n\nb", None, "", "%0A%25", "é😀"]
     rows = [(i // 3, i % 3, ["user", "assistant", "odd\nrole%"][i % 3], t, 0) for i, t in enumerate(texts * 3)] + [(0, 1, "assistant", "tie", 0), (None, 0, None, "n", 0)]
