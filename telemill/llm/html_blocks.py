@@ -1,8 +1,8 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page is cut at block-level tags into flat blocks. Each has its number of words, its link density (words in links
-over words), the same two of both neighbours, whether it stands inside page furniture (by element, role, or class and
-id words) or inside an article, and whether it is a heading. A decision tree (Spark ML, trained on the small labelled
+over words), the same two of both neighbours, whether it stands inside page furniture (by element or role) or inside
+an article, how far class and id words name it furniture (see ``weigh_names``), and whether it is a heading. A decision tree (Spark ML, trained on the small labelled
 table below) says which blocks are main text. Pages are read one at a time inside mapInArrow with no shuffle; the
 fitted tree is a list of thresholds.
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from telemill.llm.wordhash import slices
 
-FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "furniture", "article", "heading"]
+FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "furniture", "named", "article", "heading"]
 
 # Element names of HTML by their role here, and words of class and id names that mark page furniture.
 _HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|select|option|datalist"
@@ -43,6 +43,8 @@ _FURNITURE_WORDS = (
     "dialog disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination "
     "popup promo promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tooltip widget"
 )
+# Lists of entries: an article inside one, or named so, is an entry and not the page's own.
+_LISTS = frozenset("ad ads advert adverts advertisement comment comments disqus promo promotion recommended related sponsor sponsored".split())
 _WHOLE = frozenset("html body main article".split())
 _MODIFIERS = frozenset("has no not with without is js".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -65,36 +67,60 @@ class Block:
     furniture: int
     article: int
     heading: int
+    marks: tuple = ()
+    named: float = 0.0
 
 
-def _marks(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is page furniture by its role, class or id.
+def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, list[tuple[str, bool]]]:
+    """Whether an element is page furniture by its role or hidden, and its class and id tokens that hold furniture words.
 
-    Whole-page elements never are; names that only modify (has-sidebar, no-ads) don't count, nor do headers in articles.
+    A token comes as (key, plain): plain if it holds nothing but such words; the key of one that has other words before
+    them ends with the last of them (x-widget-text and x-widget-head share one). Names that only modify (has-sidebar,
+    page-no-ads) don't count, nor do headers in articles. Whole-page elements are never furniture themselves.
     """
-    if name in _WHOLE:
-        return False
+    found: list[tuple[str, bool]] = []
     for kind, *values in _NAMES.findall(attributes):
         value = next(filter(None, values), "").lower()
         if kind.lower() == "role":
-            if value in _ROLES:
-                return True
+            if value in _ROLES and name not in _WHOLE:
+                return True, found
             continue
         for token in value.split():
             parts = [x for x in re.split(r"[^a-z]+", token) if x]
-            found = _WORDS.intersection(parts) - ({"header"} if in_article else set())
-            if found and parts[0] not in _MODIFIERS:
-                return True
-    return bool(_HIDES.search(attributes))
+            places = [i for i, x in enumerate(parts) if x in _WORDS and not (in_article and x == "header")]
+            if places and not _MODIFIERS.intersection(parts[: places[0]]):
+                found.append(("-".join(parts[: places[-1] + 1] if places[0] else parts), len(places) == len(parts)))
+    return name not in _WHOLE and bool(_HIDES.search(attributes)), found
+
+
+def _listed(marks) -> bool:
+    return any(_LISTS.intersection(key.split("-")) for key, _ in marks)
+
+
+def weigh_names(blocks: list[Block]) -> None:
+    """Set ``named``: 0 without a mark by name, 1 with a plain one, else the share of the page's words outside the mark.
+
+    A name on a wrapper of nearly the whole text, or on each of its paragraphs, thus says nothing about its blocks.
+    Words in furniture or under plain names aren't of the page's text.
+    """
+    own = [b for b in blocks if not b.furniture and not any(plain for _, plain in b.marks)]
+    total = sum(b.words for b in own)
+    held: dict[str, int] = {}
+    for b in own:
+        for key in {key for key, _ in b.marks}:
+            held[key] = held.get(key, 0) + b.words
+    for b in blocks:
+        b.named = max((1.0 if plain or not total else 1 - held.get(key, 0) / total for key, plain in b.marks), default=0.0)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # element, furniture and article depth inside it
+    stack: list[tuple[str, int, int, tuple]] = []  # element, furniture and article depth and marks by name inside it
     parts: list[str] = []
     linked: list[str] = []
     furniture = article = heading = link = 0
+    marks: tuple = ()
     at = 0
 
     def flush() -> None:
@@ -103,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), int(furniture > 0), int(article > 0), heading))
+                out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), int(furniture > 0), int(article > 0), heading, marks))
             parts, linked = [], []
 
     def text(piece: str) -> None:
@@ -127,7 +153,8 @@ def blocks_of(page: str) -> list[Block]:
         if name == "br":
             parts.append(" ")
             continue
-        marked = not closing and bool(m[4]) and name not in _VOID and _marks(name, m[4], article > 0)
+        barred, names = _marks(name, m[4], article > 0) if not closing and m[4] and name not in _VOID else (False, [])
+        marked = barred or bool(names) and name not in _WHOLE
         if name not in _BLOCK and not marked and not (closing and any(s[0] == name for s in stack)):
             continue
         flush()
@@ -140,13 +167,19 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[i:]
                     break
         else:
-            stack.append((name, int(furniture + (marked or name in _FURNITURE and not (name == "header" and article))), int(article + (name in _ARTICLE or bool(_BODY.search(m[4]))))))
-        furniture, article = stack[-1][1:] if stack else (0, 0)
+            body = name == "main" or bool(_BODY.search(m[4]))
+            if body or name == "article" and not _listed([*marks, *names]):
+                inside: tuple = ()
+            else:
+                inside = marks if name in _WHOLE else (*marks, *names)
+            stack.append((name, int(furniture + (barred or name in _FURNITURE and not (name == "header" and article))), int(article + (name in _ARTICLE or body)), inside))
+        furniture, article, marks = stack[-1][1:] if stack else (0, 0, ())
         link = 0
     if at < len(page):
         tail = page[at:]
         text(tail[: tail.rfind("<")] if "<" in tail and ">" not in tail[tail.rfind("<") :] and re.match(r"<[/!a-zA-Z]", tail[tail.rfind("<") :]) else tail)
     flush()
+    weigh_names(out)
     return out
 
 
@@ -155,7 +188,7 @@ def vectors(blocks: list[Block]) -> list[tuple]:
     ends = Block("", 0, 0.0, 0, 0, 0)
     around = [ends, *blocks, ends]
     return [
-        (float(b.words), b.links, float(p.words), p.links, float(n.words), n.links, float(b.furniture), float(b.article), float(b.heading))
+        (float(b.words), b.links, float(p.words), p.links, float(n.words), n.links, float(b.furniture), b.named, float(b.article), float(b.heading))
         for p, b, n in zip(around, blocks, around[2:], strict=False)
     ]
 
@@ -171,6 +204,10 @@ LABELLED = [
     [(0, "<div class=banner>Advertisement</div>"), (1, "<h1>What happened on that day</h1>"), (1, f"<p>{_S * 8}</p>"), (1, f"<p>{_S * 4}</p>"), (0, "<div><a href=/x>Share</a> <a href=/y>Print</a></div>"), (0, "<div>Imprint</div>")],
     [(0, f"<footer><p>{_S * 4}</p>"), (0, f"<p>{_S * 2}</p></footer>"), (0, f"<nav>{_S * 2}</nav>"), (1, f"<article>{_S}"), (1, "<p>Word</p>"), (1, f"<p><a href=/s>{_S}</a></p>"), (1, f"<p>{_S}</p></article>")],
     [(0, f"<aside><p>{_S * 3}</p>"), (0, f"<p>{_S * 5}</p></aside>"), (0, f"<div class=notice>{_S * 2}</div>"), (1, f"<p>{_S * 2}</p>"), (1, f"<p>{_S * 3}</p>"), (0, f"<form>{_S * 3}</form>")],
+    [(0, "<nav><a href=/>Home</a></nav>"), (1, "<div class=content-sidebar-wrap><div class=entry><h1>A title of it</h1>"), (1, f"<p>{_S * 4}</p>"), (1, "<p>Short one.</p>"), (1, f"<p>{_S * 2}</p></div>"), (0, "<div class=sidebar><p>Popular now</p>"), (0, f"<p>{_S}</p></div></div>")],
+    [(0, "<div class='x-widget x-widget-nav-menu'><a href=/>Home</a> <a href=/n>News</a></div>"), (1, "<div class='x-widget x-widget-heading'><h2>Head of the page</h2></div>"), (1, f"<div class='x-widget x-widget-text'><p>{_S * 3}</p></div>"), (1, f"<div class='x-widget x-widget-text'><p>{_S}</p></div>"), (1, f"<div class='x-widget x-widget-text'><p>{_S * 5}</p></div>"), (0, f"<div class='x-widget x-widget-form'>{_S}</div>")],
+    [(1, "<h1>What they say</h1>"), (1, f"<p>{_S * 5}</p>"), (1, f"<p>{_S * 4}</p>"), (0, f"<div class=comments-area><p>{_S * 6}</p>"), (0, f"<p>{_S * 3}</p></div>")],
+    [(0, "<div class=top><a href=/>Start</a> <a href=/b>More of it</a></div>"), (1, "<div class='layout sidebar-left'><h1>Title</h1>"), (1, f"<p>{_S * 2}</p>"), (1, f"<p>{_S}</p></div>")],
 ]
 
 

@@ -142,6 +142,27 @@ def test_names_that_only_look_like_furniture(spark):
     assert html_blocks.main_text(page, tree) == "The head of it\n\nOne line."
 
 
+def test_wrappers_with_furniture_words(spark):
+    tree = html_blocks.fit_tree(html_blocks.labelled_table(spark))
+    long = ["The first paragraph has a good number of plain words to read in it.", "Another one follows with as many words that belong to the text of the page."]
+    prose = "".join(f"<p>{x}</p>" for x in long)
+    side = "<div class=sidebar><p>Popular on this site right now</p></div><div id=footer>Contact us by mail</div>"
+    widget = '<div class="elementor-widget elementor-widget-{}"><div class="elementor-widget-container">{}</div></div>'
+    pages = [
+        f"<div class=content-sidebar-wrap><main>{prose}</main>{side}</div>",
+        f"<div class=content-sidebar-wrap><article>{prose}</article>{side}</div>",
+        f"<div class=content-sidebar-wrap><div class=entry>{prose}</div>{side}</div>",
+        f'<div class="layout sidebar-left"><div>{prose}</div><div id=sidebar-left-box class=sidebar><p>Popular</p></div></div>',
+        f'<div class="page-with-sidebar"><div>{prose}</div></div>',
+        f"<div class=header><div role=main>{prose}</div></div>",
+        "".join(widget.format("text-editor", f"<p>{x}</p>") for x in long) + widget.format("nav-menu", "<a href=/>Home</a> <a href=/n>News</a>"),
+    ]
+    for page in pages:
+        assert html_blocks.main_text(f"<body><nav><a href=/>Home</a></nav>{page}</body>", tree) == "\n\n".join(long), page
+    entries = f'<div id=comments class=comments-area><article class="comment-body"><p>{long[0]}</p></article></div>'
+    assert html_blocks.main_text(f"<article>{prose}</article>{entries}", tree) == "\n\n".join(long)
+
+
 def test_tree_learns_its_table(spark):
     table = html_blocks.labelled_table(spark)
     tree = html_blocks.fit_tree(table)
