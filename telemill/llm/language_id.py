@@ -3,8 +3,9 @@
 posterior(language) ~ likelihood(text)^tau x P(declared markup language | language) x P(address suffix | language)
 x P(language | host).
 
-* Text likelihood: counts of hashed byte trigrams under one multinomial per language, fitted on a bounded sample of
-  rows with a declared language (``sample_rows``, the only bounded part). A further class "und" has the uniform
+* Text likelihood: counts of hashed byte trigrams under one multinomial per declared language, however many there are,
+  each fitted on about ``sample_texts`` distinct texts (all of them if fewer; the only bounded part). Declared values
+  count by their primary subtag (en-US and en_GB as en). A further class "und" has the uniform
   distribution, so text that fits no language better than chance is not forced into one; it starts from long odds
   (``und_odds``), so a number or key inside a short text doesn't decide.
 * Host priors are computed by grouped aggregation over all rows: the languages that texts of a host show by
@@ -12,7 +13,7 @@ x P(language | host).
 * Declared languages and suffixes count with fixed trust, as rows may claim what they like.
 
 Two scans score texts (one for the priors, one for the verdict), so no text is shuffled. Host priors are joined by
-broadcast only while there are at most ``broadcast_hosts`` hosts, else by a shuffle that adaptive execution may split.
+broadcast only while there are at most ``broadcast_hosts`` hosts (of 64 languages; fewer of more), else by a shuffle that adaptive execution may split.
 
 Defined cases: a null, empty or wordless text has no text evidence, its language is "und" and it is not kept; null
 declared languages, addresses and hosts give no evidence (null hosts share one prior); repeated rows are judged each;
@@ -51,12 +52,20 @@ def trigram_counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fit_languages(docs: DataFrame, text: str, declared: str, sample_rows: int, max_languages: int) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (languages + 1 rows, the last for "und") from about ``sample_rows`` labelled rows."""
-    labelled = docs.select(F.col(text).alias("text"), F.lower(F.col(declared)).alias("lang")).where("lang is not null and lang != '' and text is not null")
-    n = labelled.count()
-    share = min(1.0, sample_rows / max(n, 1))
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def primary(declared: Column) -> Column:
+    """The primary subtag of a declared language in lower case; null if there is none."""
+    tag = F.lower(F.trim(F.substring_index(F.translate(declared, "_", "-"), "-", 1)))
+    return F.when(~tag.isin("", UND), tag)
+
+
+def fit_languages(docs: DataFrame, text: str, declared: str, sample_texts: int) -> tuple[list[str], np.ndarray]:
+    """Languages and log probabilities (languages + 1 rows, the last for "und") from about ``sample_texts`` distinct texts of each."""
+    labelled = docs.select(F.col(text).alias("text"), primary(F.col(declared)).alias("lang"), F.xxhash64(text).alias("h")).where("lang is not null and text is not null")
+    of = materialize(labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")), "languages")
+    share = of.select("lang", F.least(F.lit(1.0), sample_texts / F.col("texts")).alias("share"))
+    share = F.broadcast(share) if of.count() <= 100_000 else share
+    picked = labelled.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("share") * (1 << 30))
+    picked = picked.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -64,14 +73,15 @@ def fit_languages(docs: DataFrame, text: str, declared: str, sample_rows: int, m
                 sums = np.zeros(_BUCKETS)
                 for at in range(0, len(own), 256):
                     sums += trigram_counts([t.encode() for t in own["text"].iloc[at : at + 256]]).sum(0)
-                yield pd.DataFrame({"lang": lang, "n": float(len(own)), "bucket": np.arange(_BUCKETS), "c": sums})
+                yield pd.DataFrame({"lang": lang, "bucket": np.arange(_BUCKETS), "c": sums})
 
-    sums = picked.mapInPandas(run, "lang string, n double, bucket int, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    per = sums.groupBy("lang").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("c"))
-    rows = sorted(per.orderBy(F.desc("n"), "lang").limit(max_languages).collect(), key=lambda r: r["lang"])
-    counts = np.array([[x["c"] for x in r["c"]] for r in rows]).reshape(len(rows), _BUCKETS) + 0.5
+    sums = picked.mapInPandas(run, "lang string, bucket int, c double").groupBy("lang", "bucket").agg(F.sum("c").alias("c"))
+    found = sums.where("c > 0 or bucket = 0").toArrow()
+    names, at = np.unique(np.array(found["lang"].to_pylist(), dtype=object).astype(str), return_inverse=True)
+    counts = np.full((len(names), _BUCKETS), 0.5)
+    counts[at, found["bucket"].to_numpy()] += found["c"].to_numpy()
     logs = np.log(counts / counts.sum(1, keepdims=True))
-    return [r["lang"] for r in rows], np.vstack([logs, np.full((1, _BUCKETS), -np.log(_BUCKETS))])
+    return names.tolist(), np.vstack([logs, np.full((1, _BUCKETS), -np.log(_BUCKETS))])
 
 
 def _score(docs: DataFrame, text: str, logs: np.ndarray) -> Column:
@@ -106,17 +116,22 @@ def host_priors(shown: DataFrame, n: int, strength: float) -> DataFrame:
 
     ``shown`` has host, domain, best (1 to n, or null).
     """
-    marks = [F.count_if(F.col("best") == i + 1).cast("double") for i in range(n)]
-    hosts = shown.groupBy("host", "domain").agg(F.array(*marks).alias("c"))
-    sums = lambda c: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
-    domains = hosts.groupBy("domain").agg(sums(F.col("c")).alias("dc"))
-    everything = domains.agg(sums(F.col("dc")).alias("ac"))
+    marks = shown.groupBy("host", "domain", "best").agg(F.count("*").cast("double").alias("x"))
+
+    def counts(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Arrays of n counts from rows with best and x."""
+        entries = F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "x")))
+        held = rows.groupBy(*by).agg(F.map_from_entries(entries).alias("m"))
+        return held.select(*by, F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias(name))
+
+    summed = lambda *by: marks.groupBy(*by, "best").agg(F.sum("x").alias("x"))
+    hosts, domains, everything = counts(marks, ["host", "domain"], "c"), counts(summed("domain"), ["domain"], "dc"), counts(summed(), [], "ac")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
-    def smooth(counts: Column, above: Column) -> Column:
-        return F.zip_with(counts, above, lambda x, p: (x + strength * p) / (total(counts) + strength))
+    def smooth(own: Column, above: Column) -> Column:
+        return F.element_at(F.transform(F.array(total(own)), lambda t: F.zip_with(own, above, lambda x, p: (x + strength * p) / (t + strength))), 1)
 
-    flat = F.array(*[F.lit(1.0 / n)] * n)
+    flat = F.array_repeat(F.lit(1.0 / n), n)
     level = everything.select(smooth(F.col("ac"), flat).alias("ap"))
     joined = domains.crossJoin(F.broadcast(level)).select("domain", smooth(F.col("dc"), F.col("ap")).alias("dp"))
     prior = smooth(F.col("c"), F.col("dp"))
@@ -125,9 +140,9 @@ def host_priors(shown: DataFrame, n: int, strength: float) -> DataFrame:
     )
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = None, address: str | None = None, host: str | None = None, model: tuple[list[str], np.ndarray] | None = None, sample_rows: int = 20_000, max_languages: int = 64, tau: float = 0.3, declared_trust: float = 0.9, suffix_trust: float = 0.7, prior_strength: float = 20.0, und_odds: float = 1e-3, min_confidence: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str | None = None, address: str | None = None, host: str | None = None, model: tuple[list[str], np.ndarray] | None = None, sample_texts: int = 5_000, tau: float = 0.3, declared_trust: float = 0.9, suffix_trust: float = 0.7, prior_strength: float = 20.0, und_odds: float = 1e-3, min_confidence: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
     """The rows with language, confidence, text_language (by the text alone) and kept (a language is found with confidence)."""
-    languages, logs = model or fit_languages(docs, text, declared, sample_rows, max_languages)
+    languages, logs = model or fit_languages(docs, text, declared, sample_texts)
     names = [*languages, UND]
     n = len(names)
     place = F.col(host) if host else host_of(F.col(address)) if address else F.lit(None).cast("string")
@@ -135,30 +150,31 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
     shown = scored.select(F.col("_host").alias("host"), domain_of(F.col("_host")).alias("domain"), F.when(F.array_max("_ll") < 0, _best(F.col("_ll"))).alias("best"))
     priors = host_priors(shown, n, prior_strength)
     priors = materialize(priors, "host-priors")
-    small = priors.count() <= broadcast_hosts
+    small = priors.count() * n <= broadcast_hosts * 64
     priors = priors.select(F.col("host").alias("_prior_host"), F.col("prior").alias("_prior"))
     joined = scored.join(F.broadcast(priors) if small else priors, F.col("_host") == F.col("_prior_host"), "left")
 
+    name = F.lit(names)
+
     def evidence(value: Column, trust: float) -> Column:
         """Log weight of a claimed language; nothing where the claim is unknown."""
-        known = value.isNotNull() & value.isin(*languages) if languages else F.lit(False)
         rest = float(np.log((1 - trust) / max(1, n - 1)))
-        return F.when(known, F.array(*[F.when(value == x, F.lit(float(np.log(trust)))).otherwise(F.lit(rest)) for x in names])).otherwise(F.array(*[F.lit(0.0)] * n))
+        some = F.transform(name, lambda x: F.when(x == value, F.lit(float(np.log(trust)))).otherwise(F.lit(rest)))
+        return F.when(F.array_contains(F.lit(languages).cast("array<string>"), value), some).otherwise(F.array_repeat(F.lit(0.0), n))
 
     claims = []
     if declared:
-        claims.append(evidence(F.lower(F.substring_index(F.col(declared), "-", 1)), declared_trust))
+        claims.append(evidence(primary(F.col(declared)), declared_trust))
     if address:
         suffix = F.substring_index(host_of(F.col(address)), ".", -1)
         tongue = F.coalesce(*[F.when(suffix == s, F.lit(x)) for s, x in SUFFIXES.items()])
         claims.append(evidence(tongue, suffix_trust))
     logit = F.zip_with(F.transform("_ll", lambda x: x * tau), F.col("_prior"), lambda a, b: a + b)
-    claims.append(F.array(*[F.lit(float(np.log(und_odds)) if x == UND else 0.0) for x in names]))
+    claims.append(F.lit([0.0] * (n - 1) + [float(np.log(und_odds))]))
     for claim in claims:
         logit = F.zip_with(logit, claim, lambda a, b: a + b)
     fused = joined.withColumn("_z", logit).withColumn("_top", F.array_max("_z"))
     weight = F.aggregate(F.transform("_z", lambda z: F.exp(z - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    name = F.array(*map(F.lit, names))
     has_text = F.array_max("_ll") < 0
     return (
         fused.withColumn("language", F.when(has_text, F.element_at(name, _best(F.col("_z")))).otherwise(UND))

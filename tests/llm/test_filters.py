@@ -199,3 +199,28 @@ def test_host_prior_decides_thin_texts(spark):
     got = {r.host: r.prior for r in language_id.host_priors(shown, 2, 5.0).collect()}
     assert got["a.x.org"][0] > got["b.x.org"][0] > got["c.y.org"][0]
     assert got[""] and abs(sum(2.718281828459045**p for p in got["b.x.org"]) - 1) < 1e-9
+
+
+def test_every_declared_language_is_a_class(spark):
+    rnd, rows = random.Random(11), []
+    for k in range(80):
+        own = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(20)]
+        rows += [(" ".join(rnd.choice(own) for _ in range(40)), [f"x{k:02}", f"X{k:02}-US", f"x{k:02}_GB"][i % 3], f"x{k:02}") for i in range(6)]
+    frame = spark.createDataFrame(rows, "text string, lang string, truth string")
+    got = language_id.identify(frame, declared="lang").collect()
+    assert len(got) == len(rows) and all(r.language == r.text_language == r.truth and r.kept for r in got)
+
+
+def test_sample_is_by_language_and_distinct_text(spark):
+    rnd = random.Random(12)
+    body = lambda w: " ".join(rnd.choice(w.split()) for _ in range(40))
+    many = [(body(EN), "en") for _ in range(1500)] + [("the same page of numbers zzz", "en")] * 1500
+    few = [(body(DE), "de") for _ in range(15)]
+    frame = spark.createDataFrame(many + few, "text string, lang string")
+    languages, logs = language_id.fit_languages(frame, "text", "lang", 50)
+    assert languages == ["de", "en"]
+    # A text counts once however often it occurs: its own trigram is rare among those of fifty texts.
+    at = language_id.trigram_counts([b"zzz"])[0] > 0
+    assert (logs[1][at] < -5).all()
+    got = language_id.identify(frame, declared="lang", sample_texts=50).where("lang = 'de'").collect()
+    assert len(got) == 15 and all(r.text_language == "de" for r in got)
