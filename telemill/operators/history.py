@@ -92,13 +92,27 @@ def close_failures(failures: DataFrame, recoveries: DataFrame, step: int = DAY)
     return asof(probe, fact, "node_id", "_neg", "_neg", {"recovered_ms": "recovered_ms"}, step).drop("_neg")
 
 
+def first_rows(rows: DataFrame, by: tuple[str, ...], order: tuple, k: int, parts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key: of each of ``parts`` random sub-groups of a key first, then of those left.
+
+    No task holds a whole key, and no rows are collected; ``order`` should decide between any two rows of a key.
+    """
+    salted = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    within = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_r") <= k)
+    return within.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_part")
+
+
 def nearest_samples(queries: DataFrame, history: DataFrame, k: int, width: float = 0.25) -> DataFrame:
     """For each query the ``k`` executions of its type nearest in log1p(size), the smaller side first on ties, then the id.
 
     History is counted per type and size first (sizes repeat), so a query meets distinct sizes, ordered by distance,
     instead of all rows; only as many rows are expanded as are needed.
     """
-    sizes = history.groupBy("task_type", "input_size").agg(F.count("*").alias("c"), F.slice(F.sort_array(F.collect_list("exec_id")), 1, k).alias("ids"))
+    key = ("task_type", "input_size")
+    first = first_rows(history.where("exec_id is not null").select(*key, "exec_id"), key, ("exec_id",), k)
+    ids = first.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.sort_array(F.collect_list("exec_id")).alias("ids"))
+    same = F.col("task_type").eqNullSafe(F.col("_task_type")) & F.col("input_size").eqNullSafe(F.col("_input_size"))
+    sizes = history.groupBy(*key).agg(F.count("*").alias("c")).join(ids, same, "left").select(*key, "c", "ids")
     asked = queries.select("task_type", "input_size").distinct().withColumnRenamed("input_size", "size")
     distance = F.abs(F.log1p("input_size") - F.log1p("size"))
     order = Window.partitionBy("task_type", "size").orderBy(F.round("distance", 9), "input_size")

@@ -103,12 +103,17 @@ def _(executions):
     return materialize(executions.select("exec_id", "task_type", "exec_ms"), "sink")
 
 
+#: Most lines of one file of a trace; each file is hashed as one value.
+_TRACE_LINES = 100_000
+
+
 @plan("trace_checksum", "select r_name as region, true as ok, 64 as width from {region}")
 def _(region, replay):
     spark, path = _spark(replay), scratch_path(_spark(replay), "traces")
     lines = replay.select("scenario", F.to_json(F.struct("task_no", "submit_ms")).alias("line"))
-    lines.repartition("scenario").sortWithinPartitions("line").write.partitionBy("scenario").text(path)
+    lines.repartition(max(2, -(-replay.count() // _TRACE_LINES))).sortWithinPartitions("scenario", "line").write.partitionBy("scenario").option("maxRecordsPerFile", _TRACE_LINES).text(path)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     manifest = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("expected"), F.url_decode(F.regexp_extract("path", "scenario=([^/]+)/", 1)).alias("region"))
     checked = src.trace_checksum(spark, f"{path}/*", manifest.dropDuplicates(["file", "region", "expected"]))
-    return checked.groupBy("region").agg(F.bool_or("ok").alias("ok"), F.max(F.length("actual")).alias("width"))
+    files = checked.groupBy("region", "file", "expected").agg(F.bool_or("ok").alias("ok"), F.max(F.length("actual")).alias("width"))
+    return files.groupBy("region").agg(F.bool_and("ok").alias("ok"), F.max("width").alias("width"))

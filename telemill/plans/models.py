@@ -487,9 +487,11 @@ def _(samples):
 with r as (select type, physical_ms // 3600000 as tick, seq, row_number() over (partition by type, physical_ms // 3600000 order by physical_ms desc, seq desc) as r, count(*) over (partition by type, physical_ms // 3600000) as n from {log_events})
 select type, tick, seq, greatest(0, n - 2) as dropped from r where r <= 2""")
 def _(log_events):
-    top = F.slice(F.sort_array(F.collect_list(F.struct("physical_ms", "seq")), False), 1, 2)
-    ticks = log_events.groupBy("type", F.floor(F.col("physical_ms") / 3_600_000).alias("tick")).agg(top.alias("top"), F.count("*").alias("n"))
-    return ticks.select("type", "tick", F.inline("top"), F.greatest(F.lit(0), F.col("n") - 2).alias("dropped")).drop("physical_ms")
+    rows = log_events.select("type", F.floor(F.col("physical_ms") / 3_600_000).alias("tick"), "physical_ms", "seq")
+    top = history.first_rows(rows, ("type", "tick"), (F.desc("physical_ms"), F.desc("seq")), 2)
+    ticks = rows.groupBy(F.col("type").alias("_type"), F.col("tick").alias("_tick")).agg(F.count("*").alias("n"))
+    joined = top.join(ticks, F.col("type").eqNullSafe(F.col("_type")) & F.col("tick").eqNullSafe(F.col("_tick")))
+    return joined.select("type", "tick", "seq", F.greatest(F.lit(0), F.col("n") - 2).alias("dropped"))
 
 
 @plan("stragglers", """

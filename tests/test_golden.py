@@ -1,6 +1,7 @@
 """Golden values and properties of the telemetry operators."""
 
 import math
+import os
 import random
 
 import pytest
@@ -276,3 +277,49 @@ def test_graphs(spark):
     assert {(r.workflow_id, r.node) for r in graphs.dag_ready(dag).collect()} == {("w", 4)}
     built = graphs.edge_build(spark.range(5).withColumnRenamed("id", "src"), 5, 1).collect()
     assert len(built) == 15 and all(0 <= r.dst < 5 for r in built)
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def registry_query(name):
+    from telemill.plans import catalog, registry  # noqa: F401
+
+    return registry.QUERIES[name]
+
+
+def test_first_rows_of_a_hot_key_without_collecting(spark):
+    rows = [("hot", i % 7, i) for i in range(3000)] + [(None, 5, 9000), ("one", None, 9001), ("one", 1, 9002)]
+    df = spark.createDataFrame(rows, "k string, t int, seq long").repartition(5)
+    got = sorted((r.k or "", r.seq) for r in history.first_rows(df, ("k",), (F.desc("t"), F.desc("seq")), 2).collect())
+    assert got == [("", 9000), ("hot", 2988), ("hot", 2995), ("one", 9001), ("one", 9002)]
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert "collect_list" not in planned(registry_query("stream_throttle")(spark, "/root/testdata/sf0.001"))
+
+
+def test_traces_are_hashed_in_bounded_files(spark, monkeypatch):
+    from telemill.plans import files
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no driver tables here")
+    monkeypatch.setattr(files, "_TRACE_LINES", 40)
+    check, lines = files.src.trace_checksum, []
+
+    def seen(spark, path, manifest):
+        lines.extend(len(bytes(r.content).splitlines()) for r in spark.read.format("binaryFile").load(path).collect())
+        return check(spark, path, manifest)
+
+    monkeypatch.setattr(files.src, "trace_checksum", seen)
+    got = registry_query("trace_checksum")(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(r.ok and r.width == 64 for r in got)
+    assert max(lines) <= 40 < sum(lines)
+
+
+def test_nearest_samples_ranks_before_it_collects(spark):
+    rows = [(i, "a", 10) for i in range(500)] + [(900, "a", 11), (None, "a", 10)]
+    df = spark.createDataFrame(rows, "exec_id long, task_type string, input_size long")
+    asked = spark.createDataFrame([(1, "a", 10)], "query_id long, task_type string, input_size long")
+    out = history.nearest_samples(asked, df, 3)
+    assert sorted((r["rank"], r.near_id) for r in out.collect()) == [(1, 0), (2, 1), (3, 2)]
+    assert "row_number()" in planned(out)
