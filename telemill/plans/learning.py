@@ -59,7 +59,7 @@ b as (select *, coalesce(max(case when not high then pos end) over (partition by
 select exec_id, task_type, round(mae, 6) as rolling_type_mae_ms, high and pos - broke = 5 as drift_starts from b""")
 def _(outcomes):
     rows = outcomes.select("exec_id", "task_type", "ts_ms", "abs_error_ms", F.lit(80.0).alias("baseline"))
-    out = streams.run_to_files(streams.running_stats(streams.replay_source(rows, "ts_ms", 3, "stats-in"), 20, 1.3, 5), "stats-out")
+    out = streams.run_to_files(streams.running_stats(streams.replay_source(rows, "ts_ms", 3, "stats-in", ties=("exec_id",), bounded=True), 20, 1.3, 5), "stats-out")
     return out.withColumn("rolling_type_mae_ms", F.round("rolling_type_mae_ms", 6))
 
 

@@ -6,6 +6,7 @@ lateness is a property of the source.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,17 +17,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from telemill.session import scratch_path
 
 
-def replay_source(rows: DataFrame, order: str, parts: int, label: str) -> DataFrame:
-    """A stream over ``rows`` as ``parts`` files in time order, one a trigger."""
+def replay_source(rows: DataFrame, order: str, parts: int, label: str, ties: tuple[str, ...] = (), file_rows: int = 100_000, bounded: bool = False) -> DataFrame:
+    """A stream over ``rows`` in time order: files of at most ``file_rows`` rows each, cut at approximate quantiles.
+
+    There are ``parts`` triggers or so, each with several files of a large input; ``bounded`` gives one file a trigger,
+    so that no trigger has more than ``file_rows`` rows. Streams take files by their time, which is set by their order.
+    """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, label)
-    cuts = rows.agg(F.percentile(order, [i / parts for i in range(1, parts)]).alias("c")).collect()[0]["c"] or []
-    low = None
-    for high in [*cuts, None]:
-        own = rows if low is None else rows.where(F.col(order) > low)
-        own = own if high is None else own.where(F.col(order) <= high)
-        own.coalesce(1).write.mode("append").parquet(path)
-        low = high
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = max(parts, -(-rows.count() // file_rows))
+    rows.repartitionByRange(files, order, *ties).sortWithinPartitions(order, *ties).write.option("maxRecordsPerFile", file_rows).parquet(path)
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f for f in fs.listStatus(top) if f.getPath().getName().startswith("part-")), key=lambda f: [int(x) for x in re.match(r"part-(\d+)-.*?-c(\d+)", f.getPath().getName()).groups()])
+    first = min((f.getModificationTime() for f in found), default=0) - 1000 * len(found)
+    for i, f in enumerate(found):
+        fs.setTimes(f.getPath(), first + 1000 * i, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1 if bounded else max(1, -(-len(found) // parts))).option("maxFileAge", "36500d").parquet(path)
 
 
 def run_to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

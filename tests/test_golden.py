@@ -323,3 +323,19 @@ def test_nearest_samples_ranks_before_it_collects(spark):
     out = history.nearest_samples(asked, df, 3)
     assert sorted((r["rank"], r.near_id) for r in out.collect()) == [(1, 0), (2, 1), (3, 2)]
     assert "row_number()" in planned(out)
+
+
+def test_replay_bounds_rows_of_a_trigger(spark):
+    from telemill.streaming import streams
+
+    df = spark.createDataFrame([(i, 5 if i % 3 == 0 else 100_000 - i) for i in range(1000)], "exec_id long, ts_ms long").repartition(4)
+    sizes, firsts = [], []
+
+    def seen(batch, epoch):
+        sizes.append(batch.count())
+        firsts.append(tuple(batch.selectExpr("min(struct(ts_ms, exec_id)) a", "max(struct(ts_ms, exec_id)) b").collect()[0]))
+
+    source = streams.replay_source(df, "ts_ms", 3, "bounded", ties=("exec_id",), file_rows=60, bounded=True)
+    source.writeStream.foreachBatch(seen).trigger(availableNow=True).start().awaitTermination()
+    assert sum(sizes) == 1000 and max(sizes) <= 60
+    assert all(a[1] < b[0] for a, b in zip(firsts, firsts[1:], strict=False))
