@@ -1,7 +1,9 @@
 """WARC archives written and read as Spark text, with boundary-chain verification.
 
 Writing: one record per row, payloads of equal content once (the row with the smallest id is the response, the others
-are revisits). Spark's text writer puts the record's closing line ends.
+are revisits). Only digests, sizes and ids are shuffled to find repeated contents; these come back to the rows by a
+broadcast of at most ``broadcast_rows`` digests (about 100 bytes each), so no payload moves. With more of them the rows
+are joined by shuffle, hot digests in parts. Spark's text writer puts the record's closing line ends.
 
 Reading splits files at every occurrence of the version line, wherever it stands, so archives of any size are read in
 parallel. Each occurrence is a candidate record: its header gives the offset of its successor. Offsets come from
@@ -13,7 +15,8 @@ off the chain and put back into the payload that holds them.
 
 Defined cases: a null payload counts as empty; repeated rows of a response are all responses; null ids are kept as
 null and never referred to; line ends and blanks in addresses are percent-coded; an empty table makes an archive
-without records; extra columns are ignored; a chain that breaks (a truncated file) ends there.
+without records; extra columns are ignored; a chain that breaks (a truncated file) ends there; a very long text is one
+record, held whole by the task that writes or reads it.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from telemill.session import materialize, scratch_path
+from telemill.llm.skew import hot_keys, salted_join
+from telemill.session import discard, materialize, scratch_path
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -35,15 +39,19 @@ def base32_of_hex(digest: Column, size: int = 40) -> Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", broadcast_rows: int = 200_000) -> None:
     """Write one record per row to text files under ``path``."""
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(
         F.col(key).cast("string").alias("id"), F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"),
         F.octet_length(body).alias("size"), base32_of_hex(F.sha1(body.cast("binary"))).alias("digest"),
     )
-    firsts = rows.groupBy("digest", "size").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    joined = rows.join(firsts, ["digest", "size"], "left")
+    same = ["digest", "size"]
+    repeated = materialize(rows.groupBy(*same).agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"), "warc-repeated")
+    if repeated.count() <= broadcast_rows:
+        joined = rows.join(F.broadcast(repeated.drop("n")), same, "left")
+    else:
+        joined = salted_join(rows, repeated.drop("n"), same, hot_keys(repeated, same, "n"), F.col("key"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")) & (F.col("size") >= min_revisit_bytes)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -101,7 +109,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     within = F.sum(step).over(Window.partitionBy("file", "block").orderBy("at")) - step
     placed = rows.withColumn("within", within).join(before, ["file", "block"]).withColumn("start", F.col("before") + F.col("within"))
     found = placed.where("start > 0").withColumn("off", F.col("start") - len(MAGIC)).withColumn("succ", F.col("start") + F.col("head_len") + 4 + F.col("length") + 4)
-    return materialize(found.drop("before", "within", "start"), "warc-candidates")
+    out = materialize(found.drop("before", "within", "start"), "warc-candidates")
+    discard(rows)
+    return out
 
 
 def _payload(content: Column) -> Column:
@@ -133,26 +143,36 @@ def _on_chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": pdf["file"], "off": pdf["off"], "real": [x in seen for x in pdf["off"]]})
 
 
-def verify_chain(found: DataFrame, max_rounds: int = 40) -> DataFrame:
+def verify_chain(found: DataFrame, max_rounds: int = 64) -> DataFrame:
     """The candidates with ``real``: whether the chain from the start of their file reaches them."""
     slim = found.select("file", "block", "off", F.col("succ").cast("double").alias("succ"))
     ways = materialize(slim.groupBy("file", "block").applyInPandas(_ways_out, "file string, off long, out long"), "warc-ways")
     targets = ways.where("out >= 0").select("file", F.col("out").alias("off")).distinct().unionByName(ways.where("off = 0").select("file", "off")).distinct()
     jump = materialize(ways.join(targets, ["file", "off"]).select("file", "off", F.col("out").alias("to")), "warc-jump")
-    reached = jump.where("off = 0").select("file", "off")
+    discard(ways)
+    reached = materialize(jump.where("off = 0").select("file", "off"), "warc-reached")
     for _ in range(max_rounds):
         step = jump.join(reached, ["file", "off"], "left_semi").select("file", F.col("to").alias("off")).join(jump.select("file", "off"), ["file", "off"], "left_semi")
         more = step.join(reached, ["file", "off"], "left_anti").distinct()
-        if more.isEmpty():
+        wider = materialize(reached.unionByName(more), "warc-reached")
+        grown = wider.count() > reached.count()
+        discard(reached)
+        reached = wider
+        if not grown:
             break
-        reached = materialize(reached.unionByName(more), "warc-reached")
         ahead = jump.select("file", F.col("off").alias("to"), F.col("to").alias("next"))
-        jump = materialize(jump.join(ahead, ["file", "to"]).select("file", "off", F.col("next").alias("to")).unionByName(
-            jump.join(ahead, ["file", "to"], "left_anti").select("file", "off", "to")), "warc-jump")
+        further = materialize(jump.join(ahead, ["file", "to"], "left").select("file", "off", F.coalesce("next", "to").alias("to")), "warc-jump")
+        discard(jump)
+        jump = further
+    else:
+        raise RuntimeError(f"a chain isn't resolved after {max_rounds} rounds")
     entries = slim.join(reached, ["file", "off"], "left_semi").groupBy("file", "block").agg(F.min("off").alias("entry"))
     marked = slim.join(entries, ["file", "block"], "left").withColumn("entry", F.col("entry").cast("double"))
     real = marked.groupBy("file", "block").applyInPandas(_on_chain, "file string, off long, real boolean")
-    return materialize(found.join(real, ["file", "off"]), "warc-real")
+    out = materialize(found.join(real, ["file", "off"]), "warc-real")
+    for old in (jump, reached, found):
+        discard(old)
+    return out
 
 
 def _spread_payloads(spark: SparkSession, path: str, marked: DataFrame) -> DataFrame:
