@@ -1,17 +1,20 @@
 """Token ids and counts of whole texts, with overlap resynchronisation for huge documents.
 
 A text over ``chunk_chars`` is encoded in overlapping chunks. Token offsets of neighbouring chunks are compared inside
-the overlap and the two id streams are spliced at the last common boundary that is proven stable: a white-space
-character after a non-white-space one always begins a new pre-token of the byte-level pattern, whatever surrounds it,
-so ids left of it depend on the left chunk alone and ids right of it on the right chunk alone. Without such a boundary
-the overlap is doubled and the chunk encoded again, in the end with the whole rest of the text as one chunk. So memory
-is bounded by the chunk for any text with white space.
+the overlap and the two id streams are spliced at the last common boundary that is proven stable: a place where the
+byte-level pattern always begins a new pre-token, whatever stands farther away. Those are white space after anything
+else, and changes between letters, digits and other characters (but for an apostrophe before letters, and inside
+special strings). Ids left of such a place depend on the left chunk alone and ids right of it on the right chunk alone.
+The overlap is widened to the nearest such place, farther back (doubling) if the two chunks don't both have it; a
+chunk without any is lengthened to the next one. So every character is encoded once, but for the overlaps, and memory
+is bounded by the chunk or the longest pre-token, which has to be encoded whole.
 
 Ids are those of the tokenizers library. Texts of common Latin-script characters are encoded by tiktoken with the same
 vocabulary file, which is several times faster and gives the same ids (tests hold one against the other); any text
 with a character beyond is encoded by tokenizers itself.
 
-Defined cases: a null text counts as empty (no tokens); repeated rows are counted each; other columns pass through.
+Defined cases: a null text counts as empty (no tokens); repeated rows are counted each; a very long text is encoded in
+chunks; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,7 +35,13 @@ from telemill.llm.wordhash import slices
 
 #: Characters whose classes (letter, number, space, other) no Unicode version since 5 has changed.
 _BEYOND = re.compile("[^\x00-ſ‐-‧€]")
-_STABLE = re.compile(r"(?<=\S)[ \n]")
+# Ranges of letters, digits and other visible characters whose classes no Unicode version has changed.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſΑ-ΡΣ-ωА-яא-תء-غक-ह가-힣ぁ-ゖァ-ヺ一-龥"
+_DIGITS = "0-9"
+_OTHERS = r"!-/:-@\[-`{-~、。「」『』【】（）！，：；？।؟،"
+_STABLE = re.compile(
+    rf"(?<=\S)(?=[ \n])|(?<=[{_LETTERS}])(?=[{_DIGITS}{_OTHERS}])|(?<=[{_DIGITS}])(?=[{_LETTERS}{_OTHERS}])|(?<=[{_OTHERS}])(?=[{_DIGITS}])|(?<=[{_OTHERS}])(?<!')(?=[{_LETTERS}])"
+)
 
 
 def default_paths() -> tuple[str, str]:
@@ -51,6 +60,8 @@ class Encoder:
         with open(json_path, encoding="utf-8") as text:
             known = json.load(text)
         special = {x["content"]: x["id"] for x in known["added_tokens"]}
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.longest = max(map(len, special), default=0)
         pieces = known["model"]["vocab"]
         sizes = np.zeros(1 + max(max(pieces.values()), *special.values(), 0), np.int32)
         for piece, i in pieces.items():
@@ -84,48 +95,71 @@ class Encoder:
 
     def stream(self, text: str) -> Iterator[np.ndarray]:
         """Ids of a whole text in order, a chunk at a time."""
-        if len(text) <= self.chunk:
-            yield self.encode(text)
-            return
-        start, end, left = 0, self.chunk, self.encode(text[: self.chunk])
-        while True:
-            overlap = self.overlap
+        start, end = 0, self._reach(text, 0, self.chunk)
+        left = self.encode(text[:end])
+        while end < len(text):
+            size = self.overlap
             while True:
-                begin = max(start + 1, end - overlap)
-                stop = min(len(text), begin + max(self.chunk, 2 * overlap))
-                right = self.encode(text[begin:stop])
-                cut = self._splice(text, start, end, left, begin, right)
-                if cut is not None:
-                    break
-                if begin == start + 1:  # no stable boundary in the whole chunk: take more text on the left
-                    end = min(len(text), end + self.chunk)
+                at = self._last_stable(text, start, end - 1, size)
+                if at is None:  # not one place held in the whole chunk: take more text on the left
+                    end = self._reach(text, start, 2 * (end - start))
                     left = self.encode(text[start:end])
                     if end == len(text):
-                        yield left
-                        return
-                    overlap = self.overlap
-                else:
-                    overlap *= 2
-            n_left, n_right, at = cut
-            yield left[:n_left]
-            start, end, left = at, stop, right[n_right:]
-            if end == len(text):
-                yield left
-                return
-
-    def _splice(self, text: str, start: int, end: int, left: np.ndarray, begin: int, right: np.ndarray) -> tuple[int, int, int] | None:
-        """Counts of left ids before and right ids before the last stable boundary that both chunks have, and its place."""
-        places = [begin + m.start() for m in _STABLE.finditer(text[begin : end - 1])]
-        if not places:
-            return None
-        lefts, rights = np.cumsum(self.sizes[left]), np.cumsum(self.sizes[right])
-        for at in reversed(places):
-            a, b = len(text[start:at].encode()), len(text[begin:at].encode())
-            i, j = int(np.searchsorted(lefts, a)), int(np.searchsorted(rights, b))
-            if i < len(lefts) and lefts[i] == a and j < len(rights) and rights[j] == b:
-                return i + 1, j + 1, at
+                        break
+                    size = self.overlap
+                    continue
+                begin = max(start + 1, at - self.overlap)
+                stop = self._reach(text, at, self.chunk)
+                right = self.encode(text[begin:stop])
+                if (cut := self._splice(text, start, left, begin, right, at)) is not None:
+                    yield left[: cut[0]]
+                    start, end, left = at, stop, right[cut[1] :]
+                    break
+                size = 2 * (end - at)
+        yield left
+
+    def _stable(self, text: str, low: int, high: int) -> Iterator[int]:
+        """Stable places from ``low`` to ``high`` (included), none inside a special string."""
+        near, far = max(0, low - self.longest), min(len(text), high + self.longest)
+        barred = [m.span() for m in self.special.finditer(text, near, far)]
+        for m in _STABLE.finditer(text, low, min(len(text), high + 1)):
+            if m.start() <= high and not any(a < m.start() < b for a, b in barred):
+                yield m.start()
+
+    def _last_stable(self, text: str, start: int, end: int, size: int) -> int | None:
+        """The last stable place at least ``size`` before ``end`` if there is one after ``start``, looked for in doubling reaches."""
+        high, reach = end - size + self.overlap, self.overlap
+        while high > start:
+            low = max(start + 1, high - reach)
+            places = list(self._stable(text, low, high))
+            if places:
+                return places[-1]
+            high, reach = low - 1, 2 * reach
         return None
 
+    def _reach(self, text: str, start: int, size: int) -> int:
+        """Where a chunk from ``start`` on ends: after ``size`` characters, or later if no stable place lies among them."""
+        end = start + size
+        if end >= len(text) or self._last_stable(text, start, end - 1, self.overlap) is not None:
+            return min(end, len(text))
+        while end < len(text):
+            ahead = min(len(text), end + size)
+            if (at := next(self._stable(text, end, ahead), None)) is not None:
+                return min(len(text), at + self.overlap + 1)
+            end = ahead
+        return len(text)
+
+    def _splice(self, text: str, start: int, left: np.ndarray, begin: int, right: np.ndarray, at: int) -> tuple[int, int] | None:
+        """Counts of left ids before and right ids before ``at``, if both chunks have a boundary there."""
+        found = []
+        for first, ids in ((start, left), (begin, right)):
+            ends, own = np.cumsum(self.sizes[ids]), len(text[first:at].encode())
+            i = int(np.searchsorted(ends, own))
+            if i == len(ends) or ends[i] != own:
+                return None
+            found.append(i + 1)
+        return found[0], found[1]
+
     def ids(self, text: str) -> np.ndarray:
         return np.concatenate(list(self.stream(text)))
 
