@@ -1,22 +1,30 @@
 """Sum-of-squares online packing of token ids into windows of a fixed length.
 
-Each task packs the documents of its input partition as they come, with no shuffle. What a document has beyond whole
-windows is an item; N[h] counts the open windows filled to level h, and the item goes to that level (or to an empty
-window) for which the sum of N[h]^2 over partly filled windows becomes smallest. Ties go to the fullest level. Windows
-still open when the input of a task ends, or when there are ``max_open`` of them (which bounds the memory), are closed
-together: their items are laid end to end and cut at window borders, so at most one window a closing is not full.
+What a document has beyond whole windows is an item; N[h] counts the open windows filled to level h, and the item goes
+to that level (or to an empty window) for which the sum of N[h]^2 over partly filled windows becomes smallest. Ties go
+to the fullest level.
 
-Sequence ids are the partition's number times 2^32 plus a running number: a lost task packs the same rows again and
-gives the same rows.
+Two passes. In the first each task packs the documents of its input partition as they come, with no shuffle, and
+gives out windows as they fill. Items whose windows are still open at its end (a third of the items of a task of 8,000
+documents, less of more) are packed again in the second pass, in few tasks of about ``second_tokens`` ids each. Windows
+that are open at the end of that one stay as they were placed, but for the emptiest: these are taken apart, and cut,
+to fill up the others. So only the last window of a task of the second pass has padding: at most one window for
+``second_tokens`` ids, 0.006 % by default.
 
-Defined cases: a null text counts as empty and is the closing id alone; repeated rows are packed each; an empty table
-gives no rows; other columns are ignored.
+``max_open`` open windows (64 MB) end a pass early in the same way, which bounds the memory where items never fit
+together (all of 600 ids, say).
+
+Sequence ids are the partition's number times 2^32 plus a running number (from 2^62 on in the second pass), and the
+first pass is written to the shared folder: a lost task packs the same rows again and gives the same rows.
+
+Defined cases: a null text counts as empty and is the closing id alone; repeated rows are packed each; a very long text
+is whole windows and one item; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +36,7 @@ from pyspark.sql import types as T
 
 from telemill.llm.token_counts import default_paths, encoder
 from telemill.llm.wordhash import slices
+from telemill.session import materialize
 
 
 class SumOfSquares:
@@ -65,77 +74,129 @@ class SumOfSquares:
         self.n_open += 1
         return None
 
-    def drain(self) -> list:
-        """All items of open windows, fullest windows first."""
-        items = [x for level in sorted(self.open, reverse=True) for pieces in self.open[level] for x in pieces]
+    def drain(self) -> list[list]:
+        """The open windows, fullest first; none is open then."""
+        windows = [pieces for level in sorted(self.open, reverse=True) for pieces in self.open[level]]
         self.open.clear()
         self.levels[:] = 0
         self.n_open = 0
-        return items
-
-
-def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 1024, end_id: int = 0, paths: tuple[str, str] | None = None, max_open: int = 4096, with_ids: bool = True) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids unless ``with_ids`` is off."""
+        return windows
+
+
+def filled_up(windows: list[list[tuple]], window: int) -> Iterator[list[tuple]]:
+    """Open windows (fullest first) of items (key, start, ids, total), the emptiest cut up to fill the others; all but one are full."""
+    rest, spare = deque(windows), []
+    while rest:
+        pieces = rest.popleft()
+        room = window - sum(len(x[2]) for x in pieces)
+        while room and (spare or rest):
+            spare = spare or rest.pop()
+            doc, start, ids, total = spare.pop()
+            pieces.append((doc, start, ids[:room], total))
+            if len(ids) > room:
+                spare.append((doc, start + room, ids[room:], total))
+            room -= min(room, len(ids))
+        yield pieces
+    if spare:
+        yield spare
+
+
+class _Rows:
+    """Rows of pieces as Arrow batches."""
+
+    def __init__(self, schema: T.StructType, kind: pa.DataType, with_ids: bool):
+        self.names, self.kind, self.with_ids = schema.names, kind, with_ids
+        self.rows: list[tuple] = []
+        self.ids: list[np.ndarray | None] = []
+
+    def add(self, doc, start: int, ids: np.ndarray, total: int, sequence: int, offset: int, open_: bool) -> None:
+        self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, offset, open_))
+        self.ids.append(ids if self.with_ids or open_ else None)
+
+    def window(self, pieces: list[tuple], sequence: int) -> None:
+        offset = 0
+        for doc, start, ids, total in pieces:
+            self.add(doc, start, ids, total, sequence, offset, False)
+            offset += len(ids)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 8
+        arrays = [pa.array(columns[0], self.kind), *(pa.array(c, pa.int64()) for c in columns[1:7]), pa.array(columns[7], pa.bool_())]
+        sizes = np.array([0, *(0 if x is None else len(x) for x in self.ids)], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(x for x in self.ids if x is not None)]).astype(np.int32)
+        none = pa.array([x is None for x in self.ids], pa.bool_())
+        arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat), mask=none))
+        self.rows, self.ids = [], []
+        return pa.RecordBatch.from_arrays(arrays, self.names)
+
+
+def pack_documents(
+    df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 1024, end_id: int = 0, paths: tuple[str, str] | None = None,
+    max_open: int = 16_384, second_tokens: int = 1 << 24, with_ids: bool = True,
+) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids unless ``with_ids`` is off.
+
+    Writes the first pass to the shared folder; the result reads it.
+    """
     args = paths or default_paths()
-    slim = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    slim = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     numbers = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    fields = [T.StructField(key, slim.schema[0].dataType), *(T.StructField(n, T.LongType()) for n in numbers)]
-    schema = T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, levels, base, done = encoder(*args), SumOfSquares(window), TaskContext.get().partitionId() << 32, 0
-        kind, rows, kept = None, [], []
-
-        def close(pieces: list) -> None:
-            nonlocal done
-            offset = 0
-            for doc, start, ids, total in pieces:
-                rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, base + done, offset))
-                if with_ids:
-                    kept.append(ids)
-                offset += len(ids)
-            done += 1
-
-        def close_rest() -> None:
-            pieces, room = [], window
-            for doc, start, ids, total in levels.drain():
-                while len(ids):
-                    head, ids = ids[:room], ids[room:]
-                    pieces.append((doc, start, head, total))
-                    start, room = start + len(head), room - len(head)
-                    if not room:
-                        close(pieces)
-                        pieces, room = [], window
-            if pieces:
-                close(pieces)
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])]
-            if with_ids:
-                ends = np.cumsum([0, *map(len, kept)])
-                flat = np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
-            rows.clear()
-            kept.clear()
-            return pa.RecordBatch.from_arrays(arrays, schema.names)
+    fields = [T.StructField("key", slim.schema[0].dataType), *(T.StructField(n, T.LongType()) for n in numbers)]
+    schema = T.StructType([*fields, T.StructField("open", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, levels, at, rows = encoder(*args), SumOfSquares(window), TaskContext.get().partitionId() << 32, None
+
+        def hand_over() -> None:
+            for pieces in levels.drain():
+                for doc, start, ids, total in pieces:
+                    rows.add(doc, start, ids, total, -1, 0, True)
 
         for batch in slices(batches):
-            kind = batch.schema.field(0).type
+            rows = rows or _Rows(schema, batch.schema.field(0).type, with_ids)
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = [*e.stream(body.as_py()), np.array([end_id], np.uint32)]
-                ids = np.concatenate(parts).astype("<u4")
+                ids = np.concatenate([*e.stream(body.as_py()), np.array([end_id], np.uint32)]).astype("<u4")
                 total, whole = len(ids), len(ids) // window * window
-                for at in range(0, whole, window):
-                    close([(doc, at, ids[at : at + window], total)])
-                if whole < total and (full := levels.place(total - whole, (doc, whole, ids[whole:], total))):
-                    close(full)
+                for begin in range(0, whole, window):
+                    rows.window([(doc, begin, ids[begin : begin + window], total)], at)
+                    at += 1
+                if whole < total and (full := levels.place(total - whole, (doc, whole, ids[whole:].copy(), total))):
+                    rows.window(full, at)
+                    at += 1
                 if levels.n_open >= max_open:
-                    close_rest()
-                if len(rows) >= 1024:
-                    yield out()
-        close_rest()
+                    hand_over()
+                if len(rows.rows) >= 1024:
+                    yield rows.batch()
         if rows:
-            yield out()
+            hand_over()
+            yield rows.batch()
 
-    return slim.mapInArrow(run, schema)
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, at, rows = SumOfSquares(window), (1 << 62) | TaskContext.get().partitionId() << 32, None
+        for batch in slices(batches):
+            rows = rows or _Rows(schema, batch.schema.field(0).type, with_ids)
+            for doc, start, total, ids in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                own = ids.values.to_numpy().astype("<u4")
+                if full := levels.place(len(own), (doc, start, own, total)):
+                    rows.window(full, at)
+                    at += 1
+                if levels.n_open >= max_open:
+                    for pieces in filled_up(levels.drain(), window):
+                        rows.window(pieces, at)
+                        at += 1
+                if len(rows.rows) >= 1024:
+                    yield rows.batch()
+        if rows:
+            for pieces in filled_up(levels.drain(), window):
+                rows.window(pieces, at)
+                at += 1
+                if len(rows.rows) >= 1024:
+                    yield rows.batch()
+            yield rows.batch()
+
+    packed = materialize(slim.mapInArrow(first, schema), "packed", by=("open",))
+    items = packed.where("open")
+    tasks = max(1, -(-(items.agg(F.sum("length")).collect()[0][0] or 0) // second_tokens))
+    again = items.select("key", "start", "doc_tokens", "ids").coalesce(tasks).mapInArrow(second, schema)
+    out = [F.col("key").alias(key), *numbers, *["ids"] * with_ids]
+    return packed.where("not open").select(*out).unionByName(again.select(*out))
