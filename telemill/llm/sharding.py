@@ -1,26 +1,35 @@
 """K-d tree partitioning of a corpus into shards of near equal bytes.
 
 A node that must give ``m`` shards is split, along the metadata dimension in which its rows spread widest, at the
-weighted quantile that leaves floor(m / 2) / m of its bytes on the left. The quantile is found by grouped histograms:
-each pass sums the bytes of ``buckets`` slices of the interval that still holds the quantile, and only the slice hit
-goes on, so a pass moves at most nodes x buckets sums and one row per node reaches the driver. The tree (one split per
-shard) is all the driver holds; rows are routed by a broadcast of one level's splits.
+weighted quantile that leaves floor(m / 2) / m of its bytes on the left. One scan of a narrow table a level sums the
+bytes of ``buckets`` slices of every dimension's extent in each open node. The slice that holds the quantile is cut
+there if it has one row or at most ``tolerance`` of the node's bytes; otherwise its own extent is sliced again. Only
+nodes x dimensions x buckets sums are shuffled and one row per node and dimension reaches the driver; rows are routed
+by a broadcast of the level's splits (one number each) and written once a level.
 
-A coordinate is the position of the value in the range of its dimension (2^20 steps) followed by a hash of the key,
-so that a value shared by many rows, such as a source with a third of them, can be split anywhere.
+Bound: a split is off by half a slice at most, so each side by ``tolerance`` / 2 of the node's bytes or half a row. Over
+the log2(shards) levels shards differ by about ``tolerance`` x shards from the mean, and by the largest rows beyond that.
+
+A coordinate is the position of the value in the range of its dimension (2^20 steps), then hashes of the text, the key
+and the row. So a value shared by many rows, such as a source with a third of them, can be split anywhere, and rows of
+equal text and metadata lie together: only a cut that falls within such a group parts it, as equal bytes need where the
+group is larger than a shard.
 
 Slots are dealt by counting small chunks (by hash of the key) of each shard, so no task sorts a whole shard.
 
-Defined cases: null texts have no bytes; null metadata lies at the start of its range; equal rows may part; an empty
-table gives no rows; extra columns are ignored.
+Defined cases: null texts have no bytes; null metadata lies at the start of its range; rows of one key and text may
+part; a very long text is one row, and its shard is larger by what it has; an empty table gives no rows; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.session import materialize
+from telemill.session import discard, materialize
 
 _STEPS = 1 << 20
 
@@ -41,71 +50,91 @@ def _measured(df: DataFrame, key: str, text: str, dims: dict[str, Column], overh
 
 def _coordinates(rows: DataFrame, n_dims: int) -> DataFrame:
     ends = rows.agg(*[f(f"d{i}").alias(f"{n}{i}") for i in range(n_dims) for n, f in (("low", F.min), ("high", F.max))]).collect()[0]
-    fine = F.shiftrightunsigned(F.xxhash64("key", "crc"), 42) * 1024 + F.shiftrightunsigned(F.xxhash64("at"), 54)
+    bits = lambda n, *columns: F.shiftrightunsigned(F.xxhash64(*columns), 64 - n)
+    fine = (bits(14, "crc", "size") * 512 + bits(9, "key", "crc")) * 512 + bits(9, "at")
     made = []
     for i in range(n_dims):
         low, high = ends[f"low{i}"] or 0.0, ends[f"high{i}"] or 0.0
         place = F.coalesce((F.col(f"d{i}") - low) / ((high - low) or 1.0), F.lit(0.0))
         made.append((F.floor(place * (_STEPS - 1)) + fine / F.lit(float(1 << 32))) / _STEPS)
-    return rows.select("key", "size", "crc", F.array(*made).alias("c"))
+    return rows.select("key", "size", "crc", F.array(*made).alias("c"), F.lit(0).alias("node"))
+
+
+def _slices(rows: DataFrame, asked: list[tuple], buckets: int) -> dict[tuple[int, int], tuple]:
+    """For each asked (node, dim, low, high, below, share): bytes and extent of the range, and the slice that its quantile is in.
+
+    ``below`` are bytes of the node before the range (-1: the range is the node, and ``share`` of its bytes is wanted
+    on the left), ``share`` the bytes wanted on the left otherwise.
+    """
+    level = rows.sparkSession.createDataFrame(asked, "node int, dim int, low double, high double, below double, share double")
+    x = F.element_at("c", F.col("dim") + 1)
+    inside = rows.join(F.broadcast(level), "node").withColumn("x", x).where((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
+    width = F.greatest(F.col("high") - F.col("low"), F.lit(5e-324))
+    slot = F.least(F.floor((F.col("x") - F.col("low")) / width * buckets), F.lit(buckets - 1)).cast("int")
+    sums = inside.groupBy("node", "dim", "below", "share", slot.alias("slot")).agg(
+        F.sum("size").alias("w"), F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")
+    )
+    of = Window.partitionBy("node", "dim")
+    target = F.when(F.col("below") < 0, F.col("share") * F.sum("w").over(of)).otherwise(F.col("share"))
+    through = F.greatest(F.col("below"), F.lit(0.0)) + F.sum("w").over(of.orderBy("slot"))
+    hit = F.struct("slot", "w", "n", "a", "b", "through", "target")
+    found = sums.withColumn("target", target).withColumn("through", through).groupBy("node", "dim").agg(
+        F.sum("w").alias("w"), F.min("a").alias("low"), F.max("b").alias("high"), F.min(F.when(F.col("through") >= F.col("target"), hit)).alias("hit"), F.max(hit).alias("last")
+    )
+    return {(r["node"], r["dim"]): (float(r["w"]), r["low"], r["high"], r["hit"] or r["last"]) for r in found.collect()}
 
 
-def _quantiles(rows: DataFrame, wanted: dict[int, tuple[int, float, float]], buckets: int, passes: int, tolerance: float) -> dict[int, float]:
-    """For each node the coordinate that leaves the wanted bytes on its left; ``wanted`` has dimension, bytes left, all bytes."""
-    spark = rows.sparkSession
-    state = {n: (0.0, 1.0, 0.0) for n in wanted}  # low, high, bytes below low
-    split: dict[int, float] = {}
+def _cuts(rows: DataFrame, open_: dict[int, int], n_dims: int, buckets: int, passes: int, tolerance: float) -> dict[int, tuple[int, float]]:
+    """The dimension and coordinate at which each open node (first shard, with its shards) is split; rows from the coordinate on go right."""
+    seen = _slices(rows, [(n, d, 0.0, 1.0, -1.0, (m // 2) / m) for n, m in open_.items() for d in range(n_dims)], buckets)
+    nodes = {n for n, _ in seen}
+    dim = {n: max(range(n_dims), key=lambda d, n=n: (seen[n, d][2] - seen[n, d][1], -d)) for n in nodes}
+    total = {n: seen[n, dim[n]][0] for n in nodes}
+    state = {n: seen[n, dim[n]][3] for n in nodes}
+    cuts: dict[int, tuple[int, float]] = {}
     for step in range(passes):
-        if not state:
-            break
-        level = spark.createDataFrame([(n, wanted[n][0], a, b, w, wanted[n][1]) for n, (a, b, w) in state.items()], "node int, dim int, low double, high double, below double, target double")
-        at = F.element_at("c", F.col("dim") + 1)
-        inside = rows.join(F.broadcast(level), "node").withColumn("x", at).where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-        slot = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * buckets), F.lit(buckets - 1)).cast("int")
-        sums = inside.groupBy("node", "low", "high", "below", "target", slot.alias("slot")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
-        through = F.col("below") + F.sum("w").over(Window.partitionBy("node").orderBy("slot"))
-        hit = sums.withColumn("through", through).where("through >= target").groupBy("node").agg(F.min_by(F.struct("slot", "w", "n", "through"), "slot").alias("h"))
-        found = {r["node"]: r["h"] for r in hit.collect()}
-        for n, (low, high, _) in list(state.items()):
-            if (h := found.get(n)) is None:
-                split[n] = high
-                del state[n]
-                continue
-            width = (high - low) / buckets
-            a, b, before = low + h["slot"] * width, low + (h["slot"] + 1) * width, h["through"] - h["w"]
-            if h["n"] == 1 or h["w"] <= tolerance * wanted[n][2] or step == passes - 1:  # one row can't be split
-                split[n] = a if wanted[n][1] - before <= h["through"] - wanted[n][1] else b
-                del state[n]
+        ask = []
+        for n, hit in state.items():
+            before = hit["through"] - hit["w"]
+            if hit["n"] == 1 or hit["a"] == hit["b"] or hit["w"] <= tolerance * total[n] or step == passes - 1:
+                left = hit["target"] - before <= hit["through"] - hit["target"]
+                cuts[n] = dim[n], hit["a"] if left else math.nextafter(hit["b"], 2.0)
             else:
-                state[n] = (a, b, before)
-    return split
+                ask.append((n, dim[n], hit["a"], hit["b"], before, hit["target"]))
+        if not ask:
+            break
+        state = {n: x[3] for (n, _), x in _slices(rows, ask, buckets).items()}
+    return cuts
 
 
-def kd_shards(df: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", n_shards: int | None = None, target_bytes: int | None = None, overhead: int = 8, buckets: int = 1024, passes: int = 5, tolerance: float = 2e-4, chunk_rows: int = 20_000) -> DataFrame:
+def kd_shards(
+    df: DataFrame, dims: dict[str, Column], key: str = "doc_id", text: str = "text", n_shards: int | None = None, target_bytes: int | None = None, overhead: int = 8,
+    buckets: int = 256, passes: int = 6, tolerance: float = 5e-4, chunk_rows: int = 20_000,
+) -> DataFrame:
     """key, size, text_crc32, shard and slot (gapless from 0 in a shard) for every row.
 
     Either ``n_shards`` or ``target_bytes`` is given; the latter means the bytes of all rows over it, rounded up.
     """
     spark = df.sparkSession
-    rows = _measured(df, key, text, dims, overhead)
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).collect()[0]
+    measured = _measured(df, key, text, dims, overhead)
+    total, count = measured.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).collect()[0]
     shards = n_shards or max(1, -(-total // target_bytes))
-    rows = _coordinates(rows, len(dims)).withColumn("node", F.lit(0))
+    rows = materialize(_coordinates(measured, len(dims)), "level")
+    discard(measured)
     open_ = {0: shards}  # a node is the number of its first shard; with the shards that it gives
-    while count and any(m > 1 for m in open_.values()):
-        ranges = [F.max(F.element_at("c", i + 1)) - F.min(F.element_at("c", i + 1)) for i in range(len(dims))]
-        seen = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), F.array(*ranges).alias("r")).collect()}
-        wanted = {n: (max(range(len(dims)), key=lambda i, r=seen[n]["r"]: r[i]), seen[n]["w"] * (m // 2) / m, float(seen[n]["w"])) for n, m in open_.items() if m > 1 and n in seen}
-        if not wanted:
+    while count and (wide := {n: m for n, m in open_.items() if m > 1}):
+        cuts = _cuts(rows, wide, len(dims), buckets, passes, tolerance)
+        if not cuts:
             break
-        cuts = _quantiles(rows, wanted, buckets, passes, tolerance)
-        level = spark.createDataFrame([(n, wanted[n][0], cuts[n], n + open_[n] // 2) for n in wanted], "node int, dim int, cut double, other int")
+        level = spark.createDataFrame([(n, d, x, n + open_[n] // 2) for n, (d, x) in cuts.items()], "node int, dim int, cut double, other int")
         right = F.element_at("c", F.coalesce("dim", F.lit(0)) + 1) >= F.col("cut")
-        rows = rows.join(F.broadcast(level), "node", "left").withColumn("node", F.when(right, F.col("other")).otherwise(F.col("node"))).select("key", "size", "crc", "c", "node")
+        routed = rows.join(F.broadcast(level), "node", "left").withColumn("node", F.when(right, F.col("other")).otherwise(F.col("node")))
+        after = materialize(routed.select("key", "size", "crc", "c", "node"), "level")
+        discard(rows)
+        rows = after
         open_ = {x: k for n, m in open_.items() for x, k in ([(n, m // 2), (n + m // 2, m - m // 2)] if m > 1 else [(n, m)])}
-    placed = materialize(rows.select("key", "size", "crc", F.col("node").alias("shard"), F.lit(0).alias("_")).drop("_"), "placed")
     parts = max(1, -(-count // (shards * chunk_rows)))
-    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("key", "crc"), F.lit(parts)).cast("int"))
+    chunked = rows.select("key", "size", "crc", F.col("node").alias("shard"), F.pmod(F.xxhash64("key", "crc"), F.lit(parts)).cast("int").alias("chunk"))
     sizes = chunked.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     first = sizes.select("shard", "chunk", (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("first"))
     own = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("key", "crc", "size"))

@@ -1,12 +1,14 @@
 import base64
+import functools
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.llm import sharding, warc
+from telemill.llm import sharding, skew, warc
 from telemill.session import scratch_path
 
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello"
@@ -44,6 +46,26 @@ def test_round_trip_with_version_lines_inside_payloads(spark, block):
     assert sorted(((int(r.id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in got), key=str) == expected(rows)
 
 
+@pytest.mark.parametrize("least", [1000, 2])
+def test_many_repeated_payloads_are_joined_by_shuffle(spark, monkeypatch, least):
+    monkeypatch.setattr(warc, "hot_keys", functools.partial(skew.hot_keys, least=least))
+    rows = PAGES + [(100 + i, "u", f"<p>{i % 9}</p>") for i in range(90)] + [(None, "u", "<p>one</p>")]
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path, broadcast_rows=0)
+    got = warc.read_warc(spark, path).collect()
+    want = [(None if r[0] is None else r[0], *r[1:]) for r in expected([r for r in rows if r[0] is not None])]
+    assert sorted(((int(r.id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in got if r.id), key=str) == want
+    assert [(r.record_type, r.refers_to) for r in got if not r.id] == [("revisit", "1")]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "u", "x" * 3_000_000, "a", "b"), (2, "u", "WARC/1.1\r\n" * 100_000, "a", "b"), (3, "u", "x" * 3_000_000, "a", "b")]
+    path = scratch_path(spark, "test-warc")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string, digest string, size string"), path)
+    got = warc.read_warc(spark, path).collect()
+    assert sorted((int(r.id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in got) == expected([r[:3] for r in rows])
+
+
 def test_empty_archive(spark):
     path = scratch_path(spark, "test-warc")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -68,6 +90,50 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def split_plainly(points, node, m, out):
+    """The k-d tree over all rows at once: points are (coordinates, size, key)."""
+    if m == 1:
+        out.update({key: node for _, _, key in points})
+        return
+    spread = [max(c[d] for c, _, _ in points) - min(c[d] for c, _, _ in points) for d in range(len(points[0][0]))]
+    d = spread.index(max(spread))
+    points = sorted(points, key=lambda p: p[0][d])
+    want, before, at = sum(p[1] for p in points) * (m // 2) / m, 0, 0
+    while at < len(points) and before + points[at][1] < want:
+        before += points[at][1]
+        at += 1
+    at += int(want - before > before + points[at][1] - want)
+    split_plainly(points[:at], node, m // 2, out)
+    split_plainly(points[at:], node + m // 2, m - m // 2, out)
+
+
+@pytest.mark.parametrize("n", [2, 7, 16])
+def test_against_a_plain_tree(spark, n):
+    rnd = random.Random(n)
+    docs = [(i, "x" * rnd.randrange(2000), float(rnd.randrange(50)), rnd.random()) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, u double, v double")
+    dims = {"u": F.col("u"), "v": F.col("v")}
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(df, dims, n_shards=n, tolerance=0.0, passes=12).collect()}
+    made = sharding._coordinates(sharding._measured(df, "doc_id", "text", dims, 8), 2).collect()
+    want = {}
+    split_plainly([(r.c, r.size, r.key) for r in made], 0, n, want)
+    assert got == want
+
+
+def test_equal_texts_lie_together_but_for_cuts(spark):
+    docs = [(i, f"text {i % 400} " * 9, "s") for i in range(4000)]
+    by = defaultdict(set)
+    for r in shards(spark.createDataFrame(docs, "doc_id long, text string, source string"), 5):
+        by[r.doc_id % 400].add(r.shard)
+    assert sum(len(s) > 1 for s in by.values()) <= 4
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    docs = [(i, "y" * (5_000_000 if i == 3 else 100), "s", "a", "b", "c") for i in range(50)]
+    got = shards(spark.createDataFrame(docs, "doc_id long, text string, source string, node string, shard string, size string"), 2)
+    assert sorted(Counter(r.shard for r in got)) == [0, 1] and len(got) == 50
+
+
 def test_equal_rows_part(spark):
     by = Counter(r.shard for r in shards(spark.createDataFrame([(7, "same", "s")] * 3000, "doc_id long, text string, source string"), 3))
     assert len(by) == 3 and max(by.values()) < 1.2 * min(by.values())
