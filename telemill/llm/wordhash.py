@@ -66,11 +66,12 @@ class Words:
         return mix(total + np.uint64(k))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of few rows, so that Python objects are made for those alone."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows and about ``most`` bytes, so that Python objects are made for those alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, most * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def blocks(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
