@@ -10,12 +10,14 @@ prefix of a window, in order of rarity, is its rarest shingle:
 4. the place must leave room for the window before and after (positional and length bounds), and the words there must
    equal the words of the window, so no result rests on a hash.
 
-The scan takes the item shingles as a broadcast only if there are at most ``broadcast_limit`` (8 bytes each);
-beyond that it keeps all places and the join on the shuffled shingles does the rest.
+The scan takes the item shingles as a broadcast only if there are at most ``broadcast_limit`` (8 bytes each, and as
+many in Arrow batches on the driver); beyond that it keeps all places and the join on the shuffled shingles does the
+rest. Shingles that are the rarest of a window and still common are joined in parts.
 
 Words: after lowering A-Z, runs of digits, ASCII letters and characters beyond ASCII. Defined cases: null texts have no
-words; rows with a null item id are ignored; equal item ids count once; repeated document rows are judged each; an
-empty benchmark finds nothing; extra columns are ignored.
+words; rows with a null item id are ignored; equal item ids count once; repeated document rows are judged each; a very
+long text is scanned whole and leaves segments of at most 64 places; an empty benchmark finds nothing, an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.llm.skew import hot_keys, salted_join
 from telemill.llm.wordhash import ALNUM, Words, blocks, slices
 from telemill.session import materialize
 
@@ -131,8 +134,8 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """Documents (uid, key, n_words), spans (uid, start, size: words of a document that equal a window) and pairs (uid, item)."""
     windows = materialize(item_windows(items, item_key, item_text, n, k), "item-windows")
     distinct = windows.dropDuplicates(["window"]).select("window", "size", F.explode("shingles").alias("s")).select("window", "size", "s.at", "s.h")
-    hashes = distinct.select("h").distinct().limit(broadcast_limit + 1).collect()
-    wanted = np.sort(np.array([r.h for r in hashes], np.int64).view(np.uint64)) if len(hashes) <= broadcast_limit else None
+    own = materialize(distinct.select("h").distinct(), "item-shingles")
+    wanted = np.sort(own.toArrow()["h"].to_numpy().view(np.uint64)) if own.count() <= broadcast_limit else None
     ks = [min(k, r["size"]) for r in windows.select(F.least("size", F.lit(k)).alias("size")).distinct().collect()]
     scanned = materialize(scan_places(docs, key, text, n, sorted(ks), wanted), "places")
     segments = scanned.where("words is not null")
@@ -140,8 +143,9 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     rarest = (
         distinct.join(counts, "h", "left").groupBy("window", "size")
         .agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h", "at")).alias("r"))
-        .where("r.c > 0").select("window", "size", F.col("r.h").alias("h"), F.col("r.at").alias("at"))
+        .where("r.c > 0").select("window", "size", F.col("r.h").alias("h"), F.col("r.at").alias("at"), F.col("r.c").alias("c"))
     )
+    rarest = materialize(rarest, "rarest")
     near = F.transform(
         "places",
         lambda p: F.struct(
@@ -149,7 +153,8 @@ def overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
             F.slice("words", F.greatest(p["at"] - n, F.lit(0)) + 1, F.lit(2 * n)).alias("around"),
         ),
     )
-    candidates = segments.select("uid", "n_words", F.explode(near).alias("p")).select("uid", "n_words", "p.*").join(rarest, "h")
+    near_places = segments.select("uid", "n_words", F.explode(near).alias("p")).select("uid", "n_words", "p.*")
+    candidates = salted_join(near_places, rarest.drop("c"), ["h"], hot_keys(rarest, ["h"], "c"), F.col("uid"))
     begin = F.col("before") - F.col("at")
     spans = candidates.where((begin >= 0) & (begin + F.col("size") <= F.size("around")) & (F.col("size") <= F.col("n_words"))).where(
         F.array_join(F.slice("around", begin + 1, F.col("size")), " ") == F.col("window")
