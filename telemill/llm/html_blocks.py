@@ -1,14 +1,16 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
-A page is cut at block-level tags into flat blocks. Each has its number of words, its link density (words in links
-over words), the same two of both neighbours, whether it stands inside page furniture (by element or role) or inside
-an article, how far class and id words name it furniture (see ``weigh_names``), and whether it is a heading. A decision tree (Spark ML, trained on the small labelled
-table below) says which blocks are main text. Pages are read one at a time inside mapInArrow with no shuffle; the
-fitted tree is a list of thresholds.
+A page is cut at block-level tags into flat blocks. Each has its number of words and its link density (words in links
+over words), those of both neighbours, and the words of link-poor text in the two blocks on either side. Further
+features are its sentence marks a word, its place in the page, how much of the page's text shares its container,
+whether it stands in furniture by element or role, in the article or outside of it, how far class and id words name it
+furniture (see ``weigh_names``), and whether it is a heading. A decision tree (Spark ML, trained on the labelled table
+of ``page_table``: 1,200 pages by default) says which blocks are main text. Pages are read one at a time inside
+mapInArrow with no shuffle; the fitted tree is a list of thresholds.
 
 Defined cases: a null or empty page has an empty text; unclosed elements end with the page; unclosed scripts, styles
-and comments hide the rest of it; repeated rows are read each; other columns pass through (a column named as the
-result is replaced).
+and comments hide the rest of it; repeated rows are read each; a very long page is read whole by one task; an empty
+table gives no rows; other columns pass through (a column named as the result is replaced).
 """
 
 from __future__ import annotations
@@ -25,9 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.llm import page_table
 from telemill.llm.wordhash import slices
 
-FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "furniture", "named", "article", "heading"]
+FEATURES = [
+    "words", "links", "prev_words", "prev_links", "next_words", "next_links", "near_words", "marks_a_word", "before", "kin", "furniture", "named", "article", "heading",
+]
 
 # Element names of HTML by their role here, and words of class and id names that mark page furniture.
 _HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|title|select|option|datalist"
@@ -46,6 +51,8 @@ _FURNITURE_WORDS = (
 # Lists of entries: an article inside one, or named so, is an entry and not the page's own.
 _LISTS = frozenset("ad ads advert adverts advertisement comment comments disqus promo promotion recommended related sponsor sponsored".split())
 _WHOLE = frozenset("html body main article".split())
+# Words of layout that say nothing of what an element holds.
+_LAYOUT = frozenset("area bar block box buttons container icons inner item items links list posts section slot wrap wrapper".split())
 _MODIFIERS = frozenset("has no not with without is js".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -56,6 +63,9 @@ _TAG = re.compile(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _BODY = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.IGNORECASE)
 _WORDS = frozenset(_FURNITURE_WORDS.split())
+#: Elements that hold blocks of one kind rather than set them apart.
+_INNER = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption center caption tr td th tbody thead tfoot hr details summary hgroup header".split())
+_MARK = re.compile(r"[.!?…:;。！？।؟](?=\W|$)")
 _HIDES = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 
@@ -69,12 +79,13 @@ class Block:
     heading: int
     marks: tuple = ()
     named: float = 0.0
+    holder: int = 0
 
 
 def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, list[tuple[str, bool]]]:
     """Whether an element is page furniture by its role or hidden, and its class and id tokens that hold furniture words.
 
-    A token comes as (key, plain): plain if it holds nothing but such words; the key of one that has other words before
+    A token comes as (key, plain): plain if it holds nothing but such words and words of layout; the key of one that has other words before
     them ends with the last of them (x-widget-text and x-widget-head share one). Names that only modify (has-sidebar,
     page-no-ads) don't count, nor do headers in articles. Whole-page elements are never furniture themselves.
     """
@@ -89,7 +100,7 @@ def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, list[tup
             parts = [x for x in re.split(r"[^a-z]+", token) if x]
             places = [i for i, x in enumerate(parts) if x in _WORDS and not (in_article and x == "header")]
             if places and not _MODIFIERS.intersection(parts[: places[0]]):
-                found.append(("-".join(parts[: places[-1] + 1] if places[0] else parts), len(places) == len(parts)))
+                found.append(("-".join(parts[: places[-1] + 1] if places[0] else parts), len(places) + sum(x in _LAYOUT for x in parts) == len(parts)))
     return name not in _WHOLE and bool(_HIDES.search(attributes)), found
 
 
@@ -116,10 +127,10 @@ def weigh_names(blocks: list[Block]) -> None:
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, tuple]] = []  # element, furniture and article depth and marks by name inside it
+    stack: list[tuple[str, int, int, tuple, int]] = []  # element, furniture and article depth, marks by name and container inside it
     parts: list[str] = []
     linked: list[str] = []
-    furniture = article = heading = link = 0
+    furniture = article = heading = link = holder = holders = 0
     marks: tuple = ()
     at = 0
 
@@ -129,7 +140,7 @@ def blocks_of(page: str) -> list[Block]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), int(furniture > 0), int(article > 0), heading, marks))
+                out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), int(furniture > 0), int(article > 0), heading, marks, holder=holder))
             parts, linked = [], []
 
     def text(piece: str) -> None:
@@ -172,8 +183,11 @@ def blocks_of(page: str) -> list[Block]:
                 inside: tuple = ()
             else:
                 inside = marks if name in _WHOLE else (*marks, *names)
-            stack.append((name, int(furniture + (barred or name in _FURNITURE and not (name == "header" and article))), int(article + (name in _ARTICLE or body)), inside))
-        furniture, article, marks = stack[-1][1:] if stack else (0, 0, ())
+            apart = name not in _INNER or bool(names)
+            holders += apart
+            is_furniture = barred or name in _FURNITURE and not (name == "header" and article)
+            stack.append((name, int(furniture + is_furniture), int(article + (name in _ARTICLE or body)), inside, holders if apart else holder))
+        furniture, article, marks, holder = stack[-1][1:] if stack else (0, 0, (), 0)
         link = 0
     if at < len(page):
         tail = page[at:]
@@ -184,46 +198,52 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def vectors(blocks: list[Block]) -> list[tuple]:
-    """The features of each block, neighbours included (0 words and links beyond either end)."""
+    """The features of each block, neighbours included (0 words and links beyond either end).
+
+    ``article`` is -1 for blocks outside of the article or main element that a page has. ``kin`` is the share of the
+    page's link-poor words, furniture elements left out, that has the block's container.
+    """
     ends = Block("", 0, 0.0, 0, 0, 0)
-    around = [ends, *blocks, ends]
-    return [
-        (float(b.words), b.links, float(p.words), p.links, float(n.words), n.links, float(b.furniture), b.named, float(b.article), float(b.heading))
-        for p, b, n in zip(around, blocks, around[2:], strict=False)
-    ]
-
-
-# The labelled table, written as pages of (is main text, markup of one block).
-_S = "Some plain words that make a sentence of ordinary length for a paragraph of prose. "
-LABELLED = [
-    [(0, "<nav><ul><li><a href=/>Home</a>"), (0, "<li><a href=/n>News</a></ul></nav>"), (1, "<article><h1>A title of some words</h1>"), (1, f"<p>{_S * 3}</p>"), (1, f"<p>{_S}</p>"), (1, "<p>Short.</p>"), (1, "<h2>Part two</h2>"), (1, f"<p>{_S * 6}</p></article>"), (0, "<footer>Copyright of the site, all rights</footer>")],
-    [(0, "<div class=cookie>We use cookies to make this site work for you, please agree.</div>"), (0, "<div class=menu><a href=/>Start</a> <a href=/b>More</a></div>"), (1, f"<div><p>{_S * 4}</p>"), (1, f"<p>{_S * 2} <a href=/x>one link</a></p>"), (1, f"<p>{_S * 3}</p></div>"), (0, "<div class=sidebar><p>Popular now on this site</p></div>"), (0, "<div id=footer>Contact us by mail</div>")],
-    [(0, "<header>The name of the site</header>"), (0, f"<aside>{_S}</aside>"), (1, f"<main><p>{_S * 2}</p>"), (1, f"<blockquote>{_S}</blockquote>"), (1, "<p>Yes.</p>"), (1, f"<p>{_S * 5}</p></main>"), (0, f"<div class=comments><p>{_S * 2}</p></div>")],
-    [(0, "<ul><li><a href=/a>First link</a>"), (0, "<li><a href=/b>Second link here</a>"), (0, "<li><a href=/c>Third</a></ul>"), (1, f"<p>{_S * 5}</p>"), (1, f"<p>{_S * 2}</p>"), (0, "<p><a href=/1>Read more of this</a> <a href=/2>Next page</a></p>"), (0, "<p>Terms</p>")],
-    [(0, "<form><p>Your name and mail address please</p></form>"), (0, f"<div class=ad>{_S}</div>"), (1, "<article><h1>Title</h1>"), (1, "<p>One line only here.</p>"), (0, f"<div class=ad>{_S * 2}</div>"), (1, f"<p>{_S}</p>"), (0, f"<div class=newsletter>{_S}</div>"), (1, "<ul><li>A point in the list</ul></article>"), (0, f"<section id=related><p>{_S}</p></section>")],
-    [(0, "<div class=banner>Advertisement</div>"), (1, "<h1>What happened on that day</h1>"), (1, f"<p>{_S * 8}</p>"), (1, f"<p>{_S * 4}</p>"), (0, "<div><a href=/x>Share</a> <a href=/y>Print</a></div>"), (0, "<div>Imprint</div>")],
-    [(0, f"<footer><p>{_S * 4}</p>"), (0, f"<p>{_S * 2}</p></footer>"), (0, f"<nav>{_S * 2}</nav>"), (1, f"<article>{_S}"), (1, "<p>Word</p>"), (1, f"<p><a href=/s>{_S}</a></p>"), (1, f"<p>{_S}</p></article>")],
-    [(0, f"<aside><p>{_S * 3}</p>"), (0, f"<p>{_S * 5}</p></aside>"), (0, f"<div class=notice>{_S * 2}</div>"), (1, f"<p>{_S * 2}</p>"), (1, f"<p>{_S * 3}</p>"), (0, f"<form>{_S * 3}</form>")],
-    [(0, "<nav><a href=/>Home</a></nav>"), (1, "<div class=content-sidebar-wrap><div class=entry><h1>A title of it</h1>"), (1, f"<p>{_S * 4}</p>"), (1, "<p>Short one.</p>"), (1, f"<p>{_S * 2}</p></div>"), (0, "<div class=sidebar><p>Popular now</p>"), (0, f"<p>{_S}</p></div></div>")],
-    [(0, "<div class='x-widget x-widget-nav-menu'><a href=/>Home</a> <a href=/n>News</a></div>"), (1, "<div class='x-widget x-widget-heading'><h2>Head of the page</h2></div>"), (1, f"<div class='x-widget x-widget-text'><p>{_S * 3}</p></div>"), (1, f"<div class='x-widget x-widget-text'><p>{_S}</p></div>"), (1, f"<div class='x-widget x-widget-text'><p>{_S * 5}</p></div>"), (0, f"<div class='x-widget x-widget-form'>{_S}</div>")],
-    [(1, "<h1>What they say</h1>"), (1, f"<p>{_S * 5}</p>"), (1, f"<p>{_S * 4}</p>"), (0, f"<div class=comments-area><p>{_S * 6}</p>"), (0, f"<p>{_S * 3}</p></div>")],
-    [(0, "<div class=top><a href=/>Start</a> <a href=/b>More of it</a></div>"), (1, "<div class='layout sidebar-left'><h1>Title</h1>"), (1, f"<p>{_S * 2}</p>"), (1, f"<p>{_S}</p></div>")],
-]
+    around = [ends, ends, *blocks, ends, ends]
+    plain = [b.words if b.links < 0.34 else 0 for b in around]
+    inside = any(b.article and not b.furniture for b in blocks)
+    held: dict[int, int] = {}
+    for b, n in zip(around, plain, strict=True):
+        if not b.furniture:
+            held[b.holder] = held.get(b.holder, 0) + n
+    total, prose, seen, out = max(1, sum(b.words for b in blocks)), max(1, sum(held.values())), 0, []
+    for i, b in enumerate(blocks):
+        p, n = around[i + 1], around[i + 3]
+        near = sum(plain[i : i + 5]) - plain[i + 2]
+        marks = len(_MARK.findall(b.text)) / b.words
+        at = 1 if b.article else -1 if inside else 0
+        out.append(tuple(map(float, (
+            b.words, b.links, p.words, p.links, n.words, n.links, near, marks, seen / total, held.get(b.holder, 0) / prose, b.furniture, b.named, at, b.heading,
+        ))))
+        seen += b.words
+    return out
 
 
-def labelled_table(spark: SparkSession) -> DataFrame:
-    """The labelled blocks with their features."""
+def table_rows(pages: list[list[tuple[int | None, str]]]) -> list[tuple]:
+    """Features and label of every block of labelled pages."""
     rows = []
-    for page in LABELLED:
+    for page in pages:
         found = blocks_of("".join(markup for _, markup in page))
-        rows += [(*v, float(label)) for v, (label, _) in zip(vectors(found), page, strict=True)]
-    return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in [*FEATURES, "label"]))
+        labels = [label for label, _ in page if label is not None]
+        rows += [(*v, float(label)) for v, label in zip(vectors(found), labels, strict=True)]
+    return rows
+
+
+def labelled_table(spark: SparkSession, seed: int = 1, pages: int = 1200) -> DataFrame:
+    """The labelled blocks with their features."""
+    columns = zip(*table_rows(page_table.pages(seed, pages)), strict=True)
+    return spark.createDataFrame(pa.table(dict(zip([*FEATURES, "label"], map(pa.array, columns), strict=True))))
 
 
-def fit_tree(labelled: DataFrame, max_depth: int = 5) -> list[tuple[int, float, int, int, int]]:
+def fit_tree(labelled: DataFrame, max_depth: int = 9, least_rows: int = 8) -> list[tuple[int, float, int, int, int]]:
     """A decision tree as nodes (feature, threshold, left, right, label); feature -1 marks a leaf."""
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled)
-    model = DecisionTreeClassifier(maxDepth=max_depth, seed=1).fit(data)
+    model = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=least_rows, maxBins=128, seed=1).fit(data)
     nodes: list[tuple] = []
 
     def walk(node) -> int:
