@@ -9,7 +9,8 @@ x P(language | host).
   distribution, so text that fits no language better than chance is not forced into one; it starts from long odds
   (``und_odds``), so a number or key inside a short text doesn't decide.
 * Host priors are computed by grouped aggregation over all rows: the languages that texts of a host show by
-  themselves, smoothed towards those of its domain (the last two labels), and these towards those of all rows.
+  themselves, smoothed towards those of its domain (see ``domain_of``; left out for a host that is its own domain), and
+  these towards those of all rows.
 * Declared languages and suffixes count with fixed trust, as rows may claim what they like.
 
 Two scans score texts (one for the priors, one for the verdict), so no text is shuffled. Host priors are joined by
@@ -17,7 +18,9 @@ broadcast only while there are at most ``broadcast_hosts`` hosts (of 64 language
 
 Defined cases: a null, empty or wordless text has no text evidence, its language is "und" and it is not kept; null
 declared languages, addresses and hosts give no evidence (null hosts share one prior); repeated rows are judged each;
-with no labelled row at all every language is "und"; extra columns stay, result columns replace those of their name.
+of equal posteriors the language first in the alphabet counts; with no labelled row at all every language is "und"; a
+very long text is counted whole; an empty table gives no rows; extra columns stay, result columns replace those of
+their name.
 """
 
 from __future__ import annotations
@@ -32,8 +35,15 @@ from pyspark.sql import functions as F
 from telemill.session import materialize
 
 _BUCKETS = 4096
-# Country suffixes and the language they stand for.
-SUFFIXES = {"at": "de", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "uk": "en", "us": "en"}
+# Country suffixes with one main written language, that language by its code, and labels registries sell under.
+SUFFIXES = {
+    "al": "sq", "ar": "es", "at": "de", "bg": "bg", "bo": "es", "br": "pt", "by": "ru", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cu": "es", "cz": "cs", "de": "de",
+    "dk": "da", "do": "es", "ec": "es", "ee": "et", "eg": "ar", "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "gt": "es", "hk": "zh", "hr": "hr", "hu": "hu", "id": "id",
+    "ie": "en", "il": "he", "ir": "fa", "is": "is", "it": "it", "jp": "ja", "kr": "ko", "li": "de", "lt": "lt", "lv": "lv", "ma": "ar", "mx": "es", "nl": "nl", "no": "no",
+    "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "py": "es", "ro": "ro", "rs": "sr", "ru": "ru", "sa": "ar", "se": "sv", "si": "sl", "sk": "sk", "th": "th", "tr": "tr",
+    "tw": "zh", "ua": "uk", "uk": "en", "us": "en", "uy": "es", "ve": "es", "vn": "vi", "au": "en",
+}
+_SOLD = ("ac", "co", "com", "edu", "go", "gob", "gov", "ne", "net", "or", "org")
 UND = "und"
 
 
@@ -104,7 +114,19 @@ def host_of(address: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The last two labels; three where the last but one is a registry's (example.co.uk)."""
+    sold = F.element_at(F.split(host, "\\."), -2).isin(*_SOLD) & (F.length(F.substring_index(host, ".", -1)) == 2)
+    return F.when((F.size(F.split(host, "\\.")) > 2) & sold, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
+def declared_language(page: Column) -> Column:
+    """The language that the html element of a page declares; empty if none."""
+    return F.regexp_extract(page, "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z-]+)", 1)
+
+
+def visible_text(page: Column) -> Column:
+    """A page without scripts, styles, comments and tags."""
+    return F.regexp_replace(page, "(?is)<(script|style)\\b.*?(</\\1\\s*>|\\z)|<!--.*?(-->|\\z)|<[^>]*>", " ")
 
 
 def _best(scores: Column) -> Column:
@@ -133,11 +155,11 @@ def host_priors(shown: DataFrame, n: int, strength: float) -> DataFrame:
 
     flat = F.array_repeat(F.lit(1.0 / n), n)
     level = everything.select(smooth(F.col("ac"), flat).alias("ap"))
-    joined = domains.crossJoin(F.broadcast(level)).select("domain", smooth(F.col("dc"), F.col("ap")).alias("dp"))
-    prior = smooth(F.col("c"), F.col("dp"))
-    return hosts.withColumn("domain", F.coalesce("domain", F.lit(""))).join(joined.withColumn("domain", F.coalesce("domain", F.lit(""))), "domain").select(
-        F.coalesce("host", F.lit("")).alias("host"), F.transform(prior, lambda p: F.log(p)).alias("prior")
-    )
+    joined = domains.crossJoin(F.broadcast(level)).select("domain", "ap", smooth(F.col("dc"), F.col("ap")).alias("dp"))
+    above = F.when(F.coalesce("host", F.lit("")) == F.col("domain"), F.col("ap")).otherwise(F.col("dp"))
+    prior = smooth(F.col("c"), F.col("above"))
+    named = hosts.withColumn("domain", F.coalesce("domain", F.lit(""))).join(joined.withColumn("domain", F.coalesce("domain", F.lit(""))), "domain")
+    return named.withColumn("above", above).select(F.coalesce("host", F.lit("")).alias("host"), F.transform(prior, lambda p: F.log(p)).alias("prior"))
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str | None = None, address: str | None = None, host: str | None = None, model: tuple[list[str], np.ndarray] | None = None, sample_texts: int = 5_000, tau: float = 0.3, declared_trust: float = 0.9, suffix_trust: float = 0.7, prior_strength: float = 20.0, und_odds: float = 1e-3, min_confidence: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
@@ -145,7 +167,8 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
     languages, logs = model or fit_languages(docs, text, declared, sample_texts)
     names = [*languages, UND]
     n = len(names)
-    place = F.col(host) if host else host_of(F.col(address)) if address else F.lit(None).cast("string")
+    places = [*([F.col(host)] if host else []), *([F.nullif(host_of(F.col(address)), F.lit(""))] if address else [])]
+    place = F.coalesce(*places) if places else F.lit(None).cast("string")
     scored = docs.withColumn("_ll", _score(docs, text, logs)).withColumn("_host", F.coalesce(F.lower(place), F.lit("")))
     shown = scored.select(F.col("_host").alias("host"), domain_of(F.col("_host")).alias("domain"), F.when(F.array_max("_ll") < 0, _best(F.col("_ll"))).alias("best"))
     priors = host_priors(shown, n, prior_strength)

@@ -108,6 +108,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document by text, declared language and source."""
-    found = language_id.identify(table(spark, sf_dir, "documents"), declared="lang", host="source")
-    return found.select("doc_id", "language", F.round("confidence", 4).alias("confidence"), "text_language", "kept")
+    """Language of every document and page: by text, declared (markup) language, address suffix, and source or host."""
+    none = lambda kind: F.lit(None).cast(kind)
+    docs = table(spark, sf_dir, "documents").select("doc_id", none("long").alias("page_id"), "text", "lang", none("string").alias("url"), "source")
+    html = F.col("html")
+    pages = table(spark, sf_dir, "pages").select(
+        none("long").alias("doc_id"), "page_id", language_id.visible_text(html).alias("text"), language_id.declared_language(html).alias("lang"), "url", none("string").alias("source")
+    )
+    found = language_id.identify(docs.unionByName(pages), declared="lang", address="url", host="source")
+    return found.select("doc_id", "page_id", "language", F.round("confidence", 4).alias("confidence"), "text_language", "kept")

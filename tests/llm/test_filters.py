@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, decontaminate, html_blocks, language_id, quality_rules
+from telemill.llm import chat_format, decontaminate, html_blocks, language_id, page_table, quality_rules
 
 TEXTS = [
     None, "", " \n\t", "one", "a b c a b c", "a a a a a a", "x y z\nx y z\nx y z\n\n", "The cat sat. " * 30, "| a | b | c |\n" * 30, "q\x0bw e\x1cr t y\r\nend.",
@@ -163,10 +164,39 @@ def test_wrappers_with_furniture_words(spark):
     assert html_blocks.main_text(f"<article>{prose}</article>{entries}", tree) == "\n\n".join(long)
 
 
-def test_tree_learns_its_table(spark):
+def test_tree_on_pages_not_seen(spark):
     table = html_blocks.labelled_table(spark)
+    assert table.count() >= 300
     tree = html_blocks.fit_tree(table)
-    assert all(html_blocks.is_main(tree, tuple(r)[:-1]) == (r.label == 1) for r in table.collect())
+    assert len({x[0] for x in tree if x[0] >= 0}) >= 8
+    marks = {html_blocks.FEATURES.index(x) for x in ("furniture", "named")}
+    alike = hits = wrong = missed = 0
+    for *vector, label in html_blocks.table_rows(page_table.pages(4242, 300)):
+        main = html_blocks.is_main(tree, tuple(vector))
+        hits, wrong, missed = hits + (main and label == 1), wrong + (main and label == 0), missed + (not main and label == 1)
+        alike += main == (not any(vector[i] for i in marks))
+    assert 2 * hits / (2 * hits + wrong + missed) > 0.92
+    assert alike < 0.97 * sum(1 for _ in html_blocks.table_rows(page_table.pages(4242, 300)))
+
+
+def test_blocks_without_names(spark):
+    tree = html_blocks.fit_tree(html_blocks.labelled_table(spark))
+    prose = [f"Paragraph {i} of the piece has some plain words, and then a few more of them to end with." for i in range(5)]
+    body = "".join(f"<p>{x}</p>" for x in prose)
+    cases = [
+        (f"<article><h1>The title</h1>{body}</article><div>All rights reserved 2020 Example Company of things</div>", ["The title", *prose]),
+        (f"<article><h1>The title</h1>{body}</article><div><p>I think this is a great piece, thank you for it.</p></div>", ["The title", *prose]),
+        (f"<article>{body}<div class='search-history'><p>{prose[0]} {prose[1]}</p></div>{body}</article>", [*prose, f"{prose[0]} {prose[1]}", *prose]),
+        (f"<article>{body}<section id='related-work'><h2>Related work</h2><p>{prose[2]} {prose[0]}</p></section>{body}</article>", [*prose, "Related work", f"{prose[2]} {prose[0]}", *prose]),
+    ]
+    for page, want in cases:
+        assert html_blocks.main_text(f"<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>{page}</body>", tree) == "\n\n".join(want), page
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>Sentence number {i} of the page, with some more words.</p>" for i in range(60_000)) + "</article><footer>End</footer>"
+    text = html_blocks.extract_text(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()[0].text
+    assert text.startswith("Sentence number 0 ") and text.endswith("59999 of the page, with some more words.") and text.count("\n\n") == 59_999
 
 
 EN, DE = "the quick house of the and with that there is not for which", "der das und nicht mit einer schule über wir haben auch noch"
@@ -201,6 +231,53 @@ def test_host_prior_decides_thin_texts(spark):
     assert got[""] and abs(sum(2.718281828459045**p for p in got["b.x.org"]) - 1) < 1e-9
 
 
+def test_posterior_against_plain_python(spark):
+    rnd = random.Random(21)
+    rows = [(r.doc_id, r.text, r.lang, r.url) for r in corpus(spark).collect()]
+    rows = [(i, " ".join(t.split()[: rnd.choice([1, 2, 40])]), rnd.choice([lang, None, "de-AT"]), rnd.choice([u, None, "https://shop.b.co.uk/x", "http://plain.fr"])) for i, t, lang, u in rows]
+    rows += [(1000, None, "en", "http://h1.example.de"), (1001, "und", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, url string")
+    model = language_id.fit_languages(df, "text", "lang", 5000)
+    names = [*model[0], "und"]
+    n = len(names)
+    scores = {i: language_id.trigram_counts([(t or "").encode()])[0].astype(float) @ model[1].astype(np.float32).T.astype(float) for i, t, _, _ in rows}
+    host = {i: re.sub("^https?://|/.*", "", u or "") for i, _, _, u in rows}
+
+    def domain(h):
+        p = h.split(".")
+        return ".".join(p[-3:] if len(p) > 2 and p[-2] == "co" and len(p[-1]) == 2 else p[-2:])
+
+    shown = {i: int(np.argmax(s)) for i, s in scores.items() if s.max() < 0}
+    count = lambda keep: np.bincount([b for i, b in shown.items() if keep(host[i])], minlength=n).astype(float)
+    smooth = lambda own, above: (own + 20 * above) / (own.sum() + 20)
+    overall = smooth(count(lambda h: True), np.full(n, 1 / n))
+
+    def prior(h):
+        above = overall if h == domain(h) else smooth(count(lambda x: domain(x) == domain(h)), overall)
+        return smooth(count(lambda x: x == h), above)
+
+    got = {r.doc_id: r for r in language_id.identify(df, declared="lang", address="url", model=model).collect()}
+    for i, _, lang, _ in rows:
+        z = 0.3 * scores[i] + np.log(prior(host[i]))
+        suffix = language_id.SUFFIXES.get(host[i].rsplit(".", 1)[-1])
+        for claim, trust in (((lang or "").split("-")[0], 0.9), (suffix, 0.7)):
+            if claim in model[0]:
+                z += np.log([trust if x == claim else (1 - trust) / (n - 1) for x in names])
+        z[-1] += np.log(1e-3)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        want = (names[int(np.argmax(z))], p.max()) if i in shown else ("und", 0.0)
+        assert got[i].language == want[0] and abs(got[i].confidence - want[1]) < 1e-4, i
+
+
+def test_markup_of_pages(spark):
+    pages = ['<!DOCTYPE html><HTML class=x lang="de-AT"><script>var no="the"</script><p>das <b>Haus</b><!-- the --></p>', "<html lang=fr><p>la", "<p>none", None, "<style>x"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
+    got = df.select("page_id", language_id.declared_language(F.col("html")).alias("l"), language_id.visible_text(F.col("html")).alias("t")).orderBy("page_id").collect()
+    assert [(r.l, (r.t or "").split()) for r in got] == [("de-AT", ["das", "Haus"]), ("fr", ["la"]), ("", ["none"]), (None, []), ("", [])]
+    hosts = spark.createDataFrame([("www.a.co.uk",), ("a.b.org",), ("co.uk",), ("x",), ("",)], "h string")
+    assert [r[0] for r in hosts.select(language_id.domain_of(F.col("h"))).collect()] == ["a.co.uk", "b.org", "co.uk", "x", ""]
+
+
 def test_every_declared_language_is_a_class(spark):
     rnd, rows = random.Random(11), []
     for k in range(80):

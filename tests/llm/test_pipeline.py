@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from telemill.llm import queries
@@ -107,6 +108,28 @@ def test_stages(spark, folder):
         assert sum((r.ids for r in sorted(pieces[i], key=lambda r: r.start)), []) == [*t.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_rows_with_null_or_shared_ids(spark, folder):
+    path, docs, item = folder
+    stages = dict(corpus_pipeline.STAGES)
+    a, b = docs[1][1], docs[2][1]
+    rows = [(None, b + "\n" + item), (7, b), (7, a + "\n" + item), (8, a), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, kept string")
+    out = stages["benchmark_free"](spark, df, path)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(7, b), (8, a), (9, "")]) and out.columns == corpus_pipeline.COLUMNS
+
+
+def test_stages_of_no_rows_and_clashing_columns(spark, folder):
+    path, docs, _ = folder
+    extra = ["kept", "language", "cleaned_text", "row", "ids", "root", "bucket", "id"]
+    full = spark.read.parquet(f"{path}/documents.parquet").withColumns({c: F.lit("own") for c in extra}).limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, full.limit(0), path)
+        assert out.count() == 0, name
+        assert stage(spark, full, path).count() > 0, name
+        if name != "packed":
+            assert out.columns == corpus_pipeline.COLUMNS
+
+
 def test_run_equals_stages(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.count() > 0 and {"doc_id", "ids", "sequence_id"} <= set(out.columns)
