@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
 from telemill.operators.numbering import asof, rolling, rolling_range, running
-from telemill.session import if_small
+from telemill.session import materialize
 
 DAY = 86_400_000
 
@@ -39,25 +39,30 @@ def label_queue_future(executions: DataFrame, samples: DataFrame, horizon_ms: in
 def label_overload_future(executions: DataFrame, samples: DataFrame, workers: DataFrame, horizon_ms: int, cpu: float, factor: float, step: int = DAY) -> DataFrame:
     """overloaded_future: any sample in (dispatch, dispatch + horizon] over the CPU threshold or with queue >= factor x pool; null without samples.
 
-    Counts at both ends come from running sums, so no interval is joined; an unknown pool never flags by queue.
+    Counts at both ends come from running sums for each distinct worker and dispatch, so no interval is joined and
+    repeated rows all stay; an unknown pool never flags by queue, and an unknown worker or dispatch has no samples.
     """
-    pools = samples.join(workers.select("worker_id", "pool_size"), "worker_id", "left")
+    key = ["worker_id", "dispatched_ms"]
+    pools = samples.where("worker_id is not null and ts_ms is not null").join(workers.select("worker_id", "pool_size"), "worker_id", "left")
     flag = (F.col("cpu_pct") > cpu) | F.coalesce(F.col("queue_len") >= factor * F.col("pool_size"), F.lit(False))
     fact = pools.select("worker_id", F.col("ts_ms").alias("_t"), F.lit(0).alias("_side"), F.lit(1).alias("_one"), flag.cast("int").alias("_flag"))
     ends = F.array(F.struct(F.col("dispatched_ms").alias("_t"), F.lit(1).alias("_side")), F.struct((F.col("dispatched_ms") + horizon_ms).alias("_t"), F.lit(2).alias("_side")))
-    probe = executions.select("exec_id", "worker_id", F.inline(ends))
+    probe = executions.where("worker_id is not null and dispatched_ms is not null").select(*key).distinct().select(*key, F.inline(ends))
     both = probe.unionByName(fact, allowMissingColumns=True)
     counts = running(both, ("worker_id",), ("_t", "_side"), {"_n": ("sum", F.col("_one")), "_f": ("sum", F.col("_flag"))}, step).where("_side > 0")
     at = lambda c, side: F.max(F.when(F.col("_side") == side, F.coalesce(F.col(c), F.lit(0))))
-    per = counts.groupBy("exec_id").agg((at("_n", 2) - at("_n", 1)).alias("n"), (at("_f", 2) - at("_f", 1)).alias("f"))
-    return executions.join(per.select("exec_id", F.when(F.col("n") > 0, F.col("f") > 0).alias("overloaded_future")), "exec_id")
+    per = counts.groupBy(*key).agg((at("_n", 2) - at("_n", 1)).alias("n"), (at("_f", 2) - at("_f", 1)).alias("f"))
+    return executions.join(per.select(*key, F.when(F.col("n") > 0, F.col("f") > 0).alias("overloaded_future")), key, "left")
 
 
 def prior_stats(executions: DataFrame, step: int = DAY) -> DataFrame:
-    """prior_mean_ms, prior_count, prior_stats_ms: completed runs of the same type and worker finished at or before dispatch."""
+    """prior_mean_ms, prior_count, prior_stats_ms: completed runs of the same type and worker finished at or before dispatch.
+
+    Runs with an unknown type, worker or finish are nobody's prior runs.
+    """
     key = ("task_type", "worker_id")
     end = F.col("dispatched_ms") + F.col("wait_ms") + F.col("exec_ms")
-    fact = executions.where("status = 'COMPLETED'").select(*key, end.alias("_t"), F.lit(0).alias("_side"), F.col("exec_ms").alias("_x"))
+    fact = executions.where("status = 'COMPLETED' and task_type is not null and worker_id is not null").select(*key, end.alias("_t"), F.lit(0).alias("_side"), F.col("exec_ms").alias("_x")).where("_t is not null")
     probe = executions.withColumn("_t", F.col("dispatched_ms")).withColumn("_side", F.lit(1))
     both = probe.unionByName(fact, allowMissingColumns=True)
     values = {"_sum": ("sum", F.col("_x")), "_n": ("sum", F.when(F.col("_x").isNotNull(), 1)), "prior_stats_ms": ("max", F.when(F.col("_side") == 0, F.col("_t")))}
@@ -68,10 +73,16 @@ def prior_stats(executions: DataFrame, step: int = DAY) -> DataFrame:
 def tag_runs(executions: DataFrame, runs: DataFrame) -> DataFrame:
     """Executions with the last run (by ``run_order``) whose prefix and suffix their task id has; untagged rows are dropped.
 
-    The runs of a campaign are a control table, broadcast after a count; many runs are compared in a distributed product.
+    Each distinct task id meets runs by equal ends: it is cut once for every pair of lengths that prefixes and suffixes
+    have (few, and all that the driver sees), so no product of ids and runs is made. Repeated executions all stay.
     """
-    match = executions.join(if_small(runs), F.startswith("task_id", "prefix") & F.endswith("task_id", "suffix"))
-    return match.groupBy(*executions.columns).agg(F.max_by("run", "run_order").alias("run"))
+    sized = runs.where("prefix is not null and suffix is not null").select("prefix", "suffix", "run", "run_order", F.length("prefix").alias("p"), F.length("suffix").alias("s"))
+    lengths = [(r["p"], r["s"]) for r in sized.select("p", "s").distinct().collect()]
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in lengths]) if lengths else F.lit(None).cast("array<struct<p: int, s: int>>")
+    ids = executions.select("task_id").distinct().select("task_id", F.inline(pairs)).where("length(task_id) >= greatest(p, s)")
+    ends = ids.select("task_id", "p", "s", F.left("task_id", F.col("p")).alias("prefix"), F.right("task_id", F.col("s")).alias("suffix"))
+    tagged = ends.join(sized, ["prefix", "suffix", "p", "s"]).groupBy("task_id").agg(F.max_by("run", "run_order").alias("run"))
+    return executions.join(tagged, "task_id").select(*executions.columns, "run")
 
 
 def enrich_worker(executions: DataFrame, workers: DataFrame) -> DataFrame:
@@ -123,8 +134,9 @@ def nearest_samples(queries: DataFrame, history: DataFrame, k: int, width: float
 
 
 def rolling_mae(outcomes: DataFrame, last: int) -> DataFrame:
-    """Mean absolute error of the last ``last`` outcomes after each, overall and per type."""
-    overall = rolling(outcomes, "ts_ms", last, {"rolling_mae_ms": F.avg("abs_error_ms")}, tie=("exec_id",))
+    """Mean absolute error of the last ``last`` outcomes after each, overall and per type. Writes both steps' inputs."""
+    outcomes = materialize(outcomes, "outcomes")
+    overall = materialize(rolling(outcomes, "ts_ms", last, {"rolling_mae_ms": F.avg("abs_error_ms")}, tie=("exec_id",)), "outcomes")
     both = rolling(overall, "ts_ms", last, {"rolling_type_mae_ms": F.avg("abs_error_ms")}, by=("task_type",), tie=("exec_id",))
     return both.withColumns({c: F.round(c, 6) for c in ("rolling_mae_ms", "rolling_type_mae_ms")})
 
@@ -142,10 +154,10 @@ def arrival_rate(executions: DataFrame, reach_ms: int) -> DataFrame:
 
 
 def running_means(executions: DataFrame, step: int = DAY) -> DataFrame:
-    """Count and mean of executions so far, per type and per type and worker."""
+    """Count and mean of executions so far, per type and per type and worker. Writes the first step."""
     ones = executions.withColumn("_one", F.lit(1).cast("long"))
     per_type = running(ones, ("task_type",), ("dispatched_ms", "exec_id"), {"type_n": ("sum", F.col("_one")), "_s": ("sum", F.col("exec_ms"))}, step)
-    per_type = per_type.withColumn("type_mean_ms", F.round(F.col("_s") / F.col("type_n"), 6)).drop("_s")
+    per_type = materialize(per_type.withColumn("type_mean_ms", F.round(F.col("_s") / F.col("type_n"), 6)).drop("_s"), "per-type")
     both = running(per_type, ("task_type", "worker_id"), ("dispatched_ms", "exec_id"), {"pair_n": ("sum", F.col("_one")), "_s": ("sum", F.col("exec_ms"))}, step)
     return both.withColumn("pair_mean_ms", F.round(F.col("_s") / F.col("pair_n"), 6)).drop("_s", "_one")
 
@@ -176,22 +188,16 @@ def drift_episodes(errors: DataFrame, threshold: float, patience: int, step: int
     ``errors`` has series, t, id, mae, baseline; rows with a null or non-positive baseline are left out.
     """
     usable = errors.where("baseline > 0 and mae is not null").withColumn("ratio", F.col("mae") / F.col("baseline"))
-    counted = running(usable, ("series",), ("t", "id"), {"_at": ("sum", F.lit(1).cast("long"))}, step)
-    broken = running(counted, ("series",), ("t", "id"), {"_break": ("max", F.when(~(F.col("ratio") > threshold), F.col("_at")))}, step)
-    streak = F.col("_at") - F.coalesce("_break", F.lit(0))
-    return broken.where((F.col("ratio") > threshold) & (streak == patience)).select("series", F.col("t").alias("started_ms"), "id")
+    over = running(usable, ("series",), ("t", "id"), {"_over": ("streak", F.col("ratio") > threshold)}, step)
+    return over.where(F.col("_over") == patience).select("series", F.col("t").alias("started_ms"), "id")
 
 
 def scale_signals(usage: DataFrame, up: float, down: float, cool: int, step: int = DAY) -> DataFrame:
     """scale_up where demand is over capacity x up on two checks in a row; scale_down where utilisation stayed under ``down`` for ``cool`` checks."""
     high, low = F.col("demand") > F.col("capacity") * up, F.col("utilisation") < down
-    flagged = usage.withColumn("_one", F.lit(1).cast("long")).withColumn("series", F.lit(0)).withColumn("_high", high.cast("int")).withColumn("_low", low)
-    at = running(flagged, ("series",), ("bucket",), {"_at": ("sum", F.col("_one"))}, step)
-    more = running(at, ("series",), ("bucket",), {"_not_low": ("max", F.when(~F.col("_low"), F.col("_at")))}, step)
-    prev = running(more, ("series",), ("bucket",), {"_before": ("last", F.col("_high"))}, step, exclusive=True)
-    return prev.select(
-        "bucket", ((F.col("_high") == 1) & (F.coalesce("_before", F.lit(0)) == 1)).alias("scale_up"), (F.col("_at") - F.coalesce("_not_low", F.lit(0)) >= cool).alias("scale_down")
-    )
+    streaks = {"_high": ("streak", F.coalesce(high, F.lit(False))), "_quiet": ("streak", F.coalesce(low, F.lit(True)))}
+    out = running(usage, (), ("bucket",), streaks, step)
+    return out.select("bucket", (F.col("_high") >= 2).alias("scale_up"), (F.col("_quiet") >= cool).alias("scale_down"))
 
 
 def illegal_transitions(changes: DataFrame, legal: list[tuple[str, str]] = LEGAL_CHANGES, key: str = "task_id", status: str = "type", order: tuple[str, ...] = ("physical_ms", "seq")) -> DataFrame:

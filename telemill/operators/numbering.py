@@ -3,6 +3,9 @@
 Series have few keys and many rows (a handful of workers, months of samples), so a window partitioned by the key alone
 would put a whole key into one task. Here a key is cut into ranges of its order column; only counts, sums and last
 values of ranges meet per key.
+
+Nulls: rows with a null key are a series of their own, and rows with a null order value come first in theirs (as in
+``PARTITION BY`` and Spark's ``ORDER BY``); no row is lost. An as-of join matches null keys and times with nothing.
 """
 
 from __future__ import annotations
@@ -10,6 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The range of rows without an order value, before all others.
+_NONE = -(1 << 62)
+
+
+def _key(by: tuple[str, ...]) -> Column:
+    """The key as one column that is never null itself, so that joins on it match nulls and need no other partitioning than windows."""
+    return F.struct(*by) if by else F.struct(F.lit(0))
+
 
 def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = (), tie: tuple[str, ...] = (), buckets: int = 200) -> DataFrame:
     """Number rows from 0 by ``order`` (numeric), then ``tie``, within ``by``.
@@ -17,14 +28,15 @@ def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = (), tie:
     Ranges are equal steps between the ends of each key; their counts (at most ``buckets`` a key) are added up and
     ranks are taken inside ranges.
     """
-    ends = df.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    keyed = df.withColumn("_k", _key(by))
+    ends = keyed.groupBy("_k").agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
     width = F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1) / buckets)
-    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
-    placed = joined.withColumn("_b", F.floor((F.col(order) - F.col("_low")) / width)).drop("_low", "_high")
-    counts = placed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = counts.select(*by, "_b", (F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order, *tie)) - 1
-    return placed.withColumn("_r", rank).join(before, [*by, "_b"]).withColumn(out, F.col("_before") + F.col("_r")).drop("_b", "_r", "_before")
+    joined = keyed.join(ends if by else F.broadcast(ends), "_k")
+    placed = joined.withColumn("_b", F.coalesce(F.floor((F.col(order) - F.col("_low")) / width), F.lit(-1))).drop("_low", "_high")
+    counts = placed.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_k", "_b", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_k", "_b").orderBy(order, *tie)) - 1
+    return placed.withColumn("_r", rank).join(before, ["_k", "_b"]).withColumn(out, F.col("_before") + F.col("_r")).drop("_k", "_b", "_r", "_before")
 
 
 def rolling(df: DataFrame, order: str, n: int, values: dict[str, Column], by: tuple[str, ...] = (), tie: tuple[str, ...] = (), block: int = 20_000) -> DataFrame:
@@ -41,50 +53,77 @@ def rolling(df: DataFrame, order: str, n: int, values: dict[str, Column], by: tu
 
 
 def rolling_range(df: DataFrame, order: str, reach: int, values: dict[str, Column], by: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
-    """Aggregates over rows of ``by`` whose ``order`` lies in [own - reach, own], both ends included."""
+    """Aggregates over rows of ``by`` whose ``order`` lies in [own - reach, own], both ends included; rows without an order value see each other."""
     step = block or 16 * max(1, reach)
     own, later = F.floor(F.col(order) / step), F.floor((F.col(order) + reach) / step)
-    spread = df.withColumn("_block", F.explode(F.sequence(own, later))).withColumn("_own", F.col("_block") == own)
+    blocks = F.when(F.col(order).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(own, later))
+    spread = df.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block").eqNullSafe(own))
     frame = Window.partitionBy(*by, "_block").orderBy(order).rangeBetween(-reach, 0)
     return spread.withColumns({k: v.over(frame) for k, v in values.items()}).where("_own").drop("_block", "_own")
 
 
-def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], values: dict[str, tuple[str, Column]], step: int, exclusive: bool = False) -> DataFrame:
+def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], values: dict[str, tuple[str, Column]], step: float | Column, exclusive: bool = False) -> DataFrame:
     """Values over all rows of ``by`` up to each row (or before it, if ``exclusive``) in ``order``.
 
-    ``values`` has for each name a kind (sum, max, last: of non-null values) and a column. The first order column is
-    numeric and cut into ranges of ``step``; a range gets what earlier ranges carry in.
+    ``values`` has for each name a kind and a column. Kinds are sum, max, last (of non-null values), and streak: how
+    many rows up to this one, itself included, have been true in a row (``exclusive`` doesn't apply). The first order
+    column is numeric and cut into ranges of ``step``; a range gets what earlier ranges carry in. The input is read
+    twice, so materialize it where it is dear, and ask for several values in one call.
     """
-    rows = df.withColumn("_b", F.floor(F.col(order[0]) / step)).withColumns({f"_v{i}": c for i, (_, c) in enumerate(values.values())})
-    frame = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    kinds = [kind for kind, _ in values.values()]
+    spot = F.coalesce(F.floor(F.col(order[0]) / step), F.lit(_NONE))
+    rows = df.withColumn("_k", _key(by)).withColumn("_b", spot).withColumns({f"_v{i}": c for i, (_, c) in enumerate(values.values())})
+    within = Window.partitionBy("_k", "_b").orderBy(*order)
+    frame = within.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
     over = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.last(c, True)}
-    inside = rows.withColumns({f"_i{i}": over[kind](F.col(f"_v{i}")).over(frame) for i, (kind, _) in enumerate(values.values())})
+    inside = rows
+    if "streak" in kinds:
+        inside = inside.withColumn("_rn", F.row_number().over(within))
+        inside = inside.withColumns({f"_o{i}": F.max(F.when(~F.col(f"_v{i}"), F.col("_rn"))).over(upto) for i, kind in enumerate(kinds) if kind == "streak"})
+    inside = inside.withColumns({
+        f"_i{i}": F.col("_rn") - F.coalesce(F.col(f"_o{i}"), F.lit(0)) if kind == "streak" else over[kind](F.col(f"_v{i}")).over(frame) for i, kind in enumerate(kinds)
+    })
 
     def total(i: int, kind: str) -> Column:
         v = F.col(f"_v{i}")
+        if kind == "streak":
+            return F.max_by(F.struct(F.col(f"_i{i}").alias("n"), F.col(f"_o{i}").isNull().alias("open")), F.struct(*order))
         return F.max_by(v, F.when(v.isNotNull(), F.struct(*order))) if kind == "last" else over[kind](v)
 
-    totals = rows.groupBy(*by, "_b").agg(*[total(i, kind).alias(f"_t{i}") for i, (kind, _) in enumerate(values.values())])
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*by, "_b", *[over[kind](F.col(f"_t{i}")).over(before).alias(f"_c{i}") for i, (kind, _) in enumerate(values.values())])
-    joined = inside.join(carry, [*by, "_b"])
+    totals = (inside if "streak" in kinds else rows).groupBy("_k", "_b").agg(*[total(i, kind).alias(f"_t{i}") for i, kind in enumerate(kinds)])
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    summed = {f"_p{i}": F.coalesce(F.sum(F.col(f"_t{i}.n")).over(before), F.lit(0)) for i, kind in enumerate(kinds) if kind == "streak"}
+    totals = totals.withColumns(summed) if summed else totals
+
+    def carried(i: int, kind: str) -> Column:
+        if kind == "streak":
+            return F.col(f"_p{i}") - F.coalesce(F.last(F.when(~F.col(f"_t{i}.open"), F.col(f"_p{i}")), True).over(before), F.lit(0))
+        return over[kind](F.col(f"_t{i}")).over(before)
+
+    carry = totals.select("_k", "_b", *[carried(i, kind).alias(f"_c{i}") for i, kind in enumerate(kinds)])
+    joined = inside.join(carry, ["_k", "_b"])
 
     def both(i: int, kind: str) -> Column:
         own, old = F.col(f"_i{i}"), F.col(f"_c{i}")
+        if kind == "streak":
+            return (own + F.when(F.col(f"_o{i}").isNull(), old).otherwise(0)).cast("long")
         if kind == "sum":
             return F.when(own.isNull() & old.isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(old, F.lit(0)))
         return F.greatest(own, old) if kind == "max" else F.coalesce(own, old)
 
     out = joined.withColumns({name: both(i, kind) for i, (name, (kind, _)) in enumerate(values.items())})
-    return out.drop("_b", *[f"{p}{i}" for i in range(len(values)) for p in ("_v", "_i", "_c")])
+    return out.drop("_k", "_b", "_rn", *[f"{p}{i}" for i in range(len(values)) for p in ("_v", "_o", "_i", "_c")])
 
 
 def asof(probes: DataFrame, facts: DataFrame, by: str, at: str, fact_at: str, take: dict[str, str], step: int, tie: str | None = None) -> DataFrame:
     """Each probe with the columns ``take`` (name to fact column) of the last fact of its key at or before ``at``; null without one.
 
-    One sort of both sides together per key range replaces a range join. Among facts of one time the largest ``tie`` counts.
+    One sort of both sides together per key range replaces a range join. Among facts of one time the largest ``tie``
+    counts. Probes with a null key or time find nothing, and every probe row stays.
     """
-    fact = facts.select(F.col(by), F.col(fact_at).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), F.struct(*[F.col(c).alias(n) for n, c in take.items()]).alias("_f"))
+    known = facts.where(F.col(by).isNotNull() & F.col(fact_at).isNotNull())
+    fact = known.select(F.col(by), F.col(fact_at).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), F.struct(*[F.col(c).alias(n) for n, c in take.items()]).alias("_f"))
     probe = probes.withColumn("_t", F.col(at)).withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0).cast("long"))
     both = probe.unionByName(fact, allowMissingColumns=True)
     out = running(both, (by,), ("_t", "_side", "_tie"), {"_last": ("last", F.col("_f"))}, step).where("_side = 1")

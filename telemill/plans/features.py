@@ -53,7 +53,8 @@ def _(executions):
 
 @plan("tag_runs", """
 with r as (select concat('run-', attempt, '-', priority) as run, concat('task-', priority) as prefix, cast(attempt as varchar) as suffix, attempt * 100 + priority as run_order from (select distinct attempt, priority from {executions}))
-select task_id, arg_max(run, run_order) as run from {executions} join r on starts_with(task_id, prefix) and ends_with(task_id, suffix) group by task_id""")
+select task_id, run from {executions} join (
+  select task_id, arg_max(run, run_order) as run from (select distinct task_id from {executions}) join r on starts_with(task_id, prefix) and ends_with(task_id, suffix) group by task_id) using (task_id)""")
 def _(executions):
     a, p = F.col("attempt").cast("string"), F.col("priority").cast("string")
     runs = executions.select("attempt", "priority").distinct().select(

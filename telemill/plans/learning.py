@@ -9,6 +9,7 @@ from telemill.operators import history
 from telemill.operators import models as ml
 from telemill.plans import features
 from telemill.plans.registry import plan
+from telemill.session import materialize
 from telemill.streaming import sequential, streams
 
 HOUR = 3_600_000
@@ -70,9 +71,11 @@ def _(log_events):
 
 
 def _dataset(executions, samples, workers):
-    rows = history.enrich_worker(history.prior_stats(executions), workers)
-    rows = history.asof_window(rows, history.worker_windows(executions, HOUR, HOUR // 2))
-    rows = history.label_queue_future(rows, samples, HOUR, HOUR // 3)
+    executions, samples, workers = materialize(executions, "executions"), materialize(samples, "samples"), materialize(workers, "workers")
+    windows = materialize(history.worker_windows(executions, HOUR, HOUR // 2), "windows")
+    rows = materialize(history.enrich_worker(history.prior_stats(executions), workers), "dataset")
+    rows = materialize(history.asof_window(rows, windows), "dataset")
+    rows = materialize(history.label_queue_future(rows, samples, HOUR, HOUR // 3), "dataset")
     rows = history.label_overload_future(rows, samples, workers, HOUR, 85.0, 1.0)
     kept = rows.where("status = 'COMPLETED' and queue_len_future is not null and overloaded_future is not null and win_end_ms is not null")
     return kept.withColumn("holdout_pattern", F.col("run_no") == "2").withColumn("holdout_type", F.col("task_type") == "signup")

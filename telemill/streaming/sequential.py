@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemill.operators.numbering import running
+from telemill.session import materialize
 
 
 def _pieces(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], gap: Column, step: int) -> DataFrame:
     """Add _piece: the number of resets (``gap`` true, over the column _prev of the time before) up to each row."""
-    lagged = running(rows, by, order, {"_prev": ("last", F.col(order[0]))}, step, exclusive=True)
+    lagged = materialize(running(rows, by, order, {"_prev": ("last", F.col(order[0]))}, step, exclusive=True), "lagged")
     marked = lagged.withColumn("_cut", F.coalesce(gap, F.lit(True)).cast("int"))
     return running(marked, by, order, {"_piece": ("sum", F.col("_cut"))}, step).drop("_prev", "_cut")
 
@@ -63,7 +64,7 @@ def suppress_alerts(rows: DataFrame, by: tuple[str, ...], at: str, tie: str, int
         return {"sent": sent, "_told": told, "_left": [0] * (len(pdf) - 1) + [held]}
 
     added = [T.StructField("sent", T.BooleanType()), T.StructField("_told", T.LongType()), T.StructField("_left", T.LongType())]
-    walked = _walk(rows, by, (at, tie), F.col(at) - F.col("_prev") >= interval, step, make, added)
+    walked = materialize(_walk(rows, by, (at, tie), F.col(at) - F.col("_prev") >= interval, step, make, added), "walked")
     carried = running(walked, by, (at, tie), {"_before": ("last", F.col("_left"))}, step, exclusive=True)
     return carried.withColumn("suppressed", F.when(F.col("sent"), F.col("_told") + F.coalesce("_before", F.lit(0))).otherwise(0).cast("long")).drop("_told", "_left", "_before")
 
