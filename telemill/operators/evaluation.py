@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.operators.numbering import numbered, running
+from telemill.session import materialize
+
 
 def regression_metrics(scored: DataFrame, by: str | None = None, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """n, MAE, RMSE, R2 (null for one row or no variance), for all rows or per key."""
@@ -16,20 +19,26 @@ def regression_metrics(scored: DataFrame, by: str | None = None, actual: str = "
 
 
 def _by_score(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives of each distinct score, rounded to 6 digits: what remains grows with distinct scores only."""
-    return scored.groupBy(F.round(score, 6).alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    """Positives and negatives of each distinct score, with the step of 256 ranges of scores; written, as it is read more than once."""
+    known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    groups = materialize(known.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg")), "scores")
+    width = groups.agg(F.greatest(F.lit(1e-12), (F.max("s") - F.min("s")) / 256).alias("_w"))
+    return groups.crossJoin(F.broadcast(width))
 
 
 def classification_metrics(scored: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:
-    """Precision, recall, F1 (0 where undefined) at a threshold, and ROC-AUC by rank sums over distinct scores (null with one class)."""
+    """Precision, recall, F1 (0 where undefined) at a threshold, and ROC-AUC by rank sums over distinct scores (null with one class).
+
+    Rows without a score or a label are left out.
+    """
+    scored = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     hit = F.col(score) >= threshold
     counts = scored.agg(
         F.count("*").alias("n"), F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp"), F.count_if(~hit & (F.col(label) == 1)).alias("fn"),
         F.sum(label).alias("p"),
     )
-    groups = _by_score(scored, label, score)
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = groups.withColumn("w", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("w").alias("wins"))
+    groups = running(_by_score(scored, label, score), (), ("s",), {"_below": ("sum", F.col("neg"))}, F.col("_w"), exclusive=True)
+    wins = groups.withColumn("w", F.col("pos") * (F.coalesce("_below", F.lit(0)) + F.col("neg") / 2)).agg(F.sum("w").alias("wins"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = counts.crossJoin(F.broadcast(wins)).withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     f1 = ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
@@ -38,16 +47,15 @@ def classification_metrics(scored: DataFrame, threshold: float, label: str = "la
 
 
 def roc_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """True and false positive rates at each distinct score as the cut-off."""
-    order = Window.orderBy(F.desc("s"))
-    groups = _by_score(scored, label, score)
+    """True and false positive rates at each distinct score as the cut-off; rows without a score or a label are left out."""
+    groups = _by_score(scored, label, score).withColumn("_down", -F.col("s"))
     totals = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    cum = groups.withColumn("tp", F.sum("pos").over(order)).withColumn("fp", F.sum("neg").over(order)).crossJoin(F.broadcast(totals))
+    cum = running(groups, (), ("_down",), {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, F.col("_w")).crossJoin(F.broadcast(totals))
     return cum.select(F.col("s").alias("threshold"), "tp", "fp", F.round(F.col("tp") / F.col("p"), 6).alias("tpr"), F.round(F.col("fp") / F.col("n"), 6).alias("fpr"))
 
 
 def best_f1_threshold(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """The cut-off with the highest F1 (the lowest one on ties); 0.5 and 0 without positives."""
+    """The cut-off (a score that occurs) with the highest F1 (the lowest one on ties); 0.5 and 0 without positives."""
     roc = roc_points(scored, label, score)
     p = roc.agg(F.max("tp").alias("_p"))
     f1 = F.round(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("_p")), 9)
@@ -65,8 +73,6 @@ def group_mean(train: DataFrame, test: DataFrame, key: str, value: str, out: str
 
 def time_split(rows: DataFrame, order: str, tie: str, type_out: Column, pattern_out: Column, share: float = 0.8) -> DataFrame:
     """split: holdout_type, holdout_pattern (type wins), and by time train up to round(n x share) (half to even) and test."""
-    from telemill.operators.numbering import numbered
-
     held = rows.withColumn("split", F.when(type_out, "holdout_type").when(pattern_out, "holdout_pattern"))
     rest = held.where("split is null")
     cut = rest.agg(F.bround(F.count("*") * share).cast("long").alias("_cut"))
@@ -76,8 +82,6 @@ def time_split(rows: DataFrame, order: str, tie: str, type_out: Column, pattern_
 
 def ts_cv_folds(rows: DataFrame, order: str, tie: str, k: int) -> DataFrame:
     """The fold (1 to k) in which a row is validated, 0 for rows that only train; the last k blocks of n // (k + 1) rows."""
-    from telemill.operators.numbering import numbered
-
     size = rows.agg(F.count("*").alias("_n"))
     at = numbered(rows, order, "_at", tie=(tie,)).crossJoin(F.broadcast(size))
     block = F.floor(F.col("_n") / (k + 1))

@@ -207,12 +207,12 @@ def _(scored):
     return ev.regression_metrics(scored, "task_type")
 
 
-_ROC = "g as (select round(score, 6) as s, sum(label) as pos, sum(1 - label) as neg from {scored} group by 1), r as (select s, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n from g window w as (order by s desc))"
+_ROC = "g as (select score as s, sum(label) as pos, sum(1 - label) as neg from {scored} group by 1), r as (select s, sum(pos) over w as tp, sum(neg) over w as fp, sum(pos) over () as p, sum(neg) over () as n from g window w as (order by s desc))"
 
 
 @plan("classification_metrics", """
 with c as (select count(*) as n, count(*) filter (score >= 0.5 and label = 1) as tp, count(*) filter (score >= 0.5 and label = 0) as fp, count(*) filter (score < 0.5 and label = 1) as fn, sum(label) as p from {scored}),
-g as (select round(score, 6) as s, sum(label) as pos, sum(1 - label) as neg from {scored} group by 1),
+g as (select score as s, sum(label) as pos, sum(1 - label) as neg from {scored} group by 1),
 w as (select sum(pos * (below + neg / 2.0)) as wins from (select *, coalesce(sum(neg) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from g))
 select n, round(tp::double / (tp + fp), 6) as precision, round(tp::double / (tp + fn), 6) as recall, round(2.0 * tp / (2 * tp + fp + fn), 6) as f1, round(wins::double / (p * (n - p)), 6) as auc from c, w""")
 def _(scored):
