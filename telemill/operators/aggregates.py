@@ -18,11 +18,12 @@ def disc(column: str, p: float) -> Column:
 
 
 def exec_stats(executions: DataFrame, keys: tuple[str, str] = ("task_type", "worker_id"), value: str = "exec_ms") -> DataFrame:
-    """Count, mean and total of completed executions by each key alone, in one shuffle."""
+    """Count, mean and total of completed executions by each key alone, in one shuffle; a null key is a group of its kind."""
     a, b = keys
     done = executions.where("status = 'COMPLETED'")
-    sets = done.groupingSets([[a], [b]], a, b).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
-    return sets.select(F.when(F.col(a).isNotNull(), "type").otherwise("worker").alias("kind"), F.coalesce(a, b).alias("key"), "n", F.round("mean", 6).alias("mean_ms"), F.col("total").alias("total_ms"))
+    sets = done.groupingSets([[a], [b]], a, b).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"), F.grouping(a).alias("_of_b"))
+    of_a = F.col("_of_b") == 0
+    return sets.select(F.when(of_a, "type").otherwise("worker").alias("kind"), F.when(of_a, F.col(a)).otherwise(F.col(b)).alias("key"), "n", F.round("mean", 6).alias("mean_ms"), F.col("total").alias("total_ms"))
 
 
 def type_worker_stats(executions: DataFrame) -> DataFrame:
@@ -34,14 +35,15 @@ def type_worker_stats(executions: DataFrame) -> DataFrame:
 
 
 def sla_report(tasks: DataFrame, by: str = "strategy") -> DataFrame:
-    """Tasks with a deadline: on time, late (finished any other way), open; by a key and for all, with the share on time."""
+    """Tasks with a deadline: on time, late (finished any other way), open; by a key (null too) and for all, with the share on time."""
     finished = F.col("status").isin("COMPLETED", "FAILED")
     on_time = (F.col("status") == "COMPLETED") & (F.col("completed_ms") <= F.col("deadline_ms"))
     out = tasks.where("deadline_ms is not null").rollup(by).agg(
-        F.count_if(on_time).alias("on_time"), F.count_if(finished & ~F.coalesce(on_time, F.lit(False))).alias("late"), F.count_if(~finished).alias("open")
-    )
+        F.count_if(on_time).alias("on_time"), F.count_if(finished & ~F.coalesce(on_time, F.lit(False))).alias("late"), F.count_if(~finished).alias("open"),
+        F.grouping(by).alias("_all"),
+    )
     ended = F.col("on_time") + F.col("late")
-    return out.select(F.coalesce(by, F.lit("all")).alias(by), "on_time", "late", "open", F.round(F.when(ended > 0, 100.0 * F.col("on_time") / ended), 6).alias("on_time_pct"))
+    return out.select(F.when(F.col("_all") == 1, "all").otherwise(F.col(by)).alias(by), "on_time", "late", "open", F.round(F.when(ended > 0, 100.0 * F.col("on_time") / ended), 6).alias("on_time_pct"))
 
 
 def kpis(tasks: DataFrame, window_ms: int) -> DataFrame:
@@ -162,11 +164,12 @@ def imbalance_box(imbalances: DataFrame) -> DataFrame:
 
 
 def replay_summary(replay: DataFrame) -> DataFrame:
-    """Completed, not completed and mean execution (-1 for none) per type and for all."""
-    done = F.col("status") == "COMPLETED"
+    """Completed, not completed and mean execution (-1 for none) per type (null too) and for all."""
+    done = F.col("status").eqNullSafe("COMPLETED")
     return replay.rollup("task_type").agg(
-        F.count_if(done).alias("completed"), F.count_if(~done).alias("not_completed"), F.round(F.coalesce(F.avg(F.when(done, F.col("exec_ms"))), F.lit(-1.0)), 6).alias("mean_exec_ms")
-    ).withColumn("task_type", F.coalesce("task_type", F.lit("all")))
+        F.count_if(done).alias("completed"), F.count_if(~done).alias("not_completed"), F.round(F.coalesce(F.avg(F.when(done, F.col("exec_ms"))), F.lit(-1.0)), 6).alias("mean_exec_ms"),
+        F.grouping("task_type").alias("_all"),
+    ).withColumn("task_type", F.when(F.col("_all") == 1, "all").otherwise(F.col("task_type"))).drop("_all")
 
 
 def slice_stats(rows: DataFrame, key: str, value: str, category: str, n: int) -> DataFrame:
