@@ -1,15 +1,17 @@
 """Graphs, workflow DAGs, block products and version merges as DataFrame loops.
 
-Loops write their state to the shared folder each few rounds, which cuts lineage and survives lost executors; only
-counts come to the driver.
+Loops write their state to the shared folder each round or few rounds, which cuts lineage and survives lost executors;
+only counts come to the driver. What a round finds is written once, beside that of the rounds before. A loop that
+reaches its bound of rounds unfinished is an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from telemill.session import discard, materialize
+from telemill.session import discard, materialize, scratch_path
 
 
 def edge_build(nodes: DataFrame, n: int, seed: int) -> DataFrame:
@@ -21,9 +23,10 @@ def edge_build(nodes: DataFrame, n: int, seed: int) -> DataFrame:
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """node, rank after ``iterations`` rounds from a uniform start; parallel edges count, ranks of sinks are lost.
 
-    Out-degrees and edges stay partitioned by source, so a round is one join and one partial-and-final sum.
+    A round joins the ranks with the written links and sums by target; every ``every`` rounds the ranks are written.
     """
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    edges = materialize(edges.select("src", "dst"), "edges")
+    nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
     n = nodes.count()
     links = materialize(edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
     ranks = materialize(nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), "ranks")
@@ -36,20 +39,39 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
     return ranks
 
 
+def _unfinished(what: str, rounds: int) -> RuntimeError:
+    return RuntimeError(f"{what} isn't finished after {rounds} rounds")
+
+
+class _Found:
+    """Rows that rounds find, each round's in its own folder with its number as a column."""
+
+    def __init__(self, like: DataFrame, label: str, number: str):
+        self.spark, self.path, self.number = like.sparkSession, scratch_path(like.sparkSession, label), number
+        self.plain = like.schema
+        self.whole = T.StructType([*like.schema.fields, T.StructField(number, T.IntegerType())])
+
+    def add(self, rows: DataFrame, at: int) -> DataFrame:
+        """Write the rows of round ``at`` and read them back."""
+        rows.write.parquet(f"{self.path}/{self.number}={at}")
+        return self.spark.read.schema(self.plain).parquet(f"{self.path}/{self.number}={at}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.whole).parquet(self.path)
+
+
 def bfs(edges: DataFrame, start: int, max_rounds: int = 10_000) -> DataFrame:
     """node, hops from ``start`` over directed edges; nodes out of reach are missing."""
-    spark = edges.sparkSession
-    known = materialize(spark.createDataFrame([(start, 0)], "node long, hops int"), "bfs")
-    frontier = known
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
+    begin = edges.sparkSession.createDataFrame([(start,)], "node long")
+    known = _Found(begin, "bfs", "hops")
+    frontier = known.add(begin, 0)
     for hop in range(1, max_rounds):
         ahead = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        fresh = materialize(ahead.join(known, "node", "left_anti").withColumn("hops", F.lit(hop)), "bfs-frontier")
-        if fresh.isEmpty():
-            break
-        both = materialize(known.unionByName(fresh), "bfs")
-        discard(known)
-        known, frontier = both, fresh
-    return known
+        frontier = known.add(ahead.join(known.all(), "node", "left_anti"), hop)
+        if frontier.isEmpty():
+            return known.all()
+    raise _unfinished("the search", max_rounds)
 
 
 def dag_levels(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -60,22 +82,23 @@ def dag_levels(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     key = ["workflow_id", "node"]
     parents = materialize(tasks.where("parent is not null").select(*key, "parent").distinct(), "dag-parents")
     left = materialize(tasks.select(*key).distinct(), "dag-left")
-    done = None
+    done = _Found(left, "dag-levels", "level")
     for level in range(max_rounds):
         waiting = parents.join(left.select("workflow_id", F.col("node").alias("parent")), ["workflow_id", "parent"], "left_semi").select(*key).distinct()
-        ready = materialize(left.join(waiting, key, "left_anti").withColumn("level", F.lit(level)), "dag-ready")
+        ready = done.add(left.join(waiting, key, "left_anti"), level)
         if ready.isEmpty():
-            break
+            return done.all().unionByName(left.withColumn("level", F.lit(None).cast("int")))
         rest = materialize(left.join(ready, key, "left_anti"), "dag-left")
         discard(left)
         left = rest
-        done = ready if done is None else done.unionByName(ready)
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.unionByName(stuck)
+    raise _unfinished("the levels", max_rounds)
 
 
 def dag_validate(tasks: DataFrame, most: int = 1000) -> DataFrame:
-    """workflow_id, node, problem: duplicate rows, self-dependencies, unknown parents, and workflows with over ``most`` tasks."""
+    """workflow_id, node, problem: duplicate rows, self-dependencies, unknown parents, and workflows with over ``most`` tasks.
+
+    ``tasks`` may have refs (array of nodes whose results a task's input names): one that isn't a parent is a problem too.
+    """
     key = ["workflow_id", "node"]
     nodes = tasks.select(*key).distinct()
     twice = tasks.groupBy(*key, "parent").agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("duplicate").alias("problem"))
@@ -83,7 +106,12 @@ def dag_validate(tasks: DataFrame, most: int = 1000) -> DataFrame:
     known = nodes.select("workflow_id", F.col("node").alias("parent"))
     lost = tasks.where("parent is not null").join(known, ["workflow_id", "parent"], "left_anti").select(*key, F.lit("unknown parent").alias("problem"))
     large = nodes.groupBy("workflow_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("workflow_id", F.lit(None).cast("long").alias("node"), F.lit("too many tasks").alias("problem"))
-    return twice.union(own).union(lost).union(large).distinct()
+    found = twice.union(own).union(lost).union(large)
+    if "refs" in tasks.columns:
+        named = tasks.select(*key, F.explode("refs").alias("parent")).distinct()
+        stray = named.join(tasks.where("parent is not null").select(*key, "parent"), [*key, "parent"], "left_anti")
+        found = found.union(stray.select(*key, F.lit("reference to a non-parent").alias("problem")))
+    return found.distinct()
 
 
 def dag_cancel(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -91,15 +119,13 @@ def dag_cancel(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     key = ["workflow_id", "node"]
     blocked = materialize(tasks.where("status = 'BLOCKED' and parent is not null").select(*key, "parent").distinct(), "dag-blocked")
     frontier = tasks.where("status = 'FAILED'").select(*key).distinct()
-    found = None
-    for _ in range(max_rounds):
+    found = _Found(blocked.select(*key), "dag-cancelled", "round")
+    for at in range(max_rounds):
         below = blocked.join(frontier.select("workflow_id", F.col("node").alias("parent")), ["workflow_id", "parent"], "left_semi").select(*key).distinct()
-        fresh = materialize(below if found is None else below.join(found, key, "left_anti"), "dag-cancelled")
-        if fresh.isEmpty():
-            break
-        found = fresh if found is None else materialize(found.unionByName(fresh), "dag-found")
-        frontier = fresh
-    return fresh if found is None else found
+        frontier = found.add(below.join(found.all(), key, "left_anti") if at else below, at)
+        if frontier.isEmpty():
+            return found.all().select(*key)
+    raise _unfinished("the cancellation", max_rounds)
 
 
 def dag_ready(tasks: DataFrame) -> DataFrame:
