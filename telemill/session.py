@@ -28,9 +28,11 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (``spark.checkpoint.dir``); a local temporary one only where it is unset."""
+    """The folder all executors see (``spark.checkpoint.dir``); a temporary one only where that is unset on a local master."""
     if known := spark.conf.get("spark.checkpoint.dir", None):
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="telemill-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
