@@ -242,13 +242,44 @@ def gantt_rows(tasks: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends))
 
 
-def slot_usage(samples: DataFrame, workers: DataFrame, bucket_ms: int) -> DataFrame:
-    """Capacity, busy slots, utilisation (1 at no capacity) and reactive demand per time bucket, from each worker's newest sample in it."""
+def dataset_card(rows: DataFrame, label: str = "overloaded", queue: str = "queue_len") -> DataFrame:
+    """The tables of a data set's card in one shuffle: section, key, rows, runs, completed runs with their times, and the share with the label.
+
+    Sections: all rows, class balance, and rows by worker, queue length, type, status and run.
+    """
+    names = {label: "class", "worker_id": "worker", queue: "queue", "task_type": "type", "status": "status", "run_no": "run"}
+    done = F.when(F.col("status") == "COMPLETED", F.col("exec_ms"))
+    own = rows.withColumns({"_done": done, "_run": F.col("run_no"), "_label": F.col(label)})
+    sets = own.groupingSets([[], *[[c] for c in names]], *names)
+    percentile = lambda p: F.round(F.expr(f"percentile(cast(_done as double), {p})"), 6)
+    out = sets.agg(
+        F.count("*").alias("n"), F.countDistinct("_run").alias("runs"), F.count("_done").alias("completed"), F.round(F.avg("_done"), 6).alias("mean_ms"), percentile(0.5).alias("p50_ms"),
+        percentile(0.95).alias("p95_ms"), F.max("_done").alias("max_ms"), F.round(F.avg(F.col("_label").cast("double")), 6).alias("label_share"), *[F.grouping(c).alias(f"_g_{c}") for c in names],
+    )
+    section, key = F.lit("all"), F.lit(None).cast("string")
+    for column, name in names.items():
+        section = F.when(F.col(f"_g_{column}") == 0, name).otherwise(section)
+        key = F.when(F.col(f"_g_{column}") == 0, F.col(column).cast("string")).otherwise(key)
+    return out.select(section.alias("section"), key.alias("key"), "n", "runs", "completed", "mean_ms", "p50_ms", "p95_ms", "max_ms", "label_share")
+
+
+def slot_usage(samples: DataFrame, workers: DataFrame, bucket_ms: int, forecast: DataFrame | None = None) -> DataFrame:
+    """Capacity, busy slots, utilisation (1 at no capacity) and reactive demand per time bucket, from each worker's newest sample in it.
+
+    With ``forecast`` (worker_id, bucket, pred_queue_len) also demand_forecast: queued and running tasks and the
+    predicted queue (not under 0), or where there is none the tasks over the pool.
+    """
     newest = samples.groupBy("worker_id", F.floor(F.col("ts_ms") / bucket_ms).alias("bucket")).agg(
         F.max_by(F.struct("active_threads", "queue_len"), F.struct("ts_ms", "sample_id")).alias("s")
     )
-    joined = newest.join(workers.select("worker_id", "pool_size"), "worker_id").select("bucket", "pool_size", "s.*")
+    joined = newest.join(workers.select("worker_id", "pool_size"), "worker_id").select("worker_id", "bucket", "pool_size", "s.*")
+    if forecast is not None:
+        joined = joined.join(forecast.select("worker_id", "bucket", "pred_queue_len"), ["worker_id", "bucket"], "left")
+        waiting = F.coalesce(F.greatest(F.lit(0.0), F.col("pred_queue_len")), F.greatest(F.lit(0), F.col("active_threads") - F.col("pool_size")).cast("double"))
+        expected = F.sum(F.col("queue_len") + F.least("active_threads", "pool_size") + waiting)
+    more = [] if forecast is None else [F.round(expected, 6).alias("demand_forecast")]
     out = joined.groupBy("bucket").agg(
-        F.sum("pool_size").alias("capacity"), F.sum(F.least("active_threads", "pool_size")).alias("busy"), F.sum(F.col("queue_len") + F.col("active_threads")).alias("demand")
-    )
+        F.sum("pool_size").alias("capacity"), F.sum(F.least("active_threads", "pool_size")).alias("busy"), F.sum(F.col("queue_len") + F.col("active_threads")).alias("demand"),
+        *more,
+    )
     return out.withColumn("utilisation", F.round(F.when(F.col("capacity") == 0, 1.0).otherwise(F.col("busy") / F.col("capacity")), 6))

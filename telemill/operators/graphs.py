@@ -158,6 +158,38 @@ def gram(vectors: DataFrame, column: str, block: int = 4096) -> DataFrame:
     return vectors.select(column).mapInPandas(run, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
+def matrix_rows(cells: DataFrame) -> DataFrame:
+    """i and row (array of doubles) from cells i, j, value that fill a matrix."""
+    row = F.transform(F.sort_array(F.collect_list(F.struct("j", "value"))), lambda c: c["value"])
+    return cells.groupBy("i").agg(row.alias("row"))
+
+
+def product(left: DataFrame, right: DataFrame, key: str, column: str, shared_bytes: int = 1 << 26) -> DataFrame:
+    """key and product: the rows (arrays) of ``column`` times the matrix ``right`` (i from 0, row).
+
+    A right side of at most ``shared_bytes`` is shared with all tasks, which multiply it with Arrow batches of rows;
+    a larger one is joined on the inner index and summed by row.
+    """
+    import numpy as np
+    import pandas as pd
+
+    size = right.agg(F.count("*"), F.max(F.size("row"))).collect()[0]
+    if size[0] * (size[1] or 0) * 8 <= shared_bytes:
+        matrix = left.sparkSession.sparkContext.broadcast(np.array([r["row"] for r in right.orderBy("i").collect()], np.float64))
+
+        def run(batches):
+            for pdf in batches:
+                own = pdf[pdf[column].notna()]
+                if len(own):
+                    yield pd.DataFrame({key: own[key], "product": list(np.vstack(own[column].to_numpy()).astype(np.float64) @ matrix.value)})
+
+        kind = left.schema[key].dataType.simpleString()
+        return left.select(key, column).mapInPandas(run, f"`{key}` {kind}, product array<double>")
+    cells = left.select(key, F.posexplode(column).alias("i", "x")).join(right, "i")
+    parts = cells.select(key, F.posexplode(F.transform("row", lambda y: y * F.col("x"))).alias("j", "value")).groupBy(key, "j").agg(F.sum("value").alias("value"))
+    return parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "value"))), lambda c: c["value"]).alias("product"))
+
+
 def lww_merge(log: DataFrame) -> DataFrame:
     """The newest version of each task by (lamport, origin)."""
     return log.groupBy("task_id").agg(F.max(F.struct("lamport", "origin", "op")).alias("v")).select("task_id", "v.*")

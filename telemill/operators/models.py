@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.scalars import feature_columns, from_log_target, log_target
-from telemill.operators.evaluation import best_f1_threshold, ts_cv_folds
+from telemill.operators.evaluation import regression_metrics, ts_cv_folds
+
+# Settings that are tried for a forest.
+FOREST_GRID = [{"depth": depth, "least": least} for depth in (8, 16) for least in (1, 5)]
+
 
 def with_features(rows: DataFrame) -> DataFrame:
     """The rows with the model inputs as columns f_*."""
@@ -79,6 +83,19 @@ def ts_cross_validate(rows: DataFrame, order: str, tie: str, target: str, k: int
     return out
 
 
+def fit_best(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int = 3):
+    """The fit on all rows with the settings of ``grid`` that have the smallest error out of fold, and those settings.
+
+    Folds expand in time, so each is predicted from rows before it; the driver holds one error per setting.
+    """
+    errors = []
+    for settings in grid:
+        scored = ts_cross_validate(rows, order, tie, target, k, lambda train, y, own=settings: fit(train, y, **own))
+        errors.append(regression_metrics(scored).collect()[0]["mae"])
+    best = grid[min(range(len(grid)), key=lambda i: errors[i])]
+    return fit(rows, target, **best), best
+
+
 def importances(model, names: list[str], top: int = 15) -> list[tuple[str, float]]:
     """Inputs by absolute coefficient or impurity importance, the largest first."""
     last = model.stages[-1]
@@ -97,7 +114,3 @@ def batch_inference(rows: DataFrame, model, n: int, key: str, seed: int) -> Data
     """Mean and count of predictions over a seeded sample of ``n`` rows (the lowest hashes of the key), so any partitioning gives the same."""
     sample = rows.withColumn("_h", F.xxhash64(key, F.lit(seed))).orderBy("_h", key).limit(n).drop("_h")
     return predict_ms(model, sample).agg(F.count("*").alias("n"), F.round(F.avg("predicted"), 4).alias("mean_ms"), F.round(F.sum("predicted"), 2).alias("checksum"))
-
-
-def threshold_of(scored: DataFrame) -> DataFrame:
-    return best_f1_threshold(scored)

@@ -66,9 +66,11 @@ def round_robin(tasks: DataFrame, workers: DataFrame, order: str) -> DataFrame:
 
 
 def random_choice(tasks: DataFrame, workers: DataFrame, key: str, seed: int) -> DataFrame:
-    """A uniform choice by hash of key and seed: the same on every run and every partitioning."""
+    """A uniform choice by the first 60 bits of the MD5 of "key:seed": the same on every run and every partitioning."""
     ids = workers.agg(F.sort_array(F.collect_list("worker_id")).alias("ids"))
-    return tasks.crossJoin(F.broadcast(ids)).select(*tasks.columns, F.get("ids", F.pmod(F.xxhash64(key, F.lit(seed)), F.size("ids")).cast("int")).alias("worker_id"))
+    digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    return tasks.crossJoin(F.broadcast(ids)).select(*tasks.columns, F.get("ids", F.pmod(drawn, F.size("ids")).cast("int")).alias("worker_id"))
 
 
 def predictive(candidates: DataFrame, risk: float = 1.0, limit: float = 0.8, urgent_limit: float = 0.5, urgent_from: int = 8) -> DataFrame:

@@ -169,15 +169,17 @@ def _(part):
     return op.slice_stats(part, "p_partkey", "p_retailprice", "p_size", 1000)
 
 
-@plan("dataset_card", """
-select task_type, status, count(*) as n, round(avg(exec_ms), 6) as mean_ms, round(quantile_cont(exec_ms::double, 0.5), 6) as p50_ms, round(quantile_cont(exec_ms::double, 0.95), 6) as p95_ms,
-  max(exec_ms) as max_ms, round(avg(case when queue_len >= 4 then 1.0 else 0.0 end), 6) as overload_share from {executions} group by task_type, status""")
+_CARD = {"overloaded": "class", "worker_id": "worker", "queue_len": "queue", "task_type": "type", "status": "status", "run_no": "run"}
+
+
+@plan("dataset_card", f"""
+with e as (select *, run_no as run, queue_len >= 4 as overloaded, case when status = 'COMPLETED' then exec_ms end as done from {{executions}})
+select case {' '.join(f"when grouping({c}) = 0 then '{n}'" for c, n in _CARD.items())} else 'all' end as section, case {' '.join(f"when grouping({c}) = 0 then {c}::varchar" for c in _CARD)} end as key,
+  count(*) as n, count(distinct run) as runs, count(done) as completed, round(avg(done), 6) as mean_ms, round(quantile_cont(done::double, 0.5), 6) as p50_ms, round(quantile_cont(done::double, 0.95), 6) as p95_ms,
+  max(done) as max_ms, round(avg((queue_len_ >= 4)::int::double), 6) as label_share
+from (select *, queue_len as queue_len_ from e) group by grouping sets ((), {', '.join(f'({c})' for c in _CARD)})""")
 def _(executions):
-    q = lambda p: F.round(F.expr(f"percentile(cast(exec_ms as double), {p})"), 6)
-    return executions.groupBy("task_type", "status").agg(
-        F.count("*").alias("n"), F.round(F.avg("exec_ms"), 6).alias("mean_ms"), q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"), F.max("exec_ms").alias("max_ms"),
-        F.round(F.avg((F.col("queue_len") >= 4).cast("double")), 6).alias("overload_share"),
-    )
+    return op.dataset_card(executions.withColumn("overloaded", F.col("queue_len") >= 4))
 
 
 @plan("drop_reasons", """
@@ -245,10 +247,14 @@ def _(executions):
 
 @plan("slot_usage", """
 with n as (select worker_id, ts_ms // 3600000 as bucket, active_threads, queue_len, row_number() over (partition by worker_id, ts_ms // 3600000 order by ts_ms desc, sample_id desc) as r from {samples}),
-u as (select bucket, sum(pool_size)::bigint as capacity, sum(least(active_threads, pool_size))::bigint as busy, sum(queue_len + active_threads)::bigint as demand from n join {workers} w on w.worker_id = n.worker_id where r = 1 group by bucket)
-select bucket, capacity, busy, demand, round(case when capacity = 0 then 1.0 else busy::double / capacity end, 6) as utilisation from u""")
+u as (select n.bucket, sum(pool_size)::bigint as capacity, sum(least(n.active_threads, pool_size))::bigint as busy, sum(n.queue_len + n.active_threads)::bigint as demand,
+  round(sum(n.queue_len + least(n.active_threads, pool_size) + coalesce(greatest(0.0, p.queue_len - 1.0), greatest(0, n.active_threads - pool_size))), 6)::double as demand_forecast
+  from n join {workers} w on w.worker_id = n.worker_id left join n p on p.worker_id = n.worker_id and p.bucket = n.bucket - 1 and p.r = 1 where n.r = 1 group by n.bucket)
+select bucket, capacity, busy, demand, demand_forecast, round(case when capacity = 0 then 1.0 else busy::double / capacity end, 6) as utilisation from u""")
 def _(samples, workers):
-    return op.slot_usage(samples, workers, 3_600_000)
+    hour = F.floor(F.col("ts_ms") / 3_600_000)
+    last = samples.groupBy("worker_id", (hour + 1).alias("bucket")).agg((F.max_by("queue_len", F.struct("ts_ms", "sample_id")) - 1.0).alias("pred_queue_len"))
+    return op.slot_usage(samples, workers, 3_600_000, last)
 
 
 @plan("speculation_stats", """

@@ -129,7 +129,7 @@ def _(executions, workers):
 
 @plan("fit_forest")
 def _(executions, workers):
-    return _regression(executions, workers, ml.fit_forest)
+    return _regression(executions, workers, lambda train, target: ml.fit_best(train, "dispatched_ms", "exec_id", target, ml.fit_forest, ml.FOREST_GRID, 1)[0])
 
 
 @plan("fit_boosted")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from telemill.functions import catalogue, scalars
 from telemill.operators import evaluation as ev
 from telemill.operators import experiments as ex
-from telemill.operators import graphs, history
+from telemill.operators import graphs, history, listings
 from telemill.operators.aggregates import suite_summary
 from telemill.plans.aggregates import _SUMMARY, METRICS
 from telemill.plans.registry import plan
+from telemill.session import scratch_path
+from telemill.sources import files
 
 _PROPS = "replace(replace(replace(replace(props, '{', ''), '}', ''), '\"', ''), ': ', '=')"
 
@@ -344,23 +346,22 @@ def _(outcomes):
 @plan("list_tasks", """
 select task_id, task_type, status, submitted_ms, completed_ms - submitted_ms as latency_ms from {tasks} where status = 'COMPLETED' order by submitted_ms desc, task_no desc limit 5000""")
 def _(tasks):
-    rows = tasks.where(F.col("status") == F.upper(F.lit("completed"))).orderBy(F.desc("submitted_ms"), F.desc("task_no")).limit(max(1, min(5000, 9000)))
-    return rows.select("task_id", "task_type", "status", "submitted_ms", (F.col("completed_ms") - F.col("submitted_ms")).alias("latency_ms"))
+    return listings.list_tasks(tasks, status="completed", limit=9000)
 
 
 @plan("list_events", "select seq, type, task_id from {log_events} where type in ('DISPATCH', 'ELECTION') order by physical_ms desc, seq desc limit 500")
 def _(log_events):
-    return log_events.where(F.col("type").isin("DISPATCH", "ELECTION")).orderBy(F.desc("physical_ms"), F.desc("seq")).limit(500).select("seq", "type", "task_id")
+    return listings.newest(log_events, ("physical_ms", "seq"), 500, {"type": ["DISPATCH", "ELECTION"]}).select("seq", "type", "task_id")
 
 
 @plan("list_failures", "select failure_id, node_id, detected_ms from {failures} order by detected_ms desc, failure_id desc limit 200")
 def _(failures):
-    return failures.orderBy(F.desc("detected_ms"), F.desc("failure_id")).limit(200)
+    return listings.newest(failures, ("detected_ms", "failure_id"), 200)
 
 
 @plan("recent_accuracy", "select exec_id, actual_ms, pred_ms, abs_error_ms from {outcomes} order by ts_ms desc, exec_id desc limit 300")
 def _(outcomes):
-    return outcomes.orderBy(F.desc("ts_ms"), F.desc("exec_id")).limit(300).select("exec_id", "actual_ms", "pred_ms", "abs_error_ms")
+    return listings.newest(outcomes, ("ts_ms", "exec_id"), 300).select("exec_id", "actual_ms", "pred_ms", "abs_error_ms")
 
 
 @plan("worker_history", """
@@ -415,10 +416,10 @@ def _(tasks):
     return tasks.where("status = 'RUNNING'").withColumn("effective", effective).orderBy(F.desc("effective"), "submitted_ms", "task_no").select("task_id", F.round("effective", 6).alias("effective"))
 
 
-@plan("dead_letters", "select task_id, attempts from {tasks} where attempts > case when task_no % 3 = 0 then 3 else 2 end and status = 'FAILED'")
+@plan("dead_letters", "select task_id, attempts from {tasks} where attempts > case task_no % 3 when 0 then 3 when 1 then 2 else 1 end and status = 'FAILED'")
 def _(tasks):
-    limit = F.when(F.col("task_no") % 3 == 0, 3).otherwise(2)
-    return tasks.where((F.col("attempts") > limit) & (F.col("status") == "FAILED")).orderBy(F.desc("submitted_ms"), "task_no").select("task_id", "attempts")
+    retries = F.when(F.col("task_no") % 3 == 0, 3).when(F.col("task_no") % 3 == 1, -1).otherwise(1)
+    return listings.dead_letters(tasks.withColumn("max_retries", retries), 2).select("task_id", "attempts")
 
 
 @plan("verified_sort", "select count(*) as n, 0::bigint as out_of_order, sum(exec_ms)::bigint as total, min(exec_ms) as first_value, max(exec_ms) as last_value from {executions}")
@@ -495,13 +496,17 @@ def _(log_events):
 
 
 @plan("stragglers", """
-select e.exec_id, exec_ms, 2 * pred_ms as limit_ms from {executions} e join {outcomes} o using (exec_id) where e.attempt = 1 and exec_ms > 2 * pred_ms""")
+with p as (select task_type, quantile_disc(exec_ms, 0.9)::double as p90 from {executions} where status = 'COMPLETED' group by 1 having count(*) >= 20),
+x as (select e.exec_id, e.exec_ms, greatest(2 * o.pred_ms, p.p90) as limit_ms from {executions} e left join {outcomes} o on o.exec_id = e.exec_id and o.exec_id % 4 > 0 left join p on p.task_type = e.task_type where e.attempt = 1)
+select * from x where exec_ms > limit_ms""")
 def _(executions, outcomes):
-    joined = executions.join(outcomes.select("exec_id", "pred_ms"), "exec_id").withColumn("limit_ms", scalars.straggler_limit(F.col("pred_ms"), F.lit(None).cast("double"), 2.0))
-    return joined.where((F.col("attempt") == 1) & (F.col("exec_ms") > F.col("limit_ms"))).select("exec_id", "exec_ms", "limit_ms")
+    known = outcomes.where("exec_id % 4 > 0").select("exec_id", "pred_ms")
+    running = executions.join(known, "exec_id", "left").withColumn("elapsed_ms", F.col("exec_ms"))
+    return listings.stragglers(running, executions.where("status = 'COMPLETED'"), 2.0).select("exec_id", "exec_ms", "limit_ms")
 
 
-@plan("union_runs", "select run_id, count(*) as n from (select * from {replay} where status = 'COMPLETED' union all select * from {replay} where status <> 'COMPLETED') group by 1")
+@plan("union_runs", "select run_id, count(*) as n, sum(exec_ms)::bigint as exec_ms from {replay} group by 1")
 def _(replay):
-    done, rest = replay.where("status = 'COMPLETED'"), replay.where("status <> 'COMPLETED'")
-    return done.unionByName(rest).groupBy("run_id").agg(F.count("*").alias("n"))
+    path = scratch_path(replay.sparkSession, "runs")
+    replay.select("run_id", "task_no", "status", "exec_ms").repartition("run_id").write.partitionBy("run_id").parquet(path)
+    return files.read_runs(replay.sparkSession, path, "task_no long, status string, exec_ms long").groupBy("run_id").agg(F.count("*").alias("n"), F.sum("exec_ms").alias("exec_ms"))

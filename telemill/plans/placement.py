@@ -44,7 +44,9 @@ def _(executions, workers):
     return placement.round_robin(executions.select("exec_id"), workers, "exec_id")
 
 
-@plan("place_random")
+@plan("place_random", """
+with w as (select list(worker_id order by worker_id) as ids from {workers})
+select exec_id, ids[('0x' || md5(concat(exec_id, ':42'))[1:15])::bigint % len(ids) + 1] as worker_id from {executions}, w""")
 def _(executions, workers):
     return placement.random_choice(executions.select("exec_id"), workers, "exec_id", 42)
 
@@ -103,9 +105,11 @@ def _(dag):
 @plan("dag_validate", """
 select workflow_id, node, 'duplicate' as problem from {dag} group by workflow_id, node, parent having count(*) > 1 union select workflow_id, node, 'self-dependency' from {dag} where node = parent
 union select workflow_id, node, 'unknown parent' from {dag} d where parent is not null and not exists (select 1 from {dag} p where p.workflow_id = d.workflow_id and p.node = d.parent)
-union select workflow_id, null, 'too many tasks' from {dag} group by 1 having count(distinct node) > 50""")
+union select workflow_id, null, 'too many tasks' from {dag} group by 1 having count(distinct node) > 50
+union select workflow_id, node, 'reference to a non-parent' from {dag} d where node % 7 = 3 and not exists (select 1 from {dag} p where p.workflow_id = d.workflow_id and p.node = d.node and p.parent = d.node - 2)""")
 def _(dag):
-    return graphs.dag_validate(dag, 50)
+    refs = F.when(F.col("node") % 7 == 3, F.array(F.col("node") - 2, F.col("parent"))).otherwise(F.array("parent"))
+    return graphs.dag_validate(dag.withColumn("refs", F.array_compact(refs)), 50)
 
 
 @plan("dag_cancel", """
@@ -129,6 +133,16 @@ def _(embeddings):
     return graphs.gram(embeddings, "embedding").withColumn("value", F.round("value", 4))
 
 
+@plan("matmul_product", """
+with e as (select vec_id, embedding::double[] as v from {embeddings}),
+g as (select list(t order by k) as t from (select k, sum(v[k] * list_sum(v)) as t from e, range(1, 65) r(k) group by k))
+select vec_id, round(list_inner_product(v, t), 3) as row_sum from e, g""")
+def _(embeddings):
+    rows = embeddings.select("vec_id", "embedding")
+    made = graphs.product(rows, graphs.matrix_rows(graphs.gram(embeddings, "embedding")), "vec_id", "embedding")
+    return made.select("vec_id", F.round(F.aggregate("product", F.lit(0.0), lambda a, x: a + x), 3).alias("row_sum"))
+
+
 @plan("lww_merge", """
 select task_id, lamport, origin, op from {replication} qualify row_number() over (partition by task_id order by lamport desc, origin desc, op desc) = 1""")
 def _(replication):

@@ -56,6 +56,11 @@ def scan_run_dir(spark: SparkSession, path: str, schema: str, runs: DataFrame) -
     return rows.join(runs, "run_key")
 
 
+def read_runs(spark: SparkSession, path: str, schema: str, run: str = "run_id") -> DataFrame:
+    """The files of all runs below ``path`` (a folder run_id=... for each) as one table with the run's id."""
+    return spark.read.schema(f"{schema}, {run} string").parquet(path)
+
+
 def scan_prediction_log(spark: SparkSession, path: str) -> DataFrame:
     return _valid_json(spark, path, PREDICTIONS, ["task_id"])
 
