@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
-from telemill.operators.numbering import asof, rolling, rolling_range, running
+from telemill.operators.numbering import asof, numbered, rolling, rolling_range, running
 from telemill.session import materialize
 
 DAY = 86_400_000
@@ -113,24 +113,28 @@ def first_rows(rows: DataFrame, by: tuple[str, ...], order: tuple, k: int, parts
     return within.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_part")
 
 
-def nearest_samples(queries: DataFrame, history: DataFrame, k: int, width: float = 0.25) -> DataFrame:
+def nearest_samples(queries: DataFrame, history: DataFrame, k: int, step: int = 100_000) -> DataFrame:
     """For each query the ``k`` executions of its type nearest in log1p(size), the smaller side first on ties, then the id.
 
-    History is counted per type and size first (sizes repeat), so a query meets distinct sizes, ordered by distance,
-    instead of all rows; only as many rows are expanded as are needed.
+    History is counted per type and size first (sizes repeat) and the sizes of a type are numbered. An as-of join gives
+    a query's place among them, so it meets the ``k`` sizes on either side of it alone; only as many rows are expanded
+    as are needed. Unknown types and sizes find nothing.
     """
     key = ("task_type", "input_size")
-    first = first_rows(history.where("exec_id is not null").select(*key, "exec_id"), key, ("exec_id",), k)
-    ids = first.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.sort_array(F.collect_list("exec_id")).alias("ids"))
-    same = F.col("task_type").eqNullSafe(F.col("_task_type")) & F.col("input_size").eqNullSafe(F.col("_input_size"))
-    sizes = history.groupBy(*key).agg(F.count("*").alias("c")).join(ids, same, "left").select(*key, "c", "ids")
-    asked = queries.select("task_type", "input_size").distinct().withColumnRenamed("input_size", "size")
-    distance = F.abs(F.log1p("input_size") - F.log1p("size"))
+    known = history.where("task_type is not null and input_size is not null")
+    first = first_rows(known.where("exec_id is not null").select(*key, "exec_id"), key, ("exec_id",), k)
+    ids = first.groupBy(*key).agg(F.sort_array(F.collect_list("exec_id")).alias("ids"))
+    sizes = materialize(numbered(known.groupBy(*key).agg(F.count("*").alias("c")), "input_size", "at", ("task_type",)), "sizes")
+    asked = queries.where("task_type is not null and input_size is not null").select("task_type", F.col("input_size").alias("size")).distinct()
+    placed = asof(asked, sizes, "task_type", "size", "input_size", {"place": "at"}, step)
+    place = F.coalesce("place", F.lit(-1))
+    near = placed.select("task_type", "size", F.explode(F.sequence(place - k + 1, place + k)).alias("at")).join(sizes, ["task_type", "at"])
+    near = near.withColumn("distance", F.abs(F.log1p("input_size") - F.log1p("size")))
     order = Window.partitionBy("task_type", "size").orderBy(F.round("distance", 9), "input_size")
-    near = asked.join(sizes, "task_type").withColumn("distance", distance)
     taken = near.withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < k)
-    picked = taken.select("task_type", "size", "before", F.posexplode("ids").alias("i", "near_id")).withColumn("rank", F.col("before") + F.col("i") + 1).where(F.col("rank") <= k)
-    return queries.join(picked, (queries["task_type"] == picked["task_type"]) & (queries["input_size"] == picked["size"])).select("query_id", "rank", "near_id")
+    held = taken.join(ids, [*key]).select("task_type", F.col("size").alias("input_size"), "before", F.posexplode("ids").alias("i", "near_id"))
+    picked = held.withColumn("rank", F.col("before") + F.col("i") + 1)
+    return queries.join(picked.where(F.col("rank") <= k), [*key]).select("query_id", "rank", "near_id")
 
 
 def rolling_mae(outcomes: DataFrame, last: int) -> DataFrame:

@@ -1,5 +1,6 @@
 """Nulls, repeated rows and ties in operators over series, groups and scores, against plain Python."""
 
+import math
 import random
 
 import pytest
@@ -85,6 +86,18 @@ def test_tagged_executions_stay_repeated(spark):
     assert history.tag_runs(ids, runs.limit(0)).count() == 0
 
 
+def test_nearest_samples_against_all_pairs(spark):
+    rnd = random.Random(13)
+    held = [(i, rnd.choice(["A", "B", None]), rnd.choice([None, *[rnd.randrange(400) for _ in range(6)], 50, 50])) for i in range(300)]
+    asked = [(i, rnd.choice(["A", "B", "C", None]), rnd.choice([None, 0, 50, rnd.randrange(500)])) for i in range(60)]
+    got = history.nearest_samples(spark.createDataFrame(asked, "query_id long, task_type string, input_size long"), spark.createDataFrame(held, "exec_id long, task_type string, input_size long"), 7, 60)
+    want = []
+    for q, kind, size in asked:
+        near = sorted((round(abs(math.log1p(s) - math.log1p(size)), 9), s, i) for i, t, s in held if None not in (kind, size, s) and t == kind)
+        want += [(q, n + 1, i) for n, (_, _, i) in enumerate(near[:7])]
+    assert sorted((r.query_id, r["rank"], r.near_id) for r in got.collect()) == sorted(want)
+
+
 def test_null_groups_are_their_own(spark):
     df = spark.createDataFrame([(1, None, "w", 0, 0, 10, "COMPLETED", 0), (2, "A", None, 0, 0, 20, "COMPLETED", 0)], EXEC)
     got = {(r.kind, r.key): r.n for r in aggregates.exec_stats(df).collect()}
