@@ -13,7 +13,7 @@ task holds one conversation at a time.
 
 Defined cases: null text, role or parts count as empty; rows with equal turn are ordered by role, then content;
 repeated rows are turns of their own; an empty table gives no conversations; other input columns are ignored; a null
-conversation id forms a conversation.
+conversation id forms a conversation; a conversation, however long its texts, is one row and is held by one task.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ document that loses too much of its text is rejected. Whole texts are judged ins
 Python workers, and memory bounded by one text.
 
 Defined cases: a null text counts as empty (no lines, no words, rejected); repeated rows and ties are judged each by
-itself; columns of the input are kept, and an input column with the name of a result column is replaced.
+itself; a very long text is judged whole; an empty table gives no rows; columns of the input are kept, and an input
+column with the name of a result column is replaced.
 """
 
 from __future__ import annotations
