@@ -182,18 +182,29 @@ def _(run_metrics):
     return best.select("scenario", "metric", "baseline", F.round("base_mean", 4).alias("base_mean"), F.round("arm_mean", 4).alias("arm_mean"), F.round("diff_pct", 4).alias("diff_pct"))
 
 
-@plan("welch_cohen", f"""
-with {_BEST} select scenario, metric, round(case when an >= 2 and bn >= 2 and asd * asd / an + bs * bs / bn > 0 then (am - bm) / sqrt(asd * asd / an + bs * bs / bn) end, 6) as t,
-  round(case when an >= 2 and bn >= 2 and asd * asd / an + bs * bs / bn > 0 then power(asd * asd / an + bs * bs / bn, 2) / (power(asd * asd / an, 2) / (an - 1) + power(bs * bs / bn, 2) / (bn - 1)) end, 6) as df,
-  round(case when an >= 2 and bn >= 2 then case when (an - 1) * asd * asd + (bn - 1) * bs * bs > 0 then (am - bm) / sqrt(((an - 1) * asd * asd + (bn - 1) * bs * bs) / (an + bn - 2)) else 0 end end, 6) as d from b""")
+# Student's two-sided p is 1 - 2c * integral of cos^(df - 1) from 0 to atan(|t| / sqrt(df)), here by Simpson's rule over 2,000 steps.
+_WELCH = f"""
+{_BEST}, v as (select *, an >= 2 and bn >= 2 as enough, asd * asd / an as va, bs * bs / bn as vb from b),
+k as (select *, case when enough and va + vb > 0 then (am - bm) / sqrt(va + vb) end as t, case when enough and va + vb > 0 then power(va + vb, 2) / (va * va / (an - 1) + vb * vb / (bn - 1)) end as df,
+  case when enough then case when (an - 1) * asd * asd + (bn - 1) * bs * bs > 0 then (am - bm) / sqrt(((an - 1) * asd * asd + (bn - 1) * bs * bs) / (an + bn - 2)) else 0 end end as d from v),
+area as (select scenario, metric, 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * atan(abs(t) / sqrt(df)) / 6000
+  * sum(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end * power(cos(atan(abs(t) / sqrt(df)) * i / 2000), df - 1)) as inside from k, range(2001) g(i) where t is not null group by scenario, metric, t, df),
+w as (select k.*, case when not enough then null when t is not null then 1 - inside when am = bm then 1.0 else 0.0 end as p from k left join area using (scenario, metric))"""
+
+
+@plan("welch_cohen", f"with {_WELCH} select scenario, metric, round(t, 6) as t, round(df, 6) as df, round(p, 6) + 0.0 as p, round(d, 6) as d from w")
 def _(run_metrics):
     out = ex.compare_arms(ex.best_baseline(suite_summary(run_metrics, METRICS)))
-    return out.select("scenario", "metric", *[F.round(c, 6).alias(c) for c in ("t", "df", "d")])
+    return out.select("scenario", "metric", *[F.round(c, 6).alias(c) for c in ("t", "df", "p", "d")])
 
 
-@plan("headlines")
+@plan("headlines", f"""
+with {_WELCH} select scenario, metric, baseline, round(diff_pct, 4) as diff_pct,
+  case when diff_pct is null or p is null or p >= 0.05 or diff_pct = 0 then 'no difference' when (diff_pct > 0) = (metric = 'throughput') then 'better' else 'worse' end as verdict
+from w where metric in ('latency_ms', 'throughput', 'sla_violations')""")
 def _(run_metrics):
-    return ex.headlines(ex.compare_arms(ex.best_baseline(suite_summary(run_metrics, METRICS))), ["latency_ms", "throughput", "sla_violations"])
+    out = ex.headlines(ex.compare_arms(ex.best_baseline(suite_summary(run_metrics, METRICS))), ["latency_ms", "throughput", "sla_violations"])
+    return out.withColumn("diff_pct", F.round("diff_pct", 4))
 
 
 @plan("radar_scores", f"""
