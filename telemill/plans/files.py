@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from telemill.operators.numbering import numbered
 from telemill.plans.registry import plan
 from telemill.session import materialize, scratch_path
 from telemill.sources import files as src
@@ -107,13 +108,19 @@ def _(executions):
 _TRACE_LINES = 100_000
 
 
-@plan("trace_checksum", "select r_name as region, true as ok, 64 as width from {region}")
-def _(region, replay):
+@plan("trace_checksum", """
+with t as (select scenario, '{"task_no":' || task_no || ',"submit_ms":' || submit_ms || '}' as line, (row_number() over (partition by scenario order by task_no, submit_ms) - 1) // 100000 as part from {replay} where scenario is not null),
+s as (select scenario, part, sha256(string_agg(line, chr(10) order by line) || chr(10)) as sum from t group by 1, 2)
+select scenario as region, part, sum as expected, sum as actual, true as ok from s""")
+def _(replay):
+    """The manifest comes from the rows, before any file is written; files are found again by their folder."""
     spark, path = _spark(replay), scratch_path(_spark(replay), "traces")
-    lines = replay.select("scenario", F.to_json(F.struct("task_no", "submit_ms")).alias("line"))
-    lines.repartition(max(2, -(-replay.count() // _TRACE_LINES))).sortWithinPartitions("scenario", "line").write.partitionBy("scenario").option("maxRecordsPerFile", _TRACE_LINES).text(path)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    manifest = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("expected"), F.url_decode(F.regexp_extract("path", "scenario=([^/]+)/", 1)).alias("region"))
-    checked = src.trace_checksum(spark, f"{path}/*", manifest.dropDuplicates(["file", "region", "expected"]))
-    files = checked.groupBy("region", "file", "expected").agg(F.bool_or("ok").alias("ok"), F.max(F.length("actual")).alias("width"))
-    return files.groupBy("region").agg(F.bool_and("ok").alias("ok"), F.max("width").alias("width"))
+    lines = numbered(replay.where("scenario is not null"), "task_no", "at", ("scenario",), ("submit_ms",))
+    lines = lines.select("scenario", F.floor(F.col("at") / _TRACE_LINES).alias("part"), F.to_json(F.struct("task_no", "submit_ms")).alias("line"))
+    lines = materialize(lines, "trace-lines")
+    text = F.concat(F.array_join(F.sort_array(F.collect_list("line")), "\n"), F.lit("\n"))
+    manifest = lines.groupBy("scenario", "part").agg(F.sha2(text, 256).alias("expected"))
+    lines.repartition("scenario", "part").sortWithinPartitions("scenario", "part", "line").write.partitionBy("scenario", "part").text(path)
+    key = F.struct(F.url_decode(F.regexp_extract("path", "scenario=([^/]+)/", 1)).alias("scenario"), F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long").alias("part"))
+    checked = src.trace_checksum(spark, f"{path}/*/*", manifest.select(F.struct("scenario", "part").alias("file"), "expected"), key)
+    return checked.select(F.col("file.scenario").alias("region"), F.col("file.part").alias("part"), "expected", "actual", "ok")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HISTORY = "exec_id long, task_id string, task_type string, worker_id string, dispatched_at timestamp, wait_ms long, exec_ms double, status string, queue_len int"
@@ -81,7 +81,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int,
     return reader.load()
 
 
-def trace_checksum(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """file, expected, actual, ok for each file of the manifest (file name, sha256): a mismatch or a missing file isn't ok."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("actual"))
+def trace_checksum(spark: SparkSession, path: str, manifest: DataFrame, key: Column | None = None) -> DataFrame:
+    """file, expected, actual, ok for each file of the manifest (file, sha256): a mismatch or a missing file isn't ok.
+
+    ``key`` makes what the manifest calls ``file`` from the column path; by default it is the file's name. Each file is
+    hashed as one value, so traces of any size are to be kept in files of bounded size.
+    """
+    name = F.element_at(F.split("path", "/"), -1) if key is None else key
+    files = spark.read.format("binaryFile").load(path).select(name.alias("file"), F.sha2("content", 256).alias("actual"))
     return manifest.join(files, "file", "left").withColumn("ok", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
