@@ -70,6 +70,23 @@ def _(log_events):
     return streams.upsert(streams.replay_source(rows, "physical_ms", 3, "upsert-in"), "task_id", ("physical_ms", "seq"), "upsert")
 
 
+@plan("stream_throttle_live", """
+with m as (select max(physical_ms) - 600000 as mark from {log_events}),
+r as (select type, physical_ms // 3600000 as tick, physical_ms, seq, row_number() over (partition by type, physical_ms // 3600000 order by physical_ms desc, seq desc) as r, count(*) over (partition by type, physical_ms // 3600000) as n from {log_events})
+select type, tick, physical_ms, seq, greatest(0, n - 2)::bigint as dropped from r, m where r <= 2 and (tick + 1) * 3600000 < mark""")
+def _(log_events):
+    source = streams.replay_source(log_events.select("type", "physical_ms", "seq"), "physical_ms", 3, "throttle-in", ties=("seq",))
+    return streams.run_to_files(streams.throttle(source, "type", "physical_ms", "seq", HOUR, 2, 600_000), "throttle-out")
+
+
+@plan("stream_dead_workers", """
+with m as (select max(ts_ms) - 600000 as mark from {samples}), g as (select worker_id, ts_ms, lead(ts_ms) over (partition by worker_id order by ts_ms) as next_ms from (select distinct worker_id, ts_ms from {samples}))
+select worker_id, ts_ms as silent_from_ms from g, m where next_ms - ts_ms >= 7200000 or (next_ms is null and ts_ms + 7200000 < mark)""")
+def _(samples):
+    source = streams.replay_source(samples.select("worker_id", "ts_ms"), "ts_ms", 3, "silence-in", bounded=True)
+    return streams.run_to_files(streams.dead_workers(source, "worker_id", "ts_ms", HOUR, 2, 600_000), "silence-out")
+
+
 def _dataset(executions, samples, workers):
     executions, samples, workers = materialize(executions, "executions"), materialize(samples, "samples"), materialize(workers, "workers")
     windows = materialize(history.worker_windows(executions, HOUR, HOUR // 2), "windows")

@@ -100,3 +100,81 @@ def upsert(stream: DataFrame, key: str, order: tuple[str, ...], label: str) -> D
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return held[-1] if held else spark.createDataFrame([], stream.schema)
+
+
+def throttle(stream: DataFrame, by: str, at: str, tie: str, tick_ms: int, k: int, watermark_ms: int) -> DataFrame:
+    """The newest ``k`` rows of each key and tick, and how many older ones were dropped, once the watermark has passed the tick's end.
+
+    Each Arrow batch is cut down to the newest ``k`` of a key and tick before the shuffle, so a hot key brings at most
+    ``k`` rows a batch to its task, and the state of a tick is ``k`` rows and a count. Rows without a time belong to no
+    tick, and rows of a tick that is closed are late; both are left out. A null key is a key of its own.
+    """
+    spec = dict((f.name, f.dataType.simpleString()) for f in stream.schema)
+    partial = f"{by} {spec[by]}, tick long, {at} long, {tie} {spec[tie]}, _n long"
+
+    def newest(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values([at, tie], ascending=False).groupby([by, "tick"], dropna=False, sort=False).head(k)
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch.dropna(subset=[at])
+            rows = rows.assign(tick=rows[at].astype("int64") // tick_ms)
+            top = newest(rows)
+            total, first = rows.groupby([by, "tick"], dropna=False, sort=False)[tie].transform("size"), ~top.duplicated([by, "tick"])
+            yield top.assign(_n=total.loc[top.index].where(first, 0))[[by, "tick", at, tie, "_n"]]
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        end = (int(key[1]) + 1) * tick_ms
+        if state.hasTimedOut:
+            times, ties, n = state.get
+            state.remove()
+            yield pd.DataFrame({by: [key[0]] * len(times), "tick": key[1], at: times, tie: ties, "dropped": max(0, n - k)})
+        elif end > state.getCurrentWatermarkMs():
+            times, ties, n = state.get if state.exists else ([], [], 0)
+            held = list(zip(times, ties, strict=True))
+            for batch in batches:
+                n += int(batch["_n"].sum())
+                held = sorted([*held, *zip(batch[at].tolist(), batch[tie].tolist(), strict=True)], reverse=True)[:k]
+            state.update(([t for t, _ in held], [x for _, x in held], n))
+            state.setTimeoutTimestamp(end)
+
+    small = stream.select(by, at, tie).mapInPandas(shrink, partial)
+    timed = small.withColumn("_at", F.timestamp_millis(at)).withWatermark("_at", f"{watermark_ms} milliseconds")
+    return timed.groupBy(by, "tick").applyInPandasWithState(
+        update, f"{by} {spec[by]}, tick long, {at} long, {tie} {spec[tie]}, dropped long", f"times array<long>, ties array<{spec[tie]}>, n long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def dead_workers(stream: DataFrame, worker: str, at: str, interval_ms: int, misses: int, watermark_ms: int) -> DataFrame:
+    """A row per silence of a worker: the time of its last sample, once ``misses`` heartbeat intervals have gone by without another.
+
+    A silence is told by the sample that ends it or, if the watermark gets that far first, by a timer; never by both.
+    State of a worker: its last time and whether its silence has been told. Samples of a trigger are cut down to their
+    distinct times batch by batch; samples older than the last one of their worker change nothing. Samples without a time are left out.
+    """
+    kind = dict((f.name, f.dataType.simpleString()) for f in stream.schema)[worker]
+    reach = interval_ms * misses
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told, found = (*state.get, []) if state.exists else (None, False, [])
+        if state.hasTimedOut:
+            found.append(last)
+            state.update((last, True))
+        else:
+            for t in sorted({int(t) for batch in batches for t in batch[at].unique()}):
+                if last is None or t > last:
+                    if last is not None and t - last >= reach and not told:
+                        found.append(last)
+                    last, told = t, False
+            if not told and last + reach <= state.getCurrentWatermarkMs():
+                found.append(last)
+                told = True
+            state.update((last, told))
+            if not told:
+                state.setTimeoutTimestamp(last + reach)
+        yield pd.DataFrame({worker: [key[0]] * len(found), "silent_from_ms": pd.Series(found, dtype="int64")})
+
+    timed = stream.where(F.col(at).isNotNull()).select(worker, at).withColumn("_at", F.timestamp_millis(at)).withWatermark("_at", f"{watermark_ms} milliseconds")
+    return timed.groupBy(worker).applyInPandasWithState(
+        update, f"{worker} {kind}, silent_from_ms long", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )

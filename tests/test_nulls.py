@@ -142,3 +142,29 @@ def test_references_to_tasks_that_are_no_parents(spark):
     rows = [(1, 1, None, []), (1, 2, 1, [1]), (1, 3, 1, [1, 2]), (1, 4, None, None)]
     tasks = spark.createDataFrame(rows, "workflow_id long, node long, parent long, refs array<long>")
     assert [(r.node, r.problem) for r in graphs.dag_validate(tasks).collect()] == [(3, "reference to a non-parent")]
+
+
+def test_streams_of_ticks_and_silences_against_plain_python(spark):
+    from telemill.streaming import streams
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), None if rng.random() < 0.02 else rng.randrange(0, 400), i) for i in range(1500)]
+    rows += [("hot", 5, i) for i in range(2000, 4000)]
+    df = spark.createDataFrame(rows, "k string, t long, seq long").repartition(4)
+    got = streams.run_to_files(streams.throttle(streams.replay_source(df, "t", 4, "ticks", ties=("seq",)), "k", "t", "seq", 10, 3, 20), "ticks-out").collect()
+    ticks = {}
+    for k, t, s in rows:
+        if t is not None:
+            ticks.setdefault((k, t // 10), []).append((t, s))
+    mark = max(t for _, t, _ in rows if t is not None) - 20
+    want = {(k, b, t, s, max(0, len(v) - 3)) for (k, b), v in ticks.items() if (b + 1) * 10 < mark for t, s in sorted(v)[-3:]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+    beats = [(w, t) for w in ("x", "y", None) for t in sorted(rng.sample(range(3000), 60))] + [("gone", 40), ("gone", 40), ("x", None)]
+    df = spark.createDataFrame(beats, "w string, t long").repartition(3)
+    got = streams.run_to_files(streams.dead_workers(streams.replay_source(df, "t", 6, "beats"), "w", "t", 20, 3, 30), "beats-out").collect()
+    mark, want = max(t for _, t in beats if t is not None) - 30, set()
+    for w in {w for w, _ in beats}:
+        own = sorted({t for v, t in beats if v == w and t is not None})
+        want |= {(w, a) for a, b in zip(own, own[1:], strict=False) if b - a >= 60} | ({(w, own[-1])} if own[-1] + 60 < mark else set())
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and ("gone", 40) in want
