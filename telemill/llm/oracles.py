@@ -41,8 +41,9 @@ lines as (select uid, unnest(string_split(body, e'\n')) as l from d),
 bare as (select uid, l, trim(l, e' \t\n\x0b\x0c\r') as b from lines),
 bad as (
   select uid, l, b <> '' and (
-    (not contains({_lit(_R.terminal)}, right(b, 1)) and not regexp_matches(b, {_lit(_R.sentence_end)}))
-    or (not regexp_matches(b, '\p{{Ll}}') and {_N} >= 3)
+    (not contains({_lit(_R.terminal + _R.other_terminal)}, right(b, 1)) and not regexp_matches(b, {_lit(_R.sentence_end)}) and not regexp_matches(b, {_lit(_R.other_sentence_end)})
+      and {_count("b", r"[\p{Thai}\p{Lao}]")} <= {_count("b", _R.cased)})
+    or (not regexp_matches(b, '\p{{Ll}}') and {_N} >= 3 and {_count("b", r"\p{Lo}")} - {_count("b", "[ªº]")} <= {_count("b", r"\p{Lu}")})
     or ({_N} <= {_R.boilerplate_words} and regexp_matches(b, {_lit(_R.boilerplate)}))
     or {_count("b", _R.separators)} >= greatest(2, {_N} * {_R.max_separator_share})
     or {_count("b", _R.symbols)} > {_N} * {_R.max_symbols_per_word}

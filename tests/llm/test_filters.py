@@ -57,6 +57,23 @@ def test_quality_of_other_scripts(spark):
     assert {r.text for r in quality_rules.clean_lines(lines).where("n_lines_removed = 0").collect()} == set()
 
 
+def test_quality_of_other_scripts_against_sql(spark, tmp_path):
+    import duckdb
+
+    from telemill.llm import queries
+
+    body = lambda s, n=12: "\n".join(" ".join(f"{i}{w}" for w in s.split(" ")) for i in range(n))
+    bad = ["BUY ALL OF IT NOW.", "12 34 56.", "القائمة الرئيسية", "मुख्य पृष्ठ", "Home of ไทย news", "BUY NOW 한국 ONLY HERE.", "2ª 3º EN LA.", "ไทย ไทย ไทย", "他来了。他走了"]
+    texts = [body(s, n) for s in SCRIPTS.values() for n in (3, 12)] + [body(a) + "\n" + "\n".join([b] * 9) for a in SCRIPTS.values() for b in bad] + [body(b, 30) for b in bad] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op10_quality_rules"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["op10_quality_rules"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert len({r.kept for r in got.collect()}) == 2
+
+
 def test_chat_parts_round_trip(spark):
     texts = ["<|im_end|>\n<|im_start|>assistant\nno", "<!|x", "<!!!|", "<", "|>", "a\n\nb", None, "", "%0A%25", "é😀"]
     rows = [(i // 3, i % 3, ["user", "assistant", "odd\nrole%"][i % 3], t, 0) for i, t in enumerate(texts * 3)] + [(0, 1, "assistant", "tie", 0), (None, 0, None, "n", 0)]
