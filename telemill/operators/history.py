@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
-from telemill.operators.numbering import asof, numbered, rolling, rolling_range, running
+from telemill.operators.numbering import asof, numbered, rolling, rolling_mean, rolling_range, running
 from telemill.session import materialize
 
 DAY = 86_400_000
@@ -140,15 +140,15 @@ def nearest_samples(queries: DataFrame, history: DataFrame, k: int, step: int =
 def rolling_mae(outcomes: DataFrame, last: int) -> DataFrame:
     """Mean absolute error of the last ``last`` outcomes after each, overall and per type. Writes both steps' inputs."""
     outcomes = materialize(outcomes, "outcomes")
-    overall = materialize(rolling(outcomes, "ts_ms", last, {"rolling_mae_ms": F.avg("abs_error_ms")}, tie=("exec_id",)), "outcomes")
-    both = rolling(overall, "ts_ms", last, {"rolling_type_mae_ms": F.avg("abs_error_ms")}, by=("task_type",), tie=("exec_id",))
+    overall = materialize(rolling_mean(outcomes, "ts_ms", last, {"rolling_mae_ms": "abs_error_ms"}, tie=("exec_id",)), "outcomes")
+    both = rolling_mean(overall, "ts_ms", last, {"rolling_type_mae_ms": "abs_error_ms"}, by=("task_type",), tie=("exec_id",))
     return both.withColumns({c: F.round(c, 6) for c in ("rolling_mae_ms", "rolling_type_mae_ms")})
 
 
 def avg_exec_recent(executions: DataFrame, last: int) -> DataFrame:
     """Mean execution time of a worker's last ``last`` finished tasks, failed ones included, as of each finish."""
     done = executions.withColumn("finished_ms", F.col("dispatched_ms") + F.col("wait_ms") + F.col("exec_ms"))
-    means = rolling(done, "finished_ms", last, {"avg_exec_recent_ms": F.avg("exec_ms")}, by=("worker_id",), tie=("exec_id",))
+    means = rolling_mean(done, "finished_ms", last, {"avg_exec_recent_ms": "exec_ms"}, by=("worker_id",), tie=("exec_id",))
     return means.withColumn("avg_exec_recent_ms", F.round("avg_exec_recent_ms", 6))
 
 

@@ -39,19 +39,45 @@ def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = (), tie:
     return placed.withColumn("_r", rank).join(before, ["_k", "_b"]).withColumn(out, F.col("_before") + F.col("_r")).drop("_k", "_b", "_r", "_before")
 
 
-def rolling(df: DataFrame, order: str, n: int, values: dict[str, Column], by: tuple[str, ...] = (), tie: tuple[str, ...] = (), block: int = 20_000) -> DataFrame:
-    """Aggregates over the last ``n`` rows up to each row within ``by``.
-
-    Rows are numbered and dealt to blocks of ``block``; the last n - 1 rows of a block are also sent to the next one.
-    """
+def _blocks(df: DataFrame, order: str, n: int, by: tuple[str, ...], tie: tuple[str, ...], block: int) -> DataFrame:
+    """Rows numbered (_at) and dealt to blocks of ``block``; the last n - 1 rows of a block are also sent to the next one (not _own)."""
     at = numbered(df, order, "_at", by, tie)
     own = F.floor(F.col("_at") / block)
     later = F.floor((F.col("_at") + n - 1) / block)
-    spread = at.withColumn("_block", F.explode(F.sequence(own, later))).withColumn("_own", F.col("_block") == own)
+    return at.withColumn("_block", F.explode(F.sequence(own, later))).withColumn("_own", F.col("_block") == own)
+
+
+def rolling(df: DataFrame, order: str, n: int, values: dict[str, Column], by: tuple[str, ...] = (), tie: tuple[str, ...] = (), block: int = 20_000) -> DataFrame:
+    """Aggregates over the last ``n`` rows up to each row within ``by``; the work for a row grows with ``n``."""
+    spread = _blocks(df, order, n, by, tie, block)
     frame = Window.partitionBy(*by, "_block").orderBy("_at").rowsBetween(-(n - 1), 0)
     return spread.withColumns({k: v.over(frame) for k, v in values.items()}).where("_own").drop("_at", "_block", "_own")
 
 
+def rolling_mean(df: DataFrame, order: str, n: int, values: dict[str, str], by: tuple[str, ...] = (), tie: tuple[str, ...] = (), block: int = 20_000) -> DataFrame:
+    """Means of columns (name to column) over the last ``n`` rows up to each row within ``by``, with the same work for any ``n``.
+
+    A frame's sum is the difference of two running sums of its block, which stays short enough to be exact to about
+    twelve digits. Nulls don't count; a frame with an infinite or undefined value has the mean that they give.
+    """
+    spread = _blocks(df, order, n, by, tie, block)
+    series = Window.partitionBy(*by, "_block").orderBy("_at")
+    upto = series.rowsBetween(Window.unboundedPreceding, 0)
+    sums, means = {}, {}
+    for i, (name, column) in enumerate(values.items()):
+        x = F.col(column).cast("double")
+        odd = {"nan": F.isnan(x), "up": x == float("inf"), "down": x == float("-inf")}
+        finite = F.when(~(odd["nan"] | odd["up"] | odd["down"]), x)
+        parts = {"sum": F.coalesce(finite, F.lit(0.0)), "n": x.isNotNull().cast("long"), **{k: F.coalesce(c, F.lit(False)).cast("long") for k, c in odd.items()}}
+        sums |= {f"_{k}{i}": F.sum(c).over(upto) for k, c in parts.items()}
+        inside = {k: F.col(f"_{k}{i}") - F.lag(f"_{k}{i}", n, 0).over(series) for k in parts}
+        means[name] = (
+            F.when((inside["nan"] > 0) | ((inside["up"] > 0) & (inside["down"] > 0)), float("nan"))
+            .when(inside["up"] > 0, float("inf")).when(inside["down"] > 0, float("-inf")).when(inside["n"] > 0, inside["sum"] / inside["n"])
+        )
+    return spread.withColumns(sums).withColumns(means).where("_own").drop("_at", "_block", "_own", *sums)
+
+
 def rolling_range(df: DataFrame, order: str, reach: int, values: dict[str, Column], by: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
     """Aggregates over rows of ``by`` whose ``order`` lies in [own - reach, own], both ends included; rows without an order value see each other."""
     step = block or 16 * max(1, reach)

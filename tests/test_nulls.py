@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from telemill.operators import aggregates, evaluation, graphs, history
-from telemill.operators.numbering import asof, numbered, rolling, rolling_range, running
+from telemill.operators.numbering import asof, numbered, rolling, rolling_mean, rolling_range, running
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,12 @@ def test_numbers_and_moving_frames_keep_every_row(series):
     same(numbered(series, "t", "n", (), ("id", "row"), buckets=9), series.withColumn("n", F.row_number().over(Window.orderBy("t", "id", "row")) - 1), ["row", "n"])
     want = series.withColumn("s", F.sum("x").over(order.rowsBetween(-4, 0)))
     same(rolling(series, "t", 5, {"s": F.sum("x")}, ("k",), ("id", "row"), block=11), want, ["row", "s"])
+    odd = F.when(F.col("row") % 50 == 7, float("inf")).when(F.col("row") % 60 == 9, float("nan")).when(F.col("row") % 70 == 3, float("-inf")).otherwise(F.col("x").cast("double"))
+    mixed, order = series.withColumn("y", odd), Window.partitionBy("k").orderBy("t", "id", "row")
+    for n, block in ((1, 11), (5, 11), (25, 11), (25, 1000)):
+        frame = order.rowsBetween(1 - n, 0)
+        want = mixed.select("row", F.avg("x").over(frame).alias("m"), F.avg("y").over(frame).alias("o"))
+        same(rolling_mean(mixed, "t", n, {"m": "x", "o": "y"}, ("k",), ("id", "row"), block=block), want, ["row", "m", "o"])
     span = Window.partitionBy("k").orderBy("t").rangeBetween(-20, 0)
     same(rolling_range(series, "t", 20, {"n": F.count("*")}, ("k",), block=15), series.withColumn("n", F.count("*").over(span)), ["row", "n"])
 
