@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import chat_format, decontaminate, html_blocks, language_id, near_dedup, packing, quality_rules, sharding, token_counts, warc
+from telemill.llm import chat_format, decontaminate, html_blocks, language_id, near_dedup, packing, quality_rules, repeats, sharding, spelling, token_counts, warc, whitening
 from telemill.llm.oracles import ORACLES  # noqa: F401
 from telemill.session import scratch_path, table
 
@@ -117,3 +117,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = language_id.identify(docs.unionByName(pages), declared="lang", address="url", host="source")
     return found.select("doc_id", "page_id", "language", F.round("confidence", 4).alias("confidence"), "text_language", "kept")
+
+
+@query("op11_substring_dedup")
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that 50-word windows of smaller ids repeat, removed."""
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 whitened components of every embedding."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")

@@ -31,10 +31,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of ``texts`` (bytes, ASCII letters lowered here): data, starts, ends, hashes, and first word by text (len + 1)."""
+    """Words of ``texts`` (bytes, ASCII letters lowered here unless told not to): data, starts, ends, hashes, and first word by text (len + 1)."""
 
-    def __init__(self, texts: list[bytes], table: np.ndarray):
-        self.data = (b" " + b" ".join(texts) + b" ").lower()
+    def __init__(self, texts: list[bytes], table: np.ndarray, lower: bool = True):
+        self.data = b" " + b" ".join(texts) + b" "
+        self.data = self.data.lower() if lower else self.data
         raw = np.frombuffer(self.data, np.uint8)
         inside = table[raw]
         turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
