@@ -111,4 +111,15 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
 from b join f using (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op5_warc": OP5, "op6_near_dedup": OP6, "op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}
+OP11 = r"""
+with d as (select row_number() over () as uid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select uid, doc_id, i, sha256(array_to_string(ws[i:i + 49], ' ')) as g from (select uid, doc_id, ws, unnest(range(1, len(ws) - 48)) as i from d where len(ws) >= 50)),
+f as (select g, min(doc_id) as first from win group by g),
+gone as (select distinct uid, unnest(range(i, i + 50)) as p from (select uid, i from win join f using (g) where doc_id > first)),
+marks as (select uid, list(p) as ps from gone group by uid),
+k as (select uid, list(ws[p] order by p) as kept from (select uid, ws, unnest(range(1, len(ws) + 1)) as p from d) x where not exists (select 1 from gone where gone.uid = x.uid and gone.p = x.p) group by uid)
+select doc_id, len(ws)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) as kept_sha256
+from d left join marks using (uid) left join k using (uid)
+"""
+
+ORACLES: dict[str, str] = {"op11_substring_dedup": OP11, "op5_warc": OP5, "op6_near_dedup": OP6, "op8_decontamination": OP8, "op4_chat_format": OP4, "op10_quality_rules": OP10}
