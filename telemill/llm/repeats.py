@@ -6,8 +6,8 @@ with a smaller id; windows are judged on the input.
 1. Anchors: of the ``k``-word grams of a window the one with the smallest hash (the leftmost of equals) is its anchor.
    The choice depends on the window's words alone, so equal windows have equal anchors at equal places, and an anchor
    speaks for a run of windows (21 on average). One scan emits a row for each: its hash, its place, its run and a
-   128-bit fingerprint of all words that the run's windows cover.
-2. Rows with equal fingerprints are a class. Its windows are equal throughout, so in all documents but the smallest they
+   64-bit fingerprint of all words that the run's windows cover.
+2. Rows with equal anchors and fingerprints are a class. Its windows are equal throughout, so in all documents but the smallest they
    go whole, and only places in the smallest take part in what follows: copies are never compared with each other.
 3. Anchors with several classes are the seeds. Their classes' words are read from the texts and extended from the anchor
    both ways against the smallest document of the group (the pivot). The maximal match covers the windows between its
@@ -18,7 +18,7 @@ with a smaller id; windows are judged on the input.
    to parts.
 4. Covered spans are merged by document and cut out of the texts.
 
-Words are compared as they are in step 3; step 2 rests on 128 bits.
+Words are compared as they are in step 3; step 2 rests on the 64 bits of an anchor and 64 more of all words around it.
 
 Words: runs of all but ASCII white space, unchanged. Defined cases: null and short texts have no windows; rows with
 equal ids are one document, whose windows don't remove each other; rows with a null id keep all words and remove none;
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,8 @@ from telemill.llm.skew import hot_keys, salted_join
 from telemill.llm.wordhash import INK, Words, blocks, mix, slices
 from telemill.session import discard, materialize
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE = np.uint64((1 << 22) - 1)
 _CHUNK = 1 << 20
 
@@ -59,20 +60,16 @@ def _choices(grams: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _prints(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of the words begin..end, from differences of running sums."""
-    out = []
-    for base in _BASES:
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        up = np.cumprod(np.full(len(hashes), base))
-        down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(hashes), inverse))])
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + base) * up)])
-        out.append(mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
-    return out
+def _prints(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the words begin..end, from differences of running sums."""
+    up = np.cumprod(np.full(len(hashes), _BASE))
+    down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(hashes), _INVERSE))])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + _BASE) * up)])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
 def anchors(texts: list[bytes], window: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """By block of texts: text index, first window, place of the anchor from there, number of windows, gram, two fingerprints."""
+    """By block of texts: text index, first window, place of the anchor from there, number of windows, gram, fingerprint."""
     for base, block in blocks(texts):
         w = Words(block, INK, lower=False)
         grams = w.windows(k)
@@ -88,7 +85,7 @@ def anchors(texts: list[bytes], window: int, k: int) -> Iterator[tuple[np.ndarra
         count = np.diff(np.concatenate([runs, [len(at)]]))
         begin, place = at[runs], chosen[runs]
         own = np.searchsorted(w.first, begin, "right") - 1
-        yield base + own, begin - w.first[own], place - begin, count, grams[place], *_prints(w.hashes, begin, begin + count - 1 + window)
+        yield base + own, begin - w.first[own], place - begin, count, grams[place], _prints(w.hashes, begin, begin + count - 1 + window)
 
 
 def _id_text(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,11 +95,11 @@ def _id_text(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _scan(own: DataFrame, window: int, k: int) -> DataFrame:
-    """A row for each anchor: id, t, s (first window), p (words from there to the anchor), m (windows), h, c1, c2."""
-    names = ["s", "p", "m", "h", "c1", "c2"]
-    kinds = [pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int64()]
+    """A row for each anchor: id, t, s (first window), p (words from there to the anchor), m (windows), h, c."""
+    names = ["s", "p", "m", "h", "c"]
+    kinds = [pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64()]
     schema = T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("t", T.LongType())])
-    for name, kind in zip(names, (T.IntegerType(), T.ShortType(), T.ShortType(), T.LongType(), T.LongType(), T.LongType()), strict=True):
+    for name, kind in zip(names, (T.IntegerType(), T.ShortType(), T.ShortType(), T.LongType(), T.LongType()), strict=True):
         schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +271,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """id, t, spans: by document the merged spans (start, end) of words that windows of smaller ids repeat."""
     own = _id_text(docs, key, text)
     seen = materialize(_scan(own, window, k), "anchors")
-    prints = ["c1", "c2"]
-    first = F.min(F.struct("id", "t", "s")).alias("rep")
-    classes = materialize(seen.groupBy(*prints).agg(first, F.max("id").alias("last"), F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("h", "p", "m"))), "classes")
-    copied = materialize(classes.where("c > 1").select(*prints, "rep", "c"), "copied")
-    others = salted_join(seen, copied.drop("c"), prints, hot_keys(copied, prints, "c"), F.xxhash64("id", "t", "s")).where(F.struct("id", "t", "s") != F.col("rep"))
-    others = materialize(others.select("id", "t", "s", "p", "m", "h", (F.col("id") > F.col("rep.id")).alias("whole")).distinct(), "others")
+    kind, places = ["h", "c"], ("id", "t", "s")
+    classes = seen.groupBy(*kind).agg(F.min(F.struct(*places)).alias("rep"), F.count("*").alias("n"), F.first("p").alias("p"), F.first("m").alias("m"))
+    classes = materialize(classes, "classes")
+    copied = materialize(classes.where("n > 1"), "copied")
+    others = salted_join(seen.select(*kind, *places), copied.drop("n"), kind, hot_keys(copied, kind, "n"), F.xxhash64(*places)).where(F.struct(*places) != F.col("rep"))
+    others = materialize(others.select(*places, "p", "m", "h", (F.col("id") > F.col("rep.id")).alias("whole")).distinct(), "others")
     spans = [others.where("whole").select("id", "t", F.col("s").alias("start"), (F.col("s") + F.col("m") - 1 + window).alias("end"))]
     discard(seen)
     discard(copied)
 
     tallies = materialize(classes.groupBy("h").agg(F.count("*").alias("c"), F.min("rep.id").alias("low"), F.max("rep.id").alias("high")).where("c > 1 and low < high"), "tallies")
-    place = ["id", "t", "s", "p", "m", "h"]
-    heads = classes.select("rep.*", "p", "m", "h").select(*place).unionByName(others.where("not whole").select(*place))
+    heads = classes.select("rep.*", "p", "m", "h").unionByName(others.where("not whole").drop("whole"))
     seeds = salted_join(heads, tallies.select("h"), ["h"], hot_keys(tallies, ["h"], "c"), F.xxhash64("id", "t", "s"))
     state = _seed_rows(own, seeds, window, broadcast_limit)
     discard(classes)
@@ -295,8 +291,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     every = spans[0]
     for part in spans[1:]:
         every = every.unionByName(part)
-    held = every.distinct().groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return materialize(held, "covered")
+    return materialize(merged_spans(every), "covered")
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """id, t, spans: by document the unions (start, end) of its overlapping or touching spans, in order."""
+    order = Window.partitionBy("id", "t").orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("fresh", F.when(F.col("start") <= reached, 0).otherwise(1))
+    islands = opened.withColumn("island", F.sum("fresh").over(order)).groupBy("id", "t", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return islands.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_limit: int = 1 << 20, **options) -> DataFrame:
@@ -315,18 +319,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", bro
         for batch in slices(batches):
             rows = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words, merged = text.split(), []
-                for x in spans or []:  # in order of their starts
-                    if merged and x["start"] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], x["end"])
-                    else:
-                        merged.append(dict(x))
-                kept, at = [], 0
-                for x in merged:
+                words, kept, at = text.split(), [], 0
+                for x in spans or []:
                     kept += words[at : x["start"]]
                     at = x["end"]
                 kept += words[at:]
-                rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), merged))
+                rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode(), spans or []))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], schema.names)
 
