@@ -6,10 +6,12 @@ equal. The bits are dealt to ``parts`` partitions so that two words within dista
 
 1. words are counted over all documents, by task first;
 2. letters are dealt to the partitions by falling frequency, the lightest partition next, so that partitions are even;
-3. a word has a signature for each pair of partitions left out (distance two, its own length), and for each single one
-   left out (distance one, as the longer and as the shorter word of a pair): the multiset over the remaining partitions;
-4. an equi-join of the signatures that occur more than once finds the candidates, each word once a signature and hot
-   signatures in parts; ``levenshtein`` verifies each in the join, so no other pair is a row;
+3. a word has a signature for each pair of partitions left out (distance two, its own length), and for each of half as
+   many coarser ones left out (distance one, as the longer and as the shorter word of a pair): the multiset over the
+   remaining partitions. One edit also leaves a half of the word as it is, so each signature is taken twice, with the
+   letters of either half in order; words that only share many letters don't meet;
+4. an equi-join of the signatures finds the candidates and ``levenshtein`` verifies each in the join, so no other pair
+   is a row; adaptive execution splits hot signatures;
 5. roots follow forms by pointer jumping; counts grow at least ``ratio``-fold along a chain, so there is no circle.
 
 Words: maximal runs of ASCII letters and the characters from U+00C0 to U+00FF after lowering A-Z. In every
@@ -32,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.llm.skew import hot_keys, salted_join
 from telemill.llm.wordhash import mix, slices
 from telemill.session import discard, if_small, materialize
 
@@ -93,55 +94,67 @@ def deal_letters(words: DataFrame, parts: int) -> dict[int, int]:
 
 
 def signatures(words: list[str], place: dict[int, int], parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(kind, signature of each word): kind 0 joins words of one length, 1 the longer with 2 the shorter by one."""
+    """(kind, signature of each word): kind 0 joins words of one length, 1 the longer with 2 the shorter by one.
+
+    ``place`` deals the letters to ``parts`` partitions; for the words of two lengths, where one bit differs, pairs of
+    partitions are taken together.
+    """
     sizes = np.array([len(w) for w in words])
     flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     owner = np.repeat(np.arange(len(words)), sizes)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(flat)) - begin[owner]
+
+    def summed(offset: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(mix(flat.astype(np.uint64) + np.uint64(7)) + offset.astype(np.uint64)))])
+
+    ahead, behind = summed(at), summed(sizes[owner] - at)
+
+    def halves(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The letters before place ``first`` and those from place ``second`` on, hashed in order."""
+        return ahead[begin[:-1] + first] - ahead[begin[:-1]], behind[begin[1:]] - behind[begin[:-1] + second]
+
     order = np.lexsort((flat, owner))
-    flat, owner = flat[order], owner[order]
-    fresh = np.concatenate([[True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
-    begin = np.flatnonzero(fresh)
-    times = np.arange(len(flat)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(flat)]])))
-    letters, code = np.unique(flat, return_inverse=True)
-    part = (np.array([place.get(int(x), 0) for x in letters])[code] + times) % parts
-    value = mix(mix(flat.astype(np.uint64) + np.uint64(1)) + times.astype(np.uint64))
+    letter, held = flat[order], owner[order]
+    runs = np.flatnonzero(np.concatenate([[True], (letter[1:] != letter[:-1]) | (held[1:] != held[:-1])]))
+    times = np.arange(len(letter)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(letter)]])))
+    known, code = np.unique(letter, return_inverse=True)
+    part = (np.array([place.get(int(x), 0) for x in known])[code] + times) % parts
     own = np.zeros((len(words), parts), np.uint64)
-    np.add.at(own, (owner, part), value)
+    np.add.at(own, (held, part), mix(mix(letter.astype(np.uint64) + np.uint64(1)) + times.astype(np.uint64)))
     total = own.sum(axis=1, dtype=np.uint64)
-    tag = lambda number, size: mix(np.uint64(number << 32) + size.astype(np.uint64))
-    for number, (a, b) in enumerate(combinations(range(parts), 2)):
-        yield 0, mix(total - own[:, a] - own[:, b]) + tag(number, sizes)
-    for a in range(parts):
-        yield 1, mix(total - own[:, a]) + tag(1000 + a, sizes)
-        yield 2, mix(total - own[:, a]) + tag(1000 + a, sizes + 1)
-
-
-def _signed(words: DataFrame, place: dict[int, int], parts: int) -> DataFrame:
-    """sig, kind, word, n for each signature of each word."""
+    middle = sizes // 2
+    upper = (sizes + 1) // 2
+    for side, half in enumerate(halves(middle, middle)):
+        for number, (a, b) in enumerate(combinations(range(parts), 2)):
+            yield 0, mix(mix(total - own[:, a] - own[:, b] + np.uint64(2 * number + side)) + half) + mix(sizes.astype(np.uint64))
+    for kind, lengths, pair in ((1, sizes, halves(middle, middle)), (2, sizes + 1, halves(upper, upper - 1))):
+        for side, half in enumerate(pair):
+            for number in range((parts + 1) // 2):
+                left_out = own[:, 2 * number : 2 * number + 2].sum(axis=1, dtype=np.uint64)
+                yield kind, mix(mix(total - left_out + np.uint64(1000 + 2 * number + side)) + half) + mix(lengths.astype(np.uint64))
+
+
+def _signed(words: DataFrame, place: dict[int, int], parts: int, kinds: tuple[int, int]) -> DataFrame:
+    """sig, kind, word, n for each signature of the given kinds of each word."""
     schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=8192):
             for kind, sig in signatures(batch.column(0).to_pylist(), place, parts):
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), kind, np.int8)), batch.column(0), batch.column(1)], schema.names)
+                if kind in kinds:
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), kind, np.int8)), batch.column(0), batch.column(1)], schema.names)
 
     return words.select("word", "n").mapInArrow(run, schema)
 
 
-def near_words(words: DataFrame, parts: int = 8) -> DataFrame:
+def near_words(words: DataFrame, parts: int = 4) -> DataFrame:
     """Links (a, an, b, bn), each pair of near words once; kept in the shared folder."""
-    signed = materialize(_signed(words, deal_letters(words, parts), parts), "signatures")
-    met = materialize(signed.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "met")
-    hot = hot_keys(met, ["sig"], "c")
-    shared = materialize(salted_join(signed, met.select("sig"), ["sig"], hot, F.xxhash64("word")), "shared")
-    discard(signed)
-    right = shared.where("kind <> 1").select("sig", F.col("kind").alias("other"), F.col("word").alias("b"), F.col("n").alias("bn"))
-    left = shared.where("kind <> 2").withColumnsRenamed({"word": "a", "n": "an"})
-    pairs = salted_join(left, right, ["sig"], hot, F.xxhash64("a"))
-    near = pairs.where("(kind = 0 and other = 0 and a < b) or (kind = 1 and other = 2)").where(F.levenshtein("a", "b", 1) == 1)
-    links = materialize(near.select("a", "an", "b", "bn").distinct(), "near-words")
-    discard(shared)
-    return links
+    place = deal_letters(words, parts)
+    left = _signed(words, place, parts, (0, 1)).withColumnsRenamed({"word": "a", "n": "an"})
+    right = _signed(words, place, parts, (0, 2)).withColumnsRenamed({"kind": "other", "word": "b", "n": "bn"})
+    pairs = left.join(right, "sig").where("(kind = 0 and other = 0 and a < b) or (kind = 1 and other = 2)")
+    return materialize(pairs.where(F.levenshtein("a", "b", 1) == 1).select("a", "an", "b", "bn").distinct(), "near-words")
 
 
 def follow(forms: DataFrame, rounds: int = 64) -> DataFrame:
@@ -158,7 +171,7 @@ def follow(forms: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"chains of forms are longer than 2^{rounds}")
 
 
-def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 7, occurrences: int = 2, ratio: int = 10, noise: int = 31, parts: int = 8) -> DataFrame:
+def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 7, occurrences: int = 2, ratio: int = 10, noise: int = 31, parts: int = 4) -> DataFrame:
     """Per word: word, n, n_near (near words), form (the most frequent near word, if ``ratio`` times as frequent), form_n, root."""
     words = materialize(count_words(docs, key, text, least, noise).where(F.col("n") >= occurrences), "words")
     links = near_words(words, parts)
