@@ -170,6 +170,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         heading = int(not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit())
+        if name == "p" or not closing and name in _BLOCK:  # ends a paragraph that is open
+            top = len(stack)
+            while top and stack[top - 1][0] not in _BLOCK:
+                top -= 1
+            if top and stack[top - 1][0] == "p":
+                del stack[top - 1 :]
+                furniture, article, marks, holder = stack[-1][1:] if stack else (0, 0, (), 0)
         if name in _VOID or name == "p" and not marked:
             continue
         if closing:
@@ -277,12 +284,13 @@ def extract_text(pages: DataFrame, page: str = "html", out: str = "text", tree:
     """The rows without ``page``, with ``out``: the main text."""
     tree = tree or fit_tree(labelled_table(pages.sparkSession))
     rest = [c for c in pages.columns if c not in (page, out)]
-    slim = pages.select(*rest, F.coalesce(F.col(page), F.lit("")).alias("_page"))
+    slot = "_page" + "_" * max(map(len, pages.columns))  # longer than any other name
+    slim = pages.select(*rest, F.coalesce(F.col(page), F.lit("")).alias(slot))
     schema = T.StructType([*(slim.schema[c] for c in rest), T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [main_text(p.as_py(), tree) for p in batch.column("_page")]
+            texts = [main_text(p.as_py(), tree) for p in batch.column(slot)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(texts, pa.string())], schema.names)
 
     return slim.mapInArrow(run, schema)

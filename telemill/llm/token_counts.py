@@ -178,13 +178,14 @@ def count_tokens(df: DataFrame, text: str = "text", paths: tuple[str, str] | Non
     args = (*(paths or default_paths()), chunk_chars, overlap_chars)
     rest = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     body = F.coalesce(F.col(text), F.lit(""))
-    slim = df.select(*rest, F.octet_length(body).cast("long").alias("n_bytes"), body.alias("_text"))
+    slot = "_text" + "_" * max(map(len, df.columns))  # longer than any other name
+    slim = df.select(*rest, F.octet_length(body).cast("long").alias("n_bytes"), body.alias(slot))
     schema = T.StructType([*(slim.schema[c] for c in rest), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(*args)
         for batch in slices(batches):
-            counts = [e.count(t.as_py()) for t in batch.column("_text")]
+            counts = [e.count(t.as_py()) for t in batch.column(slot)]
             columns = [batch.column(c) for c in (*rest, "n_bytes")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*rest, "n_bytes", "n_tokens"])
 
