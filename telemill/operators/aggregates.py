@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import NEVER_CACHED
+from telemill.operators.numbering import numbered, peaks, running
+from telemill.operators.selection import with_percentiles
 from telemill.session import if_small
 
 
@@ -28,10 +30,10 @@ def exec_stats(executions: DataFrame, keys: tuple[str, str] = ("task_type", "wor
 
 def type_worker_stats(executions: DataFrame) -> DataFrame:
     """Count, mean, p50, p95 and sample deviation (0 for one row) per type and worker."""
-    return executions.where("status = 'COMPLETED'").groupBy("task_type", "worker_id").agg(
-        F.count("*").alias("n"), F.round(F.avg("exec_ms"), 6).alias("mean_ms"), disc("exec_ms", 0.5).cast("long").alias("p50_ms"),
-        disc("exec_ms", 0.95).cast("long").alias("p95_ms"), F.round(F.coalesce(F.stddev_samp("exec_ms"), F.lit(0.0)), 6).alias("std_ms"),
-    )
+    plain = [F.count("*").alias("n"), F.round(F.avg("exec_ms"), 6).alias("mean_ms"), F.round(F.coalesce(F.stddev_samp("exec_ms"), F.lit(0.0)), 6).alias("std_ms")]
+    done = executions.where("status = 'COMPLETED'")
+    out = with_percentiles(done, ("task_type", "worker_id"), plain, "exec_ms", {"p50_ms": ("disc", 0.5), "p95_ms": ("disc", 0.95)})
+    return out.withColumns({c: F.col(c).cast("long") for c in ("p50_ms", "p95_ms")})
 
 
 def sla_report(tasks: DataFrame, by: str = "strategy") -> DataFrame:
@@ -52,10 +54,12 @@ def kpis(tasks: DataFrame, window_ms: int) -> DataFrame:
     newest = done.agg(F.max("completed_ms").alias("newest"))
     recent = done.crossJoin(F.broadcast(newest)).where(F.col("completed_ms") > F.col("newest") - window_ms)
     latency = (F.col("completed_ms") - F.col("submitted_ms")).cast("double")
-    out = recent.withColumn("latency", latency).agg(
-        F.count("*").alias("completed"), F.round(F.avg("latency"), 1).alias("mean_latency_ms"), F.round(F.expr("percentile(latency, 0.95)"), 1).alias("p95_latency_ms"),
+    plain = [
+        F.count("*").alias("completed"), F.round(F.avg("latency"), 1).alias("mean_latency_ms"),
         F.count("deadline_ms").alias("with_deadline"), F.count_if(F.col("completed_ms") <= F.col("deadline_ms")).alias("sla_met"),
-    )
+    ]
+    out = with_percentiles(recent.withColumn("latency", latency), (), plain, "latency", {"p95_latency_ms": ("cont", 0.95)})
+    out = out.withColumn("p95_latency_ms", F.round("p95_latency_ms", 1))
     return out.withColumn("per_minute", F.round(F.col("completed") * 60000.0 / window_ms, 9)).withColumn(
         "compliance_pct", F.round(F.when(F.col("with_deadline") > 0, 100.0 * F.col("sla_met") / F.col("with_deadline")), 6)
     )
@@ -115,8 +119,7 @@ def run_max_queue(replay: DataFrame) -> DataFrame:
     waits = replay.where(until.isNull() | (until > F.col("submit_ms")))
     steps = F.array(F.struct(F.col("submit_ms").alias("t"), F.lit(1).alias("d")), F.struct(until.alias("t"), F.lit(-1).alias("d")))
     events = waits.select("run_id", F.inline(steps)).where("t is not null").groupBy("run_id", "t", "d").agg(F.sum("d").alias("d_sum"))
-    depth = F.sum("d_sum").over(Window.partitionBy("run_id").orderBy("t", "d"))
-    peak = events.withColumn("depth", depth).groupBy("run_id").agg(F.max("depth").alias("peak"))
+    peak = peaks(events, ("run_id",), ("t", "d"), "d_sum")
     return replay.select("run_id").distinct().join(peak, "run_id", "left").select("run_id", F.greatest(F.lit(0), F.coalesce("peak", F.lit(0))).cast("long").alias("max_queue"))
 
 
@@ -141,9 +144,10 @@ def suite_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
 def latency_cdf(replay: DataFrame) -> DataFrame:
     """Share of completed latencies up to each value per scenario and strategy, by counts of distinct values."""
     counts = replay.where("status = 'COMPLETED'").groupBy("scenario", "strategy", "latency_ms").agg(F.count("*").alias("c"))
-    key = Window.partitionBy("scenario", "strategy")
-    upto = F.sum("c").over(key.orderBy("latency_ms"))
-    return counts.select("scenario", "strategy", "latency_ms", F.round(upto / F.sum("c").over(key), 9).alias("share"))
+    key = ("scenario", "strategy")
+    upto = running(counts, key, ("latency_ms",), {"_upto": ("sum", F.col("c"))}).withColumn("_key", F.struct(*key))
+    totals = counts.groupBy(F.struct(*key).alias("_key")).agg(F.sum("c").alias("_n"))
+    return upto.join(if_small(totals), "_key").select(*key, "latency_ms", F.round(F.col("_upto") / F.col("_n"), 9).alias("share"))
 
 
 EDGES = [0, 50, 100, 200, 500, 1000, 2000, 5000]
@@ -198,8 +202,6 @@ def rank_balance(tasks: DataFrame, ranks: int, key: str, size: str) -> DataFrame
 
     Positions come from counts of key ranges added up, so no single task numbers all rows.
     """
-    from telemill.operators.numbering import numbered
-
     split = numbered(tasks.select(key, size), key, "at").groupBy(F.pmod(F.col("at"), F.lit(ranks)).alias("rank")).agg(F.count("*").alias("tasks"), F.sum(size).alias("busy"))
     whole = split.agg(F.max("busy").alias("makespan"), F.sum("busy").alias("total"), F.avg("busy").alias("mean"))
     return split.crossJoin(F.broadcast(whole)).select("rank", "tasks", "busy", "makespan", "total", F.round(F.col("makespan") / F.col("mean"), 6).alias("max_over_mean"))

@@ -19,11 +19,9 @@ def regression_metrics(scored: DataFrame, by: str | None = None, actual: str = "
 
 
 def _by_score(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives of each distinct score, with the step of 256 ranges of scores; written, as it is read more than once."""
+    """Positives and negatives of each distinct score; written, as it is read more than once."""
     known = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    groups = materialize(known.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg")), "scores")
-    width = groups.agg(F.greatest(F.lit(1e-12), (F.max("s") - F.min("s")) / 256).alias("_w"))
-    return groups.crossJoin(F.broadcast(width))
+    return materialize(known.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label)).alias("pos"), F.sum(1 - F.col(label)).alias("neg")), "scores")
 
 
 def classification_metrics(scored: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:
@@ -37,7 +35,7 @@ def classification_metrics(scored: DataFrame, threshold: float, label: str = "la
         F.count("*").alias("n"), F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp"), F.count_if(~hit & (F.col(label) == 1)).alias("fn"),
         F.sum(label).alias("p"),
     )
-    groups = running(_by_score(scored, label, score), (), ("s",), {"_below": ("sum", F.col("neg"))}, F.col("_w"), exclusive=True)
+    groups = running(_by_score(scored, label, score), (), ("s",), {"_below": ("sum", F.col("neg"))}, exclusive=True)
     wins = groups.withColumn("w", F.col("pos") * (F.coalesce("_below", F.lit(0)) + F.col("neg") / 2)).agg(F.sum("w").alias("wins"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = counts.crossJoin(F.broadcast(wins)).withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
@@ -50,7 +48,7 @@ def roc_points(scored: DataFrame, label: str = "label", score: str = "score") ->
     """True and false positive rates at each distinct score as the cut-off; rows without a score or a label are left out."""
     groups = _by_score(scored, label, score).withColumn("_down", -F.col("s"))
     totals = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    cum = running(groups, (), ("_down",), {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, F.col("_w")).crossJoin(F.broadcast(totals))
+    cum = running(groups, (), ("_down",), {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}).crossJoin(F.broadcast(totals))
     return cum.select(F.col("s").alias("threshold"), "tp", "fp", F.round(F.col("tp") / F.col("p"), 6).alias("tpr"), F.round(F.col("fp") / F.col("n"), 6).alias("fpr"))
 
 

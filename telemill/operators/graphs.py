@@ -2,16 +2,23 @@
 
 Loops write their state to the shared folder each round or few rounds, which cuts lineage and survives lost executors;
 only counts come to the driver. What a round finds is written once, beside that of the rounds before. A loop that
-reaches its bound of rounds unfinished is an error.
+reaches its bound of rounds unfinished is an error. Links of loops lie in bucketed tables, so no round shuffles them.
+Workflows up to a size are solved whole by the task that holds them; only larger ones take rounds.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.session import discard, materialize, scratch_path
+from telemill.session import discard, if_small, materialize, scratch_path
 
 
 def edge_build(nodes: DataFrame, n: int, seed: int) -> DataFrame:
@@ -20,23 +27,48 @@ def edge_build(nodes: DataFrame, n: int, seed: int) -> DataFrame:
     return nodes.select("src", F.explode(ends).alias("dst"))
 
 
+@contextmanager
+def bucketed(rows: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """``rows`` as a table in the shared folder bucketed by ``key``, for the time of a loop.
+
+    It has as many buckets as a shuffle has partitions, so such tables join with each other, and with what is
+    aggregated on the same key, where they lie.
+    """
+    spark, held = rows.sparkSession, f"telemill_{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        dealt = rows.repartition(parts, key).write.bucketBy(parts, key).sortBy(key)
+        dealt.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(held)
+        yield spark.table(held)
+    finally:
+        spark.sql(f"drop table if exists {held}")
+
+
+def rank_round(links: DataFrame, nodes: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
+    """node, rank after one more round: the ranks meet the links (src, dst, out) by source and are added up by target."""
+    given = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+    return nodes.join(given, nodes["node"] == given["dst"], "left").select("node", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """node, rank after ``iterations`` rounds from a uniform start; parallel edges count, ranks of sinks are lost.
 
-    A round joins the ranks with the written links and sums by target; every ``every`` rounds the ranks are written.
+    Links are bucketed by source and nodes by id, so a round shuffles what targets are given and nothing else; every
+    ``every`` rounds the ranks are written, in buckets too.
     """
     edges = materialize(edges.select("src", "dst"), "edges")
-    nodes = materialize(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
-    n = nodes.count()
-    links = materialize(edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src"), "links")
-    ranks = materialize(nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), "ranks")
-    for i in range(iterations):
-        given = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        fresh = nodes.join(given, nodes["node"] == given["dst"], "left").select("node", ((1 - damping) / n + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if (i + 1) % every == 0 or i + 1 == iterations:
-            fresh = materialize(fresh, "ranks")
-        ranks = fresh
-    return ranks
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    links = edges.join(edges.groupBy("src").agg(F.count("*").alias("out")), "src")
+    with ExitStack() as held:
+        links = held.enter_context(bucketed(links, "src", "links"))
+        nodes = held.enter_context(bucketed(nodes, "node", "nodes"))
+        n = nodes.count()
+        ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+        for i in range(iterations):
+            ranks = rank_round(links, nodes, ranks, n, damping)
+            if (i + 1) % every == 0 and i + 1 < iterations:
+                ranks = held.enter_context(bucketed(ranks, "node", "ranks"))
+        return materialize(ranks, "ranks")
 
 
 def _unfinished(what: str, rounds: int) -> RuntimeError:
@@ -61,24 +93,100 @@ class _Found:
 
 
 def bfs(edges: DataFrame, start: int, max_rounds: int = 10_000) -> DataFrame:
-    """node, hops from ``start`` over directed edges; nodes out of reach are missing."""
-    edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    begin = edges.sparkSession.createDataFrame([(start,)], "node long")
-    known = _Found(begin, "bfs", "hops")
-    frontier = known.add(begin, 0)
-    for hop in range(1, max_rounds):
-        ahead = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = known.add(ahead.join(known.all(), "node", "left_anti"), hop)
-        if frontier.isEmpty():
-            return known.all()
+    """node, hops from ``start`` over directed edges; nodes out of reach are missing.
+
+    Links are bucketed by source, so a hop shuffles its frontier and no links.
+    """
+    with bucketed(edges.select("src", "dst").distinct(), "src", "links") as links:
+        begin = edges.sparkSession.createDataFrame([(start,)], "node long")
+        known = _Found(begin, "bfs", "hops")
+        frontier = known.add(begin, 0)
+        for hop in range(1, max_rounds):
+            frontier = known.add(next_hop(links, frontier).join(known.all(), "node", "left_anti"), hop)
+            if frontier.isEmpty():
+                return known.all()
     raise _unfinished("the search", max_rounds)
 
 
-def dag_levels(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def next_hop(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The distinct targets (node) of the links (src, dst) of a frontier (node)."""
+    return links.join(frontier, links["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+
+
+#: Rows of a workflow that one task may hold.
+WORKFLOW_ROWS = 100_000
+
+
+def _whole_workflows(tasks: DataFrame, columns: list[str], solve: Callable[[list[tuple]], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """``solve`` applied to the rows (``columns``) of each workflow, which one task holds; it yields rows without the workflow."""
+    names = ["workflow_id", *columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, kinds = None, [], None
+
+        def close() -> pa.RecordBatch:
+            found = list(solve(held))
+            held.clear()
+            cells = [[key] * len(found), *([row[i] for row in found] for i in range(len(schema) - 1))]
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cells, kinds, strict=True)], schema.names)
+
+        for batch in batches:
+            kinds = [batch.schema.field("workflow_id").type, batch.schema.field("node").type, pa.int32()][: len(schema)]
+            for workflow, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if workflow != key and held:
+                    yield close()
+                key = workflow
+                held.append(tuple(row))
+        if held:
+            yield close()
+
+    return tasks.select(*names).repartition("workflow_id").sortWithinPartitions("workflow_id").mapInArrow(run, schema)
+
+
+def _split_by_size(tasks: DataFrame, most: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows of workflows of at most ``most`` rows, all others (and those without a workflow), and whether there are others."""
+    large = materialize(tasks.groupBy("workflow_id").agg(F.count("*").alias("n")).where((F.col("n") > most) | F.col("workflow_id").isNull()).select(F.struct("workflow_id").alias("_w")), "large")
+    marked = tasks.withColumn("_w", F.struct("workflow_id"))
+    mark = if_small(large)
+    return marked.join(mark, "_w", "left_anti").drop("_w"), marked.join(mark, "_w", "left_semi").drop("_w"), not large.isEmpty()
+
+
+def task_levels(rows: list[tuple]) -> Iterator[tuple]:
+    """(node, level) of one workflow's rows (node, parent); level None on and behind cycles; parents outside count for nothing."""
+    parents: dict = {node: set() for node, _ in rows}
+    children = defaultdict(list)
+    for node, parent in set(rows):
+        if parent is not None and parent in parents:
+            parents[node].add(parent)
+            children[parent].append(node)
+    left = {node: len(held) for node, held in parents.items()}
+    level = {node: 0 for node, n in left.items() if not n}
+    ready = list(level)
+    while ready:
+        node = ready.pop()
+        for child in children[node]:
+            left[child] -= 1
+            level[child] = max(level.get(child, 0), level[node] + 1)
+            if not left[child]:
+                ready.append(child)
+    return ((node, None if left[node] else level[node]) for node in parents)
+
+
+def dag_levels(tasks: DataFrame, max_rounds: int = 10_000, most: int = WORKFLOW_ROWS) -> DataFrame:
     """Level of each task (one more than its highest parent), many workflows at once; null for tasks on or behind cycles.
 
-    ``tasks`` has workflow_id, node, parent (null for none), a row for each parent.
+    ``tasks`` has workflow_id, node, parent (null for none), a row for each parent. Workflows of at most ``most`` rows
+    are solved in one job, whatever their depth; larger ones take a round for each level.
     """
+    small, large, any_large = _split_by_size(tasks.select("workflow_id", "node", "parent"), most)
+    kind = {f.name: f.dataType for f in tasks.schema}
+    schema = T.StructType([T.StructField("workflow_id", kind["workflow_id"]), T.StructField("node", kind["node"]), T.StructField("level", T.IntegerType())])
+    solved = _whole_workflows(small, ["node", "parent"], task_levels, schema)
+    return solved.unionByName(_levels_by_rounds(large, max_rounds)) if any_large else solved
+
+
+def _levels_by_rounds(tasks: DataFrame, max_rounds: int) -> DataFrame:
+    """The levels of large workflows, one round of joins for each."""
     key = ["workflow_id", "node"]
     parents = materialize(tasks.where("parent is not null").select(*key, "parent").distinct(), "dag-parents")
     left = materialize(tasks.select(*key).distinct(), "dag-left")
@@ -114,8 +222,34 @@ def dag_validate(tasks: DataFrame, most: int = 1000) -> DataFrame:
     return found.distinct()
 
 
-def dag_cancel(tasks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """BLOCKED tasks below a FAILED one, over paths of any length whose inner tasks are all BLOCKED."""
+def cancelled_tasks(rows: list[tuple]) -> Iterator[tuple]:
+    """(node,) of one workflow's rows (node, parent, status) that are BLOCKED and below a FAILED one."""
+    below = defaultdict(set)
+    for node, parent, status in rows:
+        if status == "BLOCKED" and parent is not None:
+            below[parent].add(node)
+    ahead, found = [node for node, _, status in rows if status == "FAILED"], set()
+    while ahead:
+        fresh = below.pop(ahead.pop(), set()) - found
+        found |= fresh
+        ahead += fresh
+    return ((node,) for node in found)
+
+
+def dag_cancel(tasks: DataFrame, max_rounds: int = 10_000, most: int = WORKFLOW_ROWS) -> DataFrame:
+    """BLOCKED tasks below a FAILED one, over paths of any length whose inner tasks are all BLOCKED.
+
+    Workflows of at most ``most`` rows are solved in one job; larger ones take a round for each step of a path.
+    """
+    small, large, any_large = _split_by_size(tasks.select("workflow_id", "node", "parent", "status"), most)
+    kind = {f.name: f.dataType for f in tasks.schema}
+    schema = T.StructType([T.StructField("workflow_id", kind["workflow_id"]), T.StructField("node", kind["node"])])
+    solved = _whole_workflows(small, ["node", "parent", "status"], cancelled_tasks, schema)
+    return solved.unionByName(_cancelled_by_rounds(large, max_rounds)) if any_large else solved
+
+
+def _cancelled_by_rounds(tasks: DataFrame, max_rounds: int) -> DataFrame:
+    """The cancelled tasks of large workflows."""
     key = ["workflow_id", "node"]
     blocked = materialize(tasks.where("status = 'BLOCKED' and parent is not null").select(*key, "parent").distinct(), "dag-blocked")
     frontier = tasks.where("status = 'FAILED'").select(*key).distinct()

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
-from telemill.operators.numbering import asof, numbered, rolling, rolling_mean, rolling_range, running
+from telemill.operators.numbering import asof, numbered, rolling_mean, rolling_range, running
+from telemill.operators.selection import moving_percentile
 from telemill.session import materialize
 
 DAY = 86_400_000
@@ -113,7 +114,7 @@ def first_rows(rows: DataFrame, by: tuple[str, ...], order: tuple, k: int, parts
     return within.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_part")
 
 
-def nearest_samples(queries: DataFrame, history: DataFrame, k: int, step: int = 100_000) -> DataFrame:
+def nearest_samples(queries: DataFrame, history: DataFrame, k: int) -> DataFrame:
     """For each query the ``k`` executions of its type nearest in log1p(size), the smaller side first on ties, then the id.
 
     History is counted per type and size first (sizes repeat) and the sizes of a type are numbered. An as-of join gives
@@ -126,7 +127,7 @@ def nearest_samples(queries: DataFrame, history: DataFrame, k: int, step: int =
     ids = first.groupBy(*key).agg(F.sort_array(F.collect_list("exec_id")).alias("ids"))
     sizes = materialize(numbered(known.groupBy(*key).agg(F.count("*").alias("c")), "input_size", "at", ("task_type",)), "sizes")
     asked = queries.where("task_type is not null and input_size is not null").select("task_type", F.col("input_size").alias("size")).distinct()
-    placed = asof(asked, sizes, "task_type", "size", "input_size", {"place": "at"}, step)
+    placed = asof(asked, sizes, "task_type", "size", "input_size", {"place": "at"})
     place = F.coalesce("place", F.lit(-1))
     near = placed.select("task_type", "size", F.explode(F.sequence(place - k + 1, place + k)).alias("at")).join(sizes, ["task_type", "at"])
     near = near.withColumn("distance", F.abs(F.log1p("input_size") - F.log1p("size")))
@@ -168,9 +169,7 @@ def running_means(executions: DataFrame, step: int = DAY) -> DataFrame:
 
 def recent_percentile(executions: DataFrame, last: int, p: float, least: int, by: tuple[str, ...], value: str = "exec_ms") -> DataFrame:
     """Nearest-rank percentile of the last ``last`` values per key, null below ``least`` of them."""
-    frame = rolling(executions, "dispatched_ms", last, {"_x": F.collect_list(value)}, by=by, tie=("exec_id",))
-    rank = F.ceil(F.size("_x") * p).cast("int")
-    return frame.withColumn("recent_p", F.when(F.size("_x") >= least, F.element_at(F.sort_array("_x"), F.greatest(F.lit(1), rank)))).drop("_x")
+    return moving_percentile(executions, "dispatched_ms", last, value, p, least, "recent_p", by, ("exec_id",))
 
 
 def queue_over_time(replay: DataFrame, step: int = 30 * DAY) -> DataFrame:

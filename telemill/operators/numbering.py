@@ -2,7 +2,8 @@
 
 Series have few keys and many rows (a handful of workers, months of samples), so a window partitioned by the key alone
 would put a whole key into one task. Here a key is cut into ranges of its order column; only counts, sums and last
-values of ranges meet per key.
+values of ranges meet per key. Ranges are of equal depth (``ranges``) unless the caller gives a step of the order
+column, which saves a pass where the values are known to be spread evenly.
 
 Nulls: rows with a null key are a series of their own, and rows with a null order value come first in theirs (as in
 ``PARTITION BY`` and Spark's ``ORDER BY``); no row is lost. An as-of join matches null keys and times with nothing.
@@ -13,30 +14,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.session import if_small, materialize
+
 #: The range of rows without an order value, before all others.
 _NONE = -(1 << 62)
 
+#: Rows of a range of equal depth, about.
+RANGE_ROWS = 200_000
+
 
 def _key(by: tuple[str, ...]) -> Column:
     """The key as one column that is never null itself, so that joins on it match nulls and need no other partitioning than windows."""
     return F.struct(*by) if by else F.struct(F.lit(0))
 
 
-def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = (), tie: tuple[str, ...] = (), buckets: int = 200) -> DataFrame:
-    """Number rows from 0 by ``order`` (numeric), then ``tie``, within ``by``.
+def ranges(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` cut into ranges of about ``rows`` rows by key and ``order``: adds _k (the key), _b (its range) and _id.
 
-    Ranges are equal steps between the ends of each key; their counts (at most ``buckets`` a key) are added up and
-    ranks are taken inside ranges.
+    Spark's range partitioner samples keys and order values together, so ranges have equal depth however the values are
+    spread: a large key lies in several of them, small keys share one, and an outlier is a row like others. Their number
+    comes from the row count. Within a key _b rises with the order, and _id with it inside a range, without gaps. Rows
+    that agree in key and all of ``order`` stay together, so ``order`` should end with an id. The rows are written once,
+    which fixes the sampled ends for all that reads them.
     """
-    keyed = df.withColumn("_k", _key(by))
-    ends = keyed.groupBy("_k").agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    width = F.greatest(F.lit(1.0), (F.col("_high") - F.col("_low") + 1) / buckets)
-    joined = keyed.join(ends if by else F.broadcast(ends), "_k")
-    placed = joined.withColumn("_b", F.coalesce(F.floor((F.col(order) - F.col("_low")) / width), F.lit(-1))).drop("_low", "_high")
-    counts = placed.groupBy("_k", "_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_k", "_b", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_b")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_k", "_b").orderBy(order, *tie)) - 1
-    return placed.withColumn("_r", rank).join(before, ["_k", "_b"]).withColumn(out, F.col("_before") + F.col("_r")).drop("_k", "_b", "_r", "_before")
+    spark = df.sparkSession
+    n = df.count()
+    parts = max(-(-n // rows), min(spark.sparkContext.defaultParallelism, -(-n // max(1, rows // 16))), 1)
+    dealt = df.withColumn("_k", _key(by)).repartitionByRange(parts, "_k", *order).sortWithinPartitions("_k", *order)
+    return materialize(dealt.withColumn("_id", F.monotonically_increasing_id()), "ranges").withColumn("_b", F.shiftright("_id", 33))
+
+
+def placed(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
+    """``ranges`` with _at instead of _id: the row's place from 0 within its key, by the counts of the ranges before."""
+    dealt = ranges(df, order, by, rows)
+    counts = dealt.groupBy("_k", "_b").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    upto = F.sum("_n").over(Window.partitionBy("_k").orderBy("_b"))
+    shift = counts.select("_k", "_b", (upto - F.col("_n") - F.col("_first")).alias("_shift"))
+    return dealt.join(if_small(shift), ["_k", "_b"]).withColumn("_at", F.col("_id") + F.col("_shift")).drop("_id", "_shift")
+
+
+def numbered(df: DataFrame, order: str, out: str, by: tuple[str, ...] = (), tie: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
+    """Number rows from 0 by ``order``, then ``tie``, within ``by``."""
+    return placed(df, (order, *tie), by, rows).withColumnRenamed("_at", out).drop("_k", "_b")
+
+
+def peaks(changes: DataFrame, by: tuple[str, ...], order: tuple[str, ...], change: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Per key the highest running sum of ``change`` (null if it has no values): ranges of equal depth give their sums and highest inner sums."""
+    dealt = ranges(changes, order, by, rows)
+    inner = F.sum(change).over(Window.partitionBy("_k", "_b").orderBy("_id"))
+    parts = dealt.withColumn("_p", inner).groupBy("_k", "_b").agg(F.sum(change).alias("_t"), F.max("_p").alias("_p"))
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_p", F.col("_p") + before).groupBy("_k").agg(F.max("_p").alias("peak")).select(*([f"_k.{c}" for c in by]), "peak")
 
 
 def _blocks(df: DataFrame, order: str, n: int, by: tuple[str, ...], tie: tuple[str, ...], block: int) -> DataFrame:
@@ -88,17 +116,21 @@ def rolling_range(df: DataFrame, order: str, reach: int, values: dict[str, Colum
     return spread.withColumns({k: v.over(frame) for k, v in values.items()}).where("_own").drop("_block", "_own")
 
 
-def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], values: dict[str, tuple[str, Column]], step: float | Column, exclusive: bool = False) -> DataFrame:
+def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], values: dict[str, tuple[str, Column]], step: float | Column | None = None, exclusive: bool = False, rows: int = RANGE_ROWS) -> DataFrame:
     """Values over all rows of ``by`` up to each row (or before it, if ``exclusive``) in ``order``.
 
     ``values`` has for each name a kind and a column. Kinds are sum, max, last (of non-null values), and streak: how
-    many rows up to this one, itself included, have been true in a row (``exclusive`` doesn't apply). The first order
-    column is numeric and cut into ranges of ``step``; a range gets what earlier ranges carry in. The input is read
-    twice, so materialize it where it is dear, and ask for several values in one call.
+    many rows up to this one, itself included, have been true in a row (``exclusive`` doesn't apply). The series are
+    cut into ranges of equal depth or, with a ``step``, into ranges of that width of the first order column, which is
+    numeric; a range gets what earlier ranges carry in. With a step the input is read twice, so materialize it where it
+    is dear; ask for several values in one call.
     """
     kinds = [kind for kind, _ in values.values()]
-    spot = F.coalesce(F.floor(F.col(order[0]) / step), F.lit(_NONE))
-    rows = df.withColumn("_k", _key(by)).withColumn("_b", spot).withColumns({f"_v{i}": c for i, (_, c) in enumerate(values.values())})
+    if step is None:
+        cut, order = ranges(df, order, by, rows), ("_id",)
+    else:
+        cut = df.withColumn("_k", _key(by)).withColumn("_b", F.coalesce(F.floor(F.col(order[0]) / step), F.lit(_NONE)))
+    rows = cut.withColumns({f"_v{i}": c for i, (_, c) in enumerate(values.values())})
     within = Window.partitionBy("_k", "_b").orderBy(*order)
     frame = within.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
@@ -139,10 +171,10 @@ def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], values:
         return F.greatest(own, old) if kind == "max" else F.coalesce(own, old)
 
     out = joined.withColumns({name: both(i, kind) for i, (name, (kind, _)) in enumerate(values.items())})
-    return out.drop("_k", "_b", "_rn", *[f"{p}{i}" for i in range(len(values)) for p in ("_v", "_o", "_i", "_c")])
+    return out.drop("_k", "_b", "_id", "_rn", *[f"{p}{i}" for i in range(len(values)) for p in ("_v", "_o", "_i", "_c")])
 
 
-def asof(probes: DataFrame, facts: DataFrame, by: str, at: str, fact_at: str, take: dict[str, str], step: int, tie: str | None = None) -> DataFrame:
+def asof(probes: DataFrame, facts: DataFrame, by: str, at: str, fact_at: str, take: dict[str, str], step: int | None = None, tie: str | None = None) -> DataFrame:
     """Each probe with the columns ``take`` (name to fact column) of the last fact of its key at or before ``at``; null without one.
 
     One sort of both sides together per key range replaces a range join. Among facts of one time the largest ``tie``

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from telemill.operators import aggregates as op
+from telemill.operators.selection import with_percentiles
 from telemill.plans.registry import plan
 
 METRICS = ["latency_ms", "throughput", "sla_violations", "completed"]
@@ -113,8 +114,9 @@ def _(samples):
 @plan("run_overhead", """
 select model_version, round(avg(actual_ms), 6) as mean_us, round(quantile_cont(actual_ms::double, 0.95), 6) as p95_us, round(avg(abs_error_ms), 6) as mae_ms from {outcomes} group by model_version""")
 def _(outcomes):
-    p95 = F.expr("percentile(cast(actual_ms as double), 0.95)")
-    return outcomes.groupBy("model_version").agg(F.round(F.avg("actual_ms"), 6).alias("mean_us"), F.round(p95, 6).alias("p95_us"), F.round(F.avg("abs_error_ms"), 6).alias("mae_ms"))
+    plain = [F.round(F.avg("actual_ms"), 6).alias("mean_us"), F.round(F.avg("abs_error_ms"), 6).alias("mae_ms")]
+    out = with_percentiles(outcomes, ("model_version",), plain, "actual_ms", {"p95_us": ("cont", 0.95)})
+    return out.withColumn("p95_us", F.round("p95_us", 6))
 
 
 _LONG = " union all ".join(f"select scenario, strategy, '{m}' as metric, cast({m} as double) as value from {{run_metrics}}" for m in METRICS)

@@ -21,7 +21,7 @@ r(type, rn, seq, last, kept) as (select type, rn, seq, t, true from e where rn =
   select e.type, e.rn, e.seq, case when e.t - r.last > 1800000 then e.t else r.last end, e.t - r.last > 1800000 from r join e on e.type = r.type and e.rn = r.rn + 1)
 select type, seq, kept from r""")
 def _(log_events):
-    return sequential.dedupe_within(log_events.select("type", "seq", "physical_ms"), ("type",), "physical_ms", "seq", 1_800_000, history.DAY).select("type", "seq", "kept")
+    return sequential.dedupe_within(log_events.select("type", "seq", "physical_ms"), ("type",), "physical_ms", "seq", 1_800_000).select("type", "seq", "kept")
 
 
 @plan("alert_suppress", """
@@ -31,7 +31,7 @@ r(type, rn, seq, last, held, sent, suppressed) as (select type, rn, seq, t, 0, t
     case when e.t - r.last >= 1800000 then r.held else 0 end from r join e on e.type = r.type and e.rn = r.rn + 1)
 select type, seq, sent, suppressed::bigint as suppressed from r""")
 def _(log_events):
-    return sequential.suppress_alerts(log_events.select("type", "seq", "physical_ms"), ("type",), "physical_ms", "seq", 1_800_000, history.DAY).select("type", "seq", "sent", "suppressed")
+    return sequential.suppress_alerts(log_events.select("type", "seq", "physical_ms"), ("type",), "physical_ms", "seq", 1_800_000).select("type", "seq", "sent", "suppressed")
 
 
 @plan("token_bucket", """
@@ -42,7 +42,7 @@ r(task_type, rn, exec_id, t, tokens, allowed) as (select task_type, rn, exec_id,
 select exec_id, allowed from r""")
 def _(executions):
     rows = executions.select("task_type", "exec_id", "dispatched_ms")
-    return sequential.token_bucket(rows, ("task_type",), "dispatched_ms", "exec_id", 2, 1.0 / 2_097_152, history.DAY).select("exec_id", "allowed")
+    return sequential.token_bucket(rows, ("task_type",), "dispatched_ms", "exec_id", 2, 1.0 / 2_097_152).select("exec_id", "allowed")
 
 
 @plan("stream_worker_windows", f"""

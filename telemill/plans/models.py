@@ -10,6 +10,7 @@ from telemill.operators import evaluation as ev
 from telemill.operators import experiments as ex
 from telemill.operators import graphs, history, listings
 from telemill.operators.aggregates import suite_summary
+from telemill.operators.selection import with_percentiles
 from telemill.plans.aggregates import _SUMMARY, METRICS
 from telemill.plans.registry import plan
 from telemill.session import scratch_path
@@ -393,7 +394,9 @@ def _(samples, executions):
 @plan("run_slice", """
 select count(*) as n, round(avg(exec_ms), 6) as mean_ms, round(quantile_cont(exec_ms::double, 0.95), 6) as p95_ms from {executions} where ends_with(task_id, '7')""")
 def _(executions):
-    return executions.where(F.endswith("task_id", F.lit("7"))).agg(F.count("*").alias("n"), F.round(F.avg("exec_ms"), 6).alias("mean_ms"), F.round(F.expr("percentile(cast(exec_ms as double), 0.95)"), 6).alias("p95_ms"))
+    plain = [F.count("*").alias("n"), F.round(F.avg("exec_ms"), 6).alias("mean_ms")]
+    out = with_percentiles(executions.where(F.endswith("task_id", F.lit("7"))), (), plain, "exec_ms", {"p95_ms": ("cont", 0.95)})
+    return out.withColumn("p95_ms", F.round("p95_ms", 6))
 
 
 @plan("log_search", "select seq, node, lamport, task_id from {log_events} where node = 'node-1' and contains(task_id, '77') order by lamport desc, seq desc limit 400")

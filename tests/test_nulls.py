@@ -46,8 +46,8 @@ def test_streaks(series, step):
 
 def test_numbers_and_moving_frames_keep_every_row(series):
     order = Window.partitionBy("k").orderBy("t", "id", "row")
-    same(numbered(series, "t", "n", ("k",), ("id", "row"), buckets=9), series.withColumn("n", F.row_number().over(order) - 1), ["row", "n"])
-    same(numbered(series, "t", "n", (), ("id", "row"), buckets=9), series.withColumn("n", F.row_number().over(Window.orderBy("t", "id", "row")) - 1), ["row", "n"])
+    same(numbered(series, "t", "n", ("k",), ("id", "row"), rows=9), series.withColumn("n", F.row_number().over(order) - 1), ["row", "n"])
+    same(numbered(series, "t", "n", (), ("id", "row"), rows=9), series.withColumn("n", F.row_number().over(Window.orderBy("t", "id", "row")) - 1), ["row", "n"])
     want = series.withColumn("s", F.sum("x").over(order.rowsBetween(-4, 0)))
     same(rolling(series, "t", 5, {"s": F.sum("x")}, ("k",), ("id", "row"), block=11), want, ["row", "s"])
     odd = F.when(F.col("row") % 50 == 7, float("inf")).when(F.col("row") % 60 == 9, float("nan")).when(F.col("row") % 70 == 3, float("-inf")).otherwise(F.col("x").cast("double"))
@@ -96,7 +96,7 @@ def test_nearest_samples_against_all_pairs(spark):
     rnd = random.Random(13)
     held = [(i, rnd.choice(["A", "B", None]), rnd.choice([None, *[rnd.randrange(400) for _ in range(6)], 50, 50])) for i in range(300)]
     asked = [(i, rnd.choice(["A", "B", "C", None]), rnd.choice([None, 0, 50, rnd.randrange(500)])) for i in range(60)]
-    got = history.nearest_samples(spark.createDataFrame(asked, "query_id long, task_type string, input_size long"), spark.createDataFrame(held, "exec_id long, task_type string, input_size long"), 7, 60)
+    got = history.nearest_samples(spark.createDataFrame(asked, "query_id long, task_type string, input_size long"), spark.createDataFrame(held, "exec_id long, task_type string, input_size long"), 7)
     want = []
     for q, kind, size in asked:
         near = sorted((round(abs(math.log1p(s) - math.log1p(size)), 9), s, i) for i, t, s in held if None not in (kind, size, s) and t == kind)
@@ -139,9 +139,9 @@ def test_graph_loops_fail_at_their_bound(spark):
     assert {(r.workflow_id, r.node): r.level for r in graphs.dag_levels(tasks).collect()} == {**{(1, i): i for i in range(6)}, (2, 1): None}
     assert sorted(r.node for r in graphs.dag_cancel(tasks).collect()) == [1, 2, 3, 4, 5]
     with pytest.raises(RuntimeError):
-        graphs.dag_levels(tasks, max_rounds=3)
+        graphs.dag_levels(tasks, max_rounds=3, most=0)
     with pytest.raises(RuntimeError):
-        graphs.dag_cancel(tasks, max_rounds=3)
+        graphs.dag_cancel(tasks, max_rounds=3, most=0)
 
 
 def test_references_to_tasks_that_are_no_parents(spark):
