@@ -144,11 +144,11 @@ def _whole_workflows(tasks: DataFrame, columns: list[str], solve: Callable[[list
 
 
 def _split_by_size(tasks: DataFrame, most: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Rows of workflows of at most ``most`` rows, all others (and those without a workflow), and whether there are others."""
-    large = materialize(tasks.groupBy("workflow_id").agg(F.count("*").alias("n")).where((F.col("n") > most) | F.col("workflow_id").isNull()).select(F.struct("workflow_id").alias("_w")), "large")
-    marked = tasks.withColumn("_w", F.struct("workflow_id"))
+    """Rows of workflows of at most ``most`` rows, those of larger ones, and whether there are such; rows without a workflow are in neither."""
+    known = tasks.where("workflow_id is not null")
+    large = materialize(known.groupBy("workflow_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("workflow_id"), "large")
     mark = if_small(large)
-    return marked.join(mark, "_w", "left_anti").drop("_w"), marked.join(mark, "_w", "left_semi").drop("_w"), not large.isEmpty()
+    return known.join(mark, "workflow_id", "left_anti"), known.join(mark, "workflow_id", "left_semi"), not large.isEmpty()
 
 
 def task_levels(rows: list[tuple]) -> Iterator[tuple]:
@@ -176,12 +176,15 @@ def dag_levels(tasks: DataFrame, max_rounds: int = 10_000, most: int = WORKFLOW_
     """Level of each task (one more than its highest parent), many workflows at once; null for tasks on or behind cycles.
 
     ``tasks`` has workflow_id, node, parent (null for none), a row for each parent. Workflows of at most ``most`` rows
-    are solved in one job, whatever their depth; larger ones take a round for each level.
+    are solved in one job, whatever their depth; larger ones take a round for each level. Tasks without a workflow have
+    no parents there, so their level is 0.
     """
     small, large, any_large = _split_by_size(tasks.select("workflow_id", "node", "parent"), most)
     kind = {f.name: f.dataType for f in tasks.schema}
     schema = T.StructType([T.StructField("workflow_id", kind["workflow_id"]), T.StructField("node", kind["node"]), T.StructField("level", T.IntegerType())])
     solved = _whole_workflows(small, ["node", "parent"], task_levels, schema)
+    alone = tasks.where("workflow_id is null").select("workflow_id", "node", F.lit(0).alias("level")).distinct()
+    solved = solved.unionByName(alone)
     return solved.unionByName(_levels_by_rounds(large, max_rounds)) if any_large else solved
 
 
@@ -239,7 +242,8 @@ def cancelled_tasks(rows: list[tuple]) -> Iterator[tuple]:
 def dag_cancel(tasks: DataFrame, max_rounds: int = 10_000, most: int = WORKFLOW_ROWS) -> DataFrame:
     """BLOCKED tasks below a FAILED one, over paths of any length whose inner tasks are all BLOCKED.
 
-    Workflows of at most ``most`` rows are solved in one job; larger ones take a round for each step of a path.
+    Workflows of at most ``most`` rows are solved in one job; larger ones take a round for each step of a path. Tasks
+    without a workflow are never below another.
     """
     small, large, any_large = _split_by_size(tasks.select("workflow_id", "node", "parent", "status"), most)
     kind = {f.name: f.dataType for f in tasks.schema}

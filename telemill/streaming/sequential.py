@@ -115,13 +115,15 @@ def spaced(rows: DataFrame, by: tuple[str, ...], at: str, tie: str, gap: int, ra
         path = _on_path(links, runs.where("node = 0").select("_k", "node"))
         entries = materialize(links.join(path, ["_k", "node"], "left_semi").select("_k", F.col("to_b").alias("_b"), F.col("exit").alias("_exit"), F.col("last").alias("_last")), "entries")
 
+    joined = entries is not None
+
     def walk(table: pa.Table) -> list[list]:
         t, place = table.column(at).to_numpy(), table.column("_at").to_pylist()
         after = successors(t, gap).tolist()
         kept, dropped, i, last = [False] * len(t), [0] * len(t), len(t), -1
         if place[0] == 0:
             i = 0
-        elif entries is not None and (start := table.column("_exit")[0].as_py()) is not None:
+        elif joined and (start := table.column("_exit")[0].as_py()) is not None:
             i, last = int(np.searchsorted(t, start)), table.column("_last")[0].as_py()
         while i < len(t):
             kept[i], dropped[i], last = True, place[i] - last - 1, place[i]
@@ -238,8 +240,10 @@ def token_bucket(rows: DataFrame, by: tuple[str, ...], at: str, tie: str, burst:
 
         entries = materialize(_starts(materialize(own.groupBy("_k", "_b").applyInArrow(run, schema), "bucket-maps"), bucket), "levels")
 
+    joined = entries is not None
+
     def walk(table: pa.Table) -> list[list]:
-        known = table.column("_level")[0].as_py() if entries is not None else None
+        known = table.column("_level")[0].as_py() if joined else None
         return [pa.array(bucket.walk(bucket.full if known is None else int(known), table.column(at).to_pylist())[0])]
 
     return _walked(timed, entries, [T.StructField("allowed", T.BooleanType())], walk, rows.columns).unionByName(untimed.withColumn("allowed", F.lit(True)))
