@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from telemill.session import scratch_path
+from telemill.session import scratch_path, shared_dir
+from telemill.streaming.keyed import KeyedTable
 
 
 def replay_source(rows: DataFrame, order: str, parts: int, label: str, ties: tuple[str, ...] = (), file_rows: int = 100_000, bounded: bool = False) -> DataFrame:
@@ -35,13 +36,22 @@ def replay_source(rows: DataFrame, order: str, parts: int, label: str, ties: tup
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1 if bounded else max(1, -(-len(found) // parts))).option("maxFileAge", "36500d").parquet(path)
 
 
-def run_to_files(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all its input into Parquet files and read them."""
+def _place(spark: SparkSession, label: str, name: str | None) -> str:
+    """The folder of a run: a new one, or that of the run called ``name``, which a later start finds again."""
+    return f"{shared_dir(spark)}/telemill/streams/{name}" if name else scratch_path(spark, label)
+
+
+def run_to_files(stream: DataFrame, label: str, mode: str = "append", name: str | None = None) -> DataFrame:
+    """Run a stream over all its input so far into Parquet files and read them.
+
+    A run with a ``name`` keeps its checkpoint and files under it: started again, by another driver too, it goes on
+    after the last batch, with its state and watermark. The sink's own log leaves out a batch that is written twice.
+    """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out)
+    path = _place(spark, label, name)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/rows")
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def worker_windows(stream: DataFrame, size_ms: int, slide_ms: int, watermark_ms: int) -> DataFrame:
@@ -82,24 +92,22 @@ def running_stats(stream: DataFrame, last: int, threshold: float, patience: int)
     )
 
 
-def upsert(stream: DataFrame, key: str, order: tuple[str, ...], label: str) -> DataFrame:
-    """The newest row per key of a change stream: each micro-batch is merged with the state before it into a new folder.
+def upsert(stream: DataFrame, key: str, order: tuple[str, ...], label: str, buckets: int = 16, name: str | None = None) -> DataFrame:
+    """The newest row per key of a change stream, kept in a ``KeyedTable``: a micro-batch rewrites the buckets it touches.
 
-    A batch that is run again after a failure writes the same state again, as the merge takes the newest row.
+    A batch that is run again after a failure is left out if it was committed. A run with a ``name`` goes on where the
+    last one ended.
     """
     spark: SparkSession = stream.sparkSession
-    held: list[DataFrame] = []
+    path = _place(spark, label, name)
+    held = KeyedTable(spark, f"{path}/table", stream.schema, key, order, buckets)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        both = batch if not held else held[-1].unionByName(batch)
-        newest = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in both.columns if c != key]), F.struct(*order)).alias("x")).select(key, "x.*")
-        path = scratch_path(batch.sparkSession, f"{label}-{epoch}")
-        newest.write.parquet(path)
-        held.append(spark.read.schema(newest.schema).parquet(path))
+    def merge(batch: DataFrame, number: int) -> None:
+        held.merge(batch, number)
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return held[-1] if held else spark.createDataFrame([], stream.schema)
+    return held.rows()
 
 
 def throttle(stream: DataFrame, by: str, at: str, tie: str, tick_ms: int, k: int, watermark_ms: int) -> DataFrame:
