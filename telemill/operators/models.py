@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,10 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.scalars import feature_columns, from_log_target, log_target
-from telemill.operators.evaluation import regression_metrics, ts_cv_folds
+from telemill.operators.evaluation import best_f1_threshold, regression_metrics, ts_cv_folds
+from telemill.session import discard, materialize
 
-# Settings that are tried for a forest.
+# Settings that are tried for each family.
+LINEAR_GRID = [{"alpha": alpha} for alpha in (0.1, 1.0, 10.0)]
+LOGISTIC_GRID = [{"c": c} for c in (0.1, 1.0, 10.0)]
 FOREST_GRID = [{"depth": depth, "least": least} for depth in (8, 16) for least in (1, 5)]
+BOOSTED_GRID = [{"depth": depth, "step": step} for depth in (3, 6) for step in (0.05, 0.1)]
+
+#: Settings that are tried at a time; their jobs share the cluster.
+TRIED_AT_ONCE = 4
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -55,10 +64,10 @@ def fit_forest(train: DataFrame, target: str, classify: bool = False, trees: int
     return _pipeline(rows, kind(labelCol=target if classify else "_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=7)).fit(rows)
 
 
-def fit_boosted(train: DataFrame, target: str, classify: bool = False, rounds: int = 20, depth: int = 4):
+def fit_boosted(train: DataFrame, target: str, classify: bool = False, rounds: int = 20, depth: int = 4, step: float = 0.1):
     kind = GBTClassifier if classify else GBTRegressor
     rows = train if classify else train.withColumn("_y", log_target(F.col(target)))
-    return _pipeline(rows, kind(labelCol=target if classify else "_y", maxIter=rounds, maxDepth=depth, seed=7)).fit(rows)
+    return _pipeline(rows, kind(labelCol=target if classify else "_y", maxIter=rounds, maxDepth=depth, stepSize=step, seed=7)).fit(rows)
 
 
 def predict_ms(model, rows: DataFrame, out: str = "predicted") -> DataFrame:
@@ -72,30 +81,56 @@ def predict_probability(model, rows: DataFrame, out: str = "score") -> DataFrame
     return made.withColumn(out, F.element_at(vector_to_array("probability"), 2)).drop("raw", "features", "prediction", "rawPrediction", "probability", "_w")
 
 
-def ts_cross_validate(rows: DataFrame, order: str, tie: str, target: str, k: int, fit) -> DataFrame:
-    """Out-of-fold predictions over expanding time folds: fold, actual, predicted."""
-    folds = ts_cv_folds(rows, order, tie, k).cache()
+def _out_of_fold(folds: DataFrame, target: str, k: int, fit, predict) -> DataFrame:
+    """Predictions of each fold from the rows before it: fold, actual and what ``predict`` adds."""
     out = None
     for fold in range(1, k + 1):
         model = fit(folds.where(F.col("fold") < fold), target)
-        part = predict_ms(model, folds.where(F.col("fold") == fold)).select("fold", F.col(target).cast("double").alias("actual"), "predicted")
+        part = predict(model, folds.where(F.col("fold") == fold)).select("fold", F.col(target).cast("double").alias("actual"), "predicted")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def ts_cross_validate(rows: DataFrame, order: str, tie: str, target: str, k: int, fit, predict=predict_ms) -> DataFrame:
+    """Out-of-fold predictions over expanding time folds: fold, actual, predicted. The folds are written once."""
+    return _out_of_fold(materialize(ts_cv_folds(rows, order, tie, k), "folds"), target, k, fit, predict)
+
+
+def _tried(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int, predict, judge) -> list:
+    """What ``judge`` makes of the out-of-fold predictions with each of the settings, some of them at a time."""
+    folds = materialize(ts_cv_folds(rows, order, tie, k), "folds")
+
+    def one(settings: dict):
+        return judge(_out_of_fold(folds, target, k, lambda train, y: fit(train, y, **settings), predict))
+
+    with ThreadPoolExecutor(TRIED_AT_ONCE) as pool:
+        found = list(pool.map(one, grid))
+    discard(folds)
+    return found
+
+
 def fit_best(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int = 3):
-    """The fit on all rows with the settings of ``grid`` that have the smallest error out of fold, and those settings.
+    """The fit on all rows with the settings of ``grid`` that have the smallest mean absolute error out of fold (the first of equals), and those settings.
 
     Folds expand in time, so each is predicted from rows before it; the driver holds one error per setting.
     """
-    errors = []
-    for settings in grid:
-        scored = ts_cross_validate(rows, order, tie, target, k, lambda train, y, own=settings: fit(train, y, **own))
-        errors.append(regression_metrics(scored).collect()[0]["mae"])
+    errors = _tried(rows, order, tie, target, fit, grid, k, predict_ms, lambda scored: regression_metrics(scored).collect()[0]["mae"])
     best = grid[min(range(len(grid)), key=lambda i: errors[i])]
     return fit(rows, target, **best), best
 
 
+def fit_best_classifier(rows: DataFrame, order: str, tie: str, label: str, fit, grid: list[dict], k: int = 3):
+    """The fit on all rows with the settings whose best F1 out of fold is the highest, those settings, and the cut-off with that F1.
+
+    The cut-off comes from pooled predictions out of fold, so rows held out for a test never choose it.
+    """
+    predict = lambda model, part: predict_probability(model, part, "predicted")
+    judge = lambda scored: best_f1_threshold(scored, "actual", "predicted").collect()[0]
+    found = _tried(rows, order, tie, label, fit, grid, k, predict, judge)
+    at = max(range(len(grid)), key=lambda i: found[i]["f1"])
+    return fit(rows, label, **grid[at]), grid[at], found[at]["threshold"]
+
+
 def importances(model, names: list[str], top: int = 15) -> list[tuple[str, float]]:
     """Inputs by absolute coefficient or impurity importance, the largest first."""
     last = model.stages[-1]

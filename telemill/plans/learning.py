@@ -130,7 +130,7 @@ def _rows(executions, workers):
     """Executions with model inputs from leak-free history, split by time."""
     rows = _inputs(history.enrich_worker(history.prior_stats(executions.where("status = 'COMPLETED'")), workers))
     rows = rows.withColumn("label", (F.col("exec_ms") > 600).cast("int"))
-    return ev.time_split(rows, "dispatched_ms", "exec_id", F.lit(False), F.lit(False)).cache()
+    return materialize(ev.time_split(rows, "dispatched_ms", "exec_id", F.lit(False), F.lit(False)), "model-rows")
 
 
 def _regression(executions, workers, fit):
@@ -139,26 +139,31 @@ def _regression(executions, workers, fit):
     return ev.regression_metrics(scored.withColumn("actual", F.col("exec_ms").cast("double")))
 
 
+def _best(fit, grid):
+    """The fit with the settings that predict best over three time folds of the training rows."""
+    return lambda train, target: ml.fit_best(train, "dispatched_ms", "exec_id", target, fit, grid)[0]
+
+
 @plan("fit_linear")
 def _(executions, workers):
-    return _regression(executions, workers, ml.fit_linear)
+    return _regression(executions, workers, _best(ml.fit_linear, ml.LINEAR_GRID))
 
 
 @plan("fit_forest")
 def _(executions, workers):
-    return _regression(executions, workers, lambda train, target: ml.fit_best(train, "dispatched_ms", "exec_id", target, ml.fit_forest, ml.FOREST_GRID, 1)[0])
+    return _regression(executions, workers, _best(ml.fit_forest, ml.FOREST_GRID))
 
 
 @plan("fit_boosted")
 def _(executions, workers):
-    return _regression(executions, workers, ml.fit_boosted)
+    return _regression(executions, workers, _best(ml.fit_boosted, ml.BOOSTED_GRID))
 
 
 @plan("fit_logistic")
 def _(executions, workers):
     rows = _rows(executions, workers)
-    scored = ml.predict_probability(ml.fit_logistic(rows.where("split = 'train'"), "label"), rows.where("split = 'test'"))
-    return ev.classification_metrics(scored, 0.5)
+    model, _, threshold = ml.fit_best_classifier(rows.where("split = 'train'"), "dispatched_ms", "exec_id", "label", ml.fit_logistic, ml.LOGISTIC_GRID)
+    return ev.classification_metrics(ml.predict_probability(model, rows.where("split = 'test'")), threshold)
 
 
 @plan("ts_cross_validate")

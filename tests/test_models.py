@@ -55,7 +55,18 @@ def test_the_grid_picks_what_predicts_best(rows):
         return models.fit_linear(train if size else train.withColumn("f_size", F.lit(0.0)), target)
 
     _, best = models.fit_best(rows, "at", "id", "exec_ms", fit, [{"size": False}, {"size": True}], 2)
-    assert best == {"size": True} and tried == [False, False, True, True, True]
+    assert best == {"size": True} and tried[-1] is True and sorted(tried) == [False, False, True, True, True]
+
+
+def test_the_classifier_grid_brings_its_cut_off(rows):
+    def fit(train, label, size, c=1.0):
+        return models.fit_logistic(train if size else train.withColumn("f_size", F.lit(0.0)), label, c)
+
+    model, best, threshold = models.fit_best_classifier(rows.where("id < 450"), "at", "id", "label", fit, [{"size": False}, {"size": True}, {"size": True, "c": 1e-9}])
+    scored = models.predict_probability(model, rows.where("id >= 450"))
+    assert best == {"size": True} and 0 < threshold < 1
+    assert evaluation.classification_metrics(scored, threshold).collect()[0].f1 > 0.9
+    assert [len(g) for g in (models.LINEAR_GRID, models.LOGISTIC_GRID, models.FOREST_GRID, models.BOOSTED_GRID)] == [3, 3, 4, 4]
 
 
 def test_importances_find_the_input_that_counts(rows):
