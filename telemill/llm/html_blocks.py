@@ -2,11 +2,11 @@
 
 A page is cut at block-level tags into flat blocks. Each has its number of words and its link density (words in links
 over words), those of both neighbours, and the words of link-poor text in the two blocks on either side. Further
-features are its sentence marks a word, its place in the page, how much of the page's text shares its container,
-whether it stands in furniture by element or role, in the article or outside of it, how far class and id words name it
-furniture (see ``weigh_names``), and whether it is a heading. A decision tree (Spark ML, trained on the labelled table
-of ``page_table``: 1,200 pages by default) says which blocks are main text. Pages are read one at a time inside
-mapInArrow with no shuffle; the fitted tree is a list of thresholds.
+features are its sentence marks a word, whether it stands in furniture by element or role, in the article or outside of
+it, how far class and id words name it furniture (see ``weigh_names``), and whether it is a heading; its place in the
+page is none, so that the later paragraphs of long flat pages are judged as the first ones. A decision tree (Spark ML,
+trained on the labelled table of ``page_table``: 2,000 pages by default) says which blocks are main text; it is fitted
+once a driver. Pages are read one at a time inside mapInArrow with no shuffle; the fitted tree is a list of thresholds.
 
 Defined cases: a null or empty page has an empty text; unclosed elements end with the page; unclosed scripts, styles
 and comments hide the rest of it; repeated rows are read each; a very long page is read whole by one task; an empty
@@ -31,7 +31,7 @@ from telemill.llm import page_table
 from telemill.llm.wordhash import slices
 
 FEATURES = [
-    "words", "links", "prev_words", "prev_links", "next_words", "next_links", "near_words", "marks_a_word", "before", "kin", "furniture", "named", "article", "heading",
+    "words", "links", "prev_words", "prev_links", "next_words", "next_links", "near_words", "marks_a_word", "furniture", "named", "article", "heading",
 ]
 
 # Element names of HTML by their role here, and words of class and id names that mark page furniture.
@@ -63,8 +63,6 @@ _TAG = re.compile(
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _BODY = re.compile(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.IGNORECASE)
 _WORDS = frozenset(_FURNITURE_WORDS.split())
-#: Elements that hold blocks of one kind rather than set them apart.
-_INNER = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption center caption tr td th tbody thead tfoot hr details summary hgroup header".split())
 _MARK = re.compile(r"[.!?…:;。！？।؟](?=\W|$)")
 _HIDES = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
@@ -79,7 +77,6 @@ class Block:
     heading: int
     marks: tuple = ()
     named: float = 0.0
-    holder: int = 0
 
 
 def _marks(name: str, attributes: str, in_article: bool) -> tuple[bool, list[tuple[str, bool]]]:
@@ -127,10 +124,10 @@ def weigh_names(blocks: list[Block]) -> None:
 def blocks_of(page: str) -> list[Block]:
     """The flat text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, tuple, int]] = []  # element, furniture and article depth, marks by name and container inside it
+    stack: list[tuple[str, int, int, tuple]] = []  # element, and furniture and article depth and marks by name inside it
     parts: list[str] = []
     linked: list[str] = []
-    furniture = article = heading = link = holder = holders = 0
+    furniture = article = heading = link = 0
     marks: tuple = ()
     at = 0
 
@@ -140,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), int(furniture > 0), int(article > 0), heading, marks, holder=holder))
+                out.append(Block(" ".join(words), len(words), min(1.0, n / len(words)), int(furniture > 0), int(article > 0), heading, marks))
             parts, linked = [], []
 
     def text(piece: str) -> None:
@@ -176,7 +173,7 @@ def blocks_of(page: str) -> list[Block]:
                 top -= 1
             if top and stack[top - 1][0] == "p":
                 del stack[top - 1 :]
-                furniture, article, marks, holder = stack[-1][1:] if stack else (0, 0, (), 0)
+                furniture, article, marks = stack[-1][1:] if stack else (0, 0, ())
         if name in _VOID or name == "p" and not marked:
             continue
         if closing:
@@ -190,11 +187,9 @@ def blocks_of(page: str) -> list[Block]:
                 inside: tuple = ()
             else:
                 inside = marks if name in _WHOLE else (*marks, *names)
-            apart = name not in _INNER or bool(names)
-            holders += apart
             is_furniture = barred or name in _FURNITURE and not (name == "header" and article)
-            stack.append((name, int(furniture + is_furniture), int(article + (name in _ARTICLE or body)), inside, holders if apart else holder))
-        furniture, article, marks, holder = stack[-1][1:] if stack else (0, 0, (), 0)
+            stack.append((name, int(furniture + is_furniture), int(article + (name in _ARTICLE or body)), inside))
+        furniture, article, marks = stack[-1][1:] if stack else (0, 0, ())
         link = 0
     if at < len(page):
         tail = page[at:]
@@ -207,27 +202,21 @@ def blocks_of(page: str) -> list[Block]:
 def vectors(blocks: list[Block]) -> list[tuple]:
     """The features of each block, neighbours included (0 words and links beyond either end).
 
-    ``article`` is -1 for blocks outside of the article or main element that a page has. ``kin`` is the share of the
-    page's link-poor words, furniture elements left out, that has the block's container.
+    ``article`` is -1 for blocks outside of the article or main element that a page has.
     """
     ends = Block("", 0, 0.0, 0, 0, 0)
     around = [ends, ends, *blocks, ends, ends]
     plain = [b.words if b.links < 0.34 else 0 for b in around]
     inside = any(b.article and not b.furniture for b in blocks)
-    held: dict[int, int] = {}
-    for b, n in zip(around, plain, strict=True):
-        if not b.furniture:
-            held[b.holder] = held.get(b.holder, 0) + n
-    total, prose, seen, out = max(1, sum(b.words for b in blocks)), max(1, sum(held.values())), 0, []
+    out = []
     for i, b in enumerate(blocks):
         p, n = around[i + 1], around[i + 3]
         near = sum(plain[i : i + 5]) - plain[i + 2]
         marks = len(_MARK.findall(b.text)) / b.words
         at = 1 if b.article else -1 if inside else 0
         out.append(tuple(map(float, (
-            b.words, b.links, p.words, p.links, n.words, n.links, near, marks, seen / total, held.get(b.holder, 0) / prose, b.furniture, b.named, at, b.heading,
+            b.words, b.links, p.words, p.links, n.words, n.links, near, marks, b.furniture, b.named, at, b.heading,
         ))))
-        seen += b.words
     return out
 
 
@@ -241,7 +230,7 @@ def table_rows(pages: list[list[tuple[int | None, str]]]) -> list[tuple]:
     return rows
 
 
-def labelled_table(spark: SparkSession, seed: int = 1, pages: int = 1200) -> DataFrame:
+def labelled_table(spark: SparkSession, seed: int = 1, pages: int = 2000) -> DataFrame:
     """The labelled blocks with their features."""
     columns = zip(*table_rows(page_table.pages(seed, pages)), strict=True)
     return spark.createDataFrame(pa.table(dict(zip([*FEATURES, "label"], map(pa.array, columns), strict=True))))
@@ -267,6 +256,16 @@ def fit_tree(labelled: DataFrame, max_depth: int = 9, least_rows: int = 8) -> li
     return nodes
 
 
+_FITTED: dict[tuple[int, int], list] = {}
+
+
+def default_tree(spark: SparkSession, seed: int = 1, pages: int = 2000) -> list[tuple[int, float, int, int, int]]:
+    """The tree of the labelled table, fitted once for a seed and size."""
+    if (seed, pages) not in _FITTED:
+        _FITTED[seed, pages] = fit_tree(labelled_table(spark, seed, pages))
+    return _FITTED[seed, pages]
+
+
 def is_main(tree: list[tuple[int, float, int, int, int]], vector: tuple) -> bool:
     at = 0
     while tree[at][0] >= 0:
@@ -282,7 +281,7 @@ def main_text(page: str, tree: list[tuple[int, float, int, int, int]]) -> str:
 
 def extract_text(pages: DataFrame, page: str = "html", out: str = "text", tree: list | None = None) -> DataFrame:
     """The rows without ``page``, with ``out``: the main text."""
-    tree = tree or fit_tree(labelled_table(pages.sparkSession))
+    tree = tree or default_tree(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (page, out)]
     slot = "_page" + "_" * max(map(len, pages.columns))  # longer than any other name
     slim = pages.select(*rest, F.coalesce(F.col(page), F.lit("")).alias(slot))

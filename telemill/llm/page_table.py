@@ -242,7 +242,7 @@ def page(rnd: random.Random) -> list[tuple[int | None, str]]:
     if not bare:
         built.top()
     built.body()
-    if not bare:
+    if not bare and built.maybe(0.6):  # others end with their text
         built.bottom()
     return built.parts
 

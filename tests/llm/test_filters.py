@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from telemill.llm import chat_format, decontaminate, html_blocks, language_id, page_table, quality_rules
@@ -154,14 +155,14 @@ def test_page_text(spark):
 
 
 def test_names_that_only_look_like_furniture(spark):
-    tree = html_blocks.fit_tree(html_blocks.labelled_table(spark))
+    tree = html_blocks.default_tree(spark)
     page = """<body class="has-sidebar nav-open"><div class="layout no-ads"><div role=main><div class="post-header"><h1>The head of it</h1></div><p>One line.</p>
     <div class="share-buttons">Share</div><aside>Aside words</aside></div><div id=sidebar-left><p>Side</p></div><div role="navigation">Go</div></div></body>"""
     assert html_blocks.main_text(page, tree) == "The head of it\n\nOne line."
 
 
 def test_wrappers_with_furniture_words(spark):
-    tree = html_blocks.fit_tree(html_blocks.labelled_table(spark))
+    tree = html_blocks.default_tree(spark)
     long = ["The first paragraph has a good number of plain words to read in it.", "Another one follows with as many words that belong to the text of the page."]
     prose = "".join(f"<p>{x}</p>" for x in long)
     side = "<div class=sidebar><p>Popular on this site right now</p></div><div id=footer>Contact us by mail</div>"
@@ -197,7 +198,7 @@ def test_tree_on_pages_not_seen(spark):
 
 
 def test_blocks_without_names(spark):
-    tree = html_blocks.fit_tree(html_blocks.labelled_table(spark))
+    tree = html_blocks.default_tree(spark)
     prose = [f"Paragraph {i} of the piece has some plain words, and then a few more of them to end with." for i in range(5)]
     body = "".join(f"<p>{x}</p>" for x in prose)
     cases = [
@@ -210,6 +211,38 @@ def test_blocks_without_names(spark):
         assert html_blocks.main_text(f"<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav>{page}</body>", tree) == "\n\n".join(want), page
 
 
+def sentences(n):
+    rnd = random.Random(n)
+    words = "the old bridge over a river was closed to lorries and many people in town had asked for new work which should begin in spring".split()
+    return [" ".join(rnd.choice(words) for _ in range(rnd.randint(18, 40))).capitalize() + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("mark", ["class=byline", "class=tags", "class=share", "role=navigation", "hidden", "style='display:none'"])
+@pytest.mark.parametrize("end", ["</p>", ""])
+def test_paragraphs_with_telling_names_end(spark, mark, end):
+    body = sentences(4)
+    page = f"<body><nav><a href=/>Home</a></nav><article><h1>A new bridge</h1><p {mark}><span class=share>Share it</span> all{end}" + "".join(f"<p>{x}</p>" for x in body) + "</article></body>"
+    assert html_blocks.main_text(page, html_blocks.default_tree(spark)) == "\n\n".join(["A new bridge", *body])
+
+
+@pytest.mark.parametrize("cell", ["<div>{}</div>", "<div class=row><p>{}</p></div>", "<p>{}"])
+@pytest.mark.parametrize("n", [6, 60])
+def test_late_paragraphs_of_flat_pages_stay(spark, cell, n):
+    body = sentences(n)
+    page = "<body><nav><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></nav><h1>A new bridge</h1>" + "".join(cell.format(x) for x in body) + "</body>"
+    assert html_blocks.main_text(page, html_blocks.default_tree(spark)) == "\n\n".join(["A new bridge", *body])
+
+
+def test_the_tree_uses_the_links_of_neighbours(spark):
+    used = {html_blocks.FEATURES[node[0]] for node in html_blocks.default_tree(spark) if node[0] >= 0}
+    assert {"words", "links", "near_words", "named"} <= used and used & {"prev_links", "next_links"}
+
+
+def test_columns_named_like_helpers(spark):
+    rows = spark.createDataFrame([(1, "<p>" + sentences(1)[0], "a")], "page_id long, html string, _page string")
+    assert html_blocks.extract_text(rows).columns == ["page_id", "_page", "text"]
+
+
 def test_a_very_long_page(spark):
     page = "<article>" + "".join(f"<p>Sentence number {i} of the page, with some more words.</p>" for i in range(60_000)) + "</article><footer>End</footer>"
     text = html_blocks.extract_text(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()[0].text
