@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telemill.functions import catalogue, scalars
 from telemill.operators import evaluation as ev
 from telemill.operators import experiments as ex
-from telemill.operators import graphs, history, listings
+from telemill.operators import history, listings
 from telemill.operators.aggregates import suite_summary
 from telemill.operators.selection import with_percentiles
 from telemill.plans.aggregates import _SUMMARY, METRICS
