@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.llm.names import spare
 from telemill.session import materialize
 
 _BUCKETS = 4096
@@ -169,13 +170,14 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
     n = len(names)
     places = [*([F.col(host)] if host else []), *([F.nullif(host_of(F.col(address)), F.lit(""))] if address else [])]
     place = F.coalesce(*places) if places else F.lit(None).cast("string")
-    scored = docs.withColumn("_ll", _score(docs, text, logs)).withColumn("_host", F.coalesce(F.lower(place), F.lit("")))
-    shown = scored.select(F.col("_host").alias("host"), domain_of(F.col("_host")).alias("domain"), F.when(F.array_max("_ll") < 0, _best(F.col("_ll"))).alias("best"))
+    ll, own_host, prior_host, prior, z, top = (spare(docs, x) for x in ("ll", "own_host", "prior_host", "prior", "z", "top"))
+    scored = docs.withColumn(ll, _score(docs, text, logs)).withColumn(own_host, F.coalesce(F.lower(place), F.lit("")))
+    shown = scored.select(F.col(own_host).alias("host"), domain_of(F.col(own_host)).alias("domain"), F.when(F.array_max(ll) < 0, _best(F.col(ll))).alias("best"))
     priors = host_priors(shown, n, prior_strength)
     priors = materialize(priors, "host-priors")
     small = priors.count() * n <= broadcast_hosts * 64
-    priors = priors.select(F.col("host").alias("_prior_host"), F.col("prior").alias("_prior"))
-    joined = scored.join(F.broadcast(priors) if small else priors, F.col("_host") == F.col("_prior_host"), "left")
+    priors = priors.select(F.col("host").alias(prior_host), F.col("prior").alias(prior))
+    joined = scored.join(F.broadcast(priors) if small else priors, F.col(own_host) == F.col(prior_host), "left")
 
     name = F.lit(names)
 
@@ -192,17 +194,17 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = None, a
         suffix = F.substring_index(host_of(F.col(address)), ".", -1)
         tongue = F.coalesce(*[F.when(suffix == s, F.lit(x)) for s, x in SUFFIXES.items()])
         claims.append(evidence(tongue, suffix_trust))
-    logit = F.zip_with(F.transform("_ll", lambda x: x * tau), F.col("_prior"), lambda a, b: a + b)
+    logit = F.zip_with(F.transform(ll, lambda x: x * tau), F.col(prior), lambda a, b: a + b)
     claims.append(F.lit([0.0] * (n - 1) + [float(np.log(und_odds))]))
     for claim in claims:
         logit = F.zip_with(logit, claim, lambda a, b: a + b)
-    fused = joined.withColumn("_z", logit).withColumn("_top", F.array_max("_z"))
-    weight = F.aggregate(F.transform("_z", lambda z: F.exp(z - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    has_text = F.array_max("_ll") < 0
+    fused = joined.withColumn(z, logit).withColumn(top, F.array_max(z))
+    weight = F.aggregate(F.transform(z, lambda x: F.exp(x - F.col(top))), F.lit(0.0), lambda a, x: a + x)
+    has_text = F.array_max(ll) < 0
     return (
-        fused.withColumn("language", F.when(has_text, F.element_at(name, _best(F.col("_z")))).otherwise(UND))
+        fused.withColumn("language", F.when(has_text, F.element_at(name, _best(F.col(z)))).otherwise(UND))
         .withColumn("confidence", F.when(has_text, 1 / weight).otherwise(0.0))
-        .withColumn("text_language", F.when(has_text, F.element_at(name, _best(F.col("_ll")))).otherwise(UND))
+        .withColumn("text_language", F.when(has_text, F.element_at(name, _best(F.col(ll)))).otherwise(UND))
         .withColumn("kept", (F.col("language") != UND) & (F.col("confidence") >= min_confidence))
-        .drop("_ll", "_host", "_z", "_top", "_prior_host", "_prior")
+        .drop(ll, own_host, z, top, prior_host, prior)
     )

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telemill.llm.names import spare
+
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -117,14 +119,15 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
         word_array(body),
         lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeated_word_count(w).alias("r")),
     )
+    held = spare(df, "counts")
     return (
-        df.withColumn("_w", counts)
-        .withColumn("n_words", F.col("_w.n"))
-        .withColumn("word_chars", F.col("_w.c"))
+        df.withColumn(held, counts)
+        .withColumn("n_words", F.col(f"{held}.n"))
+        .withColumn("word_chars", F.col(f"{held}.c"))
         .withColumn("n_symbols", _count_of(body, "[#*$%&|<>]").cast("long"))
         .withColumn("n_dup_lines", let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
-        .withColumn("n_repeat_words", F.col("_w.r"))
-        .drop("_w")
+        .withColumn("n_repeat_words", F.col(f"{held}.r"))
+        .drop(held)
     )
 
 
@@ -180,14 +183,15 @@ def clean_lines(df: DataFrame, text: str = "text", rules: LineRules = LineRules(
         lambda g: let(F.array_join(g, "\n"), lambda t: F.struct(t.alias("text"), F.size(g).cast("long").alias("n"), (F.length(t) - F.size(g) + 1).alias("kept"))),
     )
     total = F.length(body) - F.size(lines) + 1
+    good = spare(df, "good")
     return (
-        df.withColumn("_g", split)
-        .withColumn("cleaned_text", F.col("_g.text"))
+        df.withColumn(good, split)
+        .withColumn("cleaned_text", F.col(f"{good}.text"))
         .withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("n_lines_removed", F.col("n_lines") - F.col("_g.n"))
-        .withColumn("lost_share", F.when((total <= 0) | (F.col("_g.n") == 0), F.lit(1.0)).otherwise(1 - F.col("_g.kept") / total))
+        .withColumn("n_lines_removed", F.col("n_lines") - F.col(f"{good}.n"))
+        .withColumn("lost_share", F.when((total <= 0) | (F.col(f"{good}.n") == 0), F.lit(1.0)).otherwise(1 - F.col(f"{good}.kept") / total))
         .withColumn("lines_kept", F.col("lost_share") <= rules.max_lost_share)
-        .drop("_g")
+        .drop(good)
     )
 
 

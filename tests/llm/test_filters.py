@@ -351,3 +351,34 @@ def test_sample_is_by_language_and_distinct_text(spark):
     assert (logs[1][at] < -5).all()
     got = language_id.identify(frame, declared="lang", sample_texts=50).where("lang = 'de'").collect()
     assert len(got) == 15 and all(r.text_language == "de" for r in got)
+
+
+def test_helper_names_of_quality_and_language_stay(spark):
+    extra = ["_w", "_g", "counts", "good", "_ll", "_host", "_prior", "_z", "_top", "ll", "own_host", "prior", "best", "host", "domain"]
+    df = corpus(spark).withColumns({c: F.lit("own") for c in extra})
+    judged, found = quality_rules.judge(df), language_id.identify(df, declared="lang", address="url")
+    for out in (judged, found):
+        assert set(df.columns) <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+        assert out.select(*extra).distinct().collect() == [tuple(["own"] * len(extra))] and out.count() == 300
+
+
+def test_quality_of_a_very_long_text(spark):
+    rnd = random.Random(1)
+    lines = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(12)) + "." for _ in range(60_000)]
+    lines[::10] = ["| home | news | shop |"] * 6_000
+    r = quality_rules.judge(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()[0]
+    assert r.kept and r.n_words == 54_000 * 12 + 6_000 * 7 and r.n_lines_removed == 6_000 and r.n_dup_lines == 5_999
+    assert r.cleaned_text == "\n".join(x for x in lines if x[0] == "w")
+
+
+def test_contamination_of_a_very_long_text(spark):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(400_000)]
+    item = [f"exam{i}" for i in range(12)]
+    words[200_000:200_012] = item
+    words[-10:] = item[:10]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:200_009]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].contaminated) == (400_000, 22, True)
+    assert (got[2].n_hit, got[2].contaminated) == (0, False)
