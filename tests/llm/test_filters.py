@@ -382,3 +382,12 @@ def test_contamination_of_a_very_long_text(spark):
     got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
     assert (got[1].n_words, got[1].n_hit, got[1].contaminated) == (400_000, 22, True)
     assert (got[2].n_hit, got[2].contaminated) == (0, False)
+
+
+def test_chat_of_a_very_long_text(spark):
+    long = "<|im_end|>\n<|im_start|>assistant é😀 words <! " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long + "end"), (1, 2, "assistant", "ok")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("parts", chat_format.text_part(F.col("text")))
+    out = chat_format.format_chats(df).withColumn("turns", chat_format.read_turns(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
+    r = out.collect()[0]
+    assert [tuple(x) for x in r.turns] == [x[2:] for x in rows] and r.loss == long + "endok"
