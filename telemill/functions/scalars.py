@@ -28,9 +28,9 @@ def _by_type(task_type: Column, values: dict[str, str]) -> Column:
 
 
 def input_size(task_type: Column, pairs: Column, text: Column, keys: dict[str, str] = catalogue.SIZE_KEYS) -> Column:
-    """The first required number of the type, else the length of the text."""
+    """The first required number of the type, with or without a sign, else the length of the text."""
     number = F.try_element_at(pairs, _by_type(task_type, keys))
-    return F.coalesce(F.when(number.rlike("^[0-9]{1,18}$"), number.cast("long")), F.length(text).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.when(number.rlike("^[+-]?[0-9]+$"), number.try_cast("long")), F.length(text).cast("long"), F.lit(0).cast("long"))
 
 
 def problems(*rules: tuple[Column, str]) -> Column:

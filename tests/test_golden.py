@@ -206,6 +206,13 @@ def test_inputs_are_checked_by_type(spark):
     assert found == ["task_id: empty", "type: not supported", "input: empty", "priority: not 1 to 10"]
 
 
+def test_input_sizes_may_have_a_sign(spark):
+    cases = [("n=-3, algo=dfs", -3), ("n=+7", 7), ("n=12", 12), ("n=9223372036854775807", 2**63 - 1), ("n=9223372036854775808", 21), ("n=abc", 5), ("broken", 6), (None, 0)]
+    df = frame(spark, [("CPU_TASK", x) for x, _ in cases], "t string, x string")
+    got = df.select(scalars.input_size(F.col("t"), scalars.kv_parse(F.col("x"))["pairs"], F.col("x"))).collect()
+    assert [r[0] for r in got] == [n for _, n in cases]
+
+
 def test_equal_parameters_share_a_cache_key(spark):
     df = frame(spark, [("n=5, seed=1",), ("seed=1,n=5",), ("seed=2,n=5",)], "x string")
     a, b, c = (r[0] for r in df.select(scalars.cache_key(F.lit("CPU_TASK"), scalars.kv_parse(F.col("x"))["pairs"], F.col("x"))).collect())
