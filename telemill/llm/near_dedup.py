@@ -16,13 +16,16 @@ hash evaluations give 2 * n_perm signature values, and each band mixes the extre
 6. Where the classes outside the largest component fill more than one block, blocks against blocks would ask for a
    number of texts that grows with the square of the bucket. Such buckets are taken apart by pairs of the bands that
    their classes share, and what is still too wide by triples (``depth`` 2), before blocks are compared.
+7. Classes that share only wide buckets, and too few of them for step 6, are found exactly: all classes of wide
+   buckets are joined by the rarest shingles of their sets. Sets as alike as asked share one of their first
+   n - ceil(percent * n / 100) + 1 shingles in any one order of all shingles; ordered by how often shingles occur, those
+   that many classes share come last. Buckets by these shingles are compared in blocks, as wide as they are.
 
 Joins by bucket or by set deal the rows of hot keys to parts. Ids that choose texts are broadcast up to
 ``broadcast_limit`` of them (30 MB); beyond that the texts are shuffled.
 
-With 24 bands of 4 values a pair at similarity 0.8 meets in no band with probability (1 - 0.8^4)^24 = 3e-6. A pair is
-missed by step 6 only if all bands that it shares have wide buckets and it shares too few of them: with probability
-below 6e-5 for one refinement and 5e-4 for two, at similarity 0.8; far below that for more alike pairs.
+With 24 bands of 4 values a pair at similarity 0.8 meets in no band with probability (1 - 0.8^4)^24 = 3e-6. No pair
+that meets in a band is missed.
 
 Words: runs of all but ASCII white space, after lowering A-Z. A set: distinct ``k``-word shingles; with fewer words
 the whole sequence. Defined cases: null or wordless texts have an empty set and are linked with nothing; rows with
@@ -206,7 +209,7 @@ def comparable(placed: DataFrame, hot: DataFrame, depth: int, block: int, block_
 
     ``placed`` (bucket, rep, n, root) has the classes of all buckets with several components. A bucket whose classes
     outside its largest component fill one block asks for at most about two texts a class. Wider ones are taken apart,
-    up to ``depth`` times, by the further bands that their classes share.
+    up to ``depth`` times, by the further bands that their classes share; ``rare_postings`` gives what is lost by that.
     """
     ready, now = None, placed.select("bucket", "rep", "n", "root", F.array().cast("array<bigint>").alias("path"), F.col("bucket").alias("last"))
     for level in range(depth + 1):
@@ -222,6 +225,54 @@ def comparable(placed: DataFrame, hot: DataFrame, depth: int, block: int, block_
         hot = hot_keys(now.groupBy("bucket").agg(F.count("*").alias("c")), ["bucket"], "c")
 
 
+def rare_postings(docs: DataFrame, classes: DataFrame, k: int, percent: int, broadcast_limit: int, cells: int = 1 << 20) -> DataFrame:
+    """bucket, rep, n, root: each class of ``classes`` (rep, n, root) under the rarest shingles of its set, enough of them to share one with every set that is as alike.
+
+    Shingles are ordered by how often those of their cell occur (``cells`` counts, the same for all tasks), then by
+    their hash, so the order is one for all sets. A shingle alone in its cell belongs to one class and is left out.
+    """
+    texts = _texts_for(docs, classes.select(F.col("rep").alias("id"), "n", "root"), broadcast_limit)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(cells, np.int64)
+        for batch in slices(batches):
+            for own in shingle_sets(batch.column(0).to_pylist(), k):
+                np.add.at(held, (own % np.uint64(cells)).astype(np.int64), 1)
+        used = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used])], ["cell", "c"])
+
+    counts = np.zeros(cells, np.int64)
+    found = texts.select("text").mapInArrow(tally, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    counts[found.column("cell").to_numpy()] = found.column("c").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("rep", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("root", classes.schema["root"].dataType)])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets, rare = list(shingle_sets(batch.column("text").to_pylist(), k)), []
+            for own in sets:
+                often = shared.value[(own % np.uint64(cells)).astype(np.int64)]
+                first = np.lexsort((own, often))[: len(own) - -(-percent * len(own) // 100) + 1]
+                rare.append(own[first[often[first] > 1]])
+            at = np.repeat(np.arange(len(rare)), [len(x) for x in rare])
+            buckets = np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64)
+            sizes = np.array([len(x) for x in sets], np.int64)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column("id").take(pa.array(at)), pa.array(sizes), batch.column("root").take(pa.array(at))], schema.names)
+
+    return texts.select("id", "root", "text").mapInArrow(rarest, schema).distinct()
+
+
+def confirm_rest(docs: DataFrame, classes: DataFrame, k: int, percent: int, block: int, block_shingles: int, broadcast_limit: int) -> DataFrame:
+    """All confirmed links (a, b) that are missing between classes (rep, n, root) of different components, by ``rare_postings``."""
+    every = materialize(rare_postings(docs, classes, k, percent, broadcast_limit), "rare")
+    open_ = every.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low < high")
+    open_ = materialize(open_.select("bucket", "c"), "open-buckets")
+    hot = hot_keys(open_, ["bucket"], "c")
+    placed = materialize(salted_join(every, open_.select("bucket"), ["bucket"], hot, F.col("rep")), "open")
+    discard(every)
+    return confirm_blocks(docs, comparable(placed, hot, 0, block, block_shingles), k, percent, broadcast_limit)
+
+
 def confirm_blocks(docs: DataFrame, sized: DataFrame, k: int, percent: int, broadcast_limit: int) -> DataFrame:
     """Links (a, b) between classes of one bucket that lie in different components; ``sized`` is made by ``comparable``."""
     outside, dealt = F.col("root") != F.col("main"), F.xxhash64("rep")
@@ -303,9 +354,17 @@ def near_groups(
     discard(postings)
     sized = comparable(placed, hot, depth, block, block_shingles)
     more = materialize(confirm_blocks(own, sized, k, percent, broadcast_limit), "links")
-    discard(placed)
+    joined = lambda links, roots: components(links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     if not more.isEmpty():
-        roots = components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        roots = joined(more, roots)
+    wide = open_buckets(placed, block, block_shingles).where("sb > 1").select("bucket")
+    if depth and not wide.isEmpty():
+        inside = salted_join(placed, wide, ["bucket"], hot, F.col("rep")).groupBy("rep").agg(F.max("n").alias("n"))
+        inside = inside.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        rest = materialize(confirm_rest(own, materialize(inside, "wide"), k, percent, block, block_shingles, broadcast_limit), "links")
+        if not rest.isEmpty():
+            roots = joined(rest, roots)
+    discard(placed)
     labelled = labels.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*equal, F.coalesce("root", "rep").alias("root"))
     found = salted_join(inked.drop("bands"), labelled, equal, hot_sets, F.col("id"))
     alone = signed.where("not (n_shingles > 0 and id is not null)").select("id", "n_shingles", F.col("id").alias("root"))

@@ -129,3 +129,16 @@ def test_wide_buckets_are_taken_apart_by_further_bands(spark):
     assert together(depth=0, block=2) == [list(range(4)), list(range(6)), list(range(9))]  # nothing is taken apart
     assert together(depth=1, block=4) == [list(range(4)), list(range(6))]  # bucket 3 is narrow; pair (1, 2) has six
     assert together(depth=2, block=2) == [list(range(4))]  # all pairs are wide; four classes share all three bands
+
+
+def test_pairs_that_share_one_wide_bucket_alone_are_found(spark):
+    rnd = random.Random(5)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"w{rnd.randrange(10**7)}" for _ in range(60)])) for i in range(300)]
+    rows += [(300 + i, " ".join(rows[i][1].split()[:-8] + [f"p{rnd.randrange(10**7)}" for _ in range(8)])) for i in range(0, 300, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one_band = dict(n_perm=1, rows=2, block=5)  # one bucket holds many unlike documents, and no second one takes it apart
+    whole = {r.doc_id: r.component_id for r in near_groups(df, depth=0, **one_band).collect()}
+    assert len(set(whole.values())) < 340  # many of the 60 copies meet their source
+    for options in ({}, {"broadcast_limit": 0}):
+        assert {r.doc_id: r.component_id for r in near_groups(df, **one_band, **options).collect()} == whole
