@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
-from telemill.operators.numbering import asof, numbered, rolling_mean, rolling_range, running
+from telemill.operators.numbering import asof, numbered, reach_sums, rolling_mean, running
 from telemill.operators.selection import moving_percentile
 from telemill.session import materialize
 
@@ -155,7 +155,7 @@ def avg_exec_recent(executions: DataFrame, last: int) -> DataFrame:
 
 def arrival_rate(executions: DataFrame, reach_ms: int) -> DataFrame:
     """Dispatches in [t - reach, t] per second of the reach."""
-    return rolling_range(executions, "dispatched_ms", reach_ms, {"_n": F.count("*")}).withColumn("arrival_rate", F.round(F.col("_n") * 1000.0 / reach_ms, 9)).drop("_n")
+    return reach_sums(executions, "dispatched_ms", reach_ms, {"_n": F.lit(1).cast("long")}).withColumn("arrival_rate", F.round(F.col("_n") * 1000.0 / reach_ms, 9)).drop("_n")
 
 
 def running_means(executions: DataFrame, step: int = DAY) -> DataFrame:

@@ -107,7 +107,10 @@ def rolling_mean(df: DataFrame, order: str, n: int, values: dict[str, str], by:
 
 
 def rolling_range(df: DataFrame, order: str, reach: int, values: dict[str, Column], by: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
-    """Aggregates over rows of ``by`` whose ``order`` lies in [own - reach, own], both ends included; rows without an order value see each other."""
+    """Aggregates over rows of ``by`` whose ``order`` lies in [own - reach, own], both ends included; rows without an order value see each other.
+
+    The work for a row grows with the rows in reach; counts and means of dense series are for ``reach_sums``.
+    """
     step = block or 16 * max(1, reach)
     own, later = F.floor(F.col(order) / step), F.floor((F.col(order) + reach) / step)
     blocks = F.when(F.col(order).isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(own, later))
@@ -116,6 +119,50 @@ def rolling_range(df: DataFrame, order: str, reach: int, values: dict[str, Colum
     return spread.withColumns({k: v.over(frame) for k, v in values.items()}).where("_own").drop("_block", "_own")
 
 
+def reach_sums(df: DataFrame, order: str, reach: int, values: dict[str, Column], by: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
+    """Sums of ``values`` (never null, finite) over the rows that ``rolling_range`` takes, with the same work however many lie in reach.
+
+    Each row is added at its ``order`` and taken off again just after ``order + reach``, so a sum over the reach is a
+    running sum of both, which never grows past what lies in reach. Ranges of equal depth carry their totals on.
+    """
+    enter = df.withColumns({f"_p{i}": v for i, v in enumerate(values.values())}).withColumn("_t", F.col(order).cast("long")).withColumn("_side", F.lit(0))
+    parts = [f"_p{i}" for i in range(len(values))]
+    leave = enter.select(*by, (F.col("_t") + reach).alias("_t"), F.lit(1).alias("_side"), *[(-F.col(p)).alias(p) for p in parts])
+    dealt = ranges(enter.unionByName(leave, allowMissingColumns=True), ("_t", "_side"), by, rows)
+    totals = dealt.groupBy("_k", "_b").agg(*[F.sum(p).alias(f"_s{p}") for p in parts])
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_k", "_b", *[F.coalesce(F.sum(f"_s{p}").over(before), F.lit(0)).alias(f"_c{p}") for p in parts])
+    upto = Window.partitionBy("_k", "_b").orderBy("_t", "_side").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dealt.withColumns({f"_u{p}": F.sum(p).over(upto) for p in parts}).where("_side = 0").join(if_small(carry), ["_k", "_b"])
+    return sums.select(*df.columns, *[(F.col(f"_u{p}") + F.col(f"_c{p}")).alias(name) for p, name in zip(parts, values, strict=True)])
+
+
+def reach_means(df: DataFrame, order: str, reach: int, values: dict[str, str], by: tuple[str, ...] = (), count: str = "points", plain: int = 1000) -> DataFrame:
+    """Means of columns (name to column) and the count of rows over the rows that ``rolling_range`` takes.
+
+    Where no stretch of ``reach`` has over ``plain`` rows of a key, frames are summed up row by row; denser series go by
+    ``reach_sums`` (exact to about twelve digits). Nulls don't count; a reach with an infinite or undefined value has the mean that they give.
+    """
+    cells = df.groupBy(*by, F.floor(F.col(order) / max(1, reach)).alias("_cell")).agg(F.count("*").alias("_n"))
+    if (cells.agg(F.max("_n")).collect()[0][0] or 0) <= plain:
+        return rolling_range(df, order, reach, {**{name: F.avg(column) for name, column in values.items()}, count: F.count("*")}, by)
+    parts = {count: F.lit(1).cast("long")}
+    for name, column in values.items():
+        x = F.col(column).cast("double")
+        odd = {"nan": F.isnan(x), "up": x == float("inf"), "down": x == float("-inf")}
+        finite = F.when(~(odd["nan"] | odd["up"] | odd["down"]), x)
+        parts |= {f"_{name}_sum": F.coalesce(finite, F.lit(0.0)), f"_{name}_n": x.isNotNull().cast("long")}
+        parts |= {f"_{name}_{k}": F.coalesce(c, F.lit(False)).cast("long") for k, c in odd.items()}
+    sums = reach_sums(df, order, reach, parts, by)
+    at = lambda name, k: F.col(f"_{name}_{k}")
+    means = {
+        name: F.when((at(name, "nan") > 0) | ((at(name, "up") > 0) & (at(name, "down") > 0)), float("nan"))
+        .when(at(name, "up") > 0, float("inf")).when(at(name, "down") > 0, float("-inf")).when(at(name, "n") > 0, at(name, "sum") / at(name, "n"))
+        for name in values
+    }
+    return sums.withColumns(means).select(*df.columns, *values, count)
+
+
 def running(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], values: dict[str, tuple[str, Column]], step: float | Column | None = None, exclusive: bool = False, rows: int = RANGE_ROWS) -> DataFrame:
     """Values over all rows of ``by`` up to each row (or before it, if ``exclusive``) in ``order``.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions.catalogue import LEGAL_CHANGES
 from telemill.operators import history as op
+from telemill.operators.numbering import reach_means
 from telemill.plans.registry import plan
 from telemill.session import if_small
 
@@ -224,5 +225,4 @@ def _(replication):
 @plan("sparkline_5m", """
 select sample_id, round(avg(cpu_pct) over (partition by worker_id order by ts_ms range between 3600000 preceding and current row), 6) as cpu, count(*) over (partition by worker_id order by ts_ms range between 3600000 preceding and current row) as points from {samples}""")
 def _(samples):
-    values = {"cpu": F.avg("cpu_pct"), "points": F.count("*")}
-    return op.rolling_range(samples, "ts_ms", HOUR, values, by=("worker_id",)).select("sample_id", F.round("cpu", 6).alias("cpu"), "points")
+    return reach_means(samples, "ts_ms", HOUR, {"cpu": "cpu_pct"}, by=("worker_id",)).select("sample_id", F.round("cpu", 6).alias("cpu"), "points")

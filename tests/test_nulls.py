@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from telemill.operators import aggregates, evaluation, graphs, history
-from telemill.operators.numbering import asof, numbered, rolling, rolling_mean, rolling_range, running
+from telemill.operators.numbering import asof, numbered, reach_means, reach_sums, rolling, rolling_mean, rolling_range, running
 
 
 @pytest.fixture(scope="module")
@@ -174,3 +174,20 @@ def test_streams_of_ticks_and_silences_against_plain_python(spark):
         own = sorted({t for v, t in beats if v == w and t is not None})
         want |= {(w, a) for a, b in zip(own, own[1:], strict=False) if b - a >= 60} | ({(w, own[-1])} if own[-1] + 60 < mark else set())
     assert len(got) == len(want) and {tuple(r) for r in got} == want and ("gone", 40) in want
+
+
+def test_sums_within_reach_keep_every_row(series):
+    odd = F.when(F.col("row") % 50 == 7, float("inf")).when(F.col("row") % 60 == 9, float("nan")).when(F.col("row") % 70 == 3, float("-inf")).otherwise(F.col("x").cast("double"))
+    mixed, span = series.withColumn("y", odd), Window.partitionBy("k").orderBy("t").rangeBetween(-20, 0)
+    want = mixed.select("row", F.avg("x").over(span).alias("m"), F.avg("y").over(span).alias("o"), F.count("*").over(span).alias("points"))
+    for plain in (0, 1000):
+        same(reach_means(mixed, "t", 20, {"m": "x", "o": "y"}, ("k",), plain=plain), want, ["row", "m", "o", "points"])
+    for by in ((), ("k",)):
+        span = Window.partitionBy(*by).orderBy("t").rangeBetween(-20, 0)
+        same(reach_sums(series, "t", 20, {"n": F.lit(1).cast("long")}, by, rows=9), series.withColumn("n", F.count("*").over(span)), ["row", "n"])
+
+
+def test_rows_within_reach_are_not_walked_for_each_row(spark):
+    dense = spark.range(200_000).select("id", (F.col("id") % 1000).alias("t"))  # every row has 200,000 in reach
+    got = reach_sums(dense, "t", 1000, {"n": F.lit(1).cast("long")})
+    assert got.agg(F.min(F.col("n") == 200 * (F.col("t") + 1))).collect()[0][0]
