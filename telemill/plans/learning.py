@@ -14,6 +14,9 @@ from telemill.streaming import sequential, streams
 
 HOUR = 3_600_000
 
+#: Rows of a trigger of streams whose tasks hold what a trigger brings of a key.
+TRIGGER_ROWS = 2_000_000
+
 
 @plan("marker_dedupe", """
 with recursive e as (select type, seq, physical_ms as t, row_number() over (partition by type order by physical_ms, seq) as rn from {log_events}),
@@ -60,7 +63,7 @@ b as (select *, coalesce(max(case when not high then pos end) over (partition by
 select exec_id, task_type, round(mae, 6) as rolling_type_mae_ms, high and pos - broke = 5 as drift_starts from b""")
 def _(outcomes):
     rows = outcomes.select("exec_id", "task_type", "ts_ms", "abs_error_ms", F.lit(80.0).alias("baseline"))
-    out = streams.run_to_files(streams.running_stats(streams.replay_source(rows, "ts_ms", 3, "stats-in", ties=("exec_id",), bounded=True), 20, 1.3, 5), "stats-out")
+    out = streams.run_to_files(streams.running_stats(streams.replay_source(rows, "ts_ms", 3, "stats-in", ties=("exec_id",), bounded=True, trigger_rows=TRIGGER_ROWS), 20, 1.3, 5), "stats-out")
     return out.withColumn("rolling_type_mae_ms", F.round("rolling_type_mae_ms", 6))
 
 
@@ -83,7 +86,7 @@ def _(log_events):
 with m as (select max(ts_ms) - 600000 as mark from {samples}), g as (select worker_id, ts_ms, lead(ts_ms) over (partition by worker_id order by ts_ms) as next_ms from (select distinct worker_id, ts_ms from {samples}))
 select worker_id, ts_ms as silent_from_ms from g, m where next_ms - ts_ms >= 7200000 or (next_ms is null and ts_ms + 7200000 < mark)""")
 def _(samples):
-    source = streams.replay_source(samples.select("worker_id", "ts_ms"), "ts_ms", 3, "silence-in", bounded=True)
+    source = streams.replay_source(samples.select("worker_id", "ts_ms"), "ts_ms", 3, "silence-in", bounded=True, trigger_rows=TRIGGER_ROWS)
     return streams.run_to_files(streams.dead_workers(source, "worker_id", "ts_ms", HOUR, 2, 600_000), "silence-out")
 
 

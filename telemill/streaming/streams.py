@@ -18,11 +18,12 @@ from telemill.session import scratch_path, shared_dir
 from telemill.streaming.keyed import KeyedTable
 
 
-def replay_source(rows: DataFrame, order: str, parts: int, label: str, ties: tuple[str, ...] = (), file_rows: int = 100_000, bounded: bool = False) -> DataFrame:
+def replay_source(rows: DataFrame, order: str, parts: int, label: str, ties: tuple[str, ...] = (), file_rows: int = 100_000, bounded: bool = False, trigger_rows: int | None = None) -> DataFrame:
     """A stream over ``rows`` in time order: files of at most ``file_rows`` rows each, cut at approximate quantiles.
 
-    There are ``parts`` triggers or so, each with several files of a large input; ``bounded`` gives one file a trigger,
-    so that no trigger has more than ``file_rows`` rows. Streams take files by their time, which is set by their order.
+    There are ``parts`` triggers or so, each with several files of a large input; ``bounded`` adds triggers so that none
+    has more than ``trigger_rows`` rows (by default, one file). A trigger costs a round of tasks over all partitions of the state,
+    whatever it brings, so small ones cost more than their rows. Streams take files by their time, which is set by their order.
     """
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, label)
     files = max(parts, -(-rows.count() // file_rows))
@@ -33,7 +34,9 @@ def replay_source(rows: DataFrame, order: str, parts: int, label: str, ties: tup
     first = min((f.getModificationTime() for f in found), default=0) - 1000 * len(found)
     for i, f in enumerate(found):
         fs.setTimes(f.getPath(), first + 1000 * i, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1 if bounded else max(1, -(-len(found) // parts))).option("maxFileAge", "36500d").parquet(path)
+    share = max(1, -(-len(found) // parts))
+    taken = min(share, max(1, (trigger_rows or file_rows) // file_rows)) if bounded else share
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", taken).option("maxFileAge", "36500d").parquet(path)
 
 
 def _place(spark: SparkSession, label: str, name: str | None) -> str:

@@ -346,3 +346,13 @@ def test_replay_bounds_rows_of_a_trigger(spark):
     source.writeStream.foreachBatch(seen).trigger(availableNow=True).start().awaitTermination()
     assert sum(sizes) == 1000 and max(sizes) <= 60
     assert all(a[1] < b[0] for a, b in zip(firsts, firsts[1:], strict=False))
+
+
+def test_bounded_triggers_take_several_files(spark):
+    from telemill.streaming import streams
+
+    df = spark.range(1000).select("id", (1000 - F.col("id")).alias("ts_ms")).repartition(4)
+    sizes = []
+    source = streams.replay_source(df, "ts_ms", 2, "bounded", ties=("id",), file_rows=20, bounded=True, trigger_rows=200)
+    source.writeStream.foreachBatch(lambda batch, epoch: sizes.append(batch.count())).trigger(availableNow=True).start().awaitTermination()
+    assert sum(sizes) == 1000 and max(sizes) <= 200 and len(sizes) <= 12
