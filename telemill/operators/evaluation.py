@@ -69,22 +69,46 @@ def group_mean(train: DataFrame, test: DataFrame, key: str, value: str, out: str
     return test.join(means, key, "left").crossJoin(F.broadcast(whole)).withColumn(out, F.coalesce("_m", "_g")).drop("_m", "_g")
 
 
+def _cuts_before(rows: DataFrame, order: str, tie: str, cuts: list[int], n: int) -> Column | None:
+    """How many of the places ``cuts`` (from 0, by ``order``, then ``tie``, nulls first) lie at or before a row of ``n``; null where rows that agree in both lie on both sides of one.
+
+    Only both columns are dealt and numbered, and the driver gets two rows for each cut, so wide rows stay where they are.
+    """
+    inner = [c for c in cuts if 0 < c < n]
+    found = {}
+    if inner:
+        at = numbered(rows.select(order, tie), order, "_at", tie=(tie,))
+        found = {r["_at"]: (r[order], r[tie]) for r in at.where(F.col("_at").isin([*inner, *[c - 1 for c in inner]])).collect()}
+    if any(found[c] == found[c - 1] for c in inner):
+        return None
+    types = [rows.schema[c].dataType for c in (order, tie)]
+    from_cut = lambda c: F.struct(order, tie) >= F.struct(*[F.lit(v).cast(t).alias(x) for v, t, x in zip(found[c], types, (order, tie), strict=True)])
+    return sum((from_cut(c).cast("int") if c in inner else F.lit(int(c <= 0)) for c in cuts), F.lit(0))
+
+
 def time_split(rows: DataFrame, order: str, tie: str, type_out: Column, pattern_out: Column, share: float = 0.8) -> DataFrame:
-    """split: holdout_type, holdout_pattern (type wins), and by time train up to round(n x share) (half to even) and test."""
+    """split: holdout_type, holdout_pattern (type wins), and by time train up to round(n x share) (half to even) and test. Reads ``rows`` more than once."""
     held = rows.withColumn("split", F.when(type_out, "holdout_type").when(pattern_out, "holdout_pattern"))
     rest = held.where("split is null")
-    cut = rest.agg(F.bround(F.count("*") * share).cast("long").alias("_cut"))
-    at = numbered(rest, order, "_at", tie=(tie,)).crossJoin(F.broadcast(cut))
-    return held.where("split is not null").unionByName(at.withColumn("split", F.when(F.col("_at") < F.col("_cut"), "train").otherwise("test")).drop("_at", "_cut"))
+    n, cut = rest.agg(F.count("*"), F.bround(F.count("*") * share).cast("long")).collect()[0]
+    later = _cuts_before(rest, order, tie, [cut], n)
+    if later is not None:
+        return held.withColumn("split", F.coalesce("split", F.when(later == 0, "train").otherwise("test")))
+    at = numbered(rest, order, "_at", tie=(tie,))
+    return held.where("split is not null").unionByName(at.withColumn("split", F.when(F.col("_at") < cut, "train").otherwise("test")).drop("_at"))
 
 
 def ts_cv_folds(rows: DataFrame, order: str, tie: str, k: int) -> DataFrame:
-    """The fold (1 to k) in which a row is validated, 0 for rows that only train; the last k blocks of n // (k + 1) rows."""
-    size = rows.agg(F.count("*").alias("_n"))
-    at = numbered(rows, order, "_at", tie=(tie,)).crossJoin(F.broadcast(size))
-    block = F.floor(F.col("_n") / (k + 1))
-    fold = F.floor((F.col("_at") - (F.col("_n") - k * block)) / block) + 1
-    return at.withColumn("fold", F.when(F.col("_at") < F.col("_n") - k * block, 0).otherwise(fold).cast("int")).drop("_at", "_n")
+    """The fold (1 to k) in which a row is validated, 0 for rows that only train; the last k blocks of n // (k + 1) rows. Reads ``rows`` more than once."""
+    n = rows.count()
+    block = n // (k + 1)
+    first = n - k * block
+    fold = _cuts_before(rows, order, tie, [first + i * block for i in range(k)], n) if block else F.lit(0)
+    if fold is not None:
+        return rows.withColumn("fold", fold.cast("int"))
+    at = numbered(rows, order, "_at", tie=(tie,))
+    fold = F.floor((F.col("_at") - first) / block) + 1
+    return at.withColumn("fold", F.when(F.col("_at") < first, 0).otherwise(fold).cast("int")).drop("_at")
 
 
 def select_model(scores: DataFrame, margin: float, lower_better: bool = True) -> DataFrame:

@@ -35,6 +35,13 @@ def inputs(rows: DataFrame) -> list[str]:
     return sorted(c for c in rows.columns if c.startswith("f_"))
 
 
+def varying(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """``rows`` without the inputs that have one value in all of ``train``: linear models give them no weight, trees no split."""
+    names = inputs(rows)
+    ends = train.agg(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")) for c in names]).collect()[0]
+    return rows.drop(*[c for c, e in zip(names, ends, strict=True) if e["low"] == e["high"]])
+
+
 def _pipeline(rows: DataFrame, estimator) -> Pipeline:
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     return Pipeline(stages=[VectorAssembler(inputCols=inputs(rows), outputCol="raw", handleInvalid="keep"), scaler, estimator])

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.operators import evaluation, listings, models
+from telemill.operators import evaluation, linear, listings, models
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,40 @@ def test_listings_take_arguments(spark):
     running = spark.createDataFrame([(1, "A", 1, 100, 10.0), (2, "A", 1, 100, None), (3, "B", 1, 100, 10.0), (4, "B", 1, 100, None), (5, "A", 2, 100, 1.0), (6, "A", 1, 60, 10.0)], "id int, task_type string, attempt int, elapsed_ms long, pred_ms double")
     finished = spark.createDataFrame([("A", i) for i in range(1, 101)] + [("B", 1)], "task_type string, exec_ms long")
     assert sorted((r.id, r.limit_ms) for r in listings.stragglers(running, finished, 2.0).collect()) == [(1, 90.0), (2, 90.0), (3, 20.0)]
+
+
+def test_one_pass_ridge_equals_a_fit_for_each_fold_and_setting(rows):
+    folds = evaluation.ts_cv_folds(rows.withColumn("f_none", F.lit(3.0)), "at", "id", 3).cache()
+    names, grid = models.inputs(folds), [{"alpha": 0.1}, {"alpha": 50.0}]
+    tried, whole = linear.ridges(folds, names, "exec_ms", 3, grid)
+    for settings, by_fold, last in zip(grid, tried, whole, strict=True):
+        for fold, model in [*by_fold.items(), (4, last)]:
+            train = folds.where(F.col("fold") < fold)
+            scored = models.fit_linear(train, "exec_ms", **settings).transform(train).withColumn("own", model.score())
+            assert scored.agg(F.max(F.abs(F.col("own") - F.col("prediction")))).collect()[0][0] < 1e-5
+            assert "f_none" not in model.weights
+    model, best = linear.best_ridge(folds, names, "exec_ms", 3, grid)
+    assert best == models.fit_best(rows, "at", "id", "exec_ms", models.fit_linear, grid)[1] and model == whole[grid.index(best)]
+    alike = linear.ridge_out_of_fold(folds, "exec_ms", tried[0])
+    plain = models.ts_cross_validate(rows, "at", "id", "exec_ms", 3, models.fit_linear)
+    metrics = lambda df: {r.fold: (r.n, round(r.mae, 3)) for r in evaluation.regression_metrics(df, "fold").collect()}
+    assert metrics(alike) == metrics(plain)
+
+
+def test_one_pass_ridge_takes_few_jobs(spark, rows):
+    folds = evaluation.ts_cv_folds(rows, "at", "id", 3)
+    names = models.inputs(folds)
+    spark.sparkContext.setJobGroup("ridge", "ridge")
+    linear.best_ridge(folds, names, "exec_ms", 3, models.LINEAR_GRID)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("ridge")) <= 8  # ten fits by themselves take over thirty
+
+
+def test_folds_and_splits_leave_wide_rows_where_they_are(spark):
+    rows = spark.range(0, 1000, 1, 5).select(F.when(F.col("id") % 50 > 0, F.col("id") * 7 % 333).alias("t"), "id", F.lit("x").alias("k"))
+    want = {r.id: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r.t is not None, r.t or 0, r.id)))}
+    folds, split = evaluation.ts_cv_folds(rows, "t", "id", 3), evaluation.time_split(rows, "t", "id", F.lit(False), F.lit(False), 0.01)
+    assert all(r.fold == want[r.id] // 250 for r in folds.collect()) and all((r.split == "train") == (want[r.id] < 10) for r in split.collect())
+    assert not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in (folds, split))
+    same = rows.withColumn("t", F.lit(1)).withColumn("id", F.lit(2))  # a boundary inside rows that agree still gives whole blocks
+    assert {r.fold: r.n for r in evaluation.ts_cv_folds(same, "t", "id", 3).groupBy("fold").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(4), 250)
