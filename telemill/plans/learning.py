@@ -185,8 +185,9 @@ def _(executions, workers):
 
 @plan("ts_cross_validate")
 def _(executions, workers):
-    rows = _rows(executions, workers)
-    return ev.regression_metrics(ml.ts_cross_validate(rows, "dispatched_ms", "exec_id", "exec_ms", 3, ml.fit_linear), "fold")
+    folds = ev.ts_cv_folds(_rows(executions, workers), "dispatched_ms", "exec_id", 3)
+    tried, _ = linear.ridges(folds, ml.inputs(folds), "exec_ms", 3, ml.LINEAR_GRID[:1])
+    return ev.regression_metrics(linear.ridge_out_of_fold(folds, "exec_ms", tried[0]), "fold")
 
 
 @plan("importances")
