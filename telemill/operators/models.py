@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from typing import NamedTuple
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -25,6 +26,9 @@ BOOSTED_GRID = [{"depth": depth, "step": step} for depth in (3, 6) for step in (
 #: Settings that are tried at a time; their jobs share the cluster.
 TRIED_AT_ONCE = 4
 
+#: Ranges of an input that trees tell apart, as many as MLlib's own.
+BINS = 32
+
 
 def with_features(rows: DataFrame) -> DataFrame:
     """The rows with the model inputs as columns f_*."""
@@ -71,28 +75,69 @@ def fit_forest(train: DataFrame, target: str, classify: bool = False, trees: int
     return _pipeline(rows, kind(labelCol=target if classify else "_y", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=7)).fit(rows)
 
 
-def fit_boosted(train: DataFrame, target: str, classify: bool = False, rounds: int = 20, depth: int = 4, step: float = 0.1):
+class Cells(NamedTuple):
+    """Training rows counted by the ranges that their inputs lie in: what finds the ranges, and a frame with b_* (ranges), _y (label) and _w (rows)."""
+
+    binner: Bucketizer
+    frame: DataFrame
+
+
+def _binner(train: DataFrame) -> Bucketizer:
+    """The ranges of each input over all rows of ``train``: one for each value up to ``BINS`` of them, else of about equal depth."""
+    names = inputs(train)
+    about = train.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).collect()[0]
+    few = [c for c in names if about[c] <= 2 * BINS]
+    found = train.agg(*[F.collect_set(c).alias(c) for c in few]).collect()[0] if few else {}
+    values = {c: sorted(found[c]) for c in few if 0 < len(found[c]) <= BINS}
+    inner = {c: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] or v for c, v in values.items()}
+    many = [c for c in names if c not in inner]
+    if many:
+        inner |= dict(zip(many, train.approxQuantile(many, [i / BINS for i in range(1, BINS)], 0.001), strict=True))
+    ends = [[-float("inf"), *sorted(set(inner[c]) or {0.0}), float("inf")] for c in names]
+    return Bucketizer(inputCols=names, outputCols=[f"b_{c}" for c in names], splitsArray=ends, handleInvalid="keep")
+
+
+def tree_cells(train: DataFrame, target: str, classify: bool = False) -> Cells:
+    """The rows of ``train`` as cells, written once; as many as there are combinations of ranges, however many the rows.
+
+    Trees see no more of a row than its ranges, and a split's gain in variance depends on sums of labels alone, so a
+    cell's mean label (regression of log1p) with its count stands for its rows; labels of classes are part of the key.
+    """
+    binner = _binner(train)
+    bins = binner.getOutputCols()
+    rows = binner.transform(train.select(*inputs(train), (F.col(target) if classify else log_target(F.col(target))).alias("_y")))
+    grouped = rows.groupBy(*bins, "_y") if classify else rows.groupBy(*bins)
+    count = F.count("*").cast("double").alias("_w")
+    cells = grouped.agg(count) if classify else grouped.agg(F.avg("_y").alias("_y"), count)
+    parts = train.sparkSession.sparkContext.defaultParallelism
+    return Cells(binner, materialize(cells, "cells").repartition(parts))
+
+
+def fit_boosted(train: DataFrame | Cells, target: str, classify: bool = False, rounds: int = 20, depth: int = 4, step: float = 0.1):
+    """Boosted trees over the cells of ``train``, which all settings of a grid can share (``tree_cells``)."""
     kind = GBTClassifier if classify else GBTRegressor
-    rows = train if classify else train.withColumn("_y", log_target(F.col(target)))
-    return _pipeline(rows, kind(labelCol=target if classify else "_y", maxIter=rounds, maxDepth=depth, stepSize=step, seed=7)).fit(rows)
+    cells = train if isinstance(train, Cells) else tree_cells(train, target, classify)
+    joined = VectorAssembler(inputCols=cells.binner.getOutputCols(), outputCol="features", handleInvalid="keep")
+    model = kind(labelCol="_y", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=step, seed=7).fit(joined.transform(cells.frame))
+    return PipelineModel(stages=[cells.binner, joined, model])
 
 
 def predict_ms(model, rows: DataFrame, out: str = "predicted") -> DataFrame:
     """Predicted milliseconds of a regression of log1p."""
     made = model.transform(rows)
-    return made.withColumn(out, from_log_target(F.col("prediction"))).drop("raw", "features", "prediction", "rawPrediction", "probability", "_y", "_w")
+    return made.withColumn(out, from_log_target(F.col("prediction"))).drop("raw", "features", "prediction", "rawPrediction", "probability", "_y", "_w", *[f"b_{c}" for c in inputs(rows)])
 
 
 def predict_probability(model, rows: DataFrame, out: str = "score") -> DataFrame:
     made = model.transform(rows)
-    return made.withColumn(out, F.element_at(vector_to_array("probability"), 2)).drop("raw", "features", "prediction", "rawPrediction", "probability", "_w")
+    return made.withColumn(out, F.element_at(vector_to_array("probability"), 2)).drop("raw", "features", "prediction", "rawPrediction", "probability", "_w", *[f"b_{c}" for c in inputs(rows)])
 
 
-def _out_of_fold(folds: DataFrame, target: str, k: int, fit, predict) -> DataFrame:
-    """Predictions of each fold from the rows before it: fold, actual and what ``predict`` adds."""
+def _out_of_fold(folds: DataFrame, target: str, k: int, fit, predict, ready: dict | None = None) -> DataFrame:
+    """Predictions of each fold from the rows before it (or what is ``ready`` of them): fold, actual and what ``predict`` adds."""
     out = None
     for fold in range(1, k + 1):
-        model = fit(folds.where(F.col("fold") < fold), target)
+        model = fit(ready[fold] if ready else folds.where(F.col("fold") < fold), target)
         part = predict(model, folds.where(F.col("fold") == fold)).select("fold", F.col(target).cast("double").alias("actual"), "predicted")
         out = part if out is None else out.unionByName(part)
     return out
@@ -103,12 +148,13 @@ def ts_cross_validate(rows: DataFrame, order: str, tie: str, target: str, k: int
     return _out_of_fold(materialize(ts_cv_folds(rows, order, tie, k), "folds"), target, k, fit, predict)
 
 
-def _tried(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int, predict, judge) -> list:
-    """What ``judge`` makes of the out-of-fold predictions with each of the settings, some of them at a time."""
+def _tried(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int, predict, judge, prepare=None) -> list:
+    """What ``judge`` makes of the out-of-fold predictions with each of the settings, some of them at a time; ``prepare`` makes of training rows what all settings share."""
     folds = materialize(ts_cv_folds(rows, order, tie, k), "folds")
+    ready = {fold: prepare(folds.where(F.col("fold") < fold), target) for fold in range(1, k + 1)} if prepare else None
 
     def one(settings: dict):
-        return judge(_out_of_fold(folds, target, k, lambda train, y: fit(train, y, **settings), predict))
+        return judge(_out_of_fold(folds, target, k, lambda train, y: fit(train, y, **settings), predict, ready))
 
     with ThreadPoolExecutor(TRIED_AT_ONCE) as pool:
         found = list(pool.map(one, grid))
@@ -116,14 +162,14 @@ def _tried(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[d
     return found
 
 
-def fit_best(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int = 3):
+def fit_best(rows: DataFrame, order: str, tie: str, target: str, fit, grid: list[dict], k: int = 3, prepare=None):
     """The fit on all rows with the settings of ``grid`` that have the smallest mean absolute error out of fold (the first of equals), and those settings.
 
     Folds expand in time, so each is predicted from rows before it; the driver holds one error per setting.
     """
-    errors = _tried(rows, order, tie, target, fit, grid, k, predict_ms, lambda scored: regression_metrics(scored).collect()[0]["mae"])
+    errors = _tried(rows, order, tie, target, fit, grid, k, predict_ms, lambda scored: regression_metrics(scored).collect()[0]["mae"], prepare)
     best = grid[min(range(len(grid)), key=lambda i: errors[i])]
-    return fit(rows, target, **best), best
+    return fit(prepare(rows, target) if prepare else rows, target, **best), best
 
 
 def fit_best_classifier(rows: DataFrame, order: str, tie: str, label: str, fit, grid: list[dict], k: int = 3):

@@ -152,9 +152,9 @@ def _regression(executions, workers, fit):
     return ev.regression_metrics(scored.withColumn("actual", F.col("exec_ms").cast("double")))
 
 
-def _best(fit, grid):
+def _best(fit, grid, prepare=None):
     """The fit with the settings that predict best over three time folds of the training rows."""
-    return lambda train, target: ml.fit_best(train, "dispatched_ms", "exec_id", target, fit, grid)[0]
+    return lambda train, target: ml.fit_best(train, "dispatched_ms", "exec_id", target, fit, grid, prepare=prepare)[0]
 
 
 @plan("fit_linear")
@@ -173,7 +173,7 @@ def _(executions, workers):
 
 @plan("fit_boosted")
 def _(executions, workers):
-    return _regression(executions, workers, _best(ml.fit_boosted, ml.BOOSTED_GRID))
+    return _regression(executions, workers, _best(ml.fit_boosted, ml.BOOSTED_GRID, ml.tree_cells))
 
 
 @plan("fit_logistic")

@@ -133,3 +133,21 @@ def test_folds_and_splits_leave_wide_rows_where_they_are(spark):
     assert not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in (folds, split))
     same = rows.withColumn("t", F.lit(1)).withColumn("id", F.lit(2))  # a boundary inside rows that agree still gives whole blocks
     assert {r.fold: r.n for r in evaluation.ts_cv_folds(same, "t", "id", 3).groupBy("fold").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(4), 250)
+
+
+def test_boosted_trees_over_cells_equal_those_over_rows(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    made = spark.range(0, 3000, 1, 3).select(((F.col("id") * 7) % 6).cast("double").alias("f_a"), ((F.col("id") * 11) % 40 * 1.5).alias("f_b"), (F.col("id") * 7 % 6 * 50 + F.col("id") * 13 % 101 + 1).alias("exec_ms"))
+    cells = models.tree_cells(made, "exec_ms")
+    got = cells.frame.agg(F.count("*").alias("n"), F.sum("_w").alias("w")).collect()[0]
+    assert got.w == 3000 and got.n <= 6 * models.BINS
+    assert models.tree_cells(made.union(made).union(made), "exec_ms").frame.count() == got.n  # more rows, no more cells
+    join = VectorAssembler(inputCols=cells.binner.getOutputCols(), outputCol="features")
+    rows = join.transform(cells.binner.transform(made.withColumn("_y", F.log1p("exec_ms"))))
+    plain = GBTRegressor(labelCol="_y", maxIter=5, maxDepth=3, stepSize=0.1, seed=7).fit(rows)
+    own = models.fit_boosted(cells, "exec_ms", rounds=5, depth=3)
+    both = own.transform(made).withColumnRenamed("prediction", "own").drop("features")
+    gaps = plain.transform(join.transform(both)).agg(F.max(F.abs(F.col("own") - F.col("prediction")))).collect()[0][0]
+    assert gaps < 1e-6
