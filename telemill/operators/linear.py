@@ -23,7 +23,7 @@ class Linear(NamedTuple):
         return sum((F.col(name) * w for name, w in self.weights.items()), F.lit(self.intercept))
 
 
-def _summed(rows: DataFrame, partial) -> dict[int, np.ndarray]:
+def summed(rows: DataFrame, partial) -> dict[int, np.ndarray]:
     """The sums over all tasks of what ``partial`` makes of Arrow batches: a flat array per part; Spark adds them up, so the driver gets each entry once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def moments(rows: DataFrame, fold: str, columns: list[str]) -> tuple[dict[int, n
         x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) - s for c, s in zip(batch.columns[1:], shift, strict=True)]])
         return [(int(g), (x[fold_of == g].T @ x[fold_of == g]).ravel()) for g in np.unique(fold_of)]
 
-    sums = _summed(rows.select(F.col(fold).cast("int"), *[F.col(c).cast("double") for c in columns]), partial)
+    sums = summed(rows.select(F.col(fold).cast("int"), *[F.col(c).cast("double") for c in columns]), partial)
     return {g: v.reshape(len(columns) + 1, -1) for g, v in sums.items()}, shift
 
 

@@ -168,7 +168,7 @@ def _(executions, workers):
 
 @plan("fit_forest")
 def _(executions, workers):
-    return _regression(executions, workers, _best(ml.fit_forest, ml.FOREST_GRID))
+    return _regression(executions, workers, _best(ml.fit_forest, ml.FOREST_GRID, ml.forest_cells))
 
 
 @plan("fit_boosted")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.operators import evaluation, linear, listings, models
+from telemill.operators import evaluation, forest, linear, listings, models
 
 
 @pytest.fixture(scope="module")
@@ -151,3 +151,51 @@ def test_boosted_trees_over_cells_equal_those_over_rows(spark):
     both = own.transform(made).withColumnRenamed("prediction", "own").drop("features")
     gaps = plain.transform(join.transform(both)).agg(F.max(F.abs(F.col("own") - F.col("prediction")))).collect()[0][0]
     assert gaps < 1e-6
+
+
+@pytest.fixture(scope="module")
+def grid_rows(spark):
+    i = F.col("id")
+    return spark.range(0, 3000, 1, 3).select("id", (i * 7 % 6).cast("double").alias("f_a"), (i * 11 % 40 * 1.5).alias("f_b"), (F.floor(i / 10) % 3).cast("double").alias("f_c"), (i * 7 % 6 * 50 + F.pmod(F.xxhash64(i), F.lit(101)) + 1).alias("exec_ms")).cache()
+
+
+def test_a_tree_over_cells_equals_one_over_rows(spark, grid_rows):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    drawn = models.forest_cells(grid_rows, "exec_ms", trees=1)
+    edges = dict(zip(drawn.names, drawn.edges, strict=True))
+    ranges = grid_rows.select("id", F.log1p("exec_ms").alias("_y"), *drawn.names, *[sum((F.col(c) >= float(e)).cast("int") for e in edges[c]).alias(f"b_{c}") for c in drawn.names])
+    whole = ranges.groupBy(F.concat(*[F.unhex(F.lpad(F.hex(f"b_{c}"), 2, "0")) for c in drawn.names]).alias("cell")).agg(F.count("*").cast("double").alias("w_0"), F.sum("_y").alias("s_0"))
+    own = forest.grow(drawn._replace(frame=whole), 5, 4, 3, models.BINS, 7)
+    joined = VectorAssembler(inputCols=[f"b_{c}" for c in drawn.names], outputCol="features").transform(ranges)
+    plain = DecisionTreeRegressor(labelCol="_y", maxDepth=5, minInstancesPerNode=4, predictionCol="plain").fit(joined)
+    gaps = own.transform(plain.transform(joined)).agg(F.max(F.abs(F.col("plain") - F.col("prediction"))), F.countDistinct("plain")).collect()[0]
+    assert gaps[0] < 1e-9 and gaps[1] > 10
+    assert max(abs(own.importance - plain.featureImportances.toArray())) < 1e-9
+
+
+def test_forests_draw_rows_and_not_cells(grid_rows):
+    cells = models.forest_cells(grid_rows, "exec_ms", trees=8)
+    sums = cells.frame.agg(F.count("*").alias("n"), *[F.sum(f"w_{t}").alias(f"w_{t}") for t in range(8)], *[(F.sum(f"s_{t}") / F.sum(f"w_{t}")).alias(f"m_{t}") for t in range(8)]).collect()[0]
+    mean = grid_rows.agg(F.avg(F.log1p("exec_ms"))).collect()[0][0]
+    assert all(abs(sums[f"w_{t}"] - 3000) < 5 * 3000**0.5 and abs(sums[f"m_{t}"] - mean) < 0.15 for t in range(8)) and len({sums[f"w_{t}"] for t in range(8)}) > 4
+    more = grid_rows.union(grid_rows.withColumn("id", F.col("id") + 3000)).union(grid_rows.withColumn("id", F.col("id") + 6000))
+    tripled = models.forest_cells(more, "exec_ms", trees=8).frame.agg(F.count("*").alias("n"), F.sum("w_0").alias("w")).collect()[0]
+    assert tripled.n == sums.n and abs(tripled.w - 9000) < 5 * 9000**0.5  # more rows, no more cells
+    by_cell = lambda c: sorted((bytes(r.cell), r.w_3, round(r.s_3, 6)) for r in c.frame.collect())
+    assert by_cell(models.forest_cells(grid_rows.repartition(7), "exec_ms", trees=8)) == by_cell(cells)
+
+
+@pytest.mark.parametrize("depth", [2, 7])
+def test_large_nodes_are_split_to_the_same_forest(grid_rows, depth):
+    cells = models.forest_cells(grid_rows, "exec_ms", trees=4)
+    once, split = (forest.grow(cells, depth, 2, 1, models.BINS, 7, most) for most in (10**6, 6))
+    for name in ("roots", "feature", "cut", "left"):
+        assert getattr(once, name).tolist() == getattr(split, name).tolist(), name
+    assert abs(once.value - split.value).max() < 1e-9 and abs(once.importance - split.importance).max() < 1e-9 and len(once.roots) == 4
+
+
+def test_forests_refuse_missing_labels(grid_rows):
+    with pytest.raises(Exception, match="labels have missing"):
+        models.fit_forest(grid_rows.withColumn("exec_ms", F.when(F.col("id") > 5, F.col("exec_ms"))), "exec_ms")
