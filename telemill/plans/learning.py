@@ -179,8 +179,9 @@ def _(executions, workers):
 @plan("fit_logistic")
 def _(executions, workers):
     rows = _fitted_rows(executions, workers)
-    model, _, threshold = ml.fit_best_classifier(rows.where("split = 'train'"), "dispatched_ms", "exec_id", "label", ml.fit_logistic, ml.LOGISTIC_GRID)
-    return ev.classification_metrics(ml.predict_probability(model, rows.where("split = 'test'")), threshold)
+    model, _, threshold = ml.fit_best_logistic(rows.where("split = 'train'"), "dispatched_ms", "exec_id", "label", ml.LOGISTIC_GRID)
+    scored = materialize(ml.predict_probability(model, rows.where("split = 'test'")).select("label", "score"), "test-scores")
+    return ev.classification_metrics(scored, threshold)
 
 
 @plan("ts_cross_validate")

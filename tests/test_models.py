@@ -199,3 +199,52 @@ def test_large_nodes_are_split_to_the_same_forest(grid_rows, depth):
 def test_forests_refuse_missing_labels(grid_rows):
     with pytest.raises(Exception, match="labels have missing"):
         models.fit_forest(grid_rows.withColumn("exec_ms", F.when(F.col("id") > 5, F.col("exec_ms"))), "exec_ms")
+
+
+@pytest.fixture(scope="module")
+def class_rows(spark):
+    i, u = F.col("id"), lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 1000
+    made = spark.range(0, 900, 1, 3).select("id", i.alias("at"), (u(1) * 50 + 1e5).alias("f_a"), u(2).alias("f_b"), (i % 3 == 0).cast("double").alias("f_c"), (i % 3 != 0).cast("double").alias("f_d"), F.lit(2.0).alias("f_none"))
+    return made.withColumn("label", ((F.col("f_a") - 1e5) / 50 + F.col("f_b") + u(3) > 1.9).cast("int")).cache()
+
+
+def test_logistic_fits_of_all_folds_and_settings_equal_mllib(spark, class_rows):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    grid, names = [{"c": 0.1}, {"c": 10.0}], models.inputs(class_rows)
+    folds = linear.numbers(evaluation.ts_cv_folds(class_rows, "at", "id", 2), names, "label")
+    spark.sparkContext.setJobGroup("logistic", "logistic")
+    tried, whole = linear.logistics(folds, names, "label", 2, grid)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("logistic")) <= 30  # six fits by themselves take over a hundred
+    for settings, by_fold, last in zip(grid, tried, whole, strict=True):
+        for fold, model in [*by_fold.items(), (3, last)]:
+            train = folds.where(F.col("fold") < fold)
+            n, ones = train.agg(F.count("*"), F.sum("label")).collect()[0]
+            weighted = train.withColumn("_w", n / 2 / F.when(F.col("label") == 1, ones).otherwise(n - ones))
+            stages = [VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+            plain = Pipeline(stages=[*stages, LogisticRegression(labelCol="label", weightCol="_w", regParam=1 / (settings["c"] * n), standardization=False, maxIter=1000, tol=1e-12)]).fit(weighted)
+            both = models.predict_probability(plain, models.predict_probability(model, weighted, "own"), "mllib")
+            assert both.agg(F.max(F.abs(F.col("own") - F.col("mllib")))).collect()[0][0] < 1e-4
+            assert max(abs(model.importance - abs(plain.stages[-1].coefficients.toArray()))) < 1e-3 and "f_none" not in model.linear.weights
+
+
+def test_the_logistic_grid_is_judged_as_fits_by_themselves_are(class_rows):
+    train, grid = class_rows.where("id < 700"), [{"c": 1e-7}, {"c": 1.0}, {"c": 10.0}]
+    model, best, threshold = models.fit_best_logistic(train, "at", "id", "label", grid)
+    plain, same, cut = models.fit_best_classifier(train, "at", "id", "label", models.fit_logistic, grid)
+    assert best == same and abs(threshold - cut) < 1e-6 and model.linear.weights == pytest.approx(plain.linear.weights, rel=1e-5)
+    assert evaluation.classification_metrics(models.predict_probability(model, class_rows.where("id >= 700")), threshold).collect()[0].auc > 0.85
+
+
+def test_logistic_fits_of_parted_single_and_missing_classes(class_rows):
+    parted = class_rows.withColumn("label", (F.col("f_b") > 0.5).cast("int"))
+    scored = models.predict_probability(models.fit_logistic(parted, "label", 1e9), parted)
+    assert scored.where("score is null or score < 0 or score > 1 or (score > 0.5) != (label = 1)").isEmpty()
+    for label in (0, 1):
+        same = class_rows.withColumn("label", F.lit(label))
+        assert {r.score for r in models.predict_probability(models.fit_logistic(same, "label"), same).collect()} == {float(label)}
+    with pytest.raises(ValueError, match="missing"):
+        models.fit_logistic(class_rows.withColumn("label", F.when(F.col("id") > 5, F.col("label"))), "label")
