@@ -1,4 +1,4 @@
-"""Training, scoring and inspection of execution-time, queue and overload models on MLlib."""
+"""Training, scoring and inspection of execution-time, queue and overload models, on MLlib or on sums over all rows."""
 
 from __future__ import annotations
 
