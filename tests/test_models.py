@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.operators import evaluation, forest, linear, listings, models
+from telemill.operators import boosting, evaluation, forest, linear, listings, models
 
 
 @pytest.fixture(scope="module")
@@ -153,6 +153,24 @@ def test_boosted_trees_over_cells_equal_those_over_rows(spark):
     assert gaps < 1e-6
 
 
+@pytest.mark.parametrize("classify", [False, True])
+def test_boosted_trees_of_one_task_and_of_all_tasks_are_the_same(rows, classify):
+    target = "label" if classify else "exec_ms"
+    cells = models.tree_cells(rows, target, classify)
+    once, split = (boosting.boost(cells.binner, cells.frame, 13, 3, 0.1, classify, most) for most in (10**6, 50))
+    both = split.transform(once.transform(rows).withColumnRenamed("prediction", "own").drop(*cells.binner.getOutputCols()))
+    assert both.agg(F.max(F.abs(F.col("own") - F.col("prediction")))).collect()[0][0] < 1e-9
+    assert len(once.trees) == len(split.trees) == 13 and abs(once.importance - split.importance).max() < 1e-9
+
+
+def test_boosted_trees_take_all_their_rounds(spark, rows):
+    spark.sparkContext.setJobGroup("boosted", "boosted")
+    model = models.fit_boosted(rows, "exec_ms")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.trees) == 300  # as the reference's n_estimators
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosted")) <= 30  # small tables take no job for each round
+
+
 @pytest.fixture(scope="module")
 def grid_rows(spark):
     i = F.col("id")
