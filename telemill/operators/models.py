@@ -28,6 +28,9 @@ BOOSTED_GRID = [{"depth": depth, "step": step} for depth in (3, 6) for step in (
 #: Settings that are tried at a time; their jobs share the cluster.
 TRIED_AT_ONCE = 4
 
+#: Trees of a forest that are drawn and grown at a time.
+TREES_AT_ONCE = 40
+
 #: Ranges of an input that trees tell apart, as many as MLlib's own.
 BINS = 32
 
@@ -131,22 +134,60 @@ def fit_boosted(train: DataFrame | Cells, target: str, classify: bool = False, r
     return boosting.boost(cells.binner, cells.frame, rounds, depth, step, classify)
 
 
-def forest_cells(train: DataFrame, target: str, classify: bool = False, trees: int = 20) -> rf.Cells:
-    """Bootstrap samples of the rows of ``train`` for ``trees`` trees, summed by cell and written once."""
+def forest_rows(train: DataFrame, target: str, classify: bool = False) -> rf.Rows:
+    """The rows of ``train`` in the narrow form from which trees draw, written once."""
     edges = _edges(train)
-    cells = rf.drawn_cells(train, list(edges), list(edges.values()), F.col(target) if classify else log_target(F.col(target)), trees, 7)
-    return cells._replace(frame=materialize(cells.frame, "drawn-cells"))
+    return rf.narrow_rows(train, list(edges), list(edges.values()), F.col(target) if classify else log_target(F.col(target)), 7)
+
+
+def forest_cells(train: DataFrame, target: str, classify: bool = False, trees: int = 200) -> rf.Cells:
+    """Bootstrap samples of the rows of ``train`` for ``trees`` trees, summed by cell."""
+    return forest_rows(train, target, classify).cells(trees)
 
 
-def fit_forest(train: DataFrame | rf.Cells, target: str, classify: bool = False, trees: int = 20, depth: int = 8, least: int = 5) -> rf.Forest:
+def _subset(d: int, classify: bool = False) -> int:
+    """As in MLlib, a node may split by a third of the inputs (classes: by the square root of their number)."""
+    return math.ceil(math.sqrt(d) if classify else d / 3)
+
+
+def fit_forest(train: DataFrame | rf.Cells, target: str, classify: bool = False, trees: int = 200, depth: int = 8, least: int = 5) -> rf.Forest:
     """A random forest over the drawn cells of ``train``, which all settings of a grid can share (``forest_cells``).
 
-    As in MLlib, a node may split by a third of the inputs (classes: by the square root of their number), and ``least``
-    counts drawn rows. Labels of two classes are 0 and 1, for which the gains in variance and in Gini impurity rank alike.
+    ``least`` counts drawn rows. Labels of two classes are 0 and 1, for which the gains in variance and in Gini impurity rank alike.
     """
     cells = train if isinstance(train, rf.Cells) else forest_cells(train, target, classify, trees)
-    d = len(cells.names)
-    return rf.grow(cells, depth, least, math.ceil(math.sqrt(d) if classify else d / 3), BINS, 7)
+    return rf.grow(cells, depth, least, _subset(len(cells.names), classify), BINS, 7)
+
+
+def forest_scores(train: DataFrame, rows: DataFrame, target: str, grid: list[dict], trees: int = 200) -> DataFrame:
+    """Predicted and actual ``target`` of ``rows`` by a forest of ``train`` for each of the settings: actual, predicted_0, predicted_1, ...
+
+    Some trees at a time are grown for all settings together (those of one ``least`` are cut off at each depth), score the rows
+    and are left, so that nothing holds a whole forest of deep trees.
+    """
+    drawn = forest_rows(train, target)
+    names, leasts, depths = drawn.names, sorted({g["least"] for g in grid}), sorted({g["depth"] for g in grid})
+    state = materialize(rf.to_score(rows.select(F.col(target).cast("double"), *names), drawn.edges), "to-score")
+    for first in range(0, trees, TREES_AT_ONCE):
+        some = min(TREES_AT_ONCE, trees - first)
+        forests = rf.grow_all(drawn.cells(some, first), depths[-1], leasts, _subset(len(names)), BINS, 7)
+        last, state = state, materialize(rf.add_scores(state, forests, depths), "to-score")
+        discard(last)
+    discard(drawn.frame)
+    mean = lambda g: from_log_target(F.col("sums")[leasts.index(g["least"]) * len(depths) + depths.index(g["depth"])] / trees)
+    return state.select("actual", *[mean(g).alias(f"predicted_{i}") for i, g in enumerate(grid)])
+
+
+def best_forest_scores(train: DataFrame, rows: DataFrame, order: str, tie: str, target: str, grid: list[dict], k: int = 3, trees: int = 200) -> tuple[DataFrame, dict]:
+    """Predicted and actual ``target`` of ``rows`` by the forest of ``train`` with the settings that ``fit_best`` chooses, and those settings."""
+    folds, scored = materialize(ts_cv_folds(train, order, tie, k), "folds"), None
+    for fold in range(1, k + 1):
+        part = forest_scores(folds.where(F.col("fold") < fold).drop("fold"), folds.where(F.col("fold") == fold), target, grid, trees)
+        scored = part if scored is None else scored.unionByName(part)
+    errors = scored.agg(*[F.avg(F.abs(F.col(f"predicted_{i}") - F.col("actual"))) for i in range(len(grid))]).collect()[0]
+    best = grid[min(range(len(grid)), key=lambda i: errors[i])]
+    discard(folds)
+    return forest_scores(train, rows, target, [best], trees).withColumnRenamed("predicted_0", "predicted"), best
 
 
 def predict_ms(model, rows: DataFrame, out: str = "predicted") -> DataFrame:

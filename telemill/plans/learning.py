@@ -168,7 +168,8 @@ def _(executions, workers):
 
 @plan("fit_forest")
 def _(executions, workers):
-    return _regression(executions, workers, _best(ml.fit_forest, ml.FOREST_GRID, ml.forest_cells))
+    rows = _fitted_rows(executions, workers)
+    return ev.regression_metrics(ml.best_forest_scores(rows.where("split = 'train'"), rows.where("split = 'test'"), "dispatched_ms", "exec_id", "exec_ms", ml.FOREST_GRID)[0])
 
 
 @plan("fit_boosted")

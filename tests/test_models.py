@@ -214,6 +214,41 @@ def test_large_nodes_are_split_to_the_same_forest(grid_rows, depth):
     assert abs(once.value - split.value).max() < 1e-9 and abs(once.importance - split.importance).max() < 1e-9 and len(once.roots) == 4
 
 
+def test_forests_take_all_their_trees(grid_rows):
+    assert len(models.fit_forest(grid_rows, "exec_ms").roots) == 200  # as the reference's n_estimators
+    assert models.forest_cells(grid_rows, "exec_ms").trees == 200
+
+
+def test_settings_that_share_a_growth_have_the_forests_of_their_own(grid_rows):
+    import numpy as np
+
+    cells = models.forest_cells(grid_rows, "exec_ms", trees=6)
+    both = forest.grow_all(cells, 9, [1, 40], 1, models.BINS, 7)
+    x = np.array([[int(v) for v in r.cell] for r in cells.frame.select("cell").collect()], "uint8")
+    for least, shared in zip([1, 40], both, strict=True):
+        own = forest.grow(cells, 9, least, 1, models.BINS, 7)
+        for name in ("roots", "feature", "cut", "left", "value", "importance"):
+            assert getattr(shared, name).tolist() == getattr(own, name).tolist(), name
+        flat = forest.grow(cells, 4, least, 1, models.BINS, 7)
+        cut_off, whole = shared.sums(x, [4, 9])
+        assert abs(cut_off - flat.sums(x, [4])[0]).max() < 1e-9 and abs(whole - own.sums(x, [9])[0]).max() < 1e-9 and abs(whole - cut_off).max() > 0
+    assert len(both[0].feature) > len(both[1].feature)
+
+
+def test_forests_that_score_some_trees_at_a_time_equal_whole_ones(grid_rows):
+    train, test = grid_rows.where("id < 2400"), grid_rows.where("id >= 2400")
+    grid = [{"depth": depth, "least": least} for depth in (2, 6) for least in (1, 30)]
+    trees = models.TREES_AT_ONCE + 3
+    got = models.forest_scores(train, test, "exec_ms", grid, trees)
+    for i, settings in enumerate(grid):
+        plain = models.predict_ms(models.fit_forest(train, "exec_ms", trees=trees, **settings), test)
+        pairs = [sorted((r.a, round(r.p, 6)) for r in df.collect()) for df in (got.select(F.col("actual").alias("a"), F.col(f"predicted_{i}").alias("p")), plain.select(F.col("exec_ms").cast("double").alias("a"), F.col("predicted").alias("p")))]
+        assert len(pairs[0]) == len(pairs[1]) == 600 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(*pairs, strict=True))
+    train = train.withColumn("at", F.col("id") * 10)
+    scored, best = models.best_forest_scores(train, test, "at", "id", "exec_ms", grid[:2], 2, 3)
+    assert best == models.fit_best(train, "at", "id", "exec_ms", lambda t, y, **s: models.fit_forest(t, y, trees=3, **s), grid[:2], 2)[1] and scored.count() == 600
+
+
 def test_forests_refuse_missing_labels(grid_rows):
     with pytest.raises(Exception, match="labels have missing"):
         models.fit_forest(grid_rows.withColumn("exec_ms", F.when(F.col("id") > 5, F.col("exec_ms"))), "exec_ms")
